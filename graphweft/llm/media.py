@@ -113,46 +113,34 @@ class ShardWriter:
 
 
 def store(docs: DataFrame, root: str) -> DataFrame:
-    """Writes each distinct text's image once; returns the index (digest, shard, offset, length) as a table.
+    """Writes each distinct text's image; returns the index (digest, shard, offset, length), one row for each digest.
 
-    A task drops repeats of a content before the shuffle, so a content that a third of all rows have reaches the
-    shuffle once for each task. digest is the payload's SHA-256.
+    digest is the payload's SHA-256. Images are written where the texts are read, so no payload is shuffled: a task
+    writes a content once, and of the addresses that several tasks have for it the index keeps the smallest. A content
+    that a third of all rows have so takes the room of one member for each task at most.
     """
 
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        shards = ShardWriter(root)
         for batch in batches:
-            digests, data, size = [], [], 0
+            rows = []
             for text in batch.column(0).to_pylist():
                 samples = payload(text)
                 digest = hashlib.sha256(samples)
-                if digest.digest() in seen:
-                    continue
-                seen.add(digest.digest())
-                digests.append(digest.hexdigest())
-                data.append(to_png(samples))
-                size += len(data[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(data, pa.binary())], names=["digest", "data"])
-                    digests, data, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(data, pa.binary())], names=["digest", "data"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        shards = ShardWriter(root)
-        for batch in batches:
-            rows = []
-            for digest, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest not in seen:
-                    seen.add(digest)
-                    rows.append((digest, *shards.add(f"{digest}.png", data.as_py())))
+                if digest.digest() not in seen:
+                    seen.add(digest.digest())
+                    name = digest.hexdigest()
+                    rows.append((name, *shards.add(f"{name}.png", to_png(samples))))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["digest", "shard", "offset", "length"])
         shards.close()
 
     files, path = _folder(root)
     files.create_dir(path, recursive=True)
-    return materialise(docs.select("text").mapInArrow(images, "digest string, data binary").repartition("digest").mapInArrow(write, INDEX))
+    # written before it is used twice: another run of the tasks would write other shards
+    written = materialise(docs.select("text").mapInArrow(write, INDEX))
+    return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
 def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
