@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, licenses, lines, media, mixing, ngrams, substrings, urls
+from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, substrings, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_neighbours": op3_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op7_url_filters": op7_url_filters,
