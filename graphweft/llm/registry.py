@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, substrings, urls
+from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, substrings, toxicity, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_neighbours": op3_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
