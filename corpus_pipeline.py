@@ -1,15 +1,56 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources
+are mixed to target weights, and what is left is encoded.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor has written, and returns a frame; all but the
+last return the columns of documents. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweft.llm import bpe, lines, mixing, ngrams, registry, toxicity
+from graphweft.llm.common import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below one half. The model learns from the labelled ones among them."""
+    score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score("text") < 0.5)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier document has in the same windows; a document left without any line goes."""
+    found = lines.dedup_lines(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    return found.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents: that with the smallest doc_id."""
+    return ngrams.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document as often as it is taken, cut where a source's stretch ends inside it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text of the mix, with digests of the ids and of the bytes they decode to."""
+    return bpe.round_trip(docs, registry.vocabulary_path(), with_ids=True)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("source mixing", mix_sources), ("byte-level BPE", encode)]
 
-STAGES: list = []
+#: The toxicity model and the vocabulary can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs)
     return docs

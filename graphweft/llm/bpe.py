@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphweft.llm.common import slices
 
@@ -293,8 +294,9 @@ def decode(encoded: DataFrame, ranks_path: str, id_column: str = "doc_id") -> Da
     return kept.mapInArrow(run, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids, and digests both in one pass."""
+def round_trip(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encodes, decodes the ids, and digests both in
+    one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +304,15 @@ def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
         written = [str(i) for i in range(len(tokens))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, id_digests, digests = [], [], []
+            counts, id_digests, digests, kept = [], [], [], []
             for a, b in slices(texts):
                 for ids in encode_texts(texts[a:b], cache):
                     counts.append(len(ids))
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
                     id_digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
                     digests.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,7 +7,8 @@ the lines outside them are joined again. DataFrame functions only.
 Defined results: lines end at line feeds. A text of fewer than three lines has no window and stays as it is, also an
 empty one; a null text stays null with 0 lines. Windows without any visible character don't count. A null doc_id comes
 first. Rows that are equal in doc_id and text are one place, so all of them keep the same lines; rows with one doc_id
-and different texts are ordered by the texts' hashes. Other columns pass through.
+and different texts are ordered by the texts' hashes. Other columns pass
+through.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _WINDOWS = f"""element_at(transform(array(transform(split(text, '\\n', -1), l ->
         {" OR ".join(f"h[i + {j}].seen" for j in range(WINDOW))} AS seen)))), 1)"""
 
 # Marks sorted by line: the lines kept lie before the first mark, from a mark's end to the next mark, and after the last.
-_KEPT = f"""element_at(transform(array(struct(split(text, '\\n', -1) AS l, marks AS m)), x -> if(x.m IS NULL, x.l, flatten(transform(sequence(0, size(x.m)), i ->
+_KEPT = f"""element_at(transform(array(struct(split(text, '\\n', -1) AS l, __marks AS m)), x -> if(x.m IS NULL, x.l, flatten(transform(sequence(0, size(x.m)), i ->
     slice(x.l, 1 + if(i = 0, 0, x.m[i - 1] + {WINDOW}), greatest(0, if(i = size(x.m), size(x.l), x.m[if(i = size(x.m), 0, i)]) - if(i = 0, 0, x.m[i - 1] + {WINDOW}))))))), 1)"""
 
 
@@ -51,15 +52,15 @@ def marks(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text reduced to the lines kept, and n_lines and n_removed."""
-    found = marks(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "marks")
-    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_hash")), "left")
-    kept = rows.withColumn("_kept", F.expr(_KEPT))
-    n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept"))
-    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return kept.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"))
+    """docs with text reduced to the lines kept, and n_lines and n_removed (instead of columns with these names)."""
+    found = marks(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("marks").alias("__marks"))
+    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__hash")), "left").withColumn("__kept", F.expr(_KEPT))
+    there = F.col("text").isNotNull()
+    n = F.when(there, F.size(F.split("text", "\n", -1))).otherwise(0)
+    left = F.when(there, F.size("__kept")).otherwise(0)
+    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    same = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*same, n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"))
 
 
 SQL = f"""

@@ -104,18 +104,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands in it once for each time it is taken whole, and once
     more, cut to the taken words with single spaces, where a stretch ends inside it."""
-    mixed = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken").alias("_place")).groupBy("_id", "_size").agg(F.min("_place").alias("_place")).select("_id", "_size", "_place.*")
-    size = n_words(F.col("text"))
-    rows = docs.join(mixed, docs.doc_id.eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    rest = F.col("taken") - F.col("rounds") * F.col("_size")
-    copies = F.col("rounds") + F.when(rest > 0, 1).otherwise(0)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    place = F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken")
+    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.min(place).alias("__at"))
+    rows = docs.join(mixed, docs.doc_id.eqNullSafe(F.col("__id")) & (n_words(F.col("text")) == F.col("__size")))
+    rounds, size = F.col("__at.rounds"), F.col("__size")
+    rest = F.col("__at.taken") - rounds * size
+    copies = rounds + F.when(rest > 0, 1).otherwise(0)
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    end = F.col("first") + F.col("stretch")
-    at, last = F.col("offset"), F.col("offset") + F.col("_size")
-    piece = lambda a, b: F.slice(words, (F.greatest(a - at, F.lit(0)) + 1).cast("int"), F.greatest(F.least(b, last) - F.greatest(a, at), F.lit(0)).cast("int"))
-    cut = F.array_join(F.concat(piece(F.col("first"), F.least(end, F.col("cell_size"))), piece(F.lit(0), F.greatest(end - F.col("cell_size"), F.lit(0)))), " ")
-    partly = (F.col("_copy") > F.col("rounds")) & (rest < F.col("_size"))
+    low, high, end, cell = F.col("__at.offset"), F.col("__at.offset") + size, F.col("__at.first") + F.col("__at.stretch"), F.col("__at.cell_size")
+    piece = lambda a, b: F.slice(words, (F.greatest(a - low, F.lit(0)) + 1).cast("int"), F.greatest(F.least(b, high) - F.greatest(a, low), F.lit(0)).cast("int"))
+    cut = F.array_join(F.concat(piece(F.lit(0), F.greatest(end - cell, F.lit(0))), piece(F.col("__at.first"), F.least(end, cell))), " ")
+    partly = (F.col("__copy") > rounds) & (rest < size)
     text = F.when(partly, cut).otherwise(F.col("text"))
-    out = [text.alias(c) if c == "text" else F.when(partly, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*out)
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(partly, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

@@ -232,3 +232,11 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     named = per.join(smallest, "component").select("class", "component_id")
     out = members.select("doc_id", "n", "class").join(named, "class", "left")
     return out.select(F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")), F.lit(LEAST_ID)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those that have a linked document with a smaller doc_id. Rows that repeat a doc_id count as one
+    document and stay or go together; rows without a doc_id stay."""
+    found = similarity_components(docs)
+    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)

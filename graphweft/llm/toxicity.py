@@ -21,8 +21,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import materialise
@@ -169,7 +170,8 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.lexicon.features(text or "") @ self.weights + self.bias, -30, 30))))
+        text = text if isinstance(text, str) else ""
+        return float(1 / (1 + np.exp(-np.clip(self.lexicon.features(text) @ self.weights + self.bias, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -194,22 +196,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, *linear_classifier(x, posterior))
 
 
-def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, score and the columns to keep, in one pass over the texts. The model has MOST_VOTERS weights at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """The score as a function of a text column. The model has MOST_VOTERS weights at most."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(shared.value.score, na_action=None).astype(float)
 
-    names = list(dict.fromkeys(["doc_id", *keep]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{fields}, score double")
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    scored = score_documents(docs, fit(docs, labels))
+    score = scorer(docs.sparkSession, fit(docs, labels))
+    scored = docs.select("doc_id", score("text").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
