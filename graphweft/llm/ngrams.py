@@ -131,7 +131,7 @@ def frequency_levels(profiled: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """token, class, pos: the first shingles of each set, the rarest first. A task emits a class once.
+    """token, class, pos, n: the first shingles of each set, the rarest first. A task emits a class once.
 
     token is the shingle's upper 56 bits: two that agree in them are one candidate more, never a link.
     """
@@ -140,10 +140,10 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
         for _, sets in _shingles(batches):
-            tokens, classes, places = [], [], []
+            tokens, classes, places, sizes = [], [], [], []
 
             def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(places))], names=["token", "class", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, classes, places, sizes)], names=["token", "class", "pos", "n"])
 
             for s in sets:
                 if not len(s) or (own := class_id(s)) in seen:
@@ -154,13 +154,14 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 tokens.append((first >> np.uint64(8)).view(np.int64))
                 classes.append(np.full(len(first), own, np.int64))
                 places.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(np.full(len(first), len(s), np.int32))
                 if len(tokens) >= 500:
                     yield flush()
-                    tokens, classes, places = [], [], []
+                    tokens, classes, places, sizes = [], [], [], []
             if tokens:
                 yield flush()
 
-    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "token long, class long, pos int")
+    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "token long, class long, pos int, n int")
 
 
 def needed(n1: Column, n2: Column) -> Column:
@@ -169,13 +170,18 @@ def needed(n1: Column, n2: Column) -> Column:
 
 
 def may_link(x: str, y: str) -> Column:
-    """Length, positional and suffix filters on two postings of one token."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n1, n2, i, j = c(x, "n"), c(y, "n"), c(x, "pos").cast("long"), c(y, "pos").cast("long")
+    """Length and positional filters on two postings of one token."""
+    n1, n2, i, j = (F.col(f"{side}.{name}").cast("long") for name in ("n", "pos") for side in (x, y))
     # what is common before the places, the shingle itself, and what can be common after it
     most = F.least(i, j) + 1 + F.least(n1 - i, n2 - j) - 1
-    differ = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in PARITIES), F.lit(0))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (most >= needed(n1, n2)) & (differ <= n1 + n2 - 2 * needed(n1, n2))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (most >= needed(n1, n2))
+
+
+def may_overlap(x: str, y: str) -> Column:
+    """The suffix filter: bits in which two sets differ."""
+    n1, n2 = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
+    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    return differ <= n1 + n2 - 2 * needed(n1, n2)
 
 
 def _pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
@@ -184,9 +190,11 @@ def _pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b, linked for pairs (a, b) of classes: both whole sets are compared. first: (class, doc_id) of one document."""
-    pairs = materialise(pairs)
-    involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct().join(first, "class")
+    """a, b, linked for pairs (a, b) of classes: both whole sets are compared. first: (class, doc_id, n, parities), doc_id of one
+    document."""
+    x, y = first.alias("x"), first.alias("y")
+    pairs = materialise(pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).filter(may_overlap("x", "y")).select("a", "b"))
+    involved = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct().join(first.select("class", "doc_id"), "class")
     involved = materialise(involved.select("doc_id").distinct())
     few = involved.count() <= BROADCAST_IDS
 
@@ -212,22 +220,20 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     place = F.shiftleft(F.least(F.col("pos"), F.lit(65534)).cast("long"), 47).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 47) - 1)))
     # minima and maxima are taken before the shuffle; tokens of one class alone end here
     shared = found.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(place).alias("lead")).filter("low <> high").select("token", "lead")
-    rows = found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", place == F.col("lead")).drop("lead").distinct()
-    rows = materialise(rows.join(classes.drop("doc_id"), "class"))
-    first = materialise(classes.select("class", "doc_id"))
-    leads = rows.filter("is_lead")
-    star = verified(_pairs(rows, leads, F.lit(True)), docs, first)
+    rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", place == F.col("lead")).drop("lead").distinct())
+    first = materialise(classes)
+    star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead"), F.lit(True)), docs, first)
     groups = components(star.filter("linked"))
-    named = groups.select(F.col("node").alias("class"), "component")
-    grouped = rows.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lead_groups = grouped.filter("is_lead").groupBy("token").agg(F.min("component").alias("lead_component"))
-    grouped = materialise(grouped.join(lead_groups, "token"))
-    outside = grouped.filter("component <> lead_component")
-    rest = _pairs(outside, grouped, F.col("x.component") != F.col("y.component"))
+    grouped = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
+    mixed = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
+    others = grouped.filter("NOT is_lead").join(mixed.select("token", "lead_component"), "token")
+    others = materialise(others.join(first.select("class", *PARITIES), "class"))
+    rest = _pairs(others.filter("component <> lead_component"), others, (F.col("x.component") != F.col("y.component")) & may_overlap("x", "y"))
     rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
     links = star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
     final = components(links).withColumnRenamed("node", "class")
-    per = first.join(final, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
+    per = first.select("class", "doc_id").join(final, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
     smallest = per.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = per.join(smallest, "component").select("class", "component_id")
     out = members.select("doc_id", "n", "class").join(named, "class", "left")
