@@ -1,4 +1,732 @@
-"""The registered graph queries and their SQL."""
+"""The registered graph queries and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Graphs are those of sources.fixtures. SEED, EPOCH, BATCH and so on are the parameters that all queries share.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphweft.operators import cache, canonical, checks, gnn, metrics, partition, relabel, seeds, subsample
+from graphweft.operators import sampler as sp
+from graphweft.plans import sql as q
+from graphweft.sources import fixtures as fx
+from graphweft.sources import graph_dir, synthetic
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+SEED, EPOCH, FACTOR, BATCH, CHUNK = 3, 2, 5.0, 64, 4
+FANOUTS = [4, 3]
+COIN, COIN_SEED = 0.3, 11
+SLOTS = 100
+BUDGETS = [10, 50, 200]
+FRACTION = 0.3
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _raw(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.raw_edges(s, d), fx.nodes(s, d)
+
+
+def _cop(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fx.co_purchases(s, d), fx.nodes(s, d)
+
+
+def _train(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("split = 'train'")
+
+
+def _target(_: DataFrame | None = None):
+    return F.col("split") == "train"
+
+
+# Canonical graphs and degrees
+
+
+@query("edges_symmetrize", f"WITH {q.RAW} SELECT dst, src FROM raw UNION ALL SELECT src, dst FROM raw")
+def _(s, d):
+    return canonical.oriented(fx.raw_edges(s, d))
+
+
+@query("edges_interleave_both", f"WITH {q.SPARSE} SELECT u AS src, v AS dst, 0 AS side FROM sparse UNION ALL SELECT v, u, 1 FROM sparse")
+def _(s, d):
+    return canonical.interleave_both(fx.sparse_edges(s, d))
+
+
+@query("csc_canonical", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.canonical(raw, nodes)
+
+
+@query("csc_canonical_directed", f"WITH {q.RAW} SELECT DISTINCT dst, src FROM raw")
+def _(s, d):
+    return canonical.canonical(fx.raw_edges(s, d), None, symmetrise=False)
+
+
+@query("csc_no_self_loop", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon WHERE dst <> src")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.drop_self_loops(canonical.canonical(raw, nodes))
+
+
+@query("csc_adjacency_arrays", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT n.node_id, coalesce(string_agg(c.src, ',' ORDER BY c.src), '') AS neighbours FROM nodes n LEFT JOIN canon c ON c.dst = n.node_id GROUP BY 1")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.adjacency(canonical.canonical(raw, nodes), nodes).select("node_id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("csc_indptr", f"WITH {q.RAW}, {q.NODES}, {q.CANON}, g AS (SELECT n.node_id, count(c.src) AS degree FROM nodes n LEFT JOIN canon c ON c.dst = n.node_id GROUP BY 1) SELECT node_id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.offsets(canonical.canonical(raw, nodes), nodes)
+
+
+@query("degree_in_out", f"WITH {q.RAW}, {q.NODES} SELECT node_id, (SELECT count(*) FROM raw WHERE dst = node_id) AS in_degree, (SELECT count(*) FROM raw WHERE src = node_id) AS out_degree FROM nodes")
+def _(s, d):
+    return canonical.raw_degrees(*_raw(s, d))
+
+
+@query("degree_column", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT n.node_id, count(c.src) AS degree FROM nodes n LEFT JOIN canon c ON c.dst = n.node_id GROUP BY 1")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.degrees(canonical.canonical(raw, nodes), nodes)
+
+
+@query("degree_stats", f"""WITH {q.RAW}, {q.NODES}, {q.CANON}, g AS (SELECT n.node_id, count(c.src) AS degree FROM nodes n LEFT JOIN canon c ON c.dst = n.node_id GROUP BY 1)
+SELECT min(degree) AS least, max(degree) AS most, round(avg(degree), 6) AS mean, CAST(sum(degree) AS BIGINT) AS entries, CAST(2 * (SELECT count(*) FROM raw) + count(*) - sum(degree) AS BIGINT) AS repeats,
+round(sum(degree) / (SELECT count(*) FROM raw), 6) AS ratio, round((SELECT count(DISTINCT dst) FROM canon WHERE dst <> src) / count(*), 6) AS share_with_neighbour FROM g""")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.degree_stats(raw, canonical.canonical(raw, nodes), nodes)
+
+
+_SCORE = f"""WITH {q.RAW}, {q.NODES}, e AS (SELECT DISTINCT dst, src FROM raw),
+g AS (SELECT node_id, (SELECT count(*) FROM e WHERE src = node_id) AS ref_count, (SELECT count(*) FROM e WHERE dst = node_id) AS degree FROM nodes) """
+
+
+@query("nc_score_ginex", _SCORE + "SELECT node_id, ref_count, degree, round(CAST(CAST(ref_count AS FLOAT) / (CAST(degree AS FLOAT) + CAST(1e-8 AS FLOAT)) AS DOUBLE), 6) AS nc_score FROM g")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.nc_score(canonical.canonical(raw, None, False), nodes)
+
+
+@query("nc_score_degree", _SCORE + "SELECT node_id, ref_count, degree, CAST(degree AS DOUBLE) AS nc_score FROM g")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.nc_score(canonical.canonical(raw, None, False), nodes, "degree")
+
+
+@query("self_loop_add", f"WITH {q.RAW}, {q.NODES} SELECT dst, src FROM raw UNION SELECT node_id, node_id FROM nodes")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.add_self_loops(canonical.canonical(raw, None, False), nodes)
+
+
+@query("self_loop_report", f"WITH {q.RAW}, {q.NODES}, e AS (SELECT DISTINCT dst, src FROM raw), r AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM e WHERE dst = src) AS present, (SELECT count(*) FROM e) AS edges_before) SELECT nodes, present, nodes - present AS added, edges_before, edges_before + nodes - present AS edges_after FROM r")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.self_loop_report(canonical.canonical(raw, None, False), nodes)
+
+
+@query("self_loop_drop", f"WITH {q.RAW} SELECT DISTINCT dst, src FROM raw WHERE dst <> src")
+def _(s, d):
+    return canonical.drop_self_loops(canonical.canonical(fx.raw_edges(s, d), None, False))
+
+
+@query("isolated_nodes", f"WITH {q.RAW}, {q.NODES} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM raw WHERE dst <> src) AND node_id NOT IN (SELECT src FROM raw WHERE dst <> src)")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return canonical.isolated(canonical.canonical(raw, None, False), nodes)
+
+
+# Checks
+
+
+@query("symmetry_violations", f"WITH {q.RAW}, e AS (SELECT DISTINCT dst, src FROM raw) SELECT dst, src FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src AND f.src = e.dst)")
+def _(s, d):
+    return checks.asymmetric(canonical.canonical(fx.raw_edges(s, d), None, False))
+
+
+@query("csc_checks", f"""WITH {q.RAW}, {q.NODES}, e AS (SELECT DISTINCT dst, src FROM raw)
+SELECT 'repeated' AS check, 0 AS violations UNION ALL SELECT 'unknown_dst', count(*) FROM e WHERE dst NOT IN (SELECT node_id FROM nodes) UNION ALL SELECT 'unknown_src', count(*) FROM e WHERE src NOT IN (SELECT node_id FROM nodes)
+UNION ALL SELECT 'no_self_loop', count(*) FROM nodes WHERE node_id NOT IN (SELECT dst FROM e WHERE dst = src) UNION ALL SELECT 'asymmetric', count(*) FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.dst = e.src AND f.src = e.dst)""")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    return checks.graph_checks(canonical.canonical(raw, None, False), nodes)
+
+
+@query("node_checks", f"WITH {q.NODES} SELECT 'repeated_id' AS check, count(*) - count(DISTINCT node_id) AS violations FROM nodes UNION ALL SELECT 'label_range', count(*) FILTER (WHERE label NOT BETWEEN 0 AND 5) FROM nodes UNION ALL SELECT 'part_range', count(*) FILTER (WHERE part_id < 0) FROM nodes UNION ALL SELECT 'split_name', 0")
+def _(s, d):
+    return checks.node_checks(fx.nodes(s, d), 6)
+
+
+@query("split_disjoint", f"WITH {q.NODES} SELECT 'split_overlap' AS check, count(*) AS violations FROM (SELECT node_id FROM nodes GROUP BY 1 HAVING count(DISTINCT split) > 1)")
+def _(s, d):
+    return checks.split_overlap(fx.nodes(s, d))
+
+
+# New ids
+
+
+@query("id_compaction", f"WITH {q.SPARSE}, i AS (SELECT u AS old_id FROM sparse UNION SELECT v FROM sparse) SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id FROM i")
+def _(s, d):
+    return relabel.compact_ids(fx.sparse_edges(s, d))
+
+
+@query("compacted_edges", f"WITH {q.SPARSE}, i AS (SELECT u AS old_id FROM sparse UNION SELECT v FROM sparse), m AS (SELECT old_id, row_number() OVER (ORDER BY old_id) - 1 AS new_id FROM i) SELECT a.new_id AS u, b.new_id AS v FROM sparse s JOIN m a ON a.old_id = s.u JOIN m b ON b.old_id = s.v")
+def _(s, d):
+    edges = fx.sparse_edges(s, d)
+    return relabel.remap_edges(edges, relabel.compact_ids(edges), "u", "v")
+
+
+@query("reorder_by_partition", f"WITH {q.NODES}, {q.IDMAP} SELECT old_id, new_id, part_id FROM idmap")
+def _(s, d):
+    return relabel.reorder(fx.nodes(s, d))
+
+
+@query("reordered_edges", f"WITH {q.COP}, {q.NODES}, {q.IDMAP} SELECT a.new_id AS dst, b.new_id AS src FROM cop JOIN idmap a ON a.old_id = dst JOIN idmap b ON b.old_id = src")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return relabel.remap_edges(edges, relabel.reorder(nodes))
+
+
+@query("reordered_nodes", f"WITH {q.NODES}, {q.IDMAP} SELECT new_id AS node_id, old_id, n.part_id, label, split, x0, x1 FROM nodes n JOIN idmap ON old_id = node_id")
+def _(s, d):
+    nodes = fx.nodes(s, d)
+    return relabel.remap_nodes(nodes, relabel.reorder(nodes))
+
+
+@query("cluster_ranges", f"WITH {q.NODES}, {q.IDMAP} SELECT part_id AS cluster_id, min(new_id) AS start_id, max(new_id) + 1 AS end_id FROM idmap GROUP BY 1")
+def _(s, d):
+    return relabel.cluster_ranges(relabel.reorder(fx.nodes(s, d)))
+
+
+@query("part_bounds", f"WITH {q.NODES} SELECT CAST(slot AS INT) AS slot, (SELECT count(*) FROM nodes WHERE part_id < slot) AS bound FROM (SELECT unnest(range(0, (SELECT max(part_id) FROM nodes) + 2)) AS slot)")
+def _(s, d):
+    return relabel.part_bounds(relabel.reorder(fx.nodes(s, d)))
+
+
+# Partitions
+
+
+@query("partition_sizes", f"WITH {q.NODES} SELECT part_id, count(*) AS size FROM nodes GROUP BY 1")
+def _(s, d):
+    return partition.sizes(fx.nodes(s, d))
+
+
+@query("partition_summary", f"WITH {q.NODES}, z AS (SELECT count(*) AS size FROM nodes GROUP BY part_id), r AS (SELECT size, row_number() OVER (ORDER BY size) AS i, count(*) OVER () AS n FROM z) SELECT max(n) AS clusters, min(size) AS least, max(size) FILTER (WHERE i = (n - 1) // 2 + 1) AS median, max(size) AS most FROM r")
+def _(s, d):
+    return partition.summary(fx.nodes(s, d))
+
+
+@query("partition_summary_json", f"WITH {q.NODES}, z AS (SELECT CAST(part_id AS VARCHAR) AS p, count(*) AS n FROM nodes GROUP BY 1) SELECT '{{\"num_partitions\":' || count(*) || ',\"counts\":{{' || string_agg('\"' || p || '\":' || n, ',' ORDER BY p) || '}}}}' AS summary FROM z")
+def _(s, d):
+    return graph_dir.partition_summary(fx.nodes(s, d))
+
+
+@query("partition_quality", f"""WITH {q.COP}, {q.NODES}, e AS (SELECT a.part_id AS p, b.part_id AS r FROM cop JOIN nodes a ON a.node_id = dst JOIN nodes b ON b.node_id = src),
+g AS (SELECT p, count(*) AS ends, count(*) FILTER (WHERE p = r) AS inside FROM e GROUP BY 1), z AS (SELECT part_id, count(*) AS size FROM nodes GROUP BY 1)
+SELECT round((sum(ends) - sum(inside)) / sum(ends), 6) AS cut_ratio, round(sum(inside) / sum(ends) - sum(CAST(ends AS DOUBLE) * ends) / (CAST(sum(ends) AS DOUBLE) * sum(ends)), 6) AS modularity, (SELECT round(max(size) / avg(size), 6) FROM z) AS balance FROM g""")
+def _(s, d):
+    return partition.quality(*_cop(s, d))
+
+
+_INTRA = "intra AS (SELECT dst, src FROM cop JOIN nodes a ON a.node_id = dst JOIN nodes b ON b.node_id = src WHERE a.part_id = b.part_id)"
+
+
+@query("intra_edges", f"WITH {q.COP}, {q.NODES}, {_INTRA} SELECT dst, src FROM intra")
+def _(s, d):
+    return partition.intra_edges(*_cop(s, d))
+
+
+@query("intra_ratio", f"WITH {q.COP}, {q.NODES}, {_INTRA} SELECT (SELECT count(*) FROM cop) AS edges, count(*) AS intra, round(count(*) / (SELECT count(*) FROM cop), 6) AS intra_ratio FROM intra")
+def _(s, d):
+    return partition.intra_ratio(*_cop(s, d))
+
+
+@query("intra_range_equiv", f"WITH {q.COP}, {q.NODES}, {_INTRA}, {q.IDMAP} SELECT a.new_id AS dst, b.new_id AS src FROM intra JOIN idmap a ON a.old_id = dst JOIN idmap b ON b.old_id = src")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    idmap = relabel.reorder(nodes)
+    return partition.intra_edges_by_range(relabel.remap_edges(edges, idmap), idmap)
+
+
+@query("partition_hash", f"WITH {q.NODES} SELECT node_id, CAST({q.key('part', 'node_id')} % 8 AS INT) AS part_id FROM nodes")
+def _(s, d):
+    return partition.by_hash(fx.nodes(s, d), 8)
+
+
+@query("partition_range", f"WITH {q.NODES} SELECT node_id, CAST((row_number() OVER (ORDER BY node_id) - 1) * 8 // (SELECT count(*) FROM nodes) AS INT) AS part_id FROM nodes")
+def _(s, d):
+    return partition.by_range(fx.nodes(s, d), 8)
+
+
+@query("partition_lpa")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return partition.balanced(edges, nodes, 8, rounds=4, seed=SEED)
+
+
+# Subsamples
+
+
+@query("subsample_quota", f"WITH {q.NODES} SELECT part_id, count(*) FILTER (WHERE split = 'train') AS targets, count(*) FILTER (WHERE split <> 'train') AS others, CAST(greatest(1, count(*) FILTER (WHERE split = 'train') + round_even(count(*) FILTER (WHERE split <> 'train') * {1 / FACTOR**0.5!r}::DOUBLE, 0)) AS BIGINT) AS quota FROM nodes GROUP BY 1")
+def _(s, d):
+    return subsample.quotas(fx.nodes(s, d), _target(), FACTOR)
+
+
+_SUB = f"""kept AS (SELECT node_id, part_id FROM (SELECT node_id, part_id, row_number() OVER (PARTITION BY part_id ORDER BY CAST(split <> 'train' AS INT), {q.key(SEED + EPOCH, 'node_id')}, node_id) AS place,
+greatest(1, count(*) FILTER (WHERE split = 'train') OVER (PARTITION BY part_id) + round_even(count(*) FILTER (WHERE split <> 'train') OVER (PARTITION BY part_id) * {1 / FACTOR**0.5!r}::DOUBLE, 0)) AS quota FROM nodes) WHERE place <= quota),
+sub AS (SELECT {EPOCH} AS epoch, node_id, row_number() OVER (ORDER BY part_id, node_id) - 1 AS new_id, part_id FROM kept)"""
+
+
+def _sub(nodes: DataFrame) -> DataFrame:
+    return subsample.subsample(nodes, _target(), FACTOR, SEED, EPOCH)
+
+
+@query("subsample_nodes", f"WITH {q.NODES}, {_SUB} SELECT epoch, node_id, new_id, part_id FROM sub")
+def _(s, d):
+    return _sub(fx.nodes(s, d))
+
+
+@query("subsample_cluster_ptr", f"WITH {q.NODES}, {_SUB} SELECT part_id, min(new_id) AS start, max(new_id) + 1 AS end FROM sub GROUP BY 1")
+def _(s, d):
+    return subsample.cluster_pointers(_sub(fx.nodes(s, d)))
+
+
+@query("subsample_full", f"WITH {q.NODES} SELECT -1 AS epoch, node_id, row_number() OVER (ORDER BY part_id, node_id) - 1 AS new_id, part_id FROM nodes")
+def _(s, d):
+    return subsample.full(fx.nodes(s, d))
+
+
+@query("induced_graph", f"WITH {q.COP}, {q.NODES}, {_INTRA}, {_SUB} SELECT a.new_id AS dst_new, b.new_id AS src_new FROM intra JOIN sub a ON a.node_id = dst JOIN sub b ON b.node_id = src")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.induced_edges(partition.intra_edges(edges, nodes), _sub(nodes))
+
+
+@query("induced_nodes", f"WITH {q.NODES}, {_SUB} SELECT new_id, node_id AS old_id, n.part_id, label, x0, x1, split = 'train' AS is_train, split = 'valid' AS is_valid, split = 'test' AS is_test FROM sub JOIN nodes n USING (node_id)")
+def _(s, d):
+    nodes = fx.nodes(s, d)
+    return subsample.induced_nodes(nodes, _sub(nodes).drop("part_id"))
+
+
+_EPOCH_DEGREE = "deg AS (SELECT t.node_id, count(k.node_id) AS degree FROM (SELECT * FROM nodes WHERE split = 'train') t LEFT JOIN cop ON dst = t.node_id LEFT JOIN nodes b ON b.node_id = src LEFT JOIN kept k ON k.node_id = src AND b.part_id = t.part_id GROUP BY 1)"
+_STATIC_DEGREE = "deg AS (SELECT t.node_id, count(src) AS degree FROM (SELECT * FROM nodes WHERE split = 'train') t LEFT JOIN cop ON dst = t.node_id GROUP BY 1)"
+_THRESHOLD = f"th AS (SELECT coalesce(min(degree) FILTER (WHERE i = floor({FRACTION}::DOUBLE * (n - 1)) + 1), -1) AS threshold FROM (SELECT degree, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM deg))"
+
+
+@query("epoch_degree", f"WITH {q.COP}, {q.NODES}, {_SUB}, {_EPOCH_DEGREE} SELECT node_id, degree FROM deg")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.epoch_degrees(edges, _train(nodes), _sub(nodes), nodes)
+
+
+@query("quantile_lower", f"WITH {q.COP}, {q.NODES}, {_STATIC_DEGREE}, {_THRESHOLD} SELECT threshold FROM th")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.lower_quantile(canonical.degrees(edges, _train(nodes)), "degree", FRACTION)
+
+
+@query("keep_inter_static", f"WITH {q.COP}, {q.NODES}, {_STATIC_DEGREE}, {_THRESHOLD} SELECT node_id, degree FROM deg, th WHERE degree <= threshold")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.keep_inter_mask("static", edges, _train(nodes), FRACTION)
+
+
+@query("keep_inter_subsampled", f"WITH {q.COP}, {q.NODES}, {_SUB}, {_EPOCH_DEGREE}, {_THRESHOLD} SELECT node_id, degree FROM deg, th WHERE degree <= threshold")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.keep_inter_mask("subsampled", edges, _train(nodes), FRACTION, _sub(nodes), nodes)
+
+
+@query("inter_coin_edges", f"WITH {q.COP} SELECT dst, src FROM cop WHERE {q.coin('dst', 'src', COIN, COIN_SEED)}")
+def _(s, d):
+    from graphweft.functions.hashing import coin
+
+    return fx.co_purchases(s, d).filter(coin(F.col("dst"), F.col("src"), COIN, COIN_SEED))
+
+
+# Orders of seeds
+
+
+_GLOBAL = f"ord AS (SELECT node_id, row_number() OVER (ORDER BY {q.key(SEED, EPOCH, 'node_id')}, node_id) - 1 AS pos FROM nodes WHERE split = 'train')"
+
+
+def _order(*keys: str, inside: bool = True, more: str = "") -> str:
+    first = f"{q.key(SEED, EPOCH, ('n',), 'node_id')}, " if inside else ""
+    return f"ch AS (SELECT node_id, part_id, row_number() OVER (PARTITION BY part_id ORDER BY {first}node_id) - 1 AS place FROM nodes WHERE split = 'train'), ck AS (SELECT *, CAST(place // {CHUNK} AS INT) AS chunk FROM ch){more}, ord AS (SELECT node_id, row_number() OVER (ORDER BY {', '.join(keys)}) - 1 AS pos FROM {'gk' if more else 'ck'})"
+
+
+_CLUSTER = _order(q.key(SEED, EPOCH, ("c",), "part_id", "chunk"), "part_id", "chunk", "place")
+_GROUPED = _order(q.key(SEED, EPOCH, ("g",), "grp"), "grp", "chunk", "rank", "place", more=f", pr AS (SELECT part_id, row_number() OVER (ORDER BY max(chunk) + 1 DESC, {q.key(SEED, EPOCH, ('p',), 'part_id')}, part_id) - 1 AS rank FROM ck GROUP BY part_id), gk AS (SELECT ck.*, rank, CAST(rank // {max(1, seeds.GROUP_SEEDS // CHUNK)} AS INT) AS grp FROM ck JOIN pr USING (part_id))")
+
+
+@query("seed_order_global", f"WITH {q.NODES}, {_GLOBAL} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.global_order(_train(fx.nodes(s, d)), SEED, EPOCH)
+
+
+@query("seed_order_cluster", f"WITH {q.NODES}, {_CLUSTER} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.cluster_order(_train(fx.nodes(s, d)), SEED, EPOCH, CHUNK)
+
+
+@query("seed_order_id", f"WITH {q.NODES}, {_order(q.key(SEED, EPOCH, ('c',), 'part_id', 'chunk'), 'part_id', 'chunk', 'place', inside=False)} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.cluster_order(_train(fx.nodes(s, d)), SEED, EPOCH, CHUNK, shuffle_inside=False)
+
+
+@query("seed_order_nochunkshuffle", f"WITH {q.NODES}, {_order('part_id', 'chunk', 'place')} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.cluster_order(_train(fx.nodes(s, d)), SEED, EPOCH, CHUNK, "none")
+
+
+@query("seed_order_grouped", f"WITH {q.NODES}, {_GROUPED} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.cluster_order(_train(fx.nodes(s, d)), SEED, EPOCH, CHUNK, "grouped")
+
+
+@query("seed_order_hybrid", f"WITH {q.NODES}, {_GLOBAL} SELECT node_id, pos FROM ord")
+def _(s, d):
+    return seeds.seed_order(_train(fx.nodes(s, d)), SEED, EPOCH, EPOCH + 1, "cluster", CHUNK, hybrid_last=1)
+
+
+_BATCHES = f"seeds AS (SELECT pos // {BATCH} AS batch_id, node_id, pos FROM ord)"
+
+
+def _seeds(nodes: DataFrame) -> DataFrame:
+    return seeds.batches(seeds.global_order(_train(nodes), SEED, EPOCH), BATCH)
+
+
+@query("seed_batches", f"WITH {q.NODES}, {_GLOBAL}, {_BATCHES} SELECT node_id, pos, batch_id FROM seeds")
+def _(s, d):
+    return _seeds(fx.nodes(s, d))
+
+
+@query("seed_order_checks", f"SELECT unnest(['repeated_seed', 'missing_seed', 'positions']) AS check, 0 AS violations")
+def _(s, d):
+    train = _train(fx.nodes(s, d))
+    return checks.order_checks(seeds.cluster_order(train, SEED, EPOCH, CHUNK), train)
+
+
+# Neighbour samples
+
+
+_BASE = f"WITH {q.COP}, {q.NODES}, {_GLOBAL}, {_BATCHES}"
+_KEEP = f"{_STATIC_DEGREE}, {_THRESHOLD}, ki AS (SELECT node_id FROM deg, th WHERE degree <= threshold)"
+_SAME = "(SELECT part_id FROM nodes WHERE node_id = dst) = (SELECT part_id FROM nodes WHERE node_id = src)"
+_MASKED = "src IN (SELECT node_id FROM kept)"
+
+
+def _sampled(s: SparkSession, d: str, fanouts: list[int], make=None, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+    edges, nodes = _cop(s, d)
+    return sp.sample(_seeds(nodes), edges, fanouts, make(edges, nodes) if make else None, SEED, replace)
+
+
+def _sampled_sql(fanouts: list[int], alive: str = "TRUE", more: str = "", replace: bool = False) -> str:
+    return f"{_BASE}{', ' + more if more else ''}, {q.hops(fanouts, SEED, alive, replace)}"
+
+
+_NODE_COLUMNS, _EDGE_COLUMNS = "batch_id, local_id, node_id, hop", "batch_id, src_local, dst_local, hop"
+
+
+def _edge_query(name: str, fanouts: list[int], alive: str = "TRUE", more: str = "", make=None, replace: bool = False) -> None:
+    @query(name, f"{_sampled_sql(fanouts, alive, more, replace)} SELECT {_EDGE_COLUMNS} FROM batch_edges")
+    def _(s, d):
+        return _sampled(s, d, fanouts, make, replace)[1]
+
+
+_edge_query("neighbors_full_1hop", [-1])
+_edge_query("neighbors_k_1hop", [FANOUTS[0]])
+_edge_query("neighbors_khop_edges", FANOUTS)
+_edge_query("neighbors_masked", FANOUTS, _MASKED, _SUB, lambda e, n: sp.Filters(mask=_sub(n)))
+_edge_query("neighbors_rtintra", FANOUTS, f"{_MASKED} AND {_SAME}", _SUB, lambda e, n: sp.Filters(mask=_sub(n), part=n))
+_edge_query("neighbors_keep_inter", FANOUTS, f"({_SAME} OR dst IN (SELECT node_id FROM ki))", _KEEP, lambda e, n: sp.Filters(part=n, keep_inter=subsample.keep_inter_mask("static", e, _train(n), FRACTION)))
+_edge_query("neighbors_protect_inter", FANOUTS, f"({_SAME} OR src IN (SELECT node_id FROM nodes WHERE split = 'train'))", "", lambda e, n: sp.Filters(part=n, protect_inter=_train(n)))
+_edge_query("neighbors_inter_coin", FANOUTS, f"({_SAME} OR {q.coin('dst', 'src', COIN, COIN_SEED)})", "", lambda e, n: sp.Filters(part=n, coin_fraction=COIN, coin_seed=COIN_SEED))
+_edge_query("neighbors_replace", [3], replace=True)
+
+
+@query("neighbors_full_2hop", f"{_sampled_sql([-1, -1], f'{_MASKED} AND {_SAME}', _SUB)} SELECT {_NODE_COLUMNS} FROM batch_nodes")
+def _(s, d):
+    return _sampled(s, d, [-1, -1], lambda e, n: sp.Filters(mask=_sub(n), part=n))[0]
+
+
+@query("neighbors_khop_nodes", f"{_sampled_sql(FANOUTS)} SELECT {_NODE_COLUMNS} FROM batch_nodes")
+def _(s, d):
+    return _sampled(s, d, FANOUTS)[0]
+
+
+@query("hop_boundaries", f"{_sampled_sql(FANOUTS)} SELECT b.batch_id, CAST(h.hop AS INT) AS hop, (SELECT count(*) FROM batch_nodes n WHERE n.batch_id = b.batch_id AND n.hop <= h.hop) AS cum_nodes, (SELECT count(*) FROM batch_edges e WHERE e.batch_id = b.batch_id AND e.hop <= h.hop) AS cum_edges FROM (SELECT DISTINCT batch_id FROM batch_nodes) b, (SELECT unnest(range(0, {len(FANOUTS) + 1})) AS hop) h")
+def _(s, d):
+    n, e = _sampled(s, d, FANOUTS)
+    return sp.boundaries(n, e, len(FANOUTS))
+
+
+@query("hop_prefix_checks", "SELECT unnest(['centre_hop', 'neighbour_hop']) AS check, 0 AS violations")
+def _(s, d):
+    return checks.hop_prefix(*_sampled(s, d, FANOUTS))
+
+
+@query("neighbors_rtintra_ranges", f"WITH {q.COP}, {q.NODES}, {q.IDMAP}, {_INTRA}, one AS (SELECT 0 AS batch_id, new_id AS node_id FROM idmap JOIN nodes ON node_id = old_id WHERE split = 'train') SELECT a.new_id AS dst, b.new_id AS src FROM intra JOIN idmap a ON a.old_id = dst JOIN idmap b ON b.old_id = src JOIN one ON one.node_id = a.new_id")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    idmap = relabel.reorder(nodes)
+    new_nodes, new_edges = relabel.remap_nodes(nodes, idmap), relabel.remap_edges(edges, idmap)
+    ranges = relabel.cluster_ranges(idmap).select(F.col("cluster_id").alias("part_id"), F.col("start_id").alias("lo"), F.col("end_id").alias("hi"))
+    pairs = new_edges.join(_train(new_nodes).select(F.col("node_id").alias("dst")), "dst", "left_semi").select("dst", "src")
+    return sp.alive(pairs, sp.Filters(part=new_nodes, ranges=ranges))
+
+
+@query("intra_vs_rtintra_diff", "SELECT 'only_one_side' AS check, 0 AS violations")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    order, sub = _seeds(nodes), _sub(nodes)
+    a = sp.sample(order, partition.intra_edges(edges, nodes), [-1, -1], sp.Filters(mask=sub))[1]
+    b = sp.sample(order, edges, [-1, -1], sp.Filters(mask=sub, part=nodes))[1]
+    return a.exceptAll(b).union(b.exceptAll(a)).agg(F.lit("only_one_side").alias("check"), F.count(F.lit(1)).alias("violations"))
+
+
+# Feature gathers and caches
+
+
+_COUNTS = "counts AS (SELECT n.node_id, count(b.batch_id) AS cnt FROM nodes n LEFT JOIN batch_nodes b ON b.node_id = n.node_id GROUP BY 1)"
+_CACHE = f"cache AS (SELECT node_id, cnt FROM counts ORDER BY cnt DESC, node_id LIMIT {SLOTS})"
+_DEGREE = "degs AS (SELECT n.node_id, count(src) AS degree FROM nodes n LEFT JOIN cop ON dst = n.node_id GROUP BY 1)"
+
+
+@query("batch_feature_gather", f"{_sampled_sql(FANOUTS)} SELECT {_NODE_COLUMNS}, x0, x1 FROM batch_nodes JOIN nodes USING (node_id)")
+def _(s, d):
+    return cache.feature_gather(_sampled(s, d, FANOUTS)[0], fx.nodes(s, d), ["x0", "x1"])
+
+
+def _accesses(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    batch_nodes, nodes = _sampled(s, d, FANOUTS)[0], fx.nodes(s, d)
+    return batch_nodes, nodes, cache.access_counts(batch_nodes, nodes)
+
+
+@query("cached_gather", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE} SELECT {_NODE_COLUMNS}, x0, x1, node_id IN (SELECT node_id FROM cache) AS hit FROM batch_nodes JOIN nodes USING (node_id)")
+def _(s, d):
+    batch_nodes, nodes, counts = _accesses(s, d)
+    return cache.cached_gather(batch_nodes, nodes, cache.top_by_count(counts, SLOTS), ["x0", "x1"])
+
+
+@query("access_counts", f"{_sampled_sql(FANOUTS)}, {_COUNTS} SELECT node_id, cnt FROM counts")
+def _(s, d):
+    return _accesses(s, d)[2]
+
+
+@query("cache_topk", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE} SELECT node_id, cnt FROM cache")
+def _(s, d):
+    return cache.top_by_count(_accesses(s, d)[2], SLOTS)
+
+
+@query("cache_degree_fill", f"{_sampled_sql([2])}, {_COUNTS}, {_DEGREE} SELECT node_id, cnt, degree FROM counts JOIN degs USING (node_id) ORDER BY cnt > 0 DESC, CASE WHEN cnt > 0 THEN cnt ELSE degree END DESC, node_id LIMIT 1500")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    counts = cache.access_counts(_sampled(s, d, [2])[0], nodes)
+    return cache.degree_fill(counts, canonical.degrees(edges, nodes), 1500)
+
+
+@query("cache_plan_hybrid", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE} SELECT node_id, CAST(place AS INT) AS place, CASE WHEN place < {SLOTS // 2} THEN 'static' ELSE 'lru' END AS area FROM (SELECT node_id, row_number() OVER (ORDER BY cnt DESC, node_id) - 1 AS place FROM cache)")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return cache.cache_plan(_accesses(s, d)[2], canonical.degrees(edges, nodes), "hybrid", "count", SLOTS)
+
+
+@query("cache_hit_rate", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE}, f AS (SELECT count(*) AS accesses, count(c.node_id) AS hits FROM batch_nodes b LEFT JOIN cache c ON c.node_id = b.node_id) SELECT accesses, hits, round(100 * hits / accesses, 2) AS hit_percent FROM f")
+def _(s, d):
+    batch_nodes, _, counts = _accesses(s, d)
+    return cache.hit_rate(batch_nodes, cache.top_by_count(counts, SLOTS))
+
+
+@query("cache_budget_curve", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, r AS (SELECT node_id, row_number() OVER (ORDER BY cnt DESC, node_id) - 1 AS place FROM counts), m AS (SELECT place FROM r JOIN nodes USING (node_id) WHERE split = 'train') SELECT CAST(budget AS INT) AS budget, count(*) FILTER (WHERE place < budget) AS inside, round(count(*) FILTER (WHERE place < budget) / count(*), 6) AS share FROM m, (SELECT unnest({BUDGETS}) AS budget) GROUP BY 1")
+def _(s, d):
+    _, nodes, counts = _accesses(s, d)
+    return cache.budget_curve(counts, _train(nodes), BUDGETS)
+
+
+@query("cache_forced_fill", f"""{_sampled_sql([2])}, {_COUNTS}, {_DEGREE}, c AS (SELECT node_id FROM counts ORDER BY cnt DESC, node_id LIMIT 1500), r AS (SELECT node_id, cnt, degree, cnt = 0 AND node_id IN (SELECT node_id FROM c) AS forced FROM counts JOIN degs USING (node_id))
+SELECT count(*) FILTER (WHERE forced) AS forced, round(coalesce(avg(degree) FILTER (WHERE forced), 0), 6) AS forced_degree, round(avg(degree), 6) AS mean_degree, round(coalesce(avg(degree) FILTER (WHERE cnt > 0), 0), 6) AS accessed_degree, CAST(coalesce(median(node_id) FILTER (WHERE forced), -1) AS DOUBLE) AS median_id FROM r""")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    counts = cache.access_counts(_sampled(s, d, [2])[0], nodes)
+    return cache.forced_fill(counts, canonical.degrees(edges, nodes), cache.top_by_count(counts, 1500))
+
+
+@query("access_percentiles", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, g AS (SELECT 'all' AS grp, cnt FROM counts UNION ALL SELECT 'accessed', cnt FROM counts WHERE cnt > 0) SELECT grp, round(quantile_cont(cnt, 0.5), 6) AS p50, round(quantile_cont(cnt, 0.75), 6) AS p75, round(quantile_cont(cnt, 0.9), 6) AS p90, round(quantile_cont(cnt, 0.99), 6) AS p99, round(avg(cnt), 6) AS mean FROM g GROUP BY 1")
+def _(s, d):
+    return cache.access_percentiles(_accesses(s, d)[2])
+
+
+@query("cache_lru_sim")
+def _(s, d):
+    batch_nodes = _sampled(s, d, FANOUTS)[0]
+    return cache.lru(batch_nodes.select((F.col("batch_id") % 4).cast("int").alias("worker"), "batch_id", "node_id"), SLOTS, SLOTS // 4)
+
+
+# Layers
+
+
+_LONG = "f AS (SELECT node_id, 0 AS dim, CAST(x0 AS DOUBLE) AS value FROM nodes UNION ALL SELECT node_id, 1, CAST(x1 AS DOUBLE) FROM nodes)"
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    return gnn.long_form(fx.nodes(s, d), ["x0", "x1"], ["node_id"])
+
+
+@query("sage_mean_agg", f"WITH {q.COP}, {q.NODES}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, round(avg(value), 6) AS value FROM cop JOIN f ON node_id = src GROUP BY 1, 2")
+def _(s, d):
+    return gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d))
+
+
+@query("sage_max_agg", f"WITH {q.COP}, {q.NODES}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, max(value) AS value FROM cop JOIN f ON node_id = src GROUP BY 1, 2")
+def _(s, d):
+    return gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d), "max")
+
+
+_GCN = "w0 AS (SELECT dst, src FROM cop WHERE dst <> src UNION ALL SELECT node_id, node_id FROM nodes), dg AS (SELECT dst AS node_id, count(*) AS d FROM w0 GROUP BY 1), w AS (SELECT dst, src, 1 / sqrt(CAST(a.d AS DOUBLE) * b.d) AS weight FROM w0 JOIN dg a ON a.node_id = dst JOIN dg b ON b.node_id = src)"
+
+
+@query("gcn_norm_weights", f"WITH {q.COP}, {q.NODES}, {_GCN} SELECT dst, src, round(weight, 9) AS weight FROM w")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return gnn.gcn_weights(edges, nodes).withColumn("weight", F.round("weight", 9))
+
+
+@query("gcn_propagate", f"WITH {q.COP}, {q.NODES}, {_GCN}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, round(sum(weight * value), 6) AS value FROM w JOIN f ON node_id = src GROUP BY 1, 2")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return gnn.gcn_propagate(gnn.gcn_weights(edges, nodes), _features(s, d))
+
+
+def _arrays(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", F.array((F.col("x0") / 50.0), (F.col("x1") / 13.0)).alias("x"), "label")
+
+
+HIDDEN, CLASSES = 3, 6
+
+
+def _logits(rows: DataFrame) -> DataFrame:
+    return rows.select("batch_id", "local_id", *[F.round(F.element_at("out", i + 1), 4).alias(f"o{i}") for i in range(CLASSES)])
+
+
+@query("sage_forward", f"{_sampled_sql(FANOUTS)}, {q.sage(gnn.build_model('sage', 2, HIDDEN, CLASSES), len(FANOUTS))}")
+def _(s, d):
+    n, e = _sampled(s, d, FANOUTS)
+    return _logits(gnn.sage_forward(n, e, _arrays(fx.nodes(s, d)).drop("label"), gnn.build_model("sage", 2, HIDDEN, CLASSES)))
+
+
+@query("mfg_truncation_equiv", "SELECT 'differs' AS check, 0 AS violations")
+def _(s, d):
+    n, e = _sampled(s, d, FANOUTS)
+    x, layers = _arrays(fx.nodes(s, d)).drop("label"), gnn.build_model("sage", 2, HIDDEN, CLASSES)
+    a, b = gnn.sage_forward(n, e, x, layers), gnn.sage_forward(n, e, x, layers, prune=False).withColumnRenamed("out", "other")
+    far = F.exists(F.zip_with("out", "other", lambda u, v: F.abs(u - v)), lambda z: z > 1e-5)
+    return a.join(b, ["batch_id", "local_id"], "full").agg(F.lit("differs").alias("check"), F.count_if(F.coalesce(far, F.lit(True))).alias("violations"))
+
+
+@query("gcn_forward", f"{_sampled_sql(FANOUTS)}, {q.gcn(gnn.build_model('gcn', 2, HIDDEN, CLASSES), len(FANOUTS))}")
+def _(s, d):
+    n, e = _sampled(s, d, FANOUTS)
+    return _logits(gnn.gcn_forward(n, e, _arrays(fx.nodes(s, d)).drop("label"), gnn.build_model("gcn", 2, HIDDEN, CLASSES)))
+
+
+_GAT = gnn.build_model("gat", 2, 2, 2, 1)[0]
+
+
+@query("gat_forward", f"WITH {q.COP}, {q.NODES}, {q.gat(*_GAT)}")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    rows = gnn.gat_layer(canonical.add_self_loops(edges, nodes), _arrays(nodes).drop("label"), *_GAT)
+    return rows.select("node_id", *[F.round(F.element_at("out", i + 1), 4).alias(f"o{i}") for i in range(2)])
+
+
+_PRED = "p AS (SELECT node_id, CASE WHEN x1 = 0 THEN -1 ELSE label END AS label, [x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, 0.25]::DOUBLE[] AS o FROM nodes)"
+
+
+@query("eval_loss_accuracy", f"WITH {q.NODES}, {_PRED} SELECT round(avg(ln(list_sum(list_transform(o, v -> exp(v)))) - o[label + 1]) FILTER (WHERE label >= 0), 6) AS loss, round(count(*) FILTER (WHERE list_position(o, list_max(o)) - 1 = label) / count(*), 6) AS accuracy FROM p")
+def _(s, d):
+    x0, x1 = F.col("x0"), F.col("x1")
+    logits = F.array(x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, F.lit(0.25))
+    rows = fx.nodes(s, d).select(F.when(x1 == 0, -1).otherwise(F.col("label")).alias("label"), logits.alias("out"))
+    return gnn.evaluate(rows)
+
+
+# Metrics of runs; the runs are groups of orders
+
+
+_RUNS = "runs AS (SELECT CAST(o_orderkey % 9 AS INT) AS epoch, CAST(o_custkey % 4 AS INT) AS repeat, round(avg(o_totalprice), 3) AS valid, round(max(o_totalprice), 3) AS test FROM orders GROUP BY 1, 2)"
+_EPOCHS = "ep AS (SELECT CAST(o_orderkey % 9 AS INT) AS epoch, CASE WHEN o_orderkey % 9 % 3 = 1 THEN 'NaN'::DOUBLE ELSE round(avg(o_totalprice), 3) END AS valid, round(sum(o_totalprice) / 1000, 3) AS seconds FROM orders GROUP BY o_orderkey % 9)"
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    o = fx.table(s, d, "orders")
+    return o.groupBy((F.col("o_orderkey") % 9).cast("int").alias("epoch"), (F.col("o_custkey") % 4).cast("int").alias("repeat")).agg(F.round(F.avg("o_totalprice"), 3).alias("valid"), F.round(F.max("o_totalprice"), 3).alias("test"))
+
+
+def _epochs(s: SparkSession, d: str) -> DataFrame:
+    o = fx.table(s, d, "orders").withColumn("epoch", (F.col("o_orderkey") % 9).cast("int"))
+    rows = o.groupBy("epoch").agg(F.round(F.avg("o_totalprice"), 3).alias("v"), F.round(F.sum("o_totalprice") / 1000, 3).alias("seconds"))
+    return rows.select("epoch", F.when(F.col("epoch") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("v")).alias("valid"), "seconds")
+
+
+@query("best_epoch", f"WITH {_EPOCHS} SELECT epoch, valid, seconds FROM ep WHERE NOT isnan(valid) ORDER BY valid DESC, epoch LIMIT 1")
+def _(s, d):
+    return metrics.best_epoch(_epochs(s, d), "valid")
+
+
+@query("warm_mean", f"WITH {_EPOCHS} SELECT round(avg(seconds) FILTER (WHERE epoch > 0), 3) AS warm_mean, round(avg(seconds), 3) AS all_mean FROM ep")
+def _(s, d):
+    return metrics.warm_mean(_epochs(s, d), "seconds")
+
+
+@query("final_test", f"WITH {_RUNS} SELECT round(avg(test), 6) AS mean, round(coalesce(stddev_samp(test), 0), 6) AS deviation FROM runs")
+def _(s, d):
+    return metrics.mean_and_deviation(_runs(s, d), "test")
+
+
+@query("epoch_metrics", "SELECT CAST(o_orderkey % 9 AS INT) AS epoch, round(sum(CAST(o_custkey % 100 AS DOUBLE) * (o_orderkey % 13)) / sum(o_orderkey % 13), 6) AS loss, round(sum(o_custkey % 7) / sum(o_orderkey % 13), 6) AS accuracy FROM orders GROUP BY 1")
+def _(s, d):
+    o = fx.table(s, d, "orders").select((F.col("o_orderkey") % 9).cast("int").alias("epoch"), (F.col("o_custkey") % 100).cast("double").alias("loss"), (F.col("o_custkey") % 7).alias("right"), (F.col("o_orderkey") % 13).alias("size"))
+    return metrics.accumulate(o)
+
+
+@query("ckpt_eval", f"WITH {_RUNS}, g AS (SELECT epoch, max(valid) AS valid, max(test) AS test_max, round(avg(test), 6) AS test_mean, string_agg(CAST(round(test) AS BIGINT), ',' ORDER BY repeat) AS tests FROM runs GROUP BY 1) SELECT *, row_number() OVER (ORDER BY test_max DESC, epoch) = 1 AS is_best FROM g")
+def _(s, d):
+    rows = metrics.checkpoint_table(_runs(s, d))
+    return rows.withColumn("tests", F.array_join(F.transform("tests", lambda t: F.round(t).cast("bigint").cast("string")), ","))
+
+
+@query("synthetic_features_split", f"WITH {q.NODES}, r AS (SELECT node_id, row_number() OVER (ORDER BY {q.key(SEED, ('s',), 'node_id')}, node_id) - 1 AS place, (SELECT count(*) FROM nodes) AS n FROM nodes) SELECT node_id, CAST({q.key(SEED, ('f',), 'node_id', 0)} / 4294967296.0::DOUBLE AS FLOAT) AS f0, CAST({q.key(SEED, ('f',), 'node_id', 1)} / 4294967296.0::DOUBLE AS FLOAT) AS f1, CAST({q.key(SEED, ('l',), 'node_id')} % 20 AS INT) AS label, CASE WHEN place < round_even(n * 0.1, 0) THEN 'train' WHEN place < round_even(n * 0.1, 0) + round_even(n * 0.01, 0) THEN 'valid' WHEN place < round_even(n * 0.1, 0) + round_even(n * 0.01, 0) + round_even(n * 0.02, 0) THEN 'test' ELSE 'none' END AS split FROM r")
+def _(s, d):
+    rows = synthetic.synthesise(fx.nodes(s, d), 2, 20, (0.1, 0.01, 0.02), SEED)
+    return rows.select("node_id", F.element_at("features", 1).alias("f0"), F.element_at("features", 2).alias("f1"), "label", "split")
+
+
+@query("train_sage_epoch")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    model = gnn.build_model("trainable", 2, 8, CLASSES)
+    optimiser, rows = gnn.Adam(model.p), []
+    for epoch in range(2):
+        order = seeds.batches(seeds.global_order(_train(nodes), SEED, epoch), BATCH)
+        n, e = sp.sample(order, edges, FANOUTS, seed=SEED + epoch)
+        rows.append((epoch, *gnn.train_epoch(model, optimiser, n, e, _arrays(nodes))))
+    return s.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], "epoch int, loss double, accuracy double")
