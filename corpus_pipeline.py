@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm import bpe, lines, mixing, ngrams, registry, toxicity
-from graphweft.llm.common import materialise, table
+from graphweft.llm.common import materialise, table, text_session
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half. The model learns from the labelled ones among them."""
+    text_session(spark)
     score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return docs.filter(score("text") < 0.5)
 
@@ -28,6 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: that with the smallest doc_id."""
+    text_session(spark)
     return ngrams.one_of_each(docs)
 
 
@@ -38,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text of the mix, with digests of the ids and of the bytes they decode to."""
+    text_session(spark)
     return bpe.round_trip(docs, registry.vocabulary_path(), with_ids=True)
 
 

@@ -37,7 +37,9 @@ FIRST = 8
 CHUNK = 256
 #: Pieces up to this many bytes are merged side by side, longer ones with a heap each.
 SHORT = 64
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+#: Texts are encoded in slices of about this many characters, new pieces merged so many at a time: bounds of memory.
+SLICE, MERGED = 1 << 18, 4096
 #: White_Space of Unicode; str.isspace() has four control characters more.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -222,7 +224,8 @@ class Pieces(dict):
             else:
                 short.append(piece)
                 new.append(raw)
-        self.update(zip(short, merge_many(new, self.ranks, self.table)))
+        for i in range(0, len(new), MERGED):
+            self.update(zip(short[i : i + MERGED], merge_many(new[i : i + MERGED], self.ranks, self.table)))
 
 
 def encode_texts(texts: list[str], cache: Pieces) -> Iterator[list[int]]:
@@ -272,7 +275,7 @@ def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_col
         cache, tokens = _vocabulary(ranks_path, shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids = list(encode_texts(texts[a:b], cache))
                 offsets = [decode_ids(x, tokens)[1] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64()))], names=[id_column, "ids", "offsets"])
@@ -304,15 +307,15 @@ def round_trip(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> Data
         written = [str(i) for i in range(len(tokens))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, id_digests, digests, kept = [], [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
+                counts, id_digests, digests, kept = [], [], [], []
                 for ids in encode_texts(texts[a:b], cache):
                     counts.append(len(ids))
                     if with_ids:
                         kept.append(np.array(ids, np.int32))
                     id_digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
                     digests.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                columns = [batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

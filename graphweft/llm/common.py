@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 1 << 20
 
 
+#: Rows of a batch that goes to a Python worker; texts are long, so Spark's own default holds tens of megabytes.
+BATCH_ROWS = 1000
+
+
+def text_session(spark: SparkSession) -> SparkSession:
+    """The session with batches small enough for whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def n_words(text: Column) -> Column:
@@ -53,19 +64,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts with about ``limit`` characters each."""
     start, total = 0, 0

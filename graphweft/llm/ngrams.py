@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,11 @@ def profile(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "class", *PARITIES, "block", "part", "counts"]
         held: list[np.ndarray] = []
         waiting = 0
+
+        def count() -> None:
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[cells] += n.astype(np.uint32)
+
         for batch, sets in _shingles(batches):
             n, ids, bits = [], [], []
             for s in sets:
@@ -96,13 +102,14 @@ def profile(docs: DataFrame) -> DataFrame:
                 bits.append(parity(s))
                 held.append((s & np.uint64(size - 1)).astype(np.int32))
                 waiting += len(s)
-                if waiting > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
-                    held, waiting = [], 0
+                if waiting > 1 << 18:
+                    count()
+                    held.clear()
+                    waiting = 0
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(c) for c in np.array(bits).reshape(-1, PARITY).T], none, none, pa.nulls(len(n), pa.binary())], names=names)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+            count()
         blocks = [i for i in range(size // block) if counts[i * block : (i + 1) * block].any()]
         data = [zlib.compress(counts[i * block : (i + 1) * block].tobytes(), 1) for i in blocks]
         part = int(counts.sum()) % 64
@@ -200,8 +207,8 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _shingles(batches):
-            found = list(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["class", "shingles"])
+            while found := list(islice(sets, 200)):
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["class", "shingles"])
 
     texts = docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").join(F.broadcast(involved) if few else involved, "doc_id")
     sets = materialise(texts.mapInArrow(run, "class long, shingles array<bigint>").dropDuplicates(["class"]))
