@@ -87,7 +87,8 @@ def nc_score(edges: DataFrame, nodes: DataFrame, kind: str = "ginex") -> DataFra
     if kind not in ("ginex", "degree"):
         raise ValueError(f"unknown score {kind}")
     both = degrees(edges, nodes, "src", "ref_count").join(degrees(edges, nodes), "node_id")
-    score = F.col("ref_count").cast("float") / (F.col("degree").cast("float") + F.lit(1e-8).cast("float")) if kind == "ginex" else F.col("degree")
+    # Spark divides floats as doubles
+    score = (F.col("ref_count").cast("float") / (F.col("degree").cast("float") + F.lit(1e-8).cast("float"))).cast("float") if kind == "ginex" else F.col("degree")
     return both.select("node_id", "ref_count", "degree", F.round(score.cast("double"), 6).alias("nc_score"))
 
 

@@ -84,7 +84,7 @@ def sage_forward(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataF
         none = F.array(*[F.lit(0.0)] * width)
         out = F.zip_with(dense(F.coalesce("near", none), near), dense(F.col("x"), root), lambda a, b: a + b)
         state = materialise(rows.select("batch_id", "local_id", "hop", (relu(out) if j < hops else out).alias("x")))
-    return state.filter("hop = 0").select("batch_id", "local_id", F.transform("x", lambda v: F.round(v, 6)).alias("out"))
+    return state.filter("hop = 0").select("batch_id", "local_id", F.col("x").alias("out"))
 
 
 def gcn_forward(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame, layers: list[list[list[float]]], prune: bool = True) -> DataFrame:
@@ -104,7 +104,7 @@ def gcn_forward(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFr
         rows = nodes.select("batch_id", "local_id", "hop").join(pooled, ["batch_id", "local_id"])
         out = dense(F.col("near"), weights)
         state = materialise(rows.select("batch_id", "local_id", "hop", (relu(out) if j < hops else out).alias("x")))
-    return state.filter("hop = 0").select("batch_id", "local_id", F.transform("x", lambda v: F.round(v, 6)).alias("out"))
+    return state.filter("hop = 0").select("batch_id", "local_id", F.col("x").alias("out"))
 
 
 def gat_layer(edges: DataFrame, features: DataFrame, weights: list[list[float]], left: list[float], right: list[float], slope: float = 0.2) -> DataFrame:
@@ -119,7 +119,7 @@ def gat_layer(edges: DataFrame, features: DataFrame, weights: list[list[float]],
     rows = rows.join(top, "dst").withColumn("w", F.exp(F.col("e") - F.col("top")))
     width = len(weights[0])
     sums = rows.groupBy("dst").agg(F.sum("w").alias("total"), *[F.sum(F.col("w") * F.element_at("h", i + 1)).alias(f"s{i}") for i in range(width)])
-    return sums.select(F.col("dst").alias("node_id"), F.array(*[F.round(F.col(f"s{i}") / F.col("total"), 6) for i in range(width)]).alias("out"))
+    return sums.select(F.col("dst").alias("node_id"), F.array(*[F.col(f"s{i}") / F.col("total") for i in range(width)]).alias("out"))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:

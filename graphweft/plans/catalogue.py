@@ -661,7 +661,7 @@ def _(s, d):
 _PRED = "p AS (SELECT node_id, CASE WHEN x1 = 0 THEN -1 ELSE label END AS label, [x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, 0.25]::DOUBLE[] AS o FROM nodes)"
 
 
-@query("eval_loss_accuracy", f"WITH {q.NODES}, {_PRED} SELECT round(avg(ln(list_sum(list_transform(o, v -> exp(v)))) - o[label + 1]) FILTER (WHERE label >= 0), 6) AS loss, round(count(*) FILTER (WHERE list_position(o, list_max(o)) - 1 = label) / count(*), 6) AS accuracy FROM p")
+@query("eval_loss_accuracy", f"WITH {q.NODES}, {_PRED} SELECT round(avg(ln(list_sum(list_transform(o, lambda v: exp(v)))) - o[label + 1]) FILTER (WHERE label >= 0), 6) AS loss, round(count(*) FILTER (WHERE list_position(o, list_max(o)) - 1 = label) / count(*), 6) AS accuracy FROM p")
 def _(s, d):
     x0, x1 = F.col("x0"), F.col("x1")
     logits = F.array(x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, F.lit(0.25))

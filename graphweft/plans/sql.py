@@ -22,8 +22,8 @@ def _mix(x: str) -> str:
     wrap = lambda e: f"CAST(({e}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
     z = wrap(f"CAST({x} AS UHUGEINT) + {SPLITMIX_STEP}::UHUGEINT")
     for shift, factor in ((30, SPLITMIX_FIRST), (27, SPLITMIX_SECOND)):
-        z = f"list_transform([{z}], z -> {wrap(f'CAST(xor(z, z >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT')})[1]"
-    return f"list_transform([{z}], z -> xor(z, z >> 31))[1]"
+        z = f"list_transform([{z}], lambda z: {wrap(f'CAST(xor(z, z >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT')})[1]"
+    return f"list_transform([{z}], lambda z: xor(z, z >> 31))[1]"
 
 
 def coin(center: str, neighbour: str, fraction: float, seed: int) -> str:
