@@ -52,9 +52,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def code_point_classes() -> np.ndarray:
-    """LETTER, NUMBER, SPACE_ON or OTHER for each code point."""
-    first = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    """LETTER, NUMBER, SPACE_ON or OTHER for each code point.
+
+    Versions of Unicode differ in what is a letter, so the encoding library is asked which code points it takes for
+    letters and numbers; without it, Python's own tables serve.
+    """
+    table = np.full(0x110000, OTHER, np.uint8)
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype(np.uint32)
+    try:
+        import tiktoken
+    except ImportError:
+        first = {"L": LETTER, "N": NUMBER}
+        table[points] = [first.get(unicodedata.category(chr(c))[0], OTHER) for c in points]
+    else:
+        every = points.tobytes().decode("utf-32-le")
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+            probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            found = bytes(probe.encode_ordinary(every)).decode("utf-8")
+            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     table[WHITE_SPACE] = SPACE_ON
     return table
 
