@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def balanced(edges: DataFrame, nodes: DataFrame, k: int, rounds: int = 10, slack
     if k <= 1:
         raise ValueError("k must be at least 2")
     n = nodes.count()
-    room = -int(-(n / k * (1 + slack)) // 1)
+    room = math.ceil(round(n / k * (1 + slack), 6))
     edges = materialise(edges.filter("dst <> src").select("dst", "src"))
     parts = materialise(by_range(nodes, k))
     for i in range(rounds):

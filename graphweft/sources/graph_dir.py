@@ -49,7 +49,8 @@ def write_graph(edges: DataFrame, nodes: DataFrame, path: str, by_part: bool = F
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes) of a directory that was written whole."""
     for name in ("nodes", "edges"):
-        if not spark.read.format("binaryFile").load(f"{path}/{name}/_SUCCESS").limit(1).count():
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             raise ValueError(f"{path}/{name} is incomplete")
     return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
 

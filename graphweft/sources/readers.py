@@ -40,7 +40,7 @@ def read_text_edges(spark: SparkSession, path: str) -> DataFrame:
     """(u, v) of a text edge list with # comments; a line that isn't two ids in range raises an error."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
-    u, v = (F.expr(f"try_cast(element_at(__p, {i}) AS BIGINT)") for i in (1, 2))
+    u, v = (F.expr(f"try_cast(try_element_at(__p, {i}) AS BIGINT)") for i in (1, 2))
     rows = lines.withColumn("__p", parts).select("value", u.alias("u"), v.alias("v"), F.size("__p").alias("n"))
     bad = (F.col("n") != 2) | F.col("u").isNull() | F.col("v").isNull() | (F.least("u", "v") < 0) | (F.greatest("u", "v") >= ID_LIMIT)
     checked = F.when(bad, F.raise_error(F.concat(F.lit("not an edge: "), "value")).cast("bigint"))

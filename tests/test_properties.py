@@ -30,7 +30,7 @@ def test_coin_rate(spark, fraction):
 
 def test_draws_are_uniform(spark):
     batches, m, k = 2000, 40, 10
-    rows = spark.range(batches).select(F.col("id").alias("batch_id"), F.lit(0).alias("dst_local"), F.lit(7).alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("src"))
+    rows = spark.range(batches).select(F.col("id").alias("batch_id"), F.lit(0).alias("dst_local"), F.lit(7).alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")).alias("src"))
     counts = [r["count"] for r in sp.choose(rows, k, 1, 1).groupBy("src").count().collect()]
     assert len(counts) == m and max(abs(c - batches * k / m) for c in counts) <= 5 * (batches * k / m * (1 - k / m)) ** 0.5
 
