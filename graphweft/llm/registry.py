@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, substrings, toxicity, urls
+from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, substrings, toxicity, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,4 +74,4 @@ QUERIES: dict[str, Query] = {
     "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS}
