@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.llm.common import materialise
+
 #: Lines of a window.
 WINDOW = 3
 
@@ -47,6 +49,8 @@ def marks(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "line")
     # a window that a third of all rows share is reduced to one row in each task before it is shuffled
     repeated = found.groupBy("window_a", "window_b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("window_a", "window_b", "first")
+    # written first, so that the join shuffles both sides for itself alone and a skewed window can be split
+    repeated = materialise(repeated)
     later = found.join(repeated, ["window_a", "window_b"]).filter(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("marks"))
 

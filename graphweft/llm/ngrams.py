@@ -227,6 +227,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     place = F.shiftleft(F.least(F.col("pos"), F.lit(65534)).cast("long"), 47).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 47) - 1)))
     # minima and maxima are taken before the shuffle; tokens of one class alone end here
     shared = found.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(place).alias("lead")).filter("low <> high").select("token", "lead")
+    shared = materialise(shared)  # so that the join shuffles both sides for itself alone and a skewed token can be split
     rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", place == F.col("lead")).drop("lead").distinct())
     first = materialise(classes)
     star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead"), F.lit(True)), docs, first)

@@ -145,7 +145,8 @@ def kept_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_starts(docs: DataFrame, members: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(class, text) of classes that may hold repeated windows, and (class, starts) of those that do."""
     found = anchor_places(docs, window)
-    repeated = _elsewhere(found, ["anchor"], "place")
+    # written first: a join with a written table shuffles both sides for itself alone, so a skewed anchor can be split
+    repeated = materialise(_elsewhere(found, ["anchor"], "place"))
     places = found.join(repeated, "anchor").groupBy("class").agg(F.collect_set("place").alias("places"))
     first = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = places.join(first, "class")
@@ -158,7 +159,7 @@ def repeated_starts(docs: DataFrame, members: DataFrame, window: int = WINDOW) -
     texts = _key(docs).join(wanted, "doc_id").select("class", "text", "places").mapInArrow(own_text, "class long, text binary, places array<int>")
     texts = materialise(texts)
     rows = windows(texts, window)
-    again = _elsewhere(rows, ["hash_a", "hash_b"], "start")
+    again = materialise(_elsewhere(rows, ["hash_a", "hash_b"], "start"))
     starts = rows.join(again, ["hash_a", "hash_b"]).groupBy("class").agg(F.collect_set("start").alias("starts"))
     return texts, starts
 
