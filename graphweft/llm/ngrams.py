@@ -36,13 +36,17 @@ WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Counters of the sketch, 1 byte each where it is broadcast, and how many go into one row of it.
-SKETCH_BITS, BLOCK_BITS = 22, 16
+SKETCH_BITS, BLOCK_BITS = 24, 18
+#: A task counts up to this for each cell.
+MOST_IN_TASK = 255
 #: 64-bit words of the bit sets of the suffix filter.
 PARITY = 8
 #: Up to so many ids are broadcast to select texts (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 LEAST_ID = -(2**63)
 PARITIES = [f"p{i}" for i in range(PARITY)]
+#: The same over half as many parts, for rows that a join carries.
+FOLDED = [f"q{i}" for i in range(PARITY // 2)]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -85,14 +89,14 @@ def profile(docs: DataFrame) -> DataFrame:
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.uint32)
+        counts = np.zeros(size, np.uint8)
         names = ["doc_id", "n", "class", *PARITIES, "block", "part", "counts"]
         held: list[np.ndarray] = []
         waiting = 0
 
         def count() -> None:
             cells, n = np.unique(np.concatenate(held), return_counts=True)
-            counts[cells] += n.astype(np.uint32)
+            counts[cells] = np.minimum(counts[cells] + n, MOST_IN_TASK)
 
         for batch, sets in _shingles(batches):
             n, ids, bits = [], [], []
@@ -112,7 +116,7 @@ def profile(docs: DataFrame) -> DataFrame:
             count()
         blocks = [i for i in range(size // block) if counts[i * block : (i + 1) * block].any()]
         data = [zlib.compress(counts[i * block : (i + 1) * block].tobytes(), 1) for i in blocks]
-        part = int(counts.sum()) % 64
+        part = int(counts.sum(dtype=np.int64)) % 64
         yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * (3 + PARITY) + [pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
 
     return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n long, class long, {', '.join(f'{p} long' for p in PARITIES)}, block int, part int, counts binary")
@@ -122,15 +126,18 @@ def frequency_levels(profiled: DataFrame) -> np.ndarray:
     """How frequent a sketch cell is, as eighths of a power of two: 2 ** SKETCH_BITS bytes, whatever the corpus."""
     block = 1 << BLOCK_BITS
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.uint32)
-        for data in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(data), np.uint32)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+    def adder(kind: type):
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(block, np.uint32)
+            for data in rows["counts"]:
+                total += np.frombuffer(zlib.decompress(data), kind)
+            return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+        return add
 
     schema = "block int, part int, counts binary"
     rows = profiled.filter("block IS NOT NULL").select("block", "part", "counts")
-    rows = rows.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+    rows = rows.groupBy("block", "part").applyInPandas(adder(np.uint8), schema).groupBy("block").applyInPandas(adder(np.uint32), schema)
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in rows.collect():  # 2 ** (SKETCH_BITS - BLOCK_BITS) rows
         levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(row.counts), np.uint32))))
@@ -184,10 +191,10 @@ def may_link(x: str, y: str) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (most >= needed(n1, n2))
 
 
-def may_overlap(x: str, y: str) -> Column:
+def may_overlap(x: str, y: str, bits: list[str] = PARITIES) -> Column:
     """The suffix filter: bits in which two sets differ."""
     n1, n2 = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in bits), F.lit(0))
     return differ <= n1 + n2 - 2 * needed(n1, n2)
 
 
@@ -236,8 +243,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
     mixed = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
     others = grouped.filter("NOT is_lead").join(mixed.select("token", "lead_component"), "token")
-    others = materialise(others.join(first.select("class", *PARITIES), "class"))
-    rest = _pairs(others.filter("component <> lead_component"), others, (F.col("x.component") != F.col("y.component")) & may_overlap("x", "y"))
+    folded = [F.col(a).bitwiseXOR(F.col(b)).alias(q) for a, b, q in zip(PARITIES, PARITIES[PARITY // 2 :], FOLDED)]
+    others = materialise(others.join(first.select("class", *folded), "class"))
+    rest = _pairs(others.filter("component <> lead_component"), others, (F.col("x.component") != F.col("y.component")) & may_overlap("x", "y", FOLDED))
     rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
     links = star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
     final = components(links).withColumnRenamed("node", "class")
