@@ -3,11 +3,15 @@
 A bounded sample is halved again and again at the median along its widest direction until there is a list for about
 LIST_ROWS vectors; the halves' means are the lists' centroids. Each vector goes to its nearest list and, where it lies
 near a border, to up to REPLICAS - 1 further ones whose centroids aren't nearer to one already taken than to the
-vector. Centroids are searched by a graph of near neighbours held in memory. A query visits the lists whose distance
-is within a ratio of the nearest one's, and its scores are computed on the original vectors in double precision.
+vector; for this centroids are searched by a graph of near neighbours held in memory. A query is held against all
+centroids. It goes through the lists by distance until they own k + 1 distinct vectors, and visits those within a ratio
+of the distance reached there, at most PROBES more than it needs; its scores are computed on the original vectors in
+double precision. Queries that still lack hits, as when vectors share an id, go on to eight times as many vectors until
+they have k or have met all.
 
 Equal vectors are one row of the index with their KEEP smallest ids, and equal queries one query, so a vector that a
-third of all rows have costs as much as any other. Lists are dealt in blocks of bounded size.
+third of all rows have costs as much as any other. Small lists that follow each other are scored together and large ones
+in blocks, so that stored rows and queries meet in groups of bounded size.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another number of components
 than most take no part, neither as query nor as candidate; nor do rows without an id. With fewer than ``k`` candidates
@@ -35,7 +39,8 @@ REPLICAS, BORDER = 4, 1.25
 PROBES, RATIO = 48, 1.6
 #: Neighbours of a centroid in the graph, and candidates that a search holds.
 DEGREE, BEAM = 16, 64
-BLOCK_ROWS = 4096
+#: Stored rows and queries of a group that is scored at once.
+BLOCK_ROWS, QUERY_ROWS = 4096, 16_384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -125,14 +130,34 @@ def replicas(found: np.ndarray, cosine: np.ndarray, between: np.ndarray, most: i
     return take
 
 
-def probes(cosine: np.ndarray, most: int = PROBES, ratio: float = RATIO) -> np.ndarray:
-    """Which of the found lists a query visits."""
+def probes(cosine: np.ndarray, owned: np.ndarray, need: int, most: int = PROBES, ratio: float = RATIO) -> np.ndarray:
+    """Which of all lists a query visits. owned: how many vectors have each list as their nearest."""
     d = distance(cosine)
-    take = d <= ratio * d[:, :1]
-    take[:, most:] = False
+    order = np.argsort(d, axis=1, kind="stable")
+    d = np.take_along_axis(d, order, 1)
+    before = np.cumsum(owned[order], axis=1) < need
+    last = np.minimum(before.sum(1), d.shape[1] - 1)  # the place at which the lists own enough
+    near = d <= ratio * d[np.arange(len(d)), last][:, None]
+    near &= np.arange(d.shape[1]) < np.maximum(most, last + 1)[:, None]
+    take = np.zeros(d.shape, bool)
+    np.put_along_axis(take, order, near, 1)
     return take
 
 
+def bundles(sizes: np.ndarray, rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of each list: small neighbours share one, a large list has several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows))
+    group, filled = 0, 0
+    for i, size in enumerate(sizes):
+        if filled and filled + size > rows:
+            group, filled = group + 1, 0
+        first[i] = group
+        filled += size
+        if parts[i] > 1:
+            group, filled = group + parts[i], 0
+    return first, parts
+
+
 def valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """id, v, and two hashes of v that name equal vectors."""
     v = F.col(vector_column).cast("array<double>")
@@ -160,50 +185,89 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
     lists = 1 << max(0, min(MOST_LISTS, max(1, count // LIST_ROWS), max(1, len(sample) // 8)).bit_length() - 1)
     shared = spark.sparkContext.broadcast(balanced_centroids(sample, lists))  # MOST_LISTS centroids at most
 
-    def route(take):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = Graph(shared.value)
+        between = graph.centroids @ graph.centroids.T
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = unit(np.stack(part.column(2).to_numpy(zero_copy_only=False)))
+                found, cosine = graph.search(x)
+                at, column = np.nonzero(replicas(found, cosine, between))
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(at)).columns, pa.array(found[at, column].astype(np.int32)), pa.array(column == 0)], names=[*part.schema.names, "list", "own"])
+
+    lists_of = materialise(distinct.select("a", "b", "v", "ids").mapInArrow(deal, "a long, b long, v array<double>, ids array<bigint>, list int, own boolean"))
+    sizes, owned = np.zeros((2, lists), np.int64)
+    for r in lists_of.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect():  # a row a list
+        sizes[r.list], owned[r.list] = r.n, r.own
+    first, blocks = bundles(sizes)
+    places = materialise(spark.createDataFrame([(i, int(first[i]), int(blocks[i])) for i in range(lists)], "list int, first int, blocks int"))
+    stored = materialise(lists_of.join(F.broadcast(places), "list").withColumn("bundle", F.expr("int(first + pmod(b, blocks))")).select("a", "b", "v", "ids", "bundle"))
+    reached = [np.arange(first[i], first[i] + blocks[i]) for i in range(lists)]
+    known = spark.sparkContext.broadcast((owned, np.repeat(np.arange(lists), blocks), np.concatenate(reached)))
+
+    def visit(need: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            graph = Graph(shared.value)
-            between = graph.centroids @ graph.centroids.T
+            owned, of, group = known.value
             for batch in batches:
-                for i in range(0, batch.num_rows, 1024):
-                    part = batch.slice(i, 1024)
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
                     x = unit(np.stack(part.column(2).to_numpy(zero_copy_only=False)))
-                    found, cosine = graph.search(x)
-                    at, column = np.nonzero(take(found, cosine, between))
-                    yield pa.RecordBatch.from_arrays([*pa.Table.from_batches([part]).take(pa.array(at)).combine_chunks().to_batches()[0].columns, pa.array(found[at, column].astype(np.int32))] if len(at) else [*part.slice(0, 0).columns, pa.array([], pa.int32())], names=[*part.schema.names, "list"])
+                    query, list_ = np.nonzero(probes(x @ shared.value.T, owned, need)[:, of])
+                    met = np.zeros((len(x), group.max() + 1), bool)
+                    met[query, group[list_]] = True
+                    at, to = np.nonzero(met)
+                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(at)).columns, pa.array(to.astype(np.int32))], names=[*part.schema.names, "bundle"])
 
         return run
 
-    lists_of = materialise(distinct.select("a", "b", "v", "ids").mapInArrow(route(lambda f, c, m: replicas(f, c, m)), "a long, b long, v array<double>, ids array<bigint>, list int"))
-    asked = rows.filter(is_query).groupBy("a", "b").agg(F.first("v").alias("v"))
-    visits = asked.select("a", "b", "v").mapInArrow(route(lambda f, c, m: probes(c)), "a long, b long, v array<double>, list int")
-    blocks = lists_of.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # a row a list
-    blocks = materialise(blocks)
-    stored = lists_of.join(blocks, "list").withColumn("block", F.expr("int(pmod(b, blocks))")).drop("blocks")
-    visits = visits.join(blocks, "list").withColumn("block", F.expr("explode(sequence(0, blocks - 1))")).drop("blocks")
-
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "score": np.empty(0), "id": np.empty(0, np.int64)})]
         if len(left) and len(right):
+            right = right.drop_duplicates(["a", "b"])  # replicas in one group
             ids, v = right["ids"].to_list(), np.stack(right["v"].to_list())
+            flat, size = np.concatenate(ids), np.array([len(x) for x in ids])
+            start = np.cumsum(size) - size
             squares = (v * v).sum(1)
+            uses = pd.Series(flat).duplicated(keep=False).to_numpy()
+            last = min(keep + len(np.unique(np.repeat(np.arange(len(v)), size)[uses])), len(v))  # vectors that share an id give no further hit
             for i in range(0, len(left), 512):
                 part = left.iloc[i : i + 512]
                 q = np.stack(part["v"].to_list())
                 own = (q * q).sum(1)
                 rough = (q @ v.T) / np.sqrt(own[:, None] * squares)
-                last = min(keep, len(v))
                 limit = np.partition(rough, len(v) - last, axis=1)[:, len(v) - last] - 1e-9
                 at, to = np.nonzero(rough >= limit[:, None])
                 exact = (q[at] * v[to]).sum(1) / np.sqrt(own[at] * squares[to])
-                a, b = part["a"].to_numpy(), part["b"].to_numpy()
-                out += [(a[r], b[r], s, x) for r, c, s in zip(at, to, exact) for x in ids[c]]
-        return pd.DataFrame(out, columns=["a", "b", "score", "id"])
-
-    pairs = visits.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInPandas(score, "a long, b long, score double, id long")
-    pairs = pairs.groupBy("a", "b", "id").agg(F.max("score").alias("score"))  # replicas meet here
-    best = Window.partitionBy("a", "b").orderBy(F.desc("score"), "id")
-    top = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "id"))).alias("found"))
+                n = size[to]
+                hit = np.repeat(start[to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hits = pd.DataFrame({"a": np.repeat(part["a"].to_numpy()[at], n), "b": np.repeat(part["b"].to_numpy()[at], n), "score": np.repeat(exact, n), "id": flat[hit]})
+                hits = hits.sort_values(["score", "id"], ascending=[False, True]).drop_duplicates(["a", "b", "id"])
+                out.append(hits.groupby(["a", "b"], sort=False).head(keep))
+        return pd.concat(out)
+
+    def top_of(asked: DataFrame, n: int, need: int) -> DataFrame:
+        """a, b, found: the best hits among the lists that own ``need`` vectors, and near ones."""
+        parts = -(-n // QUERY_ROWS)
+        visits = asked.select("a", "b", "v").mapInArrow(visit(need), "a long, b long, v array<double>, bundle int").withColumn("part", F.pmod(F.col("b"), F.lit(parts)).cast("int"))
+        held = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = visits.groupBy("bundle", "part").cogroup(held.groupBy("bundle", "part")).applyInPandas(score, "a long, b long, score double, id long")
+        pairs = pairs.groupBy("a", "b", "id").agg(F.max("score").alias("score"))  # replicas meet here
+        best = Window.partitionBy("a", "b").orderBy(F.desc("score"), "id")
+        return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "id"))).alias("found"))
+
+    asked = materialise(rows.filter(is_query).groupBy("a", "b").agg(F.first("v").alias("v")))
+    need, left, top = keep, asked.count(), None
+    while left:
+        found = materialise(top_of(asked, left, need))
+        done = found if need >= count else found.filter(F.size("found") >= keep)
+        top = done if top is None else top.union(done)
+        if need >= count:
+            break
+        asked = materialise(asked.join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        need, left = 8 * need, asked.count()
+    if top is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     answers = rows.filter(is_query).select(F.col("id").alias("query_id"), "a", "b").join(top, ["a", "b"])
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     return answers.select("query_id", F.posexplode(others).alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.score")).alias("score"))
