@@ -5,8 +5,8 @@ LIST_ROWS vectors; the halves' means are the lists' centroids. Each vector goes
 near a border, to up to REPLICAS - 1 further ones whose centroids aren't nearer to one already taken than to the
 vector; for this centroids are searched by a graph of near neighbours held in memory. A query is held against all
 centroids. It goes through the lists by distance until they own k + 1 distinct vectors, and visits those within a ratio
-of the distance reached there, at most PROBES more than it needs; its scores are computed on the original vectors in
-double precision. Queries that still lack hits, as when vectors share an id, go on to eight times as many vectors until
+of the distance reached there, however many these are; its scores are computed on the original vectors in double
+precision. Queries that still lack hits, as when vectors share an id, go on to eight times as many vectors until
 they have k or have met all.
 
 Equal vectors are one row of the index with their KEEP smallest ids, and equal queries one query, so a vector that a
@@ -35,8 +35,8 @@ K = 5
 #: Vectors a list is planned for, bounds of the sample (rows and numbers) and of the number of lists.
 LIST_ROWS, SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS = 128, 65_536, 1 << 23, 4096
 REPLICAS, BORDER = 4, 1.25
-#: Lists that a query visits at most, and how much farther than the nearest one.
-PROBES, RATIO = 48, 1.6
+#: How much farther lists may be that a query visits.
+RATIO = 1.6
 #: Neighbours of a centroid in the graph, and candidates that a search holds.
 DEGREE, BEAM = 16, 64
 #: Stored rows and queries of a group that is scored at once.
@@ -130,7 +130,7 @@ def replicas(found: np.ndarray, cosine: np.ndarray, between: np.ndarray, most: i
     return take
 
 
-def probes(cosine: np.ndarray, owned: np.ndarray, need: int, most: int = PROBES, ratio: float = RATIO) -> np.ndarray:
+def probes(cosine: np.ndarray, owned: np.ndarray, need: int, ratio: float = RATIO) -> np.ndarray:
     """Which of all lists a query visits. owned: how many vectors have each list as their nearest."""
     d = distance(cosine)
     order = np.argsort(d, axis=1, kind="stable")
@@ -138,13 +138,12 @@ def probes(cosine: np.ndarray, owned: np.ndarray, need: int, most: int = PROBES,
     before = np.cumsum(owned[order], axis=1) < need
     last = np.minimum(before.sum(1), d.shape[1] - 1)  # the place at which the lists own enough
     near = d <= ratio * d[np.arange(len(d)), last][:, None]
-    near &= np.arange(d.shape[1]) < np.maximum(most, last + 1)[:, None]
     take = np.zeros(d.shape, bool)
     np.put_along_axis(take, order, near, 1)
     return take
 
 
-def bundles(sizes: np.ndarray, rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def bundles(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """First group and number of groups of each list: small neighbours share one, a large list has several."""
     first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows))
     group, filled = 0, 0
@@ -200,7 +199,7 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
     sizes, owned = np.zeros((2, lists), np.int64)
     for r in lists_of.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("int")).alias("own")).collect():  # a row a list
         sizes[r.list], owned[r.list] = r.n, r.own
-    first, blocks = bundles(sizes)
+    first, blocks = bundles(sizes, BLOCK_ROWS)
     places = materialise(spark.createDataFrame([(i, int(first[i]), int(blocks[i])) for i in range(lists)], "list int, first int, blocks int"))
     stored = materialise(lists_of.join(F.broadcast(places), "list").withColumn("bundle", F.expr("int(first + pmod(b, blocks))")).select("a", "b", "v", "ids", "bundle"))
     reached = [np.arange(first[i], first[i] + blocks[i]) for i in range(lists)]

@@ -1,7 +1,6 @@
 """Nearest neighbours against brute force: as many as there are, and the right ones."""
 
 import numpy as np
-import pytest
 
 from graphweft.llm import neighbours
 
@@ -45,3 +44,24 @@ def test_vectors_that_share_an_id(spark, monkeypatch):
     got = answers(spark, x, "id = 0", [0] + [1] * 30 + list(range(2, 302)))
     assert len(got[0]) == 5 and got[0][0] == 1
     assert answers(spark, x[:3], "id = 0") == brute(x[:3], [0])
+
+
+def test_recall_with_many_lists(spark, monkeypatch):
+    """48 of the 512 lists hold about a tenth of the rows. Of spread vectors nearly all lists are near enough to be
+    visited, of grouped ones few."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 8)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    r = np.random.default_rng(6)
+    spread = r.normal(size=(4500, 32))
+    groups = np.repeat(r.normal(size=(100, 32)), 45, axis=0) + 0.1 * spread
+    for x, most in ((spread, 1.0), (groups, 0.3)):
+        queries = range(0, 4500, 50)
+        got, true = answers(spark, x, "id % 50 = 0"), brute(x, queries)
+        recall = np.mean([len(set(got[q]) & set(true[q])) / 5 for q in queries])
+        u = neighbours.unit(x)
+        centroids = neighbours.balanced_centroids(u, 512)
+        owned = np.bincount((u @ centroids.T).argmax(1), minlength=512)
+        visited = neighbours.probes(u[::50] @ centroids.T, owned, 6)
+        share = (visited * owned).sum() / (len(visited) * len(x))
+        print(f"recall {recall:.4f}, share of rows in visited lists {share:.4f}")
+        assert recall >= 0.97 and share <= most
