@@ -256,9 +256,36 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")), F.lit(LEAST_ID)).alias("component_id"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs in which each row without a doc_id has a number of its own below all doc_ids (or above them, where there is
+    no room below), and the condition that a doc_id is such a number."""
+    place, task, start = "__place", "__task", "__start"
+    nulls = materialise(docs.filter("doc_id IS NULL").drop("doc_id").withColumn(place, F.monotonically_increasing_id()))
+    nulls = nulls.withColumn(task, F.shiftright(place, 33))
+    starts, total = [], 0
+    for r in nulls.groupBy(task).count().orderBy(task).collect():  # a row a task
+        starts.append((r[task], total))
+        total += r["count"]
+    if not total:
+        return docs, F.lit(False)
+    ends = docs.agg(F.min("doc_id").cast("long").alias("low"), F.max("doc_id").cast("long").alias("high")).first()
+    free = LEAST_ID + 1
+    if ends.low is not None and ends.low < free + total:
+        free = ends.high + 1
+        if free + total > 1 << 63:
+            raise ValueError("doc_ids leave no room for rows without one")
+    nulls = nulls.join(F.broadcast(docs.sparkSession.createDataFrame(starts, f"{task} long, {start} long")), task)
+    nulls = nulls.withColumn("doc_id", F.lit(free) + F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)))
+    rest = docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rest.select(*docs.columns).union(nulls.select(*docs.columns)), F.col("doc_id").between(free, free + total - 1)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that have a linked document with a smaller doc_id. Rows that repeat a doc_id count as one
-    document and stay or go together; rows without a doc_id stay."""
-    found = similarity_components(docs)
-    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    document and stay or go together; each row without a doc_id is a document with a smaller one than all others have,
+    so one such row of a group stays and the rest of the group goes."""
+    rows, added = numbered(docs)
+    found = similarity_components(rows)
+    gone = materialise(found.filter("doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct())
+    kept = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    return kept.withColumn("doc_id", F.when(~added, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
