@@ -75,7 +75,7 @@ def _searchers():
 
 def fuzzy_spans(words: list[str]) -> list[tuple[int, int, str, int]]:
     """(first word, words, label, errors) of each notice found in a sequence of words; of overlapping finds of one
-    notice the first stays."""
+    notice the best stays."""
     _, notices, automaton = _searchers()
     text = " ".join(words)
     windows: dict[int, list[list[int]]] = {}
@@ -91,13 +91,18 @@ def fuzzy_spans(words: list[str]) -> list[tuple[int, int, str, int]]:
                 spans.append([low, high])
     out = []
     for k, spans in windows.items():
-        pattern, _, label, _ = notices[k]
+        pattern, notice, label, errors = notices[k]
         for low, high in spans:
             # widened to whole words, so that the borders of the window are borders of words
             low, high = text.rfind(" ", 0, low) + 1, (text.find(" ", high) + 1 or len(text) + 1) - 1
-            for found in pattern.finditer(text, low, high):
-                a, b = found.span()
-                out.append((text.count(" ", 0, a), text.count(" ", a, b) + 1, label, sum(found.fuzzy_counts)))
+            stretches = [(low, high)]
+            while stretches:
+                low, high = stretches.pop()
+                found = pattern.search(text, low, high) if high - low >= len(notice) - errors else None
+                if found:  # the best one; others may stand before and after it
+                    a, b = found.span()
+                    out.append((text.count(" ", 0, a), text.count(" ", a, b) + 1, label, sum(found.fuzzy_counts)))
+                    stretches += [(low, a), (b, high)]
     return sorted(out)
 
 
