@@ -6,9 +6,14 @@ sets that are similar enough share one of their first few. Postings of these pre
 pass the length, positional and suffix filters, and each pair of classes is verified once on the whole sets.
 
 Groups of near copies would give a pair for each two members, so links come in two rounds: first every class of a
-shingle's postings is held against one leader of them; then, with the components these links make, classes outside
-their leader's component are held against all classes of other components. No link between components is missed:
-of two classes in different components that share a shingle, one isn't in the component of that shingle's leader.
+shingle's postings is held against one leader of them, the smallest class; then, with the components these links make,
+classes outside their leader's component are held against all classes of other components. No link between components
+is missed: of two classes in different components that share a shingle, one isn't in the component of that shingle's
+leader. A pair meets at the first prefix shingle that both have; where it is known to have met before, it is dropped.
+
+Suffix filter: the bits in which two parity sketches differ bound by how many shingles the sets differ, and so what can
+still be common after the first shared shingle, before which nothing is. A sketch has two to four bits for each shingle,
+so it tells long sets apart as well as short ones.
 
 Defined results: without words or text the set is empty and linked with nothing. Rows with equal texts are in one
 component also if they share a doc_id or have none; null doc_ids sort first and count as the smallest number. Other
@@ -25,7 +30,8 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import materialise
@@ -39,14 +45,13 @@ PERCENT = 75
 SKETCH_BITS, BLOCK_BITS = 24, 18
 #: A task counts up to this for each cell.
 MOST_IN_TASK = 255
-#: 64-bit words of the bit sets of the suffix filter.
-PARITY = 8
+#: Sketch blocks that are added up at once.
+FAN_IN = 64
+#: How many shared shingles before its place a posting tells, so that a pair isn't met again.
+BEFORE = 16
 #: Up to so many ids are broadcast to select texts (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 LEAST_ID = -(2**63)
-PARITIES = [f"p{i}" for i in range(PARITY)]
-#: The same over half as many parts, for rows that a join carries.
-FOLDED = [f"q{i}" for i in range(PARITY // 2)]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -65,11 +70,13 @@ def prefix_length(n: int) -> int:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """One bit for each of 64 * PARITY parts of the hash space: is the number of the set's elements in it odd?
+    """The suffix filter's sketch: for each of 2 to 4 parts of the hash space for a shingle, is the number of the set's
+    elements in it odd? Parts are a power of two, 64 at least; half as many are had by xor of the two halves.
 
-    Sets that differ in d elements differ in at most d bits: the suffix filter's bound on the whole set at once.
+    Sets that differ in d elements differ in at most d bits.
     """
-    bits = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    parts = 64 << max(0, (2 * len(shingles) - 1).bit_length() - 6)
+    bits = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & (parts - 1), minlength=parts) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -85,12 +92,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row for each document (doc_id, n, class) and rows of the sketch (block, counts)."""
+    """One pass over the texts: a row for each document (doc_id, n, class, bits) and rows of the sketch (block, counts)."""
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint8)
-        names = ["doc_id", "n", "class", *PARITIES, "block", "part", "counts"]
+        names = ["doc_id", "n", "class", "bits", "block", "part", "counts"]
         held: list[np.ndarray] = []
         waiting = 0
 
@@ -111,33 +118,39 @@ def profile(docs: DataFrame) -> DataFrame:
                     held.clear()
                     waiting = 0
             none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(c) for c in np.array(bits).reshape(-1, PARITY).T], none, none, pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.list_(pa.int64())), none, none, pa.nulls(len(n), pa.binary())], names=names)
         if held:
             count()
         blocks = [i for i in range(size // block) if counts[i * block : (i + 1) * block].any()]
-        data = [zlib.compress(counts[i * block : (i + 1) * block].tobytes(), 1) for i in blocks]
-        part = int(counts.sum(dtype=np.int64)) % 64
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * (3 + PARITY) + [pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
+        data = [zlib.compress(counts[i * block : (i + 1) * block].astype(np.uint32).tobytes(), 1) for i in blocks]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * 3 + [pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n long, class long, {', '.join(f'{p} long' for p in PARITIES)}, block int, part int, counts binary")
+    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, bits array<bigint>, block int, part int, counts binary")
 
 
 def frequency_levels(profiled: DataFrame) -> np.ndarray:
-    """How frequent a sketch cell is, as eighths of a power of two: 2 ** SKETCH_BITS bytes, whatever the corpus."""
-    block = 1 << BLOCK_BITS
+    """How frequent a sketch cell is, as eighths of a power of two: 2 ** SKETCH_BITS bytes, whatever the corpus.
 
-    def adder(kind: type):
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(block, np.uint32)
-            for data in rows["counts"]:
-                total += np.frombuffer(zlib.decompress(data), kind)
-            return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+    The tasks' counts are added FAN_IN at a time, so no group grows with the number of tasks.
+    """
+    block = 1 << BLOCK_BITS
 
-        return add
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(block, np.uint64)
+        for data in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(data), np.uint32)
+        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [rows["part"].iloc[0] // FAN_IN], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "block int, part int, counts binary"
     rows = profiled.filter("block IS NOT NULL").select("block", "part", "counts")
-    rows = rows.groupBy("block", "part").applyInPandas(adder(np.uint8), schema).groupBy("block").applyInPandas(adder(np.uint32), schema)
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        rows = rows.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("into")).applyInPandas(add, "block int, part int, counts binary")
+        parts = -(-parts // FAN_IN)
+        if parts == 1:
+            break
+        rows = materialise(rows)
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in rows.collect():  # 2 ** (SKETCH_BITS - BLOCK_BITS) rows
         levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(row.counts), np.uint32))))
@@ -191,10 +204,17 @@ def may_link(x: str, y: str) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (most >= needed(n1, n2))
 
 
-def may_overlap(x: str, y: str, bits: list[str] = PARITIES) -> Column:
-    """The suffix filter: bits in which two sets differ."""
+def may_overlap(x: str, y: str) -> Column:
+    """The suffix filter: bits in which two sets' sketches differ."""
     n1, n2 = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in bits), F.lit(0))
+    a, b = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+
+    def folded(bits: Column, other: Column) -> Column:
+        half = (F.size(bits) / 2).cast("int")
+        return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
+
+    # sizes within the length filter's ratio have sketches of one size or of two neighbouring ones
+    differ = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
     return differ <= n1 + n2 - 2 * needed(n1, n2)
 
 
@@ -204,7 +224,7 @@ def _pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """a, b, linked for pairs (a, b) of classes: both whole sets are compared. first: (class, doc_id, n, parities), doc_id of one
+    """a, b, linked for pairs (a, b) of classes: both whole sets are compared. first: (class, doc_id, n, bits), doc_id of one
     document."""
     x, y = first.alias("x"), first.alias("y")
     pairs = materialise(pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class")).filter(may_overlap("x", "y")).select("a", "b"))
@@ -224,36 +244,41 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     return materialise(rows.select("a", "b", (same * 100 >= (F.size("s") + F.size("t") - same) * PERCENT).alias("linked")))
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id (LEAST_ID for null), n, class and component (the smallest class reachable, null for empty sets) for each row of docs."""
     profiled = materialise(profile(docs))
     levels = frequency_levels(profiled)
-    members = profiled.filter("class IS NOT NULL").select("doc_id", "n", "class", *PARITIES)
-    classes = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PARITIES])
+    members = profiled.filter("class IS NOT NULL").select("doc_id", "n", "class")
+    classes = profiled.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     found = postings(docs, levels)
-    place = F.shiftleft(F.least(F.col("pos"), F.lit(65534)).cast("long"), 47).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 47) - 1)))
     # minima and maxima are taken before the shuffle; tokens of one class alone end here
-    shared = found.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(place).alias("lead")).filter("low <> high").select("token", "lead")
+    shared = found.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("high")).filter("lead <> high").select("token", "lead")
     shared = materialise(shared)  # so that the join shuffles both sides for itself alone and a skewed token can be split
-    rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", place == F.col("lead")).drop("lead").distinct())
+    rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", F.col("class") == F.col("lead")).drop("lead").distinct())
     first = materialise(classes)
     star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead"), F.lit(True)), docs, first)
     groups = components(star.filter("linked"))
-    grouped = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
-    mixed = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
-    others = grouped.filter("NOT is_lead").join(mixed.select("token", "lead_component"), "token")
-    folded = [F.col(a).bitwiseXOR(F.col(b)).alias(q) for a, b, q in zip(PARITIES, PARITIES[PARITY // 2 :], FOLDED)]
-    others = materialise(others.join(first.select("class", *folded), "class"))
-    rest = _pairs(others.filter("component <> lead_component"), others, (F.col("x.component") != F.col("y.component")) & may_overlap("x", "y", FOLDED))
+    mixed = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
+    # what a class shares before a token: a pair that has one of these in common has met there, or in the first round
+    earlier = Window.partitionBy("class").orderBy("pos", "token").rowsBetween(-BEFORE, -1)
+    others = materialise(labelled.join(mixed.select("token", "lead_component"), "token").withColumn("before", F.collect_list("token").over(earlier)).filter("NOT is_lead").drop("is_lead"))
+    new = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
+    # written first, so that the anti-join isn't moved below distinct, where a pair still has a row for each place it met
+    rest = materialise(_pairs(others.filter("component <> lead_component"), others, new))
     rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
-    links = star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
-    final = components(links).withColumnRenamed("node", "class")
-    per = first.select("class", "doc_id").join(final, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
-    smallest = per.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = per.join(smallest, "component").select("class", "component_id")
-    out = members.select("doc_id", "n", "class").join(named, "class", "left")
-    return out.select(F.when(F.col("doc_id") != LEAST_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")), F.lit(LEAST_ID)).alias("component_id"))
+    final = components(star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b")))
+    own = F.when(F.col("n") > 0, F.coalesce("component", "class"))
+    return members.join(final.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", own.alias("component"))
+
+
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    members = materialise(grouped(docs))
+    smallest = members.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = members.join(smallest, "component", "left")
+    return out.select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(LEAST_ID)).alias("component_id"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -280,12 +305,37 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
     return rest.select(*docs.columns).union(nulls.select(*docs.columns)), F.col("doc_id").between(free, free + total - 1)
 
 
+def _class_of(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the class of each row's text in column ``name``."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None for t in texts]
+        return pd.Series([class_id(shingle_set(w)) for w in each_words(raw, lower=True)], dtype="int64")
+
+    return docs.withColumn(name, of("text"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that have a linked document with a smaller doc_id. Rows that repeat a doc_id count as one
-    document and stay or go together; each row without a doc_id is a document with a smaller one than all others have,
-    so one such row of a group stays and the rest of the group goes."""
+    """One row of each group of linked documents: that with the smallest doc_id, the smallest class among equals. Each
+    row without a doc_id is a document with a smaller one than all others have. Rows that share a doc_id are told apart
+    by their sets, so a text doesn't go with a namesake; of rows that share both one stays."""
     rows, added = numbered(docs)
-    found = similarity_components(rows)
-    gone = materialise(found.filter("doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct())
-    kept = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    members = materialise(grouped(rows))
+    least = members.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("kept"))
+    judged = members.join(least, "component", "left").withColumn("gone", F.coalesce(F.struct("doc_id", "class") != F.col("kept"), F.lit(False)))
+    # a row for each doc_id; mixed or several: what becomes of its rows depends on their texts
+    per = judged.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.count(F.lit(1)).alias("rows"))
+    gone = materialise(per.filter("gone OR rows > 1").select("doc_id", (F.col("rows") > 1).alias("several")))
+    ids = gone.select("doc_id")
+    kept = rows.join(F.broadcast(ids) if gone.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+    several = gone.filter("several").select("doc_id")
+    if several.limit(1).count():
+        name = "class"
+        while name in rows.columns:
+            name += "_"
+        staying = judged.filter("NOT gone AND doc_id IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", F.col("class").alias(name), "n").distinct()
+        texts = _class_of(rows.join(several, "doc_id", "left_semi"), name).join(staying, ["doc_id", name])
+        # rows without words are linked with nothing, so all of them stay
+        kept = kept.select(*docs.columns).union(texts.filter("n > 0").dropDuplicates(["doc_id", name]).select(*docs.columns)).union(texts.filter("n = 0").select(*docs.columns))
     return kept.withColumn("doc_id", F.when(~added, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

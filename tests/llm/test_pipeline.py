@@ -15,7 +15,7 @@ def documents(spark):
     base, other = words(0, 120), words(1000, 90)
     near = base.replace("w40 ", "changed ")
     texts = [(1, base), (2, near), (3, base), (3, "another text with the id of one before"), (None, base), (None, base), (4, other), (5, other + " tail"), (5, other + " tail")]
-    texts += [(6, words(2000, 50)), (None, words(3000, 50)), (None, None), (None, None), (7, None), (8, ""), (-(2**63) + 1, words(4000, 60)), (9, words(4000, 60))]
+    texts += [(3, "a third text of that id, and no copy of it"), (3, None), (6, words(2000, 50)), (None, words(3000, 50)), (None, None), (None, None), (7, None), (8, ""), (-(2**63) + 1, words(4000, 60)), (9, words(4000, 60))]
     return spark.createDataFrame([(i, t, "en", "s0" if k % 3 else None, len(t or "")) for k, (i, t) in enumerate(texts)], SCHEMA)
 
 
@@ -25,7 +25,7 @@ def shingles(text):
 
 
 def brute(rows):
-    """Texts that stay, by id: of a group that with the smallest, or one without an id where there are any."""
+    """Rows that stay: of a group one with the smallest id, or one without an id where there are any; all without words."""
     sets = [shingles(r.text) for r in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
@@ -33,14 +33,13 @@ def brute(rows):
             b = sets[j]
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 group = [group[j] if g == group[i] else g for g in group]
-    gone, kept_null = set(), []
+    kept = [(r.doc_id, r.text) for r, s in zip(rows, sets) if not s]
     for g in set(group):
-        members = [rows[i] for i in range(len(rows)) if group[i] == g]
-        nulls = [r for r in members if r.doc_id is None]
-        ids = sorted({r.doc_id for r in members if r.doc_id is not None})
-        kept_null += nulls[:1]
-        gone |= set(ids if nulls else ids[1:])
-    return Counter((r.doc_id, r.text) for r in rows if r.doc_id is not None and r.doc_id not in gone) + Counter((r.doc_id, r.text) for r in kept_null)
+        members = [rows[i] for i in range(len(rows)) if group[i] == g and sets[i]]
+        if members:
+            first = min(members, key=lambda r: (r.doc_id is not None, r.doc_id))
+            kept.append((first.doc_id, first.text))
+    return Counter(kept)
 
 
 def test_one_of_each(spark):
