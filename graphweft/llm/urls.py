@@ -1,15 +1,20 @@
 """URL filters: explicit rules first, then a tree of path templates for each host.
 
 Paths are cut in segments. Segments that look generated (numbers, hexadecimal digests, long mixed names) become
-wildcards at once; level by level, a host's rare segments below a node with many children become wildcards too. Each
-template has how many of its pages are labelled and blocked, where the rules (or a table of labels) label pages. A
-branch whose blocked share isn't significantly different from its host's is merged with the host's other such
-branches. A template is rejected when its smoothed blocked share is above one half; one without labelled pages never is.
+wildcards at once, and a segment that repeats itself counts once; level by level, a node's rare segments become one
+wildcard where it has many children. Pages are labelled by the rules (or a table of labels). Branches of one node whose
+blocked share isn't significantly different from the node's are merged; those without labelled pages are among them.
+Shares are smoothed towards the level above, from the top-level domain through subdomains to the host, and from there
+along the path, so a branch without labels has what its parent has; above the top-level domain stands 0. A template is
+rejected when its smoothed blocked share is above one half.
+
+Levels go on until each page's template is told from all others of its host: what is left of a path that no other page
+shares isn't split further, so there are as many rounds as the tree has levels that branch, whatever the paths' length.
 DataFrame functions only.
 
 Defined results: a null url, or one without ://, has empty host and path, no rule and the verdict allow; so has any
-page of a template without labels. Rows are answered one by one; repeated page_ids count as several pages. An empty
-table gives an empty result. Other columns are ignored.
+page of a top-level domain without labels. Rows are answered one by one; repeated page_ids count as several pages. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,9 @@ from graphweft.llm.common import materialise
 
 #: (verdict, host, path). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Levels of the tree; what is deeper is one wildcard.
-DEPTH = 3
 #: Below a node with more children, those with fewer pages than RARE become wildcards.
 CHILDREN, RARE = 20, 5
-#: Pseudo-pages that count as allowed in each share.
+#: Pseudo-pages with the share of the level above.
 SMOOTHING = 2.0
 #: Above this many standard deviations two shares differ.
 DEVIATIONS = 1.96
@@ -57,44 +60,74 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments, generated ones as *, deeper ones as one *."""
+    """The segments, generated ones as *, without repeats of the one before."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     marked = F.transform(parts, lambda s: F.when(s.rlike(GENERATED), F.lit("*")).otherwise(s))
-    return F.concat(F.slice(marked, 1, DEPTH), F.when(F.size(marked) > DEPTH, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")))
+    # a segment joined with the one before it tells whether it repeats that
+    before = F.concat(F.array(F.lit("")), marked)
+    both = F.filter(F.arrays_zip(marked.alias("own"), F.slice(before, F.lit(1), F.size(marked)).alias("before")), lambda x: x["own"] != x["before"])
+    return F.transform(both, lambda x: x["own"])
+
+
+def smoothed(blocked: Column, labelled: Column, above: Column) -> Column:
+    return (blocked + SMOOTHING * above) / (labelled + SMOOTHING)
+
+
+def host_shares(nodes: DataFrame) -> DataFrame:
+    """host, purity from rows (host, labelled, blocked): smoothed from the top-level domain down to the host. A level
+    with the same labelled pages as the one above tells nothing new."""
+    hosts = nodes.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    names = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), -i, i), '.'))")
+    levels = hosts.select("host", "labelled", "blocked", F.posexplode(names).alias("level", "domain"))
+    domains = levels.groupBy("domain").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("k"))
+    chain = F.array_sort(F.collect_list(F.struct("level", "n", "k")))
+    start = F.struct(F.lit(0.0).alias("p"), F.lit(-1).cast("long").alias("n"))
+    down = F.aggregate(chain, start, lambda up, x: F.when(x["n"] == up["n"], up).otherwise(F.struct(smoothed(x["k"], x["n"], up["p"]).alias("p"), x["n"].alias("n"))))
+    return levels.select("host", "level", "domain").join(domains, "domain").groupBy("host").agg(down["p"].alias("purity"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, shape, template, labelled, blocked from rows (host, shape, blocked: 1, 0 or null).
+    """host, shape, template, purity from rows (host, shape, blocked: 1, 0 or null).
 
     shape (segments with what looks generated replaced) is the key; equal ones are one row from here on, so a host with
-    a third of all pages has as many rows as it has shapes.
+    a third of all pages has as many rows as it has shapes. All sums are taken before the shuffle.
     """
     nodes = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
-    nodes = materialise(nodes.withColumn("template", F.lit("")))
-    for level in range(1, DEPTH + 1):
-        nodes = nodes.withColumn("segment", F.coalesce(F.try_element_at("shape", F.lit(level)), F.lit("")))
-        children = nodes.groupBy("host", "template", "segment").agg(F.sum("pages").alias("support"))
-        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"))
-        wild = children.join(parents, ["host", "template"]).filter((F.col("n") > CHILDREN) & (F.col("support") < RARE)).select("host", "template", "segment", F.lit(True).alias("wild"))
-        nodes = nodes.join(wild, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment") == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment"))))
-        nodes = materialise(nodes.withColumn("template", F.concat("template", step)).drop("segment", "wild"))
-    return nodes
-
-
-def purities(nodes: DataFrame) -> DataFrame:
-    """host, template, labelled, blocked and the smoothed blocked share after merging similar branches."""
-    own = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    host = own.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
-    rows = own.filter("labelled > 0").join(host, "host")
-    share = F.col("host_blocked") / F.col("host_labelled")
-    apart = F.abs(F.col("blocked") - F.col("labelled") * share) > DEVIATIONS * F.sqrt(F.col("labelled") * share * (1 - share))
-    rows = rows.withColumn("alike", ~apart)
-    merged = rows.filter("alike").groupBy("host").agg(F.sum("labelled").alias("merged_labelled"), F.sum("blocked").alias("merged_blocked"))
-    rows = rows.join(merged, "host", "left")
-    n = F.when(F.col("alike"), F.col("merged_labelled")).otherwise(F.col("labelled"))
-    k = F.when(F.col("alike"), F.col("merged_blocked")).otherwise(F.col("blocked"))
-    return rows.select("host", "template", "labelled", "blocked", (k / (n + SMOOTHING)).alias("purity"))
+    nodes = materialise(nodes)
+    columns = ["host", "shape", "template", "purity"]
+    live = materialise(nodes.join(host_shares(nodes), "host").withColumn("template", F.lit("")).withColumn("rest", F.col("shape")))
+    ended = None
+    sums = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
+    node = ["host", "template"]
+    while True:
+        live = live.withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        tail = F.slice("rest", F.lit(2), F.greatest(F.size("rest"), F.lit(1)))
+        children = live.groupBy(*node, "segment").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("shapes"), F.min(tail).alias("low"), F.max(tail).alias("high"), *sums)
+        parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("shapes").alias("all_shapes"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        wild = (F.col("children") > CHILDREN) & (F.col("pages") < RARE)
+        step = F.when(F.col("segment") == "", F.lit("")).when(wild, F.lit("/*")).otherwise(F.concat(F.lit("/"), "segment"))
+        steps = children.join(parents, node).withColumn("step", step)
+        # what the least and the greatest tail of a branch begin with, all between them begin with, too: no need for a round
+        common = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        branches = steps.groupBy(*node, "step").agg(*sums, F.first("all_labelled").alias("n"), F.first("all_blocked").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+        branches = branches.withColumn("same", F.when(common == 0, F.size("low")).otherwise(common - 1).cast("int")).drop("low", "high")
+        share = F.try_divide(F.col("k"), F.col("n"))
+        apart = F.abs(F.col("blocked") - F.col("labelled") * share) > DEVIATIONS * F.sqrt(F.col("labelled") * share * (1 - share))
+        branches = branches.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumnsRenamed({"labelled": "own_labelled", "blocked": "own_blocked"})
+        alike = lambda c: F.sum(F.when(~F.col("apart"), F.col(c)))
+        merged = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), alike("own_labelled").alias("merged_labelled"), alike("own_blocked").alias("merged_blocked"))
+        told = steps.select(*node, "segment", "step", "all_shapes").join(branches.select(*node, "step", "apart", "same", "own_labelled", "own_blocked"), [*node, "step"]).join(merged, node)
+        alone, pick = F.col("all_shapes") == 1, lambda c: F.when(F.col("apart"), F.col(f"own_{c}")).otherwise(F.col(f"merged_{c}"))
+        purity = F.when(alone | (F.col("branches") == 1), F.col("purity")).otherwise(smoothed(pick("blocked"), pick("labelled"), F.col("purity")))
+        joined = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("/"), F.array_join(c, "/"))).otherwise(F.lit(""))
+        added = F.when(alone, joined(F.col("rest"))).otherwise(F.concat("step", joined(F.slice(tail, F.lit(1), F.col("same")))))
+        after = live.join(told, [*node, "segment"]).select("host", "shape", "pages", "labelled", "blocked", purity.alias("purity"), F.concat("template", added).alias("template"), F.slice(tail, F.col("same") + 1, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), (alone | (F.col("segment") == "")).alias("ended"))
+        after = materialise(after)
+        done = after.filter("ended").select(*columns)
+        ended = done if ended is None else ended.union(done)
+        live = after.filter("NOT ended").drop("ended")
+        if not live.limit(1).count():
+            return ended
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -106,8 +139,7 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None)
         known = rows.withColumn("blocked", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     else:
         known = rows.join(labels.groupBy("page_id").agg(F.max("blocked").cast("int").alias("blocked")), "page_id", "left")
-    nodes = templates(known.select("host", "shape", "blocked"))
-    judged = nodes.join(purities(nodes), ["host", "template"], "left").select("host", "shape", "template", "purity")
+    judged = templates(known.select("host", "shape", "blocked"))
     # the left side holds hot hosts' pages; both sides are shuffled by the join, which AQE splits where one is skewed
     out = rows.join(judged, ["host", "shape"], "left")
     method = F.when(F.col("purity") > THRESHOLD, "block").otherwise("allow")
