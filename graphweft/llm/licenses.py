@@ -1,9 +1,9 @@
 """License scans: fuzzy search of short notices.
 
-Base: the places where a phrase's words stand consecutively. Beyond that, each notice of a list may stand with up to
-``edits`` character errors: cut in edits + 1 parts, at least one part must stand there unchanged (pigeonhole), so one
-automaton over all parts finds every place that can match; around each such place the regex library's bounded-error
-matching verifies the notice and gives its span.
+Base: the places where a phrase's words stand consecutively. Beyond that, each notice of a list may stand with a few
+character errors: cut in one part more than errors, at least one part must stand there unchanged (pigeonhole), so one
+automaton over all parts finds every place that can match; in a window of fixed length around each such place the regex
+library's bounded-error matching verifies the notice and gives its span. Work grows with a text's length and finds.
 
 Defined results: a null or empty text has no words, places or labels and score 0. Texts are scanned whole, row by row,
 so repeated rows give repeated results; columns other than doc_id and text are ignored.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -63,7 +64,8 @@ def _searchers():
     notices = []
     for k, (notice, label) in enumerate(NOTICES.items()):
         errors = bounds(notice)
-        notices.append((regex.compile(rf"(?b)(?<!{_LETTER})(?:{notice}){{e<={errors}}}(?!{_LETTER})"), notice, label, errors))
+        # words are joined by single spaces, with one before and one after all of them
+        notices.append((regex.compile(rf"(?b)(?<= )(?:{notice}){{e<={errors}}}(?= )"), notice, label, errors))
         for offset, part in parts(notice, errors):
             seeds.setdefault(part, []).append((k, offset))
     automaton = ahocorasick.Automaton()
@@ -75,49 +77,52 @@ def _searchers():
 
 def fuzzy_spans(words: list[str]) -> list[tuple[int, int, str, int]]:
     """(first word, words, label, errors) of each notice found in a sequence of words; of overlapping finds of one
-    notice the best stays."""
+    notice the best stays, the first of equals."""
     _, notices, automaton = _searchers()
-    text = " ".join(words)
-    windows: dict[int, list[list[int]]] = {}
+    text = f" {' '.join(words)} "
+    finds: dict[int, list[tuple[int, int, int]]] = {}
     for end, (length, uses) in automaton.iter(text):
         for k, offset in uses:
-            _, notice, _, errors = notices[k]
+            pattern, notice, _, errors = notices[k]
+            known = finds.setdefault(k, [])
+            if known and known[-1][1] <= end + 1 - length and end < known[-1][2]:
+                continue  # a part of what another part has found
+            # with this part unchanged, errors move the ends by so much at most; the borders beside them are in the window
             start = end + 1 - length - offset
-            low, high = max(0, start - errors - 1), min(len(text), start + len(notice) + errors + 1)
-            spans = windows.setdefault(k, [])
-            if spans and low <= spans[-1][1]:
-                spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
-            else:
-                spans.append([low, high])
-    out = []
-    for k, spans in windows.items():
-        pattern, notice, label, errors = notices[k]
-        for low, high in spans:
-            # widened to whole words, so that the borders of the window are borders of words
-            low, high = text.rfind(" ", 0, low) + 1, (text.find(" ", high) + 1 or len(text) + 1) - 1
-            stretches = [(low, high)]
-            while stretches:
-                low, high = stretches.pop()
-                found = pattern.search(text, low, high) if high - low >= len(notice) - errors else None
-                if found:  # the best one; others may stand before and after it
-                    a, b = found.span()
-                    out.append((text.count(" ", 0, a), text.count(" ", a, b) + 1, label, sum(found.fuzzy_counts)))
-                    stretches += [(low, a), (b, high)]
-    return sorted(out)
+            found = pattern.search(text, max(0, start - errors - 1), start + len(notice) + errors + 1)
+            if found:
+                known.append((sum(found.fuzzy_counts), *found.span()))
+    spans = []
+    for k, known in finds.items():
+        kept: list[tuple[int, int]] = []
+        for errors, a, b in sorted(set(known)):
+            at = bisect_left(kept, (a, b))
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or b <= kept[at][0]):
+                kept.insert(at, (a, b))
+                spans.append((a, b, notices[k][2], errors))
+    out, at, word = [], 1, 0
+    for a, b, label, errors in sorted(spans):
+        word += text.count(" ", at, a)
+        at = a
+        out.append((word, text.count(" ", a, b) + 1, label, errors))
+    return out
 
 
 def scan(text: str | None) -> dict:
     """All of one text's finds."""
     base, _, _ = _searchers()
     text = (text or "").translate(_UPPER)
-    places = [(m.start(), label) for pattern, label in base for m in pattern.finditer(text)]
+    places = sorted((m.start(), label) for pattern, label in base for m in pattern.finditer(text))
     words = WORD.findall(text)
-    starts = sorted(sum(1 for _ in WORD.finditer(text, 0, at)) for at, _ in places)
+    first = last = None
+    if places:
+        first = len(WORD.findall(text, 0, places[0][0]))
+        last = first + len(WORD.findall(text, places[0][0], places[-1][0]))
     fuzzy = fuzzy_spans(words)
     labels = {label for _, label in places}
     own = labels | {label for *_, label, _ in fuzzy}
     best = max([1.0 if places else 0.0, *(1 - errors / (1 + max(errors, 3) * 2) for *_, errors in fuzzy)])
-    return {"n_words": len(words), "n_base": len(places), "first_word": starts[0] if starts else None, "last_word": starts[-1] if starts else None, "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(own)), "score": best, "spans": fuzzy}
+    return {"n_words": len(words), "n_base": len(places), "first_word": first, "last_word": last, "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(own)), "score": best, "spans": fuzzy}
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<word: int, words: int, label: string, errors: int>>"

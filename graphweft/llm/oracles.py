@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import mixing, substrings, urls
+from graphweft.llm import licenses, mixing, substrings, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,20 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 """
 
 
+def _stands(i: str, phrase: str) -> str:
+    return "(" + " AND ".join(f"ws[{i} + {j}] = '{word}'" for j, word in enumerate(phrase.split())) + ")"
+
+
+_PLACES = {phrase: f"list_filter(range(1, len(ws) + 1), lambda i: {_stands('i', phrase)})" for phrase in licenses.PHRASES}
+LICENSES = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+     p AS (SELECT doc_id, len(ws) AS n_words, {", ".join(f"{places} AS {licenses.PHRASES[phrase]}" for phrase, places in _PLACES.items())} FROM w),
+     q AS (SELECT *, list_sort({" || ".join(licenses.PHRASES.values())}) AS places FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, places[1] - 1 AS first_word, places[-1] - 1 AS last_word,
+       concat_ws(',', {", ".join(f"CASE WHEN len({label}) > 0 THEN '{label}' END" for label in sorted(licenses.PHRASES.values()))}) AS base_labels FROM q
+"""
+
+
 def _draw(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
@@ -48,27 +62,31 @@ _FITS = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}
 _GENERATED = "(regexp_matches(s, '^([0-9]+([.][a-z]+)?|[0-9a-fA-F-]{16,})$') OR (length(s) >= 20 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')))"
 
 
-def _levels() -> str:
-    parts, before = [], "nodes0"
-    for i in range(1, urls.DEPTH + 1):
-        parts.append(f"""seg{i} AS (SELECT *, coalesce(shape[{i}], '') AS g FROM {before}),
-     kid{i} AS (SELECT host, template, g, sum(pages) AS support, count(*) OVER (PARTITION BY host, template) AS n FROM seg{i} GROUP BY host, template, g),
-     nodes{i} AS (SELECT s.host, shape, pages, labelled, blocked, s.template || CASE WHEN s.g = '' THEN '' WHEN n > {urls.CHILDREN} AND support < {urls.RARE} THEN '/*' ELSE '/' || s.g END AS template FROM seg{i} s JOIN kid{i} k ON k.host = s.host AND k.template = s.template AND k.g = s.g)""")
-        before = f"nodes{i}"
-    return ",\n     ".join(parts)
-
+_M = urls.SMOOTHING
 
 URLS = f"""
-WITH parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
      ruled AS (SELECT *, CASE {" ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in _FITS)} END AS rule, CASE {" ".join(f"WHEN {c} THEN '{v}'" for c, _, v in _FITS)} END AS given,
                       list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN {_GENERATED} THEN '*' ELSE s END) AS marked FROM parsed),
-     shaped AS (SELECT *, CASE WHEN len(marked) > {urls.DEPTH} THEN list_append(marked[1:{urls.DEPTH}], '*') ELSE marked END AS shape FROM ruled),
-     nodes0 AS (SELECT host, shape, count(*) AS pages, count(given) AS labelled, count(*) FILTER (WHERE given = 'block') AS blocked, '' AS template FROM shaped GROUP BY 1, 2),
-     {_levels()},
-     own AS (SELECT host, template, sum(labelled) AS n, sum(blocked) AS k FROM nodes{urls.DEPTH} GROUP BY 1, 2),
-     told AS (SELECT *, sum(k) OVER (PARTITION BY host) / sum(n) OVER (PARTITION BY host) AS share FROM own WHERE n > 0),
-     alike AS (SELECT *, abs(k - n * share) <= {urls.DEVIATIONS} * sqrt(n * share * (1 - share)) AS same FROM told),
-     judged AS (SELECT host, template, CASE WHEN same THEN sum(k) FILTER (WHERE same) OVER (PARTITION BY host) ELSE k END / (CASE WHEN same THEN sum(n) FILTER (WHERE same) OVER (PARTITION BY host) ELSE n END + {urls.SMOOTHING}) AS purity FROM alike)
+     shaped AS (SELECT *, list_filter(marked, lambda s, i: i = 1 OR s <> marked[i - 1]) AS shape FROM ruled),
+     nodes AS (SELECT host, shape, count(*) AS pages, count(given) AS labelled, count(*) FILTER (WHERE given = 'block') AS blocked FROM shaped GROUP BY 1, 2),
+     names AS (SELECT host, n, k, unnest(range(1, len(parts) + 1)) AS level, array_to_string(parts[len(parts) - level + 1 :], '.') AS domain
+               FROM (SELECT host, string_split(host, '.') AS parts, sum(labelled) AS n, sum(blocked) AS k FROM nodes GROUP BY 1, 2)),
+     domains AS (SELECT domain, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM names GROUP BY 1),
+     chains AS (SELECT host, list({{'p': 0.0::DOUBLE, 'n': d.n, 'k': d.k}} ORDER BY level) AS c FROM names JOIN domains d USING (domain) GROUP BY 1),
+     hosts AS (SELECT host, list_reduce(list_prepend({{'p': 0.0::DOUBLE, 'n': -1::BIGINT, 'k': 0::BIGINT}}, c), lambda a, x: CASE WHEN x.n = a.n THEN a ELSE {{'p': (x.k + {_M} * a.p) / (x.n + {_M}), 'n': x.n, 'k': x.k}} END).p AS p FROM chains),
+     walk AS (SELECT host, shape, pages, labelled, blocked, '' AS template, shape AS rest, CAST(p AS DOUBLE) AS purity, false AS ended FROM nodes JOIN hosts USING (host)
+              UNION ALL
+              SELECT host, shape, pages, labelled, blocked, template || CASE WHEN shapes > 1 THEN step ELSE coalesce('/' || nullif(array_to_string(rest, '/'), ''), '') END, rest[2:],
+                     CAST(CASE WHEN shapes = 1 OR branches = 1 THEN purity WHEN apart THEN (k + {_M} * purity) / (n + {_M})
+                               ELSE (sum(blocked) FILTER (WHERE NOT apart) OVER node + {_M} * purity) / (sum(labelled) FILTER (WHERE NOT apart) OVER node + {_M}) END AS DOUBLE), shapes = 1 OR segment = ''
+              FROM (SELECT *, coalesce(abs(k - n * whole_k / nullif(whole_n, 0)) > {urls.DEVIATIONS} * sqrt(n * (whole_k / nullif(whole_n, 0)) * (1 - whole_k / nullif(whole_n, 0))), false) AS apart
+                    FROM (SELECT *, sum(labelled) OVER branch AS n, sum(blocked) OVER branch AS k, sum(labelled) OVER node AS whole_n, sum(blocked) OVER node AS whole_k, count(DISTINCT step) OVER node AS branches
+                          FROM (SELECT *, CASE WHEN segment = '' THEN '' WHEN children > {urls.CHILDREN} AND support < {urls.RARE} THEN '/*' ELSE '/' || segment END AS step
+                                FROM (SELECT *, sum(pages) OVER (PARTITION BY host, template, segment) AS support, count(DISTINCT segment) OVER node AS children, count(*) OVER node AS shapes
+                                      FROM (SELECT *, coalesce(rest[1], '') AS segment FROM walk WHERE NOT ended) WINDOW node AS (PARTITION BY host, template)))
+                          WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, step)))
+              WINDOW node AS (PARTITION BY host, template))
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.given, CASE WHEN purity > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM shaped s LEFT JOIN nodes{urls.DEPTH} t ON t.host = s.host AND t.shape = s.shape LEFT JOIN judged j ON j.host = t.host AND j.template = t.template
+FROM shaped s LEFT JOIN walk t ON t.ended AND t.host = s.host AND t.shape = s.shape
 """

@@ -53,6 +53,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of the license scan that SQL can express."""
+    return licenses.license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -70,8 +75,9 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_license_scan": op8_license_scan,
+    "license_base": license_base,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media_columns": op10_media_columns,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES}
