@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -47,6 +48,8 @@ SKETCH_BITS, BLOCK_BITS = 24, 18
 MOST_IN_TASK = 255
 #: Sketch blocks that are added up at once.
 FAN_IN = 64
+#: 64-bit words of the sketches that postings of the second round carry; longer ones are folded to so many.
+SMALL = 32
 #: How many shared shingles before its place a posting tells, so that a pair isn't met again.
 BEFORE = 16
 #: Up to so many ids are broadcast to select texts (8 bytes each); beyond, texts are shuffled to them.
@@ -80,6 +83,11 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A sketch of SMALL words at most."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, SMALL), axis=0) if len(bits) > SMALL else bits
+
+
 def _id(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(LEAST_ID))
 
@@ -92,12 +100,13 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row for each document (doc_id, n, class, bits) and rows of the sketch (block, counts)."""
+    """One pass over the texts: a row for each document (doc_id, n, class, bits, small) and rows of
+    the frequency sketch (block, counts)."""
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint8)
-        names = ["doc_id", "n", "class", "bits", "block", "part", "counts"]
+        names = ["doc_id", "n", "class", "bits", "small", "block", "part", "counts"]
         held: list[np.ndarray] = []
         waiting = 0
 
@@ -118,15 +127,15 @@ def profile(docs: DataFrame) -> DataFrame:
                     held.clear()
                     waiting = 0
             none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.list_(pa.int64())), none, none, pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(map(folded, bits), pa.list_(pa.int64())), none, none, pa.nulls(len(n), pa.binary())], names=names)
         if held:
             count()
         blocks = [i for i in range(size // block) if counts[i * block : (i + 1) * block].any()]
         data = [zlib.compress(counts[i * block : (i + 1) * block].astype(np.uint32).tobytes(), 1) for i in blocks]
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * 3 + [pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * 3 + [pa.nulls(len(blocks), pa.list_(pa.int64()))] * 2 + [pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, bits array<bigint>, block int, part int, counts binary")
+    return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, bits array<bigint>, small array<bigint>, block int, part int, counts binary")
 
 
 def frequency_levels(profiled: DataFrame) -> np.ndarray:
@@ -204,23 +213,24 @@ def may_link(x: str, y: str) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT) & (most >= needed(n1, n2))
 
 
-def may_overlap(x: str, y: str) -> Column:
+def may_overlap(x: str, y: str, sketch: str = "bits") -> Column:
     """The suffix filter: bits in which two sets' sketches differ."""
     n1, n2 = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
-    a, b = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    a, b = F.col(f"{x}.{sketch}"), F.col(f"{y}.{sketch}")
 
-    def folded(bits: Column, other: Column) -> Column:
+    def as_short(bits: Column, other: Column) -> Column:
         half = (F.size(bits) / 2).cast("int")
         return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
 
     # sizes within the length filter's ratio have sketches of one size or of two neighbouring ones
-    differ = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
+    differ = F.aggregate(F.zip_with(as_short(a, b), as_short(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, d: total + d)
     return differ <= n1 + n2 - 2 * needed(n1, n2)
 
 
-def _pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
     x, y = left.alias("x"), right.alias("y")
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") != F.col("y.class")) & more & may_link("x", "y")).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    conditions = [F.col("x.token") == F.col("y.token"), F.col("x.class") != F.col("y.class"), may_link("x", "y"), *more]
+    return x.join(y, reduce(lambda p, q: p & q, conditions)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -249,24 +259,24 @@ def grouped(docs: DataFrame) -> DataFrame:
     profiled = materialise(profile(docs))
     levels = frequency_levels(profiled)
     members = profiled.filter("class IS NOT NULL").select("doc_id", "n", "class")
-    classes = profiled.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = profiled.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("small").alias("small"))
     found = postings(docs, levels)
     # minima and maxima are taken before the shuffle; tokens of one class alone end here
     shared = found.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("high")).filter("lead <> high").select("token", "lead")
     shared = materialise(shared)  # so that the join shuffles both sides for itself alone and a skewed token can be split
     rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", F.col("class") == F.col("lead")).drop("lead").distinct())
     first = materialise(classes)
-    star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead"), F.lit(True)), docs, first)
+    star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead")), docs, first)
     groups = components(star.filter("linked"))
     labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
     mixed = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
     # what a class shares before a token: a pair that has one of these in common has met there, or in the first round
     earlier = Window.partitionBy("class").orderBy("pos", "token").rowsBetween(-BEFORE, -1)
-    others = materialise(labelled.join(mixed.select("token", "lead_component"), "token").withColumn("before", F.collect_list("token").over(earlier)).filter("NOT is_lead").drop("is_lead"))
+    others = materialise(labelled.join(mixed.select("token", "lead_component"), "token").withColumn("before", F.collect_list("token").over(earlier)).filter("NOT is_lead").drop("is_lead").join(first.select("class", "small"), "class"))
     new = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
     # written first, so that the anti-join isn't moved below distinct, where a pair still has a row for each place it met
-    rest = materialise(_pairs(others.filter("component <> lead_component"), others, new))
+    rest = materialise(_pairs(others.filter("component <> lead_component"), others, new, may_overlap("x", "y", "small")))
     rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
     final = components(star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b")))
     own = F.when(F.col("n") > 0, F.coalesce("component", "class"))
