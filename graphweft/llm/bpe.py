@@ -4,7 +4,9 @@ Pre-tokenisation uses no regular expression. Every code point gets a class, clas
 symbol, and each symbol is a function from the state before a code point to the state after it. Composition of such
 functions is associative: texts are cut in equal chunks, the chunks' functions are computed side by side, a doubling
 scan composes them, and a second pass over all chunks at once, each now with its known first state, marks the code
-points at which a token starts. The slices between the marks go to byte pair merging behind a bounded cache.
+points at which a token starts. Equal slices between the marks are found by hashes and checked code point by code
+point; byte pair merging behind a bounded cache sees each different one once. Ids come with the byte at which each of
+them starts; decoding puts the ids' bytes at these offsets.
 
 Defined results: a null text is an empty text; an empty text has no ids. Rows are handled one by one, so repeated
 rows and repeated doc_ids give repeated results; columns other than doc_id and text are ignored.
@@ -16,16 +18,17 @@ import base64
 import functools
 import hashlib
 import heapq
-import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import slices
+from graphweft.llm.words import mix, powers_for
 
 # Symbols: what a code point is, with what the text goes on.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE_ON, BLANK_LAST, SPACE_LAST = range(8)
@@ -37,9 +40,9 @@ FIRST = 8
 CHUNK = 256
 #: Pieces up to this many bytes are merged side by side, longer ones with a heap each.
 SHORT = 64
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 #: Texts are encoded in slices of about this many characters, new pieces merged so many at a time: bounds of memory.
-SLICE, MERGED = 1 << 18, 4096
+SLICE, MERGED = 1 << 19, 16_384
 #: White_Space of Unicode; str.isspace() has four control characters more.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -55,21 +58,15 @@ def code_point_classes() -> np.ndarray:
     """LETTER, NUMBER, SPACE_ON or OTHER for each code point.
 
     Versions of Unicode differ in what is a letter, so the encoding library is asked which code points it takes for
-    letters and numbers; without it, Python's own tables serve.
+    letters and numbers.
     """
     table = np.full(0x110000, OTHER, np.uint8)
     points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype(np.uint32)
-    try:
-        import tiktoken
-    except ImportError:
-        first = {"L": LETTER, "N": NUMBER}
-        table[points] = [first.get(unicodedata.category(chr(c))[0], OTHER) for c in points]
-    else:
-        every = points.tobytes().decode("utf-32-le")
-        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
-            probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-            found = bytes(probe.encode_ordinary(every)).decode("utf-8")
-            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+    every = points.tobytes().decode("utf-32-le")
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = bytes(probe.encode_ordinary(every)).decode("utf-8")
+        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     table[WHITE_SPACE] = SPACE_ON
     return table
 
@@ -147,28 +144,28 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     pairs = {ranks[t[:i]] << 20 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
     keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
     order = np.argsort(keys)
-    return keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+    return keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
 
 
 def merge_many(pieces: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, ...]]:
     """Ids of short pieces, side by side: in each round every piece merges its pair of lowest rank, the leftmost of equals."""
     keys, values = table
-    none = np.int64(1) << 40
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    none = np.int32((1 << 31) - 1)
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     out: list[tuple[int, ...]] = [()] * len(pieces)
 
     def lookup(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where((b >= 0) & (a >= 0) & (keys[at] == key), values[at], none)
 
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    for low, high in ((0, 4), (4, 8), (8, 16), (16, SHORT)):
+    for low, high in pairwise((0, 4, 6, 8, 10, 12, 16, 24, SHORT)):
         row = np.flatnonzero((lengths > low) & (lengths <= high))
         if not len(row):
             continue
         raw = np.frombuffer(b"".join(pieces[i].ljust(high, b"\0") for i in row), np.uint8).reshape(-1, high)
-        ids = np.where(np.arange(high) < lengths[row, None], single[raw], -1)
+        ids = np.where(np.arange(high) < lengths[row, None], single[raw], np.int32(-1))
         ids = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)
         found = lookup(ids[:, :-1], ids[:, 1:])
         columns = np.arange(high + 1)
@@ -243,42 +240,82 @@ class Pieces(dict):
             self.update(zip(short[i : i + MERGED], merge_many(new[i : i + MERGED], self.ranks, self.table)))
 
 
-def encode_texts(texts: list[str], cache: Pieces) -> Iterator[list[int]]:
-    """Ids of each text."""
+def distinct_pieces(codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pieces that differ among those that begin at ``start``, and which of them each piece is."""
+    end = np.append(start[1:], len(codes))
+    forth, back = powers_for(0x2545F4914F6CDD1D, len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * forth[: len(codes)], out=sums[1:])
+    _, first, which = np.unique((sums[end] - sums[start]) * back[start], return_index=True, return_inverse=True)
+    size, twin = end - start, first[which]
+    if (size == size[twin]).all() and (codes == codes[np.repeat(start[twin] - start, size) + np.arange(len(codes))]).all():
+        return first, which
+    seen: dict[bytes, int] = {}  # two pieces with one hash: they are told apart one by one
+    which = np.array([seen.setdefault(codes[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist())])
+    return np.unique(which, return_index=True)[1], which
+
+
+def encode_texts(texts: list[str], cache: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and where each text's ids end."""
     whole = "".join(texts)
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) for t in texts])
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     first = np.unique(np.concatenate(([0], ends))[:-1])
-    starts = token_starts(codes, first[first < len(codes)])
-    bounds = starts.tolist()
-    pieces = [whole[a:b] for a, b in zip(bounds, bounds[1:] + [len(whole)])]
+    start = token_starts(codes, first[first < len(codes)])
+    places, which = distinct_pieces(codes, start)
+    end = np.append(start[1:], len(codes))
+    pieces = [whole[a:b] for a, b in zip(start[places].tolist(), end[places].tolist())]
     cache.learn(set(pieces))
-    cut = np.searchsorted(starts, ends).tolist()
-    begin = 0
-    for end in cut:
-        yield list(chain.from_iterable(map(cache.__getitem__, pieces[begin:end])))
-        begin = end
+    found = list(map(cache.__getitem__, pieces))
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+    counts = sizes[which]
+    after = np.cumsum(counts)
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (after - counts), counts) + np.arange(after[-1])]
+    return ids, np.append(0, after)[np.searchsorted(start, ends)]
+
+
+class Tokens:
+    """The bytes of all ids, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+        self.written = [str(i) for i in range(len(tokens))]
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """At which byte of their text each of the ids starts, and where the last one ends."""
+        return np.append(0, np.cumsum(self.size[ids]))
 
-def decode_ids(ids: list[int], tokens: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """The bytes of the ids, and at which byte each of them starts."""
-    parts = list(map(tokens.__getitem__, ids))
-    return b"".join(parts), np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))[:-1]
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of the ids, put at their offsets."""
+        return self.bytes[np.repeat(self.start[ids] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])].tobytes()
 
 
-_CACHES: dict[str, tuple[Pieces, list[bytes]]] = {}
+_CACHES: dict[str, tuple[Pieces, Tokens]] = {}
 
 
-def _vocabulary(key: str, ranks: dict[bytes, int]) -> tuple[Pieces, list[bytes]]:
+def _vocabulary(key: str, ranks: dict[bytes, int]) -> tuple[Pieces, Tokens]:
     """One cache for each worker process and vocabulary."""
     if key not in _CACHES:
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        _CACHES[key] = Pieces(ranks), tokens
+        _CACHES[key] = Pieces(ranks), Tokens(ranks)
     return _CACHES[key]
 
 
+def _encoded(texts: list[str], cache: Pieces) -> Iterator[np.ndarray]:
+    ids, ends = encode_texts(texts, cache)
+    begin = 0
+    for end in ends.tolist():
+        yield ids[begin:end]
+        begin = end
+
+
 def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, ids array<int> and the byte offset of each id in the text, array<long>.
 
@@ -291,8 +328,8 @@ def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_col
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, SLICE):
-                ids = list(encode_texts(texts[a:b], cache))
-                offsets = [decode_ids(x, tokens)[1] for x in ids]
+                ids = list(_encoded(texts[a:b], cache))
+                offsets = [tokens.offsets(x)[:-1] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int64()))], names=[id_column, "ids", "offsets"])
 
     kept = docs.select(id_column, text_column)
@@ -300,37 +337,41 @@ def encode(docs: DataFrame, ranks_path: str, id_column: str = "doc_id", text_col
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_column: str = "doc_id") -> DataFrame:
-    """id and the decoded bytes."""
+    """id and the decoded bytes of rows (id, ids, offsets); a null ids is no text, b""."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _vocabulary(ranks_path, shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_ids(x or [], tokens)[0] for x in batch.column(1).to_pylist()], pa.binary())], names=[id_column, "decoded"])
-
-    kept = encoded.select(id_column, "ids")
+            found = []
+            for ids, offsets in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.array(ids or [], np.int32)
+                last = offsets[-1] + tokens.size[ids[-1]] if len(ids) else 0
+                found.append(tokens.decode(ids, np.array([*(offsets or []), last], np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[id_column, "decoded"])
+
+    kept = encoded.select(id_column, "ids", "offsets")
     return kept.mapInArrow(run, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encodes, decodes the ids, and digests both in
-    one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and their offsets: encodes, decodes the ids by
+    their offsets, and digests both in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    more = ["ids", "offsets"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, tokens = _vocabulary(ranks_path, shared.value)
-        written = [str(i) for i in range(len(tokens))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, SLICE):
-                counts, id_digests, digests, kept = [], [], [], []
-                for ids in encode_texts(texts[a:b], cache):
-                    counts.append(len(ids))
-                    if with_ids:
-                        kept.append(np.array(ids, np.int32))
-                    id_digests.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
-                    digests.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
-                columns = [batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())] + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+                found = list(_encoded(texts[a:b], cache))
+                places = [tokens.offsets(ids) for ids in found]
+                id_digests = [hashlib.sha256(",".join(map(tokens.written.__getitem__, ids.tolist())).encode()).hexdigest() for ids in found]
+                digests = [hashlib.sha256(tokens.decode(ids, at)).hexdigest() for ids, at in zip(found, places)]
+                columns = [batch.column(0)[a:b], pa.array(map(len, found), pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())]
+                if with_ids:
+                    columns += [pa.array(found, pa.list_(pa.int32())), pa.array([at[:-1] for at in places], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, offsets array<bigint>" * with_ids)

@@ -13,16 +13,17 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = bpe.load_ranks(registry.vocabulary_path())
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 CACHE = bpe.Pieces(RANKS, 5000)
-TOKENS = [b""] * len(RANKS)
-for _token, _rank in RANKS.items():
-    TOKENS[_rank] = _token
+TOKENS = bpe.Tokens(RANKS)
 
 
 def same(texts):
-    for text, ids in zip(texts, bpe.encode_texts(texts, CACHE)):
-        assert ids == LIBRARY.encode_ordinary(text)
-        raw, offsets = bpe.decode_ids(ids, TOKENS)
-        assert raw == text.encode() and len(offsets) == len(ids)
+    found, ends = bpe.encode_texts(texts, CACHE)
+    begin = 0
+    for text, end in zip(texts, ends):
+        ids, begin = found[begin:end], end
+        assert ids.tolist() == LIBRARY.encode_ordinary(text)
+        offsets = TOKENS.offsets(ids)
+        assert TOKENS.decode(ids, offsets) == text.encode() and len(offsets) == len(ids) + 1
 
 
 @settings(max_examples=150, deadline=None)
@@ -40,3 +41,23 @@ def test_every_code_point():
 def test_long_pieces():
     r = random.Random(0)
     same(["x" * 20_000, "ab" * 5000, " " * 5000 + "a", "!?" * 3000, "".join(r.choice("abcdefgh") for _ in range(20_000))])
+
+
+def test_columns(spark):
+    """Encoded in Spark, each id stands at its offset, and decoding gives the texts back; null is an empty text."""
+    texts = ["", None, "a  b\n\nc's 12é", "日本 " * 3000, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = bpe.encode(df, registry.vocabulary_path())
+    by_rank = {r: t for t, r in RANKS.items()}
+    for r in encoded.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.ids == LIBRARY.encode_ordinary(raw.decode())
+        assert all(raw[at:].startswith(by_rank[i]) for i, at in zip(r.ids, r.offsets))
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(encoded, registry.vocabulary_path()).collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    assert encoded.limit(0).count() == 0
+
+
+def test_pieces_with_one_hash(monkeypatch):
+    """Pieces are told apart where their hashes aren't."""
+    monkeypatch.setattr(bpe, "mix", lambda x: x * 0)
+    same(["one two three", "four five two"])
