@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes, filled up with bytes 255, become the samples of an 8-bit grey image 576 wide (PNG, lossless).
 Images go into tar shards in the shared folder, one member for each distinct content, named by its digest. Rows keep
-only digest, shard, offset and length; header-only range reads (33 bytes) fill the metadata columns, full reads give
-the payload back for checks and features.
+only digest, shard (its path), offset and length, by which anyone can read a payload; header-only range reads (33 bytes)
+fill the metadata columns, full reads give the payload back for checks and features. Tasks read runs of a shard in order.
 
 Defined results: a null text is an empty text, whose payload is one row of 255s. Equal texts share one member and so
 have equal values; repeated rows and repeated doc_ids are answered row by row. Columns other than doc_id and text are
@@ -32,6 +32,8 @@ WIDTH = 576
 TAIL = 32
 #: A shard is closed when it has so many bytes.
 SHARD_BYTES = 256 << 20
+#: Stored bytes that one task reads, about, and bytes of a shard that stay together in it.
+TASK_BYTES, RUN_BYTES = 16 << 20, 4 << 20
 #: Signature and IHDR of a PNG: all that a header-only read fetches.
 HEADER_BYTES = 33
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -140,7 +142,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
     files.create_dir(path, recursive=True)
     # written before it is used twice: another run of the tasks would write other shards
     written = materialise(docs.select("text").mapInArrow(write, INDEX))
-    return written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return materialise(written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*"))
 
 
 def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
@@ -164,8 +166,11 @@ def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
                 source.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
-    # few index rows stand for many bytes, so they are spread over the cores again
-    return index.select("digest", "shard", "offset", "length").repartition("digest").mapInArrow(read, schema)
+    # few index rows stand for many bytes: as many tasks as the bytes to be read ask for, each with whole runs of shards
+    total = index.agg(F.sum(F.least("length", F.lit(length or 1 << 62)))).first()[0] or 0
+    run = F.floor(F.col("offset") / RUN_BYTES)
+    dealt = index.select("digest", "shard", "offset", "length").repartition(max(1, -(-total // TASK_BYTES)), "shard", run)
+    return dealt.mapInArrow(read, schema)
 
 
 def headers(index: DataFrame, root: str) -> DataFrame:
@@ -201,9 +206,11 @@ def addresses(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", length.alias("n_bytes"), F.sha2(F.concat(raw, padding), 256).alias("digest"))
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores, reads back and joins: one row for each row of docs."""
-    root = scratch(docs.sparkSession)
+def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
+    """Stores below ``root`` (a new folder in the shared one, if none is given), reads back and joins: one row for each
+    row of docs, with the payload's address."""
+    root = root or scratch(docs.sparkSession)
     index = store(docs, root)
     found = features(index, root).join(headers(index, root), "digest")
-    return addresses(docs).join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+    placed = index.select("digest", F.concat(F.lit(f"{root}/"), "shard").alias("shard"), "offset", "length").join(found, "digest")
+    return addresses(docs).join(placed, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import tarfile
+import zlib
 from collections import Counter
 
 import pytest
@@ -139,11 +141,23 @@ def test_substrings(spark):
 
 
 def test_media(spark):
-    for r in media.media_columns(documents(spark).filter("doc_id IS NOT NULL AND doc_id <> 5")).collect():
-        raw = (texts()[r.doc_id] or "").encode()
+    """Every column, and the payload that a reader finds at the address, against plain Python."""
+    files = {}
+    for r in media.media_columns(documents(spark)).collect():
+        raw = {i: t or "" for i, t in enumerate(texts())} | {None: texts()[5]}
+        raw = raw[r.doc_id].encode() if r.doc_id != 5 or r.n_bytes == len(texts()[5]) else b"another text with the id of one before"
         full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(full), hashlib.sha256(full).hexdigest())
+        assert (r.tail_crc32, r.digest) == (zlib.crc32(full[-32:]), r.payload_sha256)
         assert r.width == 576 and r.height * 576 == len(full) and r.bits == 8
+        with open(r.shard.removeprefix("file://"), "rb") as shard:
+            shard.seek(r.offset)
+            stored = shard.read(r.length)
+        assert media.from_png(stored) == full and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        mean = sum(full) / len(full)
+        assert r.feature.startswith(f"{r.height}x576;mean={mean:.4f};") and files.setdefault(r.digest, r.feature) == r.feature
+        with tarfile.open(r.shard.removeprefix("file://")) as members:
+            assert f"{r.digest}.png" in members.getnames()
 
 
 def test_mixing(spark):
