@@ -5,11 +5,11 @@ equals), so equal windows have equal anchors at equal places; about 2 of WINDOW
 whose anchor stands at one place only can't be repeated, and only the others are hashed, compared and counted.
 
 Documents with equal word sequences are one class: when there are several, all windows of each are repeated, and only
-one of them goes on, as evidence against other documents.
+one of them goes on, as evidence against other documents. A class is named by 96 bits of the SHA-256 of its words.
 
 Defined results: null and empty texts have 0 words and nothing is removed; so do texts shorter than a window. Rows are
-occurrences by themselves, so a repeated row repeats all its windows. Words are told apart by 128 bits of hashes of
-their windows. Other columns are ignored.
+occurrences by themselves, so a repeated row repeats all its windows; null and repeated doc_ids are no key. Windows are
+told apart by two 64-bit hashes over 64-bit hashes of their words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,33 +60,40 @@ def digest_words(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
-def class_id(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "big", signed=True)
+#: Columns that name a class.
+CLASS = ["class", "more"]
+
+
+def class_id(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:12], "big", signed=True)
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    """doc_id, text and text_hash: the last two tell rows apart that share a doc_id or have none."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, whole (digest of all words) and class: one row for each row of docs."""
+    """doc_id, text_hash, n_words, whole (digest of all words) and class: one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [t.split() for t in batch.column(1).to_pylist()]
             digests = list(map(digest_words, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(map(class_id, digests), pa.int64())], names=["doc_id", "n_words", "whole", "class"])
+            names = list(zip(*map(class_id, digests))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, words), pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(names[0], pa.int64()), pa.array(names[1], pa.int32())], names=["doc_id", "text_hash", "n_words", "whole", *CLASS])
 
-    return _key(docs).mapInArrow(run, "doc_id long, n_words long, whole string, class long")
+    return _key(docs).mapInArrow(run, "doc_id long, text_hash long, n_words long, whole string, class long, more int")
 
 
 def anchor_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """anchor, class, place of all anchors; a task emits a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            texts, out = batch.column(1).to_pylist(), ([], [], [])
+            texts, out = batch.column(1).to_pylist(), ([], [], [], [])
             for text, words in zip(texts, each_words(texts)):
                 if len(words) < window or (own := class_id(digest_words(text.split()))) in seen:
                     continue
@@ -94,19 +101,21 @@ def anchor_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 runs, places = anchors(words, window)
                 places = np.unique(places)
                 out[0].append(runs[places].view(np.int64))
-                out[1].append(np.full(len(places), own, np.int64))
-                out[2].append(places.astype(np.int32))
+                out[1].append(np.full(len(places), own[0], np.int64))
+                out[2].append(np.full(len(places), own[1], np.int32))
+                out[3].append(places.astype(np.int32))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "class", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", *CLASS, "place"])
 
-    return _key(docs).mapInArrow(run, "anchor long, class long, place int")
+    return _key(docs).mapInArrow(run, "anchor long, class long, more int, place int")
 
 
 def _elsewhere(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
     """The keys that stand at two places or more; minima and maxima are taken before the shuffle, so that a passage
     which a third of all rows hold is one row for each task."""
-    ends = [f(c).alias(f"{n}_{c}") for c in ("class", place) for n, f in (("low", F.min), ("high", F.max))]
-    return rows.groupBy(*keys).agg(*ends).filter(f"low_class <> high_class OR low_{place} <> high_{place}").select(*keys)
+    columns = [*CLASS, place]
+    ends = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]
+    return rows.groupBy(*keys).agg(*ends).filter(" OR ".join(f"low_{c} <> high_{c}" for c in columns)).select(*keys)
 
 
 def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -114,13 +123,13 @@ def windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for own, more, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 words = next(each_words([text]))
                 starts = np.flatnonzero(np.isin(anchors(words, window)[1], places))
                 a, b = (h[starts].view(np.int64) for h in window_hashes(words, window))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), own, np.int64)), pa.array(starts.astype(np.int32)), pa.array(a), pa.array(b)], names=["class", "start", "hash_a", "hash_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), own, np.int64)), pa.array(np.full(len(starts), more, np.int32)), pa.array(starts.astype(np.int32)), pa.array(a), pa.array(b)], names=[*CLASS, "start", "hash_a", "hash_b"])
 
-    return texts.select("class", "text", "places").mapInArrow(run, "class long, start int, hash_a long, hash_b long")
+    return texts.select(*CLASS, "text", "places").mapInArrow(run, "class long, more int, start int, hash_a long, hash_b long")
 
 
 def kept_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,7 +138,7 @@ def kept_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split()
                 edges = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edges, starts, 1)
@@ -137,9 +146,9 @@ def kept_words(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                 left = np.flatnonzero(np.cumsum(edges)[:-1] == 0).tolist()
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join([words[i] for i in left]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["class", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[*CLASS, "n_removed", "kept"])
 
-    return texts.select("class", "text", "starts").mapInArrow(run, "class long, n_removed long, kept binary")
+    return texts.select(*CLASS, "text", "starts").mapInArrow(run, "class long, more int, n_removed long, kept binary")
 
 
 def repeated_starts(docs: DataFrame, members: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -147,20 +156,25 @@ def repeated_starts(docs: DataFrame, members: DataFrame, window: int = WINDOW) -
     found = anchor_places(docs, window)
     # written first: a join with a written table shuffles both sides for itself alone, so a skewed anchor can be split
     repeated = materialise(_elsewhere(found, ["anchor"], "place"))
-    places = found.join(repeated, "anchor").groupBy("class").agg(F.collect_set("place").alias("places"))
-    first = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = places.join(first, "class")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a doc_id that several texts share names them all; only the class's own one stays
-            same = [class_id(digest_words(t.split())) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    texts = _key(docs).join(wanted, "doc_id").select("class", "text", "places").mapInArrow(own_text, "class long, text binary, places array<int>")
+    places = found.join(repeated, "anchor").groupBy(*CLASS).agg(F.collect_set("place").alias("places"))
+    first = members.groupBy(*CLASS).agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select(*CLASS, "at.*")
+    wanted = places.join(first, CLASS)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:  # rows that are equal in doc_id and text meet in one task
+            new = []
+            for own, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                new.append(own not in seen and class_id(digest_words(text.split())) == own)
+                if new[-1]:
+                    seen.add(own)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    texts = _key(docs).join(wanted, ["doc_id", "text_hash"]).select(*CLASS, "text", "places").mapInArrow(once, "class long, more int, text binary, places array<int>")
     texts = materialise(texts)
     rows = windows(texts, window)
     again = materialise(_elsewhere(rows, ["hash_a", "hash_b"], "start"))
-    starts = rows.join(again, ["hash_a", "hash_b"]).groupBy("class").agg(F.collect_set("start").alias("starts"))
+    starts = rows.join(again, ["hash_a", "hash_b"]).groupBy(*CLASS).agg(F.collect_set("start").alias("starts"))
     return texts, starts
 
 
@@ -168,10 +182,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row for each row of docs."""
     members = materialise(profile(docs))
     texts, starts = repeated_starts(docs, members, window)
-    kept = kept_words(texts.dropDuplicates(["class"]).join(starts, "class"), window).select("class", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    copies = members.filter(F.col("n_words") >= window).groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    found = copies.join(kept, "class", "left").filter("copies > 1 OR n_removed IS NOT NULL")
-    out = members.join(found, "class", "left")
+    kept = kept_words(texts.dropDuplicates(CLASS).join(starts, CLASS), window).select(*CLASS, "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    copies = members.filter(F.col("n_words") >= window).groupBy(*CLASS).agg(F.count(F.lit(1)).alias("copies"))
+    found = copies.join(kept, CLASS, "left").filter("copies > 1 OR n_removed IS NOT NULL")
+    out = members.join(found, CLASS, "left")
     several = F.coalesce(F.col("copies"), F.lit(0)) > 1
     n_removed = F.when(several, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     digest = F.when(several, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole"))
