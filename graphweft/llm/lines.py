@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import materialise
+from graphweft.llm.common import materialise, unused
 
 #: Lines of a window.
 WINDOW = 3
@@ -29,7 +29,7 @@ _WINDOWS = f"""element_at(transform(array(transform(split(text, '\\n', -1), l ->
         {" OR ".join(f"h[i + {j}].seen" for j in range(WINDOW))} AS seen)))), 1)"""
 
 # Marks sorted by line: the lines kept lie before the first mark, from a mark's end to the next mark, and after the last.
-_KEPT = f"""element_at(transform(array(struct(split(text, '\\n', -1) AS l, __marks AS m)), x -> if(x.m IS NULL, x.l, flatten(transform(sequence(0, size(x.m)), i ->
+_KEPT = f"""element_at(transform(array(struct(split(text, '\\n', -1) AS l, {{marks}} AS m)), x -> if(x.m IS NULL, x.l, flatten(transform(sequence(0, size(x.m)), i ->
     slice(x.l, 1 + if(i = 0, 0, x.m[i - 1] + {WINDOW}), greatest(0, if(i = size(x.m), size(x.l), x.m[if(i = size(x.m), 0, i)]) - if(i = 0, 0, x.m[i - 1] + {WINDOW}))))))), 1)"""
 
 
@@ -57,12 +57,13 @@ def marks(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the lines kept, and n_lines and n_removed (instead of columns with these names)."""
-    found = marks(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("marks").alias("__marks"))
-    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__hash")), "left").withColumn("__kept", F.expr(_KEPT))
+    own_id, own_hash, own_marks, own_kept = unused(docs, "own_id", "own_hash", "own_marks", "own_kept")
+    found = marks(docs).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("marks").alias(own_marks))
+    rows = docs.join(found, docs.doc_id.eqNullSafe(F.col(own_id)) & (_text_hash() == F.col(own_hash)), "left").withColumn(own_kept, F.expr(_KEPT.format(marks=own_marks)))
     there = F.col("text").isNotNull()
     n = F.when(there, F.size(F.split("text", "\n", -1))).otherwise(0)
-    left = F.when(there, F.size("__kept")).otherwise(0)
-    text = F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    left = F.when(there, F.size(own_kept)).otherwise(0)
+    text = F.when(F.col(own_marks).isNull(), F.col("text")).otherwise(F.array_join(own_kept, "\n"))
     same = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return rows.select(*same, n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import WORD, materialise, n_words
+from graphweft.llm.common import WORD, materialise, n_words, unused
 
 #: Weights of the sources in the order of their names, again and again.
 WEIGHTS = (5, 2, 1)
@@ -104,18 +104,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands in it once for each time it is taken whole, and once
     more, cut to the taken words with single spaces, where a stretch ends inside it."""
+    own_id, own_size, own_at, own_copy = unused(docs, "own_id", "own_size", "own_at", "own_copy")
     place = F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken")
-    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.min(place).alias("__at"))
-    rows = docs.join(mixed, docs.doc_id.eqNullSafe(F.col("__id")) & (n_words(F.col("text")) == F.col("__size")))
-    rounds, size = F.col("__at.rounds"), F.col("__size")
-    rest = F.col("__at.taken") - rounds * size
+    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias(own_id), F.col("size").alias(own_size)).agg(F.min(place).alias(own_at))
+    rows = docs.join(mixed, docs.doc_id.eqNullSafe(F.col(own_id)) & (n_words(F.col("text")) == F.col(own_size)))
+    at, size = F.col(own_at), F.col(own_size)
+    rounds = at["rounds"]
+    rest = at["taken"] - rounds * size
     copies = rounds + F.when(rest > 0, 1).otherwise(0)
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    rows = rows.withColumn(own_copy, F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    low, high, end, cell = F.col("__at.offset"), F.col("__at.offset") + size, F.col("__at.first") + F.col("__at.stretch"), F.col("__at.cell_size")
+    low, high, end, cell = at["offset"], at["offset"] + size, at["first"] + at["stretch"], at["cell_size"]
     piece = lambda a, b: F.slice(words, (F.greatest(a - low, F.lit(0)) + 1).cast("int"), F.greatest(F.least(b, high) - F.greatest(a, low), F.lit(0)).cast("int"))
-    cut = F.array_join(F.concat(piece(F.lit(0), F.greatest(end - cell, F.lit(0))), piece(F.col("__at.first"), F.least(end, cell))), " ")
-    partly = (F.col("__copy") > rounds) & (rest < size)
+    cut = F.array_join(F.concat(piece(F.lit(0), F.greatest(end - cell, F.lit(0))), piece(at["first"], F.least(end, cell))), " ")
+    partly = (F.col(own_copy) > rounds) & (rest < size)
     text = F.when(partly, cut).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:

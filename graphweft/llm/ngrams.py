@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import materialise
+from graphweft.llm.common import materialise, unused
 from graphweft.llm.components import components
 from graphweft.llm.words import each_words, grams, mix
 
@@ -294,7 +294,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
     """docs in which each row without a doc_id has a number of its own below all doc_ids (or above them, where there is
     no room below), and the condition that a doc_id is such a number."""
-    place, task, start = "__place", "__task", "__start"
+    place, task, start = unused(docs, "place", "task", "start")
     nulls = materialise(docs.filter("doc_id IS NULL").drop("doc_id").withColumn(place, F.monotonically_increasing_id()))
     nulls = nulls.withColumn(task, F.shiftright(place, 33))
     starts, total = [], 0
@@ -341,11 +341,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = rows.join(F.broadcast(ids) if gone.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
     several = gone.filter("several").select("doc_id")
     if several.limit(1).count():
-        name = "class"
-        while name in rows.columns:
-            name += "_"
-        staying = judged.filter("NOT gone AND doc_id IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", F.col("class").alias(name), "n").distinct()
+        name, size = unused(rows, "class", "n")
+        staying = judged.filter("NOT gone AND doc_id IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", F.col("class").alias(name), F.col("n").alias(size)).distinct()
         texts = _class_of(rows.join(several, "doc_id", "left_semi"), name).join(staying, ["doc_id", name])
         # rows without words are linked with nothing, so all of them stay
-        kept = kept.select(*docs.columns).union(texts.filter("n > 0").dropDuplicates(["doc_id", name]).select(*docs.columns)).union(texts.filter("n = 0").select(*docs.columns))
+        kept = kept.select(*docs.columns).union(texts.filter(F.col(size) > 0).dropDuplicates(["doc_id", name]).select(*docs.columns)).union(texts.filter(F.col(size) == 0).select(*docs.columns))
     return kept.withColumn("doc_id", F.when(~added, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

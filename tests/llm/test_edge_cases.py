@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter
 
@@ -36,7 +37,7 @@ def documents(spark):
 
 def clashing(df):
     """Columns with the names of results and of what operators use inside."""
-    for c in ("marks", "size", "taken", "n", "class", "token", "score", "hash", "n_removed", "place", "digest", "host", "id", "list"):
+    for c in ("marks", "size", "taken", "n", "class", "token", "score", "hash", "n_removed", "place", "digest", "host", "id", "list", "own_id", "own_hash", "own_marks", "own_kept", "own_size", "own_at", "own_copy", "task", "start", "__id", "__hash", "__marks", "__size", "__at"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -57,6 +58,7 @@ OPERATORS = {
     "ngrams": ngrams.similarity_components,
     "mixing": mixing.mix,
     "mixed": mixing.mixed_documents,
+    "one_of_each": ngrams.one_of_each,
     "substrings": substrings.dedup_substrings,
     "toxicity": run_toxicity,
     "licenses": licenses.license_scan,
@@ -69,7 +71,7 @@ OPERATORS = {
 def test_documents(spark, name):
     df = documents(spark)
     rows = OPERATORS[name](df).collect()
-    if name != "mixed":
+    if name not in ("mixed", "one_of_each"):
         assert len(rows) == df.count()
     more = OPERATORS[name](clashing(df))
     assert more.count() == len(rows)
@@ -127,8 +129,7 @@ def test_near_copies_beyond_the_leader(spark):
     assert [r.component_id for r in ngrams.similarity_components(df).orderBy("doc_id").collect()] == expected
 
 
-def test_substrings(spark):
-    df = documents(spark)
+def spans_removed(df):
     rows = df.collect()
     words = [WORD.findall(r.text or "") for r in rows]
     seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -140,6 +141,24 @@ def test_substrings(spark):
     assert by_id(substrings.dedup_substrings(df).collect()) == by_id(expected)
 
 
+def test_substrings(spark):
+    spans_removed(documents(spark))
+
+
+def test_substrings_of_rows_that_share_an_id_or_have_none(spark):
+    """2,000 texts without a doc_id and 500 of one doc_id, a few of which share passages or are copies."""
+    r = random.Random(9)
+    passages = [" ".join(f"p{r.randrange(10**6)}" for _ in range(50)) for _ in range(5)]
+    rows = []
+    for i in range(2500):
+        text = " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+        rows.append((None if i < 2000 else 7, text + (" " + passages[i % 5] if i % 100 < 3 else "")))
+    rows += rows[:10] + [(7, rows[0][1])] * 2
+    begin = time.perf_counter()
+    spans_removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert time.perf_counter() - begin < 120
+
+
 def test_media(spark):
     """Every column, and the payload that a reader finds at the address, against plain Python."""
     files = {}
