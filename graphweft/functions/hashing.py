@@ -1,17 +1,17 @@
-"""Seeded random numbers as pure column expressions: no rand(), no Python worker.
-
-Products of 64-bit numbers are put together from 32-bit halves, since Spark's own multiplication raises an error where
-it would wrap around.
+"""Seeded random numbers. Keys and uniform draws are built-in expressions. 64-bit numbers that wrap around, which Spark's own
+arithmetic refuses to make, are numpy's, a batch of rows at a time.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
-LOW = 0xFFFFFFFF
 # Fixed values of the splitmix64 finaliser and of the coin's two inputs.
 SPLITMIX_STEP = 0x9E3779B97F4A7C15
 SPLITMIX_FIRST = 0xBF58476D1CE4E5B9
@@ -26,50 +26,27 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(LOW))
-
-
-def _high(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 32)
-
-
-def _bound(x: Column, f) -> Column:
-    """f(x) with x computed once: a variable stands for it, so nested expressions grow by sums instead of products."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
-def add64(x: Column, y: Column) -> Column:
-    """x + y modulo 2 ** 64. y is small or bound; x is used twice."""
-    low = _low(x) + _low(y)
-    high = _high(x) + _high(y) + _high(low)
-    return F.shiftleft(high, 32).bitwiseOR(_low(low))
+def _bits(x: pa.Array) -> np.ndarray:
+    """The bits of longs; null has those of 0."""
+    return x.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def _times(x: Column, constant: int) -> Column:
-    c_low, c_high = F.lit(constant & LOW), F.lit(constant >> 32)
-    low, high = _low(x), _high(x)
-    half = lambda a, c: _low(a.bitwiseAND(F.lit(0xFFFF)) * c + F.shiftleft(_low(F.shiftrightunsigned(a, 16) * c), 16))
-    # the low half's product: two parts of 48 bits, the upper one 16 bits further up
-    down, up = low.bitwiseAND(F.lit(0xFFFF)) * c_low, F.shiftrightunsigned(low, 16) * c_low
-    carry = F.shiftrightunsigned(down, 16) + up  # bits 16 and higher
-    top = _low(_low(F.shiftrightunsigned(carry, 16)) + half(high, c_low) + half(low, c_high))
-    return F.shiftleft(top, 32).bitwiseOR(F.shiftleft(carry.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(down.bitwiseAND(F.lit(0xFFFF)))
-
-
-def multiply64(x: Column, constant: int) -> Column:
-    """x * constant modulo 2 ** 64."""
-    return _bound(x, lambda v: _times(v, constant))
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 of 64-bit numbers."""
+    z = x + np.uint64(SPLITMIX_STEP)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(SPLITMIX_FIRST)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(SPLITMIX_SECOND)
+    return z ^ (z >> np.uint64(31))
 
 
 def mix64(x: Column) -> Column:
     """splitmix64 of a long's bits."""
-    z = _bound(x, lambda v: add64(v, F.lit(signed(SPLITMIX_STEP))))
-    z = _bound(z, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 30)))
-    z = multiply64(z, SPLITMIX_FIRST)
-    z = _bound(z, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 27)))
-    z = multiply64(z, SPLITMIX_SECOND)
-    return _bound(z, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
+
+    @F.arrow_udf(LongType())
+    def mixed(x: pa.Array) -> pa.Array:
+        return pa.array(mix(_bits(x)).view(np.int64))
+
+    return mixed(x.cast("long"))
 
 
 def mix64_int(x: int) -> int:
@@ -87,10 +64,14 @@ def coin(center: Column, neighbour: Column, fraction: float, seed: int) -> Colum
         raise ValueError("fraction must be 1 at most")
     if fraction <= 0:
         return F.lit(False)
-    salt = F.lit(signed(mix64_int((seed & (1 << 64) - 1) ^ COIN_SALT)))
-    inner = mix64(multiply64(center.cast("long"), COIN_NODE).bitwiseXOR(neighbour.cast("long")))
-    drawn = mix64(inner.bitwiseXOR(salt))
-    return F.shiftrightunsigned(drawn, 11) < F.lit(int(fraction * (1 << 53)))
+    salt, limit = np.uint64(mix64_int((seed & (1 << 64) - 1) ^ COIN_SALT)), np.uint64(int(fraction * (1 << 53)))
+
+    @F.arrow_udf(BooleanType())
+    def drawn(center: pa.Array, neighbour: pa.Array) -> pa.Array:
+        inner = mix((_bits(center) * np.uint64(COIN_NODE)) ^ _bits(neighbour))
+        return pa.array((mix(inner ^ salt) >> np.uint64(11)) < limit)
+
+    return drawn(center.cast("long"), neighbour.cast("long"))
 
 
 def key(*parts: Column | str | int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import key
@@ -84,7 +84,9 @@ def balanced(edges: DataFrame, nodes: DataFrame, k: int, rounds: int = 10, slack
         tally = own.groupBy("dst", "part_id").agg(F.max(F.struct("votes", (-F.col("near_part")).alias("minus"))).alias("best"), F.coalesce(F.max(F.when(F.col("near_part") == F.col("part_id"), F.col("votes"))), F.lit(0)).alias("now"))
         movers = tally.select(F.col("dst").alias("node_id"), "part_id", (-F.col("best.minus")).alias("target"), (F.col("best.votes") - F.col("now")).alias("gain")).filter("target <> part_id AND gain > 0").filter(F.pmod(key(seed, i // 2, F.col("node_id")), F.lit(2)) == i % 2)
         free = sizes(parts).select(F.col("part_id").alias("target"), (F.lit(room) - F.col("size")).alias("free"))
-        rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("gain"), key(seed, i, F.col("node_id")), "node_id"))
-        admitted = movers.withColumn("place", rank).join(free, "target").filter("place <= free").select("node_id", "target")
+        # places in the order of all movers less the first of their target: no part's movers are sorted by one task
+        ranked = materialise(global_rank(movers.withColumn("k", key(seed, i, F.col("node_id"))), [F.col("target"), F.desc("gain"), F.col("k"), F.col("node_id")], "at"))
+        first = ranked.groupBy("target").agg(F.min("at").alias("first")).join(free, "target")
+        admitted = ranked.join(first, "target").filter("at - first < free").select("node_id", "target")
         parts = materialise(parts.join(admitted, "node_id", "left").select("node_id", F.coalesce("target", "part_id").alias("part_id")))
     return parts

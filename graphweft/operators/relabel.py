@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.functions.ranking import global_rank
+from graphweft.functions.ranking import global_rank, running_total
 
 
 def compact_ids(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -41,7 +41,6 @@ def part_bounds(idmap: DataFrame) -> DataFrame:
     """For each number 0 .. greatest cluster + 1 how many nodes lie in smaller clusters, empty clusters included."""
     sizes = idmap.groupBy("part_id").agg(F.count(F.lit(1)).alias("n"))
     last = sizes.agg((F.max("part_id") + 1).alias("last"))
-    slots = last.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot"))
-    # one row a cluster on either side
-    rows = slots.join(sizes, sizes.part_id < slots.slot, "left")
-    return rows.groupBy("slot").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("bound"))
+    slots = last.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot"))  # one row a cluster
+    rows = slots.join(sizes.withColumnRenamed("part_id", "slot"), "slot", "left")
+    return running_total(rows, [F.col("slot")], "n", "bound").select("slot", "bound")

@@ -39,6 +39,8 @@ def _flag(rows: DataFrame, ids: DataFrame | None, column: str, name: str) -> tup
 
 def alive(pairs: DataFrame, filters: Filters) -> DataFrame:
     """Rows (dst, src, ...) whose neighbour src may be chosen for dst."""
+    if filters.part is None and (filters.keep_inter is not None or filters.protect_inter is not None or filters.ranges is not None or filters.coin_fraction > 0):
+        raise ValueError("kept or protected nodes, ranges and coins are about edges between partitions: they need part")
     columns = pairs.columns
     if filters.mask is not None:
         pairs = pairs.join(filters.mask.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
@@ -65,7 +67,8 @@ def choose(candidates: DataFrame, fanout: int, seed: int, hop: int, replace: boo
     """Of each (batch_id, dst_local) all candidates if fanout < 0 or there are no more; else fanout of them.
 
     Without replacement: the lowest drawn keys. The rank filter lets Spark drop most rows before the shuffle. With
-    replacement: fanout independent draws from the sorted candidates.
+    replacement: fanout independent draws among the numbers of the sorted candidates, joined with them, so no hub's
+    neighbours are held as one list.
     """
     if fanout < 0:
         return candidates
@@ -74,25 +77,30 @@ def choose(candidates: DataFrame, fanout: int, seed: int, hop: int, replace: boo
     if not replace:
         place = F.row_number().over(Window.partitionBy(*group).orderBy(key(*draw), "src"))
         return candidates.withColumn("__place", place).filter(F.col("__place") <= fanout).drop("__place")
-    lists = candidates.groupBy(*group).agg(F.sort_array(F.collect_list("src")).alias("all"))
-    one = lambda i: F.element_at("all", (F.pmod(key(seed, hop, F.col("batch_id"), F.col("dst"), i), F.size("all")) + 1).cast("int"))
-    picked = F.when(F.size("all") <= fanout, F.col("all")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(max(1, fanout))), one))
-    return lists.select(*group, F.explode(picked if fanout else F.array().cast("array<bigint>")).alias("src"))
+    numbered = candidates.select(*group, "src", F.row_number().over(Window.partitionBy(*group).orderBy("src")).alias("at"))
+    sizes = candidates.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    draws = sizes.filter(F.col("size") > fanout).select(*group, "size", F.explode(F.sequence(F.lit(1), F.lit(fanout)) if fanout else F.array().cast("array<int>")).alias("i"))
+    drawn = draws.select(*group, (F.pmod(key(seed, hop, F.col("batch_id"), F.col("dst"), F.col("i")), F.col("size")) + 1).cast("int").alias("at"))
+    few = numbered.join(sizes.filter(F.col("size") <= fanout), group).select(*group, "src")
+    return few.union(drawn.join(numbered, [*group, "at"]).select(*group, "src"))
 
 
 def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int], filters: Filters | None = None, seed: int = 0, replace: bool = False) -> tuple[DataFrame, DataFrame]:
     """(batch_id, local_id, node_id, hop) and (batch_id, src_local, dst_local, hop) from seeds (batch_id, node_id, pos).
 
-    A seed that a batch has twice counts once. hop of an edge is the hop in which it was drawn, from 1.
+    A seed that a batch has twice counts once. hop of an edge is the hop in which it was drawn, from 1. Edges are written
+    once, sorted by dst; a hop whose frontier is small enough for Spark's own limit is broadcast to them, so that they
+    aren't shuffled, and for a larger one both sides are.
     """
     filters = filters or Filters()
+    edges = materialise(edges.select("dst", "src").repartitionByRange("dst").sortWithinPartitions("dst"))
     first = seeds.groupBy("batch_id", "node_id").agg(F.min("pos").alias("pos"))
     numbered = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos", "node_id")) - 1
     visited = materialise(first.select("batch_id", numbered.cast("long").alias("local_id"), "node_id", F.lit(0).alias("hop")))
     picked = None
     for hop, fanout in enumerate(fanouts, 1):
         frontier = visited.filter(F.col("hop") == hop - 1).select("batch_id", F.col("local_id").alias("dst_local"), F.col("node_id").alias("dst"))
-        chosen = materialise(choose(alive(frontier.join(edges.select("dst", "src"), "dst"), filters), fanout, seed, hop, replace).select("batch_id", "dst_local", "src"))
+        chosen = materialise(choose(alive(frontier.join(edges, "dst"), filters), fanout, seed, hop, replace).select("batch_id", "dst_local", "src"))
         new = chosen.join(visited.select("batch_id", F.col("node_id").alias("src")), ["batch_id", "src"], "left_anti").groupBy("batch_id", "src").agg(F.min("dst_local").alias("parent"))
         size = visited.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
         place = F.row_number().over(Window.partitionBy("batch_id").orderBy("parent", "src")) - 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import key
 from graphweft.functions.ranking import global_rank
+from graphweft.functions.storage import materialise
 
 #: Chunks that a group of the grouped order takes from, at least 1: GROUP_SEEDS // chunk.
 GROUP_SEEDS = 1024
@@ -19,9 +20,12 @@ def global_order(seeds: DataFrame, seed: int, epoch: int) -> DataFrame:
 
 
 def _chunked(seeds: DataFrame, seed: int, epoch: int, chunk: int, shuffle: bool) -> DataFrame:
+    """Seeds with their place and chunk in their cluster: places of the whole order less the cluster's first, so that a
+    large cluster is ranked by many tasks."""
     order = [key(seed, epoch, "n", F.col("node_id"))] if shuffle else []
-    place = F.row_number().over(Window.partitionBy("part_id").orderBy(*order, "node_id")) - 1
-    rows = seeds.select("node_id", "part_id").withColumn("place", place)
+    ranked = materialise(global_rank(seeds.select("node_id", "part_id"), [F.col("part_id"), *order, F.col("node_id")], "at"))
+    first = ranked.groupBy("part_id").agg(F.min("at").alias("first"))
+    rows = ranked.join(first, "part_id").select("node_id", "part_id", (F.col("at") - F.col("first")).alias("place"))
     return rows.withColumn("chunk", F.floor(F.col("place") / chunk).cast("int"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import key
 from graphweft.functions.ranking import global_rank
+from graphweft.functions.storage import materialise
 from graphweft.operators.canonical import degrees
 
 
@@ -21,15 +22,28 @@ def quotas(nodes: DataFrame, target: Column, factor: float) -> DataFrame:
     return per.withColumn("quota", F.greatest(F.lit(1), F.col("targets") + F.rint(share * F.col("others"))).cast("long"))
 
 
+#: Parts of the range of keys that are counted before any row is ranked.
+KEY_BITS, BUCKET_BITS = 32, 12
+
+
 def subsample(nodes: DataFrame, target: Column, factor: float, seed: int, epoch: int) -> DataFrame:
     """epoch, node_id, new_id, part_id: all targets, and of each part's other nodes the lowest keys up to its quota.
 
-    The rank filter lets Spark keep only the first rows of each part before its shuffle.
+    Keys are counted by ranges, before the shuffle, which tells the range in which a part's quota ends: nodes below it are
+    taken as they are, and only that range's nodes, one of 2 ** BUCKET_BITS, are ranked. No part is sorted as a whole.
     """
-    first = Window.partitionBy("part_id").orderBy((~target).cast("int"), key(seed + epoch, F.col("node_id")), "node_id")
-    ranked = nodes.select("node_id", "part_id", F.row_number().over(first).alias("place"))
-    kept = ranked.join(quotas(nodes, target, factor).select("part_id", "quota"), "part_id").filter("place <= quota").select("node_id", "part_id")
-    return _numbered(kept, epoch)
+    drawn = nodes.select("node_id", "part_id", target.alias("target"), key(seed + epoch, F.col("node_id")).alias("k"))
+    drawn = drawn.withColumn("bucket", F.shiftright("k", KEY_BITS - BUCKET_BITS))
+    wanted = quotas(nodes, target, factor).select("part_id", (F.col("quota") - F.col("targets")).alias("wanted"))
+    counts = drawn.filter("NOT target").groupBy("part_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.withColumn("before", before).join(wanted, "part_id").filter("before < wanted")
+    ends = ranges.groupBy("part_id").agg(F.max(F.struct("bucket", (F.col("wanted") - F.col("before")).alias("left"))).alias("end"))
+    # a row a part; a part that wants none has no end
+    rows = materialise(drawn.join(ends, "part_id", "left").filter("target OR bucket <= end.bucket").select("node_id", "part_id", "target", "k", (~F.col("target") & (F.col("bucket") == F.col("end.bucket"))).alias("last"), F.col("end.left").alias("left")))
+    place = F.row_number().over(Window.partitionBy("part_id").orderBy("k", "node_id"))
+    edge = rows.filter("last").withColumn("place", place).filter("place <= left")
+    return _numbered(rows.filter("last IS NULL OR NOT last").select("node_id", "part_id").union(edge.select("node_id", "part_id")), epoch)
 
 
 def full(nodes: DataFrame) -> DataFrame:
