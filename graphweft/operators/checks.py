@@ -7,11 +7,46 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.functions.ranking import global_rank
+
 
 def _count(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("violations"))
 
 
+def require(found: DataFrame) -> None:
+    """Raises an error that names the checks with violations."""
+    bad = [f"{r.check}: {r.violations}" for r in found.filter("violations > 0").collect()]  # a row a check
+    if bad:
+        raise ValueError(", ".join(bad))
+
+
+def counts_equal(tables: dict[str, DataFrame], expected: int) -> DataFrame:
+    """By how many rows each table misses the number that all should have."""
+    return reduce(DataFrame.union, [t.agg(F.lit(name).alias("check"), F.abs(F.count(F.lit(1)) - expected).alias("violations")) for name, t in tables.items()])
+
+
+def offset_checks(offsets: DataFrame, edges: DataFrame, self_loops: bool = True) -> DataFrame:
+    """Of (node_id, degree, start): the first start is 0, each next one follows the last entry, the total is the number
+    of edges, and with self-loops no node is without an entry."""
+    # starts in the order of ids, so a start is right if the entries before it sum up to it: compared with a join of neighbours
+    ranked = global_rank(offsets.select("node_id", "degree", "start"), [F.col("node_id")], "at")
+    following = ranked.select((F.col("at") - 1).alias("at"), F.col("start").alias("next"))
+    steps = ranked.join(following, "at", "left")
+    total = offsets.agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("total")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+    found = [_count(ranked.filter("at = 0 AND start <> 0"), "first_offset"), _count(steps.filter("next <> start + degree"), "monotone"), _count(total.filter("total <> edges"), "total")]
+    if self_loops:
+        found.append(_count(offsets.filter("degree < 1"), "empty_column"))
+    return reduce(DataFrame.union, found)
+
+
+def partition_cover(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes without a part, parts of what is no node, nodes with several parts, negative or missing numbers."""
+    own = parts.select("node_id")
+    ids = nodes.select("node_id")
+    return reduce(DataFrame.union, [_count(ids.join(own, "node_id", "left_anti"), "no_part"), _count(own.join(ids, "node_id", "left_anti"), "no_node"), _count(own.groupBy("node_id").count().filter("count > 1"), "several_parts"), _count(parts.filter("part_id IS NULL OR part_id < 0"), "part_range")])
+
+
 def asymmetric(edges: DataFrame) -> DataFrame:
     """Edges without their reverse."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.functions.storage import scratch
 from graphweft.operators import cache, canonical, checks, gnn, metrics, partition, relabel, seeds, subsample
 from graphweft.operators import sampler as sp
 from graphweft.plans import sql as q
 from graphweft.sources import fixtures as fx
-from graphweft.sources import graph_dir, synthetic
+from graphweft.sources import graph_dir, readers, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,16 @@ def _target(_: DataFrame | None = None):
     return F.col("split") == "train"
 
 
+def _text_edges(s: SparkSession, d: str) -> str:
+    """A folder with a text edge list: a file of comments and files of lines."""
+    path, edges = scratch(s), fx.sparse_edges(s, d)
+    ids = edges.select(F.explode(F.array("u", "v")).alias("id")).agg(F.count_distinct("id").alias("n"))
+    head = ids.crossJoin(edges.agg(F.count(F.lit(1)).alias("e"))).select(F.concat(F.lit("# Nodes: "), "n", F.lit(" Edges: "), "e").alias("value"))  # one row each
+    head.write.text(path)
+    edges.select(F.concat_ws("\t", "u", "v").alias("value")).write.mode("append").text(path)
+    return path
+
+
 # Canonical graphs and degrees
 
 
@@ -148,10 +159,9 @@ def _(s, d):
     return canonical.drop_self_loops(canonical.canonical(fx.raw_edges(s, d), None, False))
 
 
-@query("isolated_nodes", f"WITH {q.RAW}, {q.NODES} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM raw WHERE dst <> src) AND node_id NOT IN (SELECT src FROM raw WHERE dst <> src)")
+@query("isolated_nodes", f"WITH {q.RAW}, {q.MORE} SELECT node_id FROM more WHERE node_id NOT IN (SELECT dst FROM raw WHERE dst <> src) AND node_id NOT IN (SELECT src FROM raw WHERE dst <> src)")
 def _(s, d):
-    raw, nodes = _raw(s, d)
-    return canonical.isolated(canonical.canonical(raw, None, False), nodes)
+    return canonical.isolated(canonical.canonical(fx.raw_edges(s, d), None, False), fx.nodes_and_more(s, d))
 
 
 # Checks
@@ -402,9 +412,14 @@ def _(s, d):
     return seeds.cluster_order(_train(fx.nodes(s, d)), SEED, EPOCH, CHUNK, "grouped")
 
 
-@query("seed_order_hybrid", f"WITH {q.NODES}, {_GLOBAL} SELECT node_id, pos FROM ord")
+_LATER = f"ord AS (SELECT node_id, row_number() OVER (ORDER BY {q.key(SEED, EPOCH + 1, 'node_id')}, node_id) - 1 AS pos FROM nodes WHERE split = 'train')"
+
+
+@query("seed_order_hybrid", f"SELECT {EPOCH} AS epoch, node_id, pos FROM (WITH {q.NODES}, {_CLUSTER} SELECT node_id, pos FROM ord) UNION ALL SELECT {EPOCH + 1}, node_id, pos FROM (WITH {q.NODES}, {_LATER} SELECT node_id, pos FROM ord)")
 def _(s, d):
-    return seeds.seed_order(_train(fx.nodes(s, d)), SEED, EPOCH, EPOCH + 1, "cluster", CHUNK, hybrid_last=1)
+    """An epoch on either side of the switch to the global order."""
+    rows = [seeds.seed_order(_train(fx.nodes(s, d)), SEED, epoch, EPOCH + 2, "cluster", CHUNK, hybrid_last=1).select(F.lit(epoch).alias("epoch"), "node_id", "pos") for epoch in (EPOCH, EPOCH + 1)]
+    return rows[0].union(rows[1])
 
 
 _BATCHES = f"seeds AS (SELECT pos // {BATCH} AS batch_id, node_id, pos FROM ord)"
@@ -669,6 +684,113 @@ def _(s, d):
     return gnn.evaluate(rows)
 
 
+# Sources and sinks: written from the given tables to the shared folder and read back
+
+
+@query("source_edge_csv", f"WITH {q.SPARSE} SELECT u, v FROM sparse")
+def _(s, d):
+    path = scratch(s)
+    fx.sparse_edges(s, d).write.option("compression", "gzip").csv(path)
+    return readers.compact_range(readers.read_edge_csv(s, path))
+
+
+@query("source_text_edges", f"WITH {q.SPARSE} SELECT u, v FROM sparse")
+def _(s, d):
+    return readers.read_text_edges(s, _text_edges(s, d))
+
+
+@query("source_text_header", f"WITH {q.SPARSE} SELECT (SELECT count(*) FROM (SELECT u FROM sparse UNION SELECT v FROM sparse)) AS nodes, count(*) AS edges FROM sparse")
+def _(s, d):
+    return readers.text_edges_header(s, _text_edges(s, d))
+
+
+@query("header_checks", f"WITH {q.SPARSE} SELECT 'header_nodes' AS check, CAST((SELECT count(*) FROM (SELECT u FROM sparse UNION SELECT v FROM sparse)) <> (SELECT count(*) FROM sparse) AS BIGINT) AS violations UNION ALL SELECT 'header_edges', 0")
+def _(s, d):
+    """A file whose header is right about its edges, and whose number of nodes is taken for that of its edges."""
+    path = _text_edges(s, d)
+    told = readers.text_edges_header(s, path).first()
+    return checks.header_counts(readers.read_text_edges(s, path), told.edges, told.edges)
+
+
+@query("source_feature_csv", f"WITH {q.NODES} SELECT CAST(CAST(x0 / 7.0::DOUBLE AS FLOAT) AS DOUBLE) AS f0, CAST(x1 AS DOUBLE) AS f1 FROM nodes")
+def _(s, d):
+    path = scratch(s)
+    fx.nodes(s, d).select((F.col("x0") / 7).cast("float"), F.col("x1").cast("float")).write.csv(path)
+    rows = readers.read_feature_csv(s, path, 2)
+    return rows.select(*[F.element_at("features", i + 1).cast("double").alias(f"f{i}") for i in range(2)])
+
+
+@query("sink_splits", f"WITH {q.NODES} SELECT node_id, split FROM nodes WHERE split <> 'none'")
+def _(s, d):
+    path = scratch(s)
+    graph_dir.write_splits(fx.nodes(s, d), path)
+    return graph_dir.read_splits(s, path)
+
+
+@query("sink_labels", f"WITH {q.NODES} SELECT node_id, CASE WHEN x1 = 0 THEN -1 ELSE label END AS label FROM nodes")
+def _(s, d):
+    """NaN labels become -1."""
+    path = scratch(s)
+    nodes = fx.nodes(s, d).withColumn("label", F.when(F.col("x1") == 0, float("nan")).otherwise(F.col("label")))
+    graph_dir.write_labels(nodes, path)
+    return graph_dir.read_table(s, path, "node_id long, label int")
+
+
+@query("sink_graph_edges", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    path = scratch(s)
+    graph_dir.write_graph(canonical.canonical(raw, nodes), nodes, path)
+    return graph_dir.read_graph(s, path)[0]
+
+
+@query("sink_graph_nodes", f"WITH {q.NODES} SELECT * FROM nodes")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    path = scratch(s)
+    graph_dir.write_graph(edges, nodes, path, by_part=True)
+    return graph_dir.read_graph(s, path)[1]
+
+
+@query("sink_intra", f"WITH {q.COP}, {q.NODES}, {_INTRA} SELECT dst, src FROM intra")
+def _(s, d):
+    path = scratch(s)
+    graph_dir.write_intra(*_cop(s, d), path)
+    return graph_dir.read_intra(s, path)
+
+
+@query("sink_descriptor", f"WITH {q.COP} SELECT 'edges' AS entry, CAST(count(*) AS VARCHAR) AS value FROM cop UNION ALL SELECT 'mode', 'recursive' UNION ALL SELECT 'nodes', CAST((SELECT count(*) FROM part) AS VARCHAR) UNION ALL SELECT 'parts', CAST((SELECT count(DISTINCT p_brand) FROM part) AS VARCHAR)")
+def _(s, d):
+    """Counts from the writer, and entries of the partition merged into them."""
+    edges, nodes = _cop(s, d)
+    path = scratch(s)
+    graph_dir.write_graph(edges, nodes, path)
+    merged = graph_dir.write_descriptor(s, path, parts=partition.summary(nodes).first().clusters, mode="recursive")
+    return s.createDataFrame([(k, str(v)) for k, v in merged.items()], "entry string, value string")
+
+
+@query("count_checks", f"WITH {q.NODES} SELECT 'labels' AS check, count(*) FILTER (WHERE x1 = 0) AS violations FROM nodes UNION ALL SELECT 'features', 0")
+def _(s, d):
+    nodes = fx.nodes(s, d)
+    return checks.counts_equal({"labels": nodes.filter("x1 <> 0"), "features": nodes}, nodes.count())
+
+
+@query("offset_checks", f"WITH {q.RAW}, {q.NODES}, {q.CANON}, g AS (SELECT n.node_id, count(c.src) FILTER (WHERE c.src <> c.dst) AS degree FROM nodes n LEFT JOIN canon c ON c.dst = n.node_id GROUP BY 1) SELECT unnest(['first_offset', 'monotone']) AS check, 0 AS violations UNION ALL SELECT 'total', 1 UNION ALL SELECT 'empty_column', count(*) FROM g WHERE degree < 1")
+def _(s, d):
+    """Offsets of the graph without self-loops, held against the edges with them."""
+    raw, nodes = _raw(s, d)
+    edges = canonical.canonical(raw, nodes)
+    return checks.offset_checks(canonical.offsets(canonical.drop_self_loops(edges), nodes), edges)
+
+
+@query("partition_cover", f"WITH {q.NODES} SELECT 'no_part' AS check, count(*) FILTER (WHERE x1 = 0) AS violations FROM nodes UNION ALL SELECT 'no_node', (SELECT count(*) FROM supplier) UNION ALL SELECT 'several_parts', 0 UNION ALL SELECT 'part_range', (SELECT count(*) FROM supplier)")
+def _(s, d):
+    """Parts of some of the nodes, and negative ones of what is no node."""
+    nodes = fx.nodes(s, d)
+    more = fx.table(s, d, "supplier").select((-1 - F.col("s_suppkey")).alias("node_id"), F.lit(-1).alias("part_id"))
+    return checks.partition_cover(nodes.filter("x1 <> 0").select("node_id", "part_id").union(more), nodes)
+
+
 # Metrics of runs; the runs are groups of orders
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from graphweft.functions.hashing import COIN_NODE, COIN_SALT, SPLITMIX_FIRST, SPLITMIX_SECOND, SPLITMIX_STEP, mix64_int
 
-RAW = "raw AS (SELECT src, dst FROM (SELECT l_partkey AS src, (l_orderkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem) WHERE src % 97 <> 0 AND dst % 97 <> 0)"
+RAW = "raw AS (SELECT l_partkey AS src, (l_orderkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS dst FROM lineitem)"
+MORE = "more AS (SELECT p_partkey AS node_id FROM part UNION ALL SELECT -1 - s_suppkey FROM supplier)"
 NODES = "nodes AS (SELECT p_partkey AS node_id, CAST(substr(p_brand, 7) AS INT) AS part_id, CAST(p_size % 6 AS INT) AS label, CASE p_partkey % 10 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' WHEN 2 THEN 'test' ELSE 'none' END AS split, p_size AS x0, CAST(p_partkey % 13 AS INT) AS x1 FROM part)"
 CANON = "canon AS (SELECT dst, src FROM raw UNION SELECT src, dst FROM raw UNION SELECT node_id, node_id FROM nodes)"
 COP = "cop AS (SELECT DISTINCT a.l_partkey AS dst, b.l_partkey AS src FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"

@@ -11,10 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed multigraph over parts, with repeats, self-loops and isolated nodes (multiples of 97)."""
+    """Directed multigraph over parts, with repeats and self-loops: an edge for each row of lineitem."""
     n = table(spark, sf_dir, "part").count()
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("dst"))
-    return edges.filter("src % 97 <> 0 AND dst % 97 <> 0")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % n).alias("dst"))
+
+
+def nodes_and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id of all parts, and of suppliers as further nodes, which no edge has."""
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"))
+    return ids.union(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("node_id")))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

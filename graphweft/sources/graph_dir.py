@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.operators import checks, partition
+from graphweft.operators.checks import require
+from graphweft.sources import readers
+
 DESCRIPTOR = "conf.json"
 #: Data sets by name: where their graph and partition lie below a root.
 DATASETS = {"products": ("products_csc", "products_part"), "papers": ("papers_csc", "papers_part"), "friendster": ("friendster_csc", "friendster_part")}
@@ -39,20 +44,69 @@ def read_descriptor(spark: SparkSession, path: str) -> dict:
 
 
 def write_graph(edges: DataFrame, nodes: DataFrame, path: str, by_part: bool = False) -> None:
-    """Edges by centre and nodes by id, or both clustered by partition so that readers of one prune the others. An
-    existing directory is refused; readers trust a table only with its _SUCCESS file."""
+    """Edges by centre and nodes by id, or both clustered by partition so that readers of one prune the others, and their
+    numbers in the descriptor. An existing directory is refused; readers trust a table only with its _SUCCESS file."""
+    spark = edges.sparkSession
     out = nodes.repartitionByRange("part_id", "node_id").sortWithinPartitions("part_id", "node_id") if by_part else nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
     out.write.mode("errorifexists").parquet(f"{path}/nodes")
     edges.select("dst", "src").repartitionByRange("dst").sortWithinPartitions("dst", "src").write.mode("errorifexists").parquet(f"{path}/edges")
+    counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in ("nodes", "edges")}  # of the files' footers
+    write_descriptor(spark, path, **counts)
+
+
+def _complete(spark: SparkSession, path: str) -> None:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        raise ValueError(f"{path} is incomplete")
+
+
+def read_table(spark: SparkSession, path: str, schema: str, rows: int | None = None) -> DataFrame:
+    """A table that was written whole, has these columns with these types (others may follow), and so many rows."""
+    _complete(spark, path)
+    found = spark.read.parquet(path)
+    for field in spark.createDataFrame([], schema).schema:
+        if field.name not in found.columns or found.schema[field.name].dataType != field.dataType:
+            raise ValueError(f"{path} has no column {field.name} of type {field.dataType.simpleString()}")
+    if rows is not None and (n := found.count()) != rows:
+        raise ValueError(f"{path} has {n} rows instead of {rows}")
+    return found
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of a directory that was written whole."""
-    for name in ("nodes", "edges"):
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
-        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            raise ValueError(f"{path}/{name} is incomplete")
-    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
+    """(edges, nodes) of a directory that was written whole and holds as many rows as its descriptor says."""
+    counts = read_descriptor(spark, path)
+    return read_table(spark, f"{path}/edges", "dst long, src long", counts.get("edges")), read_table(spark, f"{path}/nodes", "node_id long", counts.get("nodes"))
+
+
+def write_intra(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """The edges inside partitions of a symmetric graph; one that isn't is refused."""
+    require(checks.asymmetric(edges).agg(F.lit("asymmetric").alias("check"), F.count(F.lit(1)).alias("violations")))
+    partition.intra_edges(edges, nodes).repartitionByRange("dst").sortWithinPartitions("dst", "src").write.mode("errorifexists").parquet(path)
+
+
+def read_intra(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, "dst long, src long")
+
+
+def write_ids(ids: DataFrame, path: str, column: str = "node_id") -> None:
+    """One integer a row, headerless and in order, as read_split_csv reads it."""
+    ids.select(column).repartitionByRange(column).sortWithinPartitions(column).write.mode("errorifexists").option("compression", "gzip").csv(path)
+
+
+def write_splits(nodes: DataFrame, path: str) -> None:
+    """Ids of the train, valid and test nodes, a folder each."""
+    for split in ("train", "valid", "test"):
+        write_ids(nodes.filter(F.col("split") == split), f"{path}/{split}")
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, split."""
+    return reduce(DataFrame.union, [readers.read_split_csv(spark, f"{path}/{split}").withColumn("split", F.lit(split)) for split in ("train", "valid", "test")])
+
+
+def write_labels(nodes: DataFrame, path: str, label: str = "label") -> None:
+    """node_id and label, missing ones as -1, by id."""
+    readers.labels_with_sentinel(nodes.select("node_id", F.col(label).alias("label"))).repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode("errorifexists").parquet(path)
 
 
 def partition_summary(nodes: DataFrame) -> DataFrame:

@@ -128,10 +128,45 @@ def read_npz(spark: SparkSession, path: str, member: str) -> DataFrame:
     return spark.read.format("npz_member").option("member", member).load(path)
 
 
+class _PairsReader(_NpzReader):
+    """A partition reads the same range of columns of both rows."""
+
+    def partitions(self) -> list[Rows]:
+        _, dtype, shape = self._open()
+        if len(shape) != 2 or shape[0] != 2 or dtype.kind not in "iu":
+            raise ValueError(f"{self.member} holds {dtype} of shape {shape}, not two rows of integers")
+        return [Rows(i, min(i + ROWS_A_PARTITION, shape[1])) for i in range(0, shape[1], ROWS_A_PARTITION)] or [Rows(0, 0)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        ends = []
+        for row in range(2):
+            found, dtype, shape = self._open()
+            found.seek((row * shape[1] + partition.first) * dtype.itemsize, io.SEEK_CUR)
+            raw = found.read((partition.last - partition.first) * dtype.itemsize)
+            if len(raw) != (partition.last - partition.first) * dtype.itemsize:
+                raise ValueError(f"{self.path} ends early")
+            ends.append(pa.array(np.frombuffer(raw, dtype).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+
+
+class NpzPairsDataSource(DataSource):
+    """spark.read.format("npz_pairs").option("member", ...).load(path): (u, v) of a [2, edges] array of integers."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npz_pairs"
+
+    def schema(self) -> str:
+        return "u BIGINT, v BIGINT"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _PairsReader(self.options)
+
+
 def npz_edges(spark: SparkSession, path: str, member: str = "edge_index") -> DataFrame:
-    """(u, v) of a [2, edges] array kept as two rows: each row is exploded with positions and joined on them."""
-    rows = read_npz(spark, path, member).select("row", F.posexplode("values").alias("at", "id"))
-    return rows.groupBy("at").agg(F.max(F.when(F.col("row") == 0, F.col("id"))).cast("long").alias("u"), F.max(F.when(F.col("row") == 1, F.col("id"))).cast("long").alias("v")).select("u", "v")
+    """(u, v) of a [2, edges] array, by ranges of its columns, without a shuffle."""
+    spark.dataSource.register(NpzPairsDataSource)
+    return spark.read.format("npz_pairs").option("member", member).load(path)
 
 
 def labels_with_sentinel(labels: DataFrame, column: str = "label") -> DataFrame:
