@@ -6,9 +6,11 @@ that follows is an expression over arrays, so forward passes stay out of Python.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import uniform
@@ -107,19 +109,22 @@ def gcn_forward(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFr
     return state.filter("hop = 0").select("batch_id", "local_id", F.col("x").alias("out"))
 
 
-def gat_layer(edges: DataFrame, features: DataFrame, weights: list[list[float]], left: list[float], right: list[float], slope: float = 0.2) -> DataFrame:
-    """node_id, out of one attention head: softmax over each node's neighbours of leaky_relu(left . h_src + right . h_dst)."""
-    h = features.select("node_id", dense(F.col("x"), weights).alias("h"))
-    score = lambda v: sum((F.element_at("h", i + 1) * F.lit(c) for i, c in enumerate(v)), F.lit(0.0))
-    s = h.select(F.col("node_id").alias("src"), "h", score(left).alias("a"))
-    d = h.select(F.col("node_id").alias("dst"), score(right).alias("b"))
-    rows = edges.join(s, "src").join(d, "dst").withColumn("e", F.col("a") + F.col("b"))
-    rows = rows.withColumn("e", F.when(F.col("e") > 0, F.col("e")).otherwise(slope * F.col("e")))
-    top = rows.groupBy("dst").agg(F.max("e").alias("top"))
-    rows = rows.join(top, "dst").withColumn("w", F.exp(F.col("e") - F.col("top")))
-    width = len(weights[0])
-    sums = rows.groupBy("dst").agg(F.sum("w").alias("total"), *[F.sum(F.col("w") * F.element_at("h", i + 1)).alias(f"s{i}") for i in range(width)])
-    return sums.select(F.col("dst").alias("node_id"), F.array(*[F.col(f"s{i}") / F.col("total") for i in range(width)]).alias("out"))
+def gat_layer(edges: DataFrame, features: DataFrame, heads: list[tuple[list[list[float]], list[float], list[float]]], slope: float = 0.2) -> DataFrame:
+    """node_id, out of attention heads (weights, left, right) side by side: softmax over each node's neighbours of
+    leaky_relu(left . h_src + right . h_dst). All heads go through the same joins and sums."""
+    n = range(len(heads))
+    score = lambda h, v: sum((F.element_at(h, i + 1) * F.lit(c) for i, c in enumerate(v)), F.lit(0.0))
+    h = features.select("node_id", *[dense(F.col("x"), heads[k][0]).alias(f"h{k}") for k in n])
+    s = h.select(F.col("node_id").alias("src"), *[f"h{k}" for k in n], *[score(f"h{k}", heads[k][1]).alias(f"a{k}") for k in n])
+    d = h.select(F.col("node_id").alias("dst"), *[score(f"h{k}", heads[k][2]).alias(f"b{k}") for k in n])
+    rows = edges.join(s, "src").join(d, "dst")
+    leaky = lambda e: F.when(e > 0, e).otherwise(slope * e)
+    rows = rows.withColumns({f"e{k}": leaky(F.col(f"a{k}") + F.col(f"b{k}")) for k in n})
+    top = rows.groupBy("dst").agg(*[F.max(f"e{k}").alias(f"top{k}") for k in n])
+    rows = rows.join(top, "dst").withColumns({f"w{k}": F.exp(F.col(f"e{k}") - F.col(f"top{k}")) for k in n})
+    width = [range(len(heads[k][0][0])) for k in n]
+    sums = rows.groupBy("dst").agg(*[F.sum(f"w{k}").alias(f"total{k}") for k in n], *[F.sum(F.col(f"w{k}") * F.element_at(f"h{k}", i + 1)).alias(f"s{k}_{i}") for k in n for i in width[k]])
+    return sums.select(F.col("dst").alias("node_id"), F.array(*[F.col(f"s{k}_{i}") / F.col(f"total{k}") for k in n for i in width[k]]).alias("out"))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
@@ -151,14 +156,16 @@ class Sage:
         np.add.at(out, dst, x[src])
         return out / count, count
 
-    def step(self, x: np.ndarray, hop: np.ndarray, src: np.ndarray, dst: np.ndarray, edge_hop: np.ndarray, label: np.ndarray) -> tuple[float, int, int, dict[str, np.ndarray]]:
-        """Sum of losses, labelled and right seeds, gradients of that sum. Rows of x are local ids, seeds first."""
+    def step(self, x: np.ndarray, hop: np.ndarray, src: np.ndarray, dst: np.ndarray, edge_hop: np.ndarray, label: np.ndarray, kept: np.ndarray | None = None) -> tuple[float, int, int, dict[str, np.ndarray]]:
+        """Sum of losses, labelled and right seeds, gradients of that sum. Rows of x are local ids, seeds first. kept: factors
+        of the hidden values, 0 where they are dropped."""
         p, seeds = self.p, int((hop == 0).sum())
         inner = int((hop <= 1).sum())
         e1, e2 = dst < inner, edge_hop == 1
         a1, _ = self.pool(x, src[e1], dst[e1], inner)
         z1 = a1 @ p["n1"] + x[:inner] @ p["r1"] + p["b1"]
-        h = np.maximum(z1, 0)
+        kept = np.ones_like(z1) if kept is None else kept
+        h = np.maximum(z1, 0) * kept
         a2, count = self.pool(h, src[e2], dst[e2], seeds)
         z2 = a2 @ p["n2"] + h[:seeds] @ p["r2"] + p["b2"]
         shifted = z2 - z2.max(1, keepdims=True)
@@ -172,7 +179,7 @@ class Sage:
         gh = np.zeros_like(h)
         gh[:seeds] += g2 @ p["r2"].T
         np.add.at(gh, src[e2], ((g2 @ p["n2"].T) / count)[dst[e2]])
-        g1 = gh * (z1 > 0)
+        g1 = gh * (z1 > 0) * kept
         grads |= {"n1": a1.T @ g1, "r1": x[:inner].T @ g1, "b1": g1.sum(0)}
         return float(loss), int(known.sum()), int((z2.argmax(1) == label[:seeds]).sum()), grads
 
@@ -189,28 +196,93 @@ class Adam:
             params[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train_epoch(model: Sage, optimiser: Adam, batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame) -> tuple[float, float]:
-    """Mean loss and accuracy of one pass. features: (node_id, x, label). Each batch is one group with bounded size; its
-    gradients are summed by Spark, and the driver gets sums as large as the model."""
+@dataclass
+class Sums:
+    """What a pass over some batches adds up to."""
+
+    loss: float
+    known: float
+    right: float
+    seeds: float
+    grads: dict[str, np.ndarray]
+
+    @property
+    def mean_loss(self) -> float:
+        return self.loss / max(self.known, 1)
+
+    @property
+    def accuracy(self) -> float:
+        return self.right / max(self.seeds, 1)
+
+
+def _batched(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their features and label, and edges, written in the order of batches, so that a step reads its own."""
     nodes = batch_nodes.join(features, "node_id").select("batch_id", "local_id", "hop", "x", "label")
-    params = {k: v.copy() for k, v in model.p.items()}
+    return tuple(materialise(rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id")) for rows in (nodes, batch_edges))
+
+
+def _pass(params: dict[str, np.ndarray], nodes: DataFrame, edges: DataFrame, rate: float = 0.0, seed: int = 0, train: bool = True) -> Sums:
+    """Each batch is one group of bounded size; sums are made by Spark, and the driver gets as many numbers as the model has."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = Sage.__new__(Sage)
         own.p = params
         left = left.sort_values("local_id")
-        loss, known, good, grads = own.step(np.stack(left["x"].to_list()), left["hop"].to_numpy(), right["src_local"].to_numpy(), right["dst_local"].to_numpy(), right["hop"].to_numpy(), left["label"].to_numpy())
-        flat = np.concatenate([[loss, known, good, (left["hop"] == 0).sum()], *[grads[k].ravel() for k in sorted(grads)]])
+        kept = None
+        if rate > 0:
+            draw = np.random.default_rng([seed, int(left["batch_id"].iloc[0])])
+            kept = (draw.random((int((left["hop"] <= 1).sum()), len(params["b1"]))) >= rate) / (1 - rate)
+        loss, known, good, grads = own.step(np.stack(left["x"].to_list()), left["hop"].to_numpy(), right["src_local"].to_numpy(), right["dst_local"].to_numpy(), right["hop"].to_numpy(), left["label"].to_numpy(), kept)
+        flat = np.concatenate([[loss, known, good, (left["hop"] == 0).sum()], *[grads[k].ravel() for k in sorted(grads) if train]])
         return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-    sums = nodes.groupBy("batch_id").cogroup(batch_edges.groupBy("batch_id")).applyInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat = np.array([r.v for r in sums])
+    sums = nodes.groupBy("batch_id").cogroup(edges.groupBy("batch_id")).applyInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    flat = np.array([r.v for r in sums]) if sums else np.zeros(4 + sum(v.size for v in params.values()))
     at, grads = 4, {}
-    for k in sorted(params):
+    for k in sorted(params) if train else ():
         grads[k] = flat[at : at + params[k].size].reshape(params[k].shape) / max(flat[1], 1)
         at += params[k].size
-    optimiser.update(model.p, grads)
-    return flat[0] / max(flat[1], 1), flat[2] / max(flat[3], 1)
+    return Sums(*flat[:4], grads)
+
+
+def train_epoch(model: Sage, optimiser: Adam, batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame, rate: float = 0.0, seed: int = 0, workers: int = 1) -> tuple[float, float]:
+    """Mean loss and accuracy of one epoch, as measured while training. features: (node_id, x, label).
+
+    A step is one job over ``workers`` batches, whose gradients are averaged before the weights move: with 1, a step for
+    each batch; with more, as many batches are worked on side by side. Hidden values are dropped with ``rate``.
+    """
+    nodes, edges = _batched(batch_nodes, batch_edges, features)
+    last = nodes.agg(F.max("batch_id")).first()[0]
+    loss = known = right = total = 0.0
+    for first in range(0, -1 if last is None else last + 1, workers):
+        mine = F.col("batch_id").between(first, first + workers - 1)
+        sums = _pass({k: v.copy() for k, v in model.p.items()}, nodes.filter(mine), edges.filter(mine), rate, seed)
+        optimiser.update(model.p, sums.grads)
+        loss, known, right, total = loss + sums.loss, known + sums.known, right + sums.right, total + sums.seeds
+    return loss / max(known, 1), right / max(total, 1)
+
+
+def evaluate_model(model: Sage, batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame) -> tuple[float, float]:
+    """Mean loss and accuracy of seeds that weren't trained on, without dropout: all batches in one job."""
+    found = _pass(model.p, *_batched(batch_nodes, batch_edges, features), train=False)
+    return found.mean_loss, found.accuracy
+
+
+def save_model(spark: SparkSession, model: Sage, path: str, epoch: int) -> None:
+    """One epoch's weights, as rows (name, row, values) below path; an epoch that is there is replaced."""
+    rows = [(k, i, row.tolist()) for k, v in model.p.items() for i, row in enumerate(np.atleast_2d(v))]
+    spark.createDataFrame(rows, "name string, row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def load_model(spark: SparkSession, path: str, epoch: int) -> Sage:
+    rows: dict[str, dict[int, list[float]]] = {}
+    for r in spark.read.parquet(f"{path}/epoch={epoch}").collect():  # as many rows as the weights have
+        rows.setdefault(r.name, {})[r.row] = r.values
+    model = Sage.__new__(Sage)
+    model.p = {k: np.array([v[i] for i in sorted(v)]) for k, v in rows.items()}
+    for k in ("b1", "b2"):
+        model.p[k] = model.p[k][0]
+    return model
 
 
 def build_model(name: str, inputs: int, hidden: int, classes: int, layers: int = 2, seed: int = 0):

@@ -106,3 +106,8 @@ def keep_inter_mask(mode: str, edges: DataFrame, centres: DataFrame, fraction: f
     if mode == "subsampled":
         return keep_inter(epoch_degrees(edges, centres, kept, nodes), fraction)
     raise NotImplementedError(f"degrees of mode {mode}")
+
+
+def zero_degrees(with_degree: DataFrame) -> DataFrame:
+    """One row: how many of the centres have no neighbour left in the epoch."""
+    return with_degree.agg(F.count(F.lit(1)).alias("centres"), F.count_if(F.col("degree") == 0).alias("zero_degree"))

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweft.functions.storage import scratch
+from graphweft.functions.storage import materialise, scratch
 from graphweft.operators import cache, canonical, checks, gnn, metrics, partition, relabel, seeds, subsample
 from graphweft.operators import sampler as sp
+from graphweft.plans import epochs
 from graphweft.plans import sql as q
 from graphweft.sources import fixtures as fx
 from graphweft.sources import graph_dir, readers, synthetic
@@ -365,6 +366,12 @@ def _(s, d):
     return subsample.keep_inter_mask("subsampled", edges, _train(nodes), FRACTION, _sub(nodes), nodes)
 
 
+@query("epoch_zero_degree", f"WITH {q.COP}, {q.NODES}, {_SUB}, {_EPOCH_DEGREE} SELECT count(*) AS centres, count(*) FILTER (WHERE degree = 0) AS zero_degree FROM deg")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return subsample.zero_degrees(subsample.epoch_degrees(edges, _train(nodes), _sub(nodes), nodes))
+
+
 @query("inter_coin_edges", f"WITH {q.COP} SELECT dst, src FROM cop WHERE {q.coin('dst', 'src', COIN, COIN_SEED)}")
 def _(s, d):
     from graphweft.functions.hashing import coin
@@ -669,10 +676,20 @@ _GAT = gnn.build_model("gat", 2, 2, 2, 1)[0]
 @query("gat_forward", f"WITH {q.COP}, {q.NODES}, {q.gat(*_GAT)}")
 def _(s, d):
     edges, nodes = _cop(s, d)
-    rows = gnn.gat_layer(canonical.add_self_loops(edges, nodes), _arrays(nodes).drop("label"), *_GAT)
+    rows = gnn.gat_layer(canonical.add_self_loops(edges, nodes), _arrays(nodes).drop("label"), [_GAT])
     return rows.select("node_id", *[F.round(F.element_at("out", i + 1), 4).alias(f"o{i}") for i in range(2)])
 
 
+_GAT2 = gnn.build_model("gat", 2, 2, 2, 1, seed=1)[0]
+
+
+@query("gat_two_heads", f"WITH {q.COP}, {q.NODES}, one AS (WITH {q.gat(*_GAT)}), two AS (WITH {q.gat(*_GAT2)}) SELECT node_id, one.o0, one.o1, two.o0 AS o2, two.o1 AS o3 FROM one JOIN two USING (node_id)")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    rows = gnn.gat_layer(canonical.add_self_loops(edges, nodes), _arrays(nodes).drop("label"), [_GAT, _GAT2])
+    return rows.select("node_id", *[F.round(F.element_at("out", i + 1), 4).alias(f"o{i}") for i in range(4)])
+
+
 _PRED = "p AS (SELECT node_id, CASE WHEN x1 = 0 THEN -1 ELSE label END AS label, [x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, 0.25]::DOUBLE[] AS o FROM nodes)"
 
 
@@ -842,13 +859,67 @@ def _(s, d):
     return rows.select("node_id", F.element_at("features", 1).alias("f0"), F.element_at("features", 2).alias("f1"), "label", "split")
 
 
+def _options(**more) -> epochs.Options:
+    return epochs.Options(**{"graph": "rtintra", "chunk": CHUNK, "batch": BATCH, "fanouts": tuple(FANOUTS), "factor": FACTOR, "seed": SEED, "epochs": 2} | more)
+
+
+_KEEP_EPOCH = f"{_EPOCH_DEGREE}, {_THRESHOLD}, ki AS (SELECT node_id FROM deg, th WHERE degree <= threshold)"
+_EPOCH_SEEDS = f"seeds AS (SELECT pos // {BATCH} AS batch_id, node_id, pos FROM ord)"
+
+
+@query("epoch_bundle", f"WITH {q.COP}, {q.NODES}, {_SUB}, {_KEEP_EPOCH}, {_CLUSTER}, {_EPOCH_SEEDS}, {q.hops([FANOUTS[0]], SEED + EPOCH, f'{_MASKED} AND ({_SAME} OR dst IN (SELECT node_id FROM ki))', False)} SELECT {_EDGE_COLUMNS} FROM batch_edges")
+def _(s, d):
+    """Subsample, kept edges between partitions, seed order and sample of one epoch, from one call."""
+    options = _options(keep_inter=FRACTION, epochs=EPOCH + 1, fanouts=(FANOUTS[0],))
+    return epochs.prepare(*_cop(s, d), EPOCH, options).sample(options, EPOCH)[1]
+
+
+@query("epoch_original", f"{_BASE}, {q.hops([FANOUTS[0]], SEED + EPOCH, 'TRUE', False)} SELECT {_NODE_COLUMNS} FROM batch_nodes")
+def _(s, d):
+    options = _options(graph="original", factor=None, order="global", fanouts=(FANOUTS[0],))
+    return epochs.prepare(*_cop(s, d), EPOCH, options).sample(options, EPOCH)[0]
+
+
+_MODES = f"WITH {q.COP}, {q.NODES}, {_SUB}, {_CLUSTER}, {_EPOCH_SEEDS}, {q.hops([-1], SEED + EPOCH, f'{_MASKED} AND {_SAME}', False)}"
+
+
+@query("epoch_graph_modes", f"{_MODES} SELECT graph, {_EDGE_COLUMNS} FROM batch_edges, (SELECT unnest(['intra', 'rtintra']) AS graph)")
+def _(s, d):
+    """Edges filtered beforehand and while sampling: the same, as all neighbours are drawn."""
+    edges, nodes = _cop(s, d)
+    rows = []
+    for graph in ("intra", "rtintra"):
+        options = _options(graph=graph, fanouts=(-1,), epochs=EPOCH + 1)
+        rows.append(epochs.prepare(edges, nodes, EPOCH, options).sample(options, EPOCH)[1].select(F.lit(graph).alias("graph"), "batch_id", "src_local", "dst_local", "hop"))
+    return rows[0].union(rows[1])
+
+
 @query("train_sage_epoch")
 def _(s, d):
+    """Two epochs with a step for each batch and dropout."""
     edges, nodes = _cop(s, d)
     model = gnn.build_model("trainable", 2, 8, CLASSES)
     optimiser, rows = gnn.Adam(model.p), []
     for epoch in range(2):
         order = seeds.batches(seeds.global_order(_train(nodes), SEED, epoch), BATCH)
         n, e = sp.sample(order, edges, FANOUTS, seed=SEED + epoch)
-        rows.append((epoch, *gnn.train_epoch(model, optimiser, n, e, _arrays(nodes))))
+        rows.append((epoch, *gnn.train_epoch(model, optimiser, n, e, _arrays(nodes), 0.2, SEED + epoch)))
     return s.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], "epoch int, loss double, accuracy double")
+
+
+@query("train_checkpoints")
+def _(s, d):
+    """Weights of each epoch are written, read again and evaluated on two draws: epoch, valid, test_max, test_mean, is_best."""
+    edges, nodes = (materialise(x) for x in _cop(s, d))
+    options, path = _options(graph="original", factor=None, order="global"), scratch(s)
+    model = gnn.build_model("trainable", 2, 8, CLASSES)
+    optimiser, runs = gnn.Adam(model.p), []
+    for epoch in range(2):
+        gnn.train_epoch(model, optimiser, *epochs.prepare(edges, nodes, epoch, options).sample(options, epoch), _arrays(nodes), 0.2, epoch, workers=4)
+        gnn.save_model(s, model, path, epoch)
+    for repeat in range(2):
+        drawn = {split: epochs.evaluation(edges, nodes, split, options, repeat) for split in ("valid", "test")}
+        for epoch in range(2):
+            saved = gnn.load_model(s, path, epoch)
+            runs.append((epoch, repeat, *[float(gnn.evaluate_model(saved, *drawn[split], _arrays(nodes))[1]) for split in ("valid", "test")]))
+    return metrics.checkpoint_table(s.createDataFrame(runs, "epoch int, repeat int, valid double, test double")).drop("tests")
