@@ -6,8 +6,9 @@ documents of a shard lie in an order drawn from the seed; from a block drawn fro
 taken, going round, so most documents are taken whole or not at all, and any word at most MOST_REPEATS times.
 
 Defined results: null and empty texts have size 0 and nothing is taken of them. Null is a source by itself, the last
-one. Rows with the same doc_id lie next to each other in the order; repeated rows are
-counted one by one, and in the mix itself all of them are treated as the first. Without words all targets are 0. Other columns are ignored.
+one. Rows without a doc_id are named by their texts. Rows with one name lie next to each other in the order; repeated
+rows are counted one by one, and in the mix itself those with one name and size are treated as the first of them.
+Without words all targets are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,13 +70,18 @@ def sainte_lague(target: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
+def name_of(doc_id: Column, text: Column) -> Column:
+    """What stands for a row in draws."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where the cell's taken stretch lies: offset of the document,
     cell_size, rounds (times that all is taken), first and stretch (words taken once more, going round)."""
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))  # texts are counted once
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name")))  # texts are counted once
     per = targets(sized, weights)
     # sources are few beside documents, but only Spark's own check of their size decides on a broadcast
-    shard = F.pmod(draw(F.lit("shard"), F.col("doc_id").cast("string")), F.ceil(F.col("source_docs") / shard_docs)).cast("int")
+    shard = F.pmod(draw(F.lit("shard"), F.col("name")), F.ceil(F.col("source_docs") / shard_docs)).cast("int")
     rows = sized.join(per, sized.source.eqNullSafe(per.source)).drop(per.source).withColumn("shard", shard)
     cells = rows.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").cast("long").alias("cell_size"))
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(0.0)
@@ -91,23 +97,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
     quota = F.least("quota", blocks * int(MOST_REPEATS))
     # words of `extra` blocks from block `start` on, going round; the last block may be short
     cells = cells.withColumn("rounds", F.when(blocks > 0, F.floor(quota / blocks)).otherwise(0)).withColumn("extra", F.when(blocks > 0, quota - F.col("rounds") * blocks).otherwise(0)).withColumn("first", F.when(blocks > 0, F.pmod(draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), blocks)).otherwise(0) * block_words).withColumn("stretch", F.least(F.col("extra") * block_words, F.col("cell_size")))
-    order = Window.partitionBy("source", "shard").orderBy(draw(F.lit("order"), F.col("doc_id").cast("string")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "shard").orderBy(draw(F.lit("order"), F.col("name")), "name", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
     out = rows.join(cells.withColumnRenamed("source", "cell_source").withColumnRenamed("shard", "cell_shard"), F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
     low, high, size = F.col("offset"), F.col("offset") + F.col("size"), F.col("cell_size")
     inside = lambda a, b: F.greatest(F.least(high, b) - F.greatest(low, a), F.lit(0))
     end = F.col("first") + F.col("stretch")
     once = inside(F.col("first"), F.least(end, size)) + inside(F.lit(0), F.greatest(end - size, F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).cast("long").alias("taken"), "offset", "cell_size", "rounds", "first", "stretch")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).cast("long").alias("taken"), "offset", "cell_size", "rounds", "first", "stretch", "name")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands in it once for each time it is taken whole, and once
     more, cut to the taken words with single spaces, where a stretch ends inside it."""
-    own_id, own_size, own_at, own_copy = unused(docs, "own_id", "own_size", "own_at", "own_copy")
+    own_name, own_size, own_at, own_copy = unused(docs, "own_name", "own_size", "own_at", "own_copy")
     place = F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken")
-    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias(own_id), F.col("size").alias(own_size)).agg(F.min(place).alias(own_at))
-    rows = docs.join(mixed, docs.doc_id.eqNullSafe(F.col(own_id)) & (n_words(F.col("text")) == F.col(own_size)))
+    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("name").alias(own_name), F.col("size").alias(own_size)).agg(F.min(place).alias(own_at))
+    rows = docs.join(mixed, (name_of(docs.doc_id, docs.text) == F.col(own_name)) & (n_words(F.col("text")) == F.col(own_size)))
     at, size = F.col(own_at), F.col(own_size)
     rounds = at["rounds"]
     rest = at["taken"] - rounds * size

@@ -37,13 +37,13 @@ def _draw(*parts: str) -> str:
 
 _B = mixing.BLOCK_WORDS
 MIXING = f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
      per0 AS (SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
      per1 AS (SELECT *, CAST({list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight, CAST(source_size * {mixing.MOST_REPEATS} AS DOUBLE) AS most FROM per0),
      per2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS rate FROM per1
               WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
      per AS (SELECT source, docs, source_size, least(most, coalesce(max(rate) FILTER (WHERE rate * weight <= most) OVER () * weight, most)) AS target FROM per2),
-     rows AS (SELECT s.doc_id, s.source, s.size, source_size, target, CAST({_draw("'shard'", "CAST(s.doc_id AS VARCHAR)")} % CAST(ceil(docs / {mixing.SHARD_DOCS}) AS BIGINT) AS INT) AS shard FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
+     rows AS (SELECT s.doc_id, s.name, s.source, s.size, source_size, target, CAST({_draw("'shard'", "s.name")} % CAST(ceil(docs / {mixing.SHARD_DOCS}) AS BIGINT) AS INT) AS shard FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
      cells AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS cell_size, any_value(CASE WHEN source_size > 0 THEN target ELSE 0 END) AS t, any_value(source_size) AS z FROM rows GROUP BY 1, 2),
      shares AS (SELECT source, shard, cell_size, CASE WHEN z > 0 THEN t * cell_size / z ELSE 0.0 END AS share FROM cells),
      seats AS (SELECT *, CAST(floor(sum(share) OVER (PARTITION BY shard) / {_B} + 0.5) AS BIGINT) AS n, sum(share) OVER (PARTITION BY shard) AS whole, count(*) OVER (PARTITION BY shard) AS parties FROM shares),
@@ -52,7 +52,7 @@ WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
      due AS (SELECT s.source, s.shard, s.cell_size, CAST(ceil(s.cell_size / {_B}) AS BIGINT) AS blocks, coalesce(w.seats, 0) AS seats FROM seats s LEFT JOIN won w ON w.shard = s.shard AND w.source IS NOT DISTINCT FROM s.source),
      cell AS (SELECT *, least(seats, blocks * {mixing.MOST_REPEATS}) // greatest(blocks, 1) AS rounds, least(seats, blocks * {mixing.MOST_REPEATS}) % greatest(blocks, 1) AS extra,
                      {_draw("'start'", "coalesce(source, '')", "CAST(shard AS VARCHAR)")} % greatest(blocks, 1) * {_B} AS first FROM due),
-     placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY {_draw("'order'", "CAST(doc_id AS VARCHAR)")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM rows),
+     placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY {_draw("'order'", "name")}, name, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM rows),
      both_ AS (SELECT p.*, c.rounds, c.first, c.cell_size, c.first + least(c.extra * {_B}, c.cell_size) AS stop FROM placed p JOIN cell c ON c.shard = p.shard AND c.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(least(lo + size, least(stop, cell_size)) - greatest(lo, first), 0) + greatest(least(lo + size, greatest(stop - cell_size, 0)) - greatest(lo, 0), 0) AS BIGINT) AS taken FROM both_
 """
