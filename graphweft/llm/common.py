@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +68,38 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/graphweft-{uuid.uuid4().hex}"
 
 
+#: Paths that were written for each result that is being built, innermost last.
+_BUILDING: list[list[str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if _BUILDING:
+        _BUILDING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, written like that; tables that were written on the way are deleted then."""
+    _BUILDING.append([])
+    try:
+        df = build()
+        path = scratch(df.sparkSession)
+        df.write.parquet(path)
+        done = df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        passing = _BUILDING.pop()
+    spark = df.sparkSession
+    for old in passing:
+        there = spark._jvm.org.apache.hadoop.fs.Path(old)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if _BUILDING:
+        _BUILDING[-1].append(path)
+    return done
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts with about ``limit`` characters each."""
     start, total = 0, 0

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import materialise, unused
+from graphweft.llm.common import materialise, settled, unused
 from graphweft.llm.components import components
 from graphweft.llm.words import each_words, grams, mix
 
@@ -267,7 +267,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", F.col("class") == F.col("lead")).drop("lead").distinct())
     first = materialise(classes)
     star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead")), docs, first)
-    groups = components(star.filter("linked"))
+    groups = settled(lambda: components(star.filter("linked")))
     labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
     mixed = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
@@ -278,14 +278,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     # written first, so that the anti-join isn't moved below distinct, where a pair still has a row for each place it met
     rest = materialise(_pairs(others.filter("component <> lead_component"), others, new, may_overlap("x", "y", "small")))
     rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
-    final = components(star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b")))
+    final = settled(lambda: components(star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))))
     own = F.when(F.col("n") > 0, F.coalesce("component", "class"))
     return members.join(final.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", own.alias("component"))
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    members = materialise(grouped(docs))
+    members = settled(lambda: grouped(docs))
     smallest = members.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = members.join(smallest, "component", "left")
     return out.select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(LEAST_ID)).alias("component_id"))
@@ -331,7 +331,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     row without a doc_id is a document with a smaller one than all others have. Rows that share a doc_id are told apart
     by their sets, so a text doesn't go with a namesake; of rows that share both one stays."""
     rows, added = numbered(docs)
-    members = materialise(grouped(rows))
+    members = settled(lambda: grouped(rows))
     least = members.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("kept"))
     judged = members.join(least, "component", "left").withColumn("gone", F.coalesce(F.struct("doc_id", "class") != F.col("kept"), F.lit(False)))
     # a row for each doc_id; mixed or several: what becomes of its rows depends on their texts

@@ -72,3 +72,21 @@ def test_run(spark, tmp_path, monkeypatch):
     came, left = seen[name]
     assert Counter((r.doc_id, r.text) for r in left) == brute(came)
     assert any(r.doc_id is None for r in came) and result.count() > 0
+
+
+def test_stages_on_clashing_columns_and_without_rows(spark, tmp_path):
+    """Every stage keeps the columns of its input, also those with names of its own, and takes an empty table."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(i, None, int(i == 6)) for i in range(1, 10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(spark)
+    for c in ("class", "n", "place", "task", "start", "own_id", "own_name", "own_marks", "score", "component", "gone", "name", "size"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r["class"] == "class" and r.own_id == "own_id" for r in out.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0, name
