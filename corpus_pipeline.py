@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.llm import bpe, lines, mixing, ngrams, registry, toxicity
-from graphweft.llm.common import materialise, table, text_session
+from graphweft.llm.common import settled, table, text_session
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what it wrote on the way is deleted then."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
