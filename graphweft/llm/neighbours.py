@@ -5,7 +5,8 @@ LIST_ROWS vectors; the halves' means are the lists' centroids. Each vector goes
 near a border, to up to REPLICAS - 1 further ones whose centroids aren't nearer to one already taken than to the
 vector; for this centroids are searched by a graph of near neighbours held in memory. A query is held against all
 centroids. It goes through the lists by distance until they own k + 1 distinct vectors, and visits those within a ratio
-of the distance reached there, however many these are; its scores are computed on the original vectors in double
+of the distance reached there, however many these are; the ratio is the least that meets enough of the neighbours within
+the sample, which lie farther apart than in the whole table. Scores are computed on the original vectors in double
 precision. Queries that still lack hits, as when vectors share an id, go on to eight times as many vectors until
 they have k or have met all.
 
@@ -35,8 +36,10 @@ K = 5
 #: Vectors a list is planned for, bounds of the sample (rows and numbers) and of the number of lists.
 LIST_ROWS, SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS = 128, 65_536, 1 << 23, 4096
 REPLICAS, BORDER = 4, 1.25
-#: How much farther lists may be that a query visits.
-RATIO = 1.6
+#: How much farther lists may be that a query visits: the first of these with which RECALL of the sample's neighbours are
+#: met, as up to TRIALS vectors of the sample tell.
+RATIOS = (1.1, 1.15, 1.2, 1.25, 1.3, 1.35, 1.4, 1.5, 1.6, 1.7, 1.8, 2.0)
+RECALL, TRIALS = 0.95, 256
 #: Neighbours of a centroid in the graph, and candidates that a search holds.
 DEGREE, BEAM = 16, 64
 #: Stored rows and queries of a group that is scored at once.
@@ -130,7 +133,7 @@ def replicas(found: np.ndarray, cosine: np.ndarray, between: np.ndarray, most: i
     return take
 
 
-def probes(cosine: np.ndarray, owned: np.ndarray, need: int, ratio: float = RATIO) -> np.ndarray:
+def probes(cosine: np.ndarray, owned: np.ndarray, need: int, ratio: float) -> np.ndarray:
     """Which of all lists a query visits. owned: how many vectors have each list as their nearest."""
     d = distance(cosine)
     order = np.argsort(d, axis=1, kind="stable")
@@ -143,6 +146,23 @@ def probes(cosine: np.ndarray, owned: np.ndarray, need: int, ratio: float = RATI
     return take
 
 
+def fitted_ratio(sample: np.ndarray, centroids: np.ndarray, k: int = K) -> float:
+    """The least of RATIOS with which queries drawn from the sample meet RECALL of their k nearest in it."""
+    if len(sample) <= k + 1:
+        return RATIOS[-1]
+    near = np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(1) for i in range(0, len(sample), 4096)])
+    owned = np.bincount(near, minlength=len(centroids))
+    drawn = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
+    score = sample[drawn] @ sample.T
+    score[np.arange(len(drawn)), drawn] = -np.inf
+    lists = near[np.argpartition(-score, k - 1, axis=1)[:, :k]]
+    cosine = sample[drawn] @ centroids.T
+    for ratio in RATIOS:
+        if np.take_along_axis(probes(cosine, owned, k + 1, ratio), lists, 1).mean() >= RECALL:
+            return ratio
+    return RATIOS[-1]
+
+
 def bundles(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """First group and number of groups of each list: small neighbours share one, a large list has several."""
     first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows))
@@ -182,7 +202,9 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
     drawn = distinct.select("v").orderBy(F.xxhash64("a", F.lit(3)), "a").limit(bound).toPandas()["v"]  # bounded by the two SAMPLE constants
     sample = unit(np.stack(drawn.to_list()))
     lists = 1 << max(0, min(MOST_LISTS, max(1, count // LIST_ROWS), max(1, len(sample) // 8)).bit_length() - 1)
-    shared = spark.sparkContext.broadcast(balanced_centroids(sample, lists))  # MOST_LISTS centroids at most
+    centroids = balanced_centroids(sample, lists)
+    ratio = fitted_ratio(sample, centroids, k)
+    shared = spark.sparkContext.broadcast(centroids)  # MOST_LISTS centroids at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(shared.value)
@@ -212,7 +234,7 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
                     x = unit(np.stack(part.column(2).to_numpy(zero_copy_only=False)))
-                    query, list_ = np.nonzero(probes(x @ shared.value.T, owned, need)[:, of])
+                    query, list_ = np.nonzero(probes(x @ shared.value.T, owned, need, ratio)[:, of])
                     met = np.zeros((len(x), group.max() + 1), bool)
                     met[query, group[list_]] = True
                     at, to = np.nonzero(met)
