@@ -50,14 +50,14 @@ def cached_gather(batch_nodes: DataFrame, nodes: DataFrame, cache: DataFrame, co
 def hit_rate(batch_nodes: DataFrame, cache: DataFrame) -> DataFrame:
     flagged = batch_nodes.join(cache.select("node_id", F.lit(1).alias("hit")), "node_id", "left")
     total = flagged.agg(F.count(F.lit(1)).alias("accesses"), F.count("hit").alias("hits"))
-    return total.select("accesses", "hits", F.round(100 * F.col("hits") / F.col("accesses"), 2).alias("hit_percent"))
+    return total.select("accesses", "hits", (100 * F.col("hits") / F.col("accesses")).alias("hit_percent"))
 
 
 def access_percentiles(counts: DataFrame) -> DataFrame:
     """group (all, accessed), p50, p75, p90, p99, mean of counts, interpolated."""
     groups = counts.select("cnt", F.explode(F.when(F.col("cnt") > 0, F.array(F.lit("all"), F.lit("accessed"))).otherwise(F.array(F.lit("all")))).alias("grp"))
-    p = [F.round(F.percentile("cnt", F.lit(q / 100)), 6).alias(f"p{q}") for q in (50, 75, 90, 99)]
-    return groups.groupBy("grp").agg(*p, F.round(F.avg("cnt"), 6).alias("mean"))
+    p = [(F.percentile("cnt", F.lit(q / 100))).alias(f"p{q}") for q in (50, 75, 90, 99)]
+    return groups.groupBy("grp").agg(*p, F.avg("cnt").alias("mean"))
 
 
 def budget_curve(counts: DataFrame, members: DataFrame, budgets: list[int]) -> DataFrame:
@@ -66,14 +66,14 @@ def budget_curve(counts: DataFrame, members: DataFrame, budgets: list[int]) -> D
     mine = ranked.join(members.select("node_id"), "node_id", "left_semi")
     rows = mine.select("place", F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget"))
     found = rows.groupBy("budget").agg(F.count_if(F.col("place") < F.col("budget")).alias("inside"), F.count(F.lit(1)).alias("members"))
-    return found.select("budget", "inside", F.round(F.col("inside") / F.col("members"), 6).alias("share"))
+    return found.select("budget", "inside", (F.col("inside") / F.col("members")).alias("share"))
 
 
 def forced_fill(counts: DataFrame, degree: DataFrame, cache: DataFrame) -> DataFrame:
     """Of a cache: slots filled with nodes never accessed, mean degrees, and the median id of those nodes."""
     rows = counts.join(degree, "node_id").join(cache.select("node_id", F.lit(True).alias("cached")), "node_id", "left")
     forced = F.coalesce("cached", F.lit(False)) & (F.col("cnt") == 0)
-    mean = lambda c: F.round(F.coalesce(F.avg(F.when(c, F.col("degree"))), F.lit(0.0)), 6)
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("degree"))), F.lit(0.0))
     return rows.agg(F.count_if(forced).alias("forced"), mean(forced).alias("forced_degree"), mean(F.lit(True)).alias("mean_degree"), mean(F.col("cnt") > 0).alias("accessed_degree"), F.coalesce(F.median(F.when(forced, F.col("node_id"))), F.lit(-1.0)).alias("median_id"))
 
 

@@ -75,11 +75,11 @@ def offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degree_stats(raw: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Least, greatest and mean degree of a canonical graph, entries dropped as repeats, share of nodes with a real neighbour."""
-    d = degrees(edges, nodes).agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.round(F.avg("degree"), 6).alias("mean"), F.count(F.lit(1)).alias("nodes"), F.sum("degree").cast("long").alias("entries"))
+    d = degrees(edges, nodes).agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.avg("degree").alias("mean"), F.count(F.lit(1)).alias("nodes"), F.sum("degree").cast("long").alias("entries"))
     real = drop_self_loops(edges).select("dst").distinct().agg(F.count(F.lit(1)).alias("with_neighbour"))
     r = raw.agg(F.count(F.lit(1)).alias("raw_edges"))
     row = d.crossJoin(real).crossJoin(r)  # one row each
-    return row.select("least", "most", "mean", "entries", (2 * F.col("raw_edges") + F.col("nodes") - F.col("entries")).alias("repeats"), F.round(F.col("entries") / F.col("raw_edges"), 6).alias("ratio"), F.round(F.col("with_neighbour") / F.col("nodes"), 6).alias("share_with_neighbour"))
+    return row.select("least", "most", "mean", "entries", (2 * F.col("raw_edges") + F.col("nodes") - F.col("entries")).alias("repeats"), (F.col("entries") / F.col("raw_edges")).alias("ratio"), (F.col("with_neighbour") / F.col("nodes")).alias("share_with_neighbour"))
 
 
 def nc_score(edges: DataFrame, nodes: DataFrame, kind: str = "ginex") -> DataFrame:
@@ -89,7 +89,7 @@ def nc_score(edges: DataFrame, nodes: DataFrame, kind: str = "ginex") -> DataFra
     both = degrees(edges, nodes, "src", "ref_count").join(degrees(edges, nodes), "node_id")
     # Spark divides floats as doubles
     score = (F.col("ref_count").cast("float") / (F.col("degree").cast("float") + F.lit(1e-8).cast("float"))).cast("float") if kind == "ginex" else F.col("degree")
-    return both.select("node_id", "ref_count", "degree", F.round(score.cast("double"), 6).alias("nc_score"))
+    return both.select("node_id", "ref_count", "degree", score.cast("double").alias("nc_score"))
 
 
 def isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def neighbour_aggregate(edges: DataFrame, features: DataFrame, how: str = "mean"
     """dst, dim, value: mean or maximum of the neighbours' (src, dim, value)."""
     f = {"mean": F.avg, "max": F.max}[how]
     rows = edges.join(features.select(F.col("node_id").alias("src"), "dim", "value"), "src")
-    return rows.groupBy("dst", "dim").agg(F.round(f("value"), 6).alias("value"))
+    return rows.groupBy("dst", "dim").agg(f("value").alias("value"))
 
 
 def gcn_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def gcn_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def gcn_propagate(weights: DataFrame, features: DataFrame) -> DataFrame:
     """dst, dim, value: weighted sums."""
     rows = weights.join(features.select(F.col("node_id").alias("src"), "dim", "value"), "src")
-    return rows.groupBy("dst", "dim").agg(F.round(F.sum(F.col("weight") * F.col("value")), 6).alias("value"))
+    return rows.groupBy("dst", "dim").agg((F.sum(F.col("weight") * F.col("value"))).alias("value"))
 
 
 def hashed_weights(name: str, rows: int, columns: int) -> list[list[float]]:
@@ -139,7 +139,7 @@ def evaluate(predictions: DataFrame, logits: str = "out", label: str = "label")
     loss = F.when(known, cross_entropy(F.col(logits), F.greatest(F.col(label), F.lit(0))))
     hit = F.array_position(F.col(logits), F.array_max(logits)) - 1 == F.col(label)
     rows = predictions.agg(F.sum(loss).alias("loss"), F.count_if(known).alias("known"), F.count_if(hit).alias("right"), F.count(F.lit(1)).alias("rows"))
-    return rows.select(F.round(F.col("loss") / F.col("known"), 6).alias("loss"), F.round(F.col("right") / F.col("rows"), 6).alias("accuracy"))
+    return rows.select((F.col("loss") / F.col("known")).alias("loss"), (F.col("right") / F.col("rows")).alias("accuracy"))
 
 
 class Sage:

@@ -45,7 +45,7 @@ def intra_edges_by_range(edges: DataFrame, idmap: DataFrame) -> DataFrame:
 
 def intra_ratio(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = with_parts(edges, nodes).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("dst_part") == F.col("src_part")).alias("intra"))
-    return rows.select("edges", "intra", F.round(F.col("intra") / F.col("edges"), 6).alias("intra_ratio"))
+    return rows.select("edges", "intra", (F.col("intra") / F.col("edges")).alias("intra_ratio"))
 
 
 def quality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def quality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     per = with_parts(edges.filter("dst <> src"), nodes).groupBy(F.col("dst_part").alias("part_id")).agg(F.count(F.lit(1)).alias("ends"), F.count_if(F.col("dst_part") == F.col("src_part")).alias("inside"))
     per = sizes(nodes).join(per, "part_id", "left").fillna(0, ["ends", "inside"])
     total = per.agg(F.sum("ends").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("ends").cast("double") * F.col("ends")).alias("squares"), F.max("size").alias("most"), F.avg("size").alias("mean"))
-    return total.select(F.round((F.col("m") - F.col("inside")) / F.col("m"), 6).alias("cut_ratio"), F.round(F.col("inside") / F.col("m") - F.col("squares") / (F.col("m").cast("double") * F.col("m")), 6).alias("modularity"), F.round(F.col("most") / F.col("mean"), 6).alias("balance"))
+    return total.select(((F.col("m") - F.col("inside")) / F.col("m")).alias("cut_ratio"), (F.col("inside") / F.col("m") - F.col("squares") / (F.col("m").cast("double") * F.col("m"))).alias("modularity"), (F.col("most") / F.col("mean")).alias("balance"))
 
 
 def by_hash(nodes: DataFrame, k: int) -> DataFrame:

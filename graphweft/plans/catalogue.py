@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from graphweft.functions.storage import materialise, scratch
 from graphweft.operators import cache, canonical, checks, gnn, metrics, partition, relabel, seeds, subsample
@@ -40,6 +41,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to some decimals, so that engines that sum in another order agree."""
+    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, DoubleType) else f.name for f in df.schema])
+
+
 def _raw(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return fx.raw_edges(s, d), fx.nodes(s, d)
 
@@ -124,7 +130,7 @@ SELECT min(degree) AS least, max(degree) AS most, round(avg(degree), 6) AS mean,
 round(sum(degree) / (SELECT count(*) FROM raw), 6) AS ratio, round((SELECT count(DISTINCT dst) FROM canon WHERE dst <> src) / count(*), 6) AS share_with_neighbour FROM g""")
 def _(s, d):
     raw, nodes = _raw(s, d)
-    return canonical.degree_stats(raw, canonical.canonical(raw, nodes), nodes)
+    return rounded(canonical.degree_stats(raw, canonical.canonical(raw, nodes), nodes))
 
 
 _SCORE = f"""WITH {q.RAW}, {q.NODES}, e AS (SELECT DISTINCT dst, src FROM raw),
@@ -134,13 +140,13 @@ g AS (SELECT node_id, (SELECT count(*) FROM e WHERE src = node_id) AS ref_count,
 @query("nc_score_ginex", _SCORE + "SELECT node_id, ref_count, degree, round(CAST(CAST(ref_count AS FLOAT) / (CAST(degree AS FLOAT) + CAST(1e-8 AS FLOAT)) AS DOUBLE), 6) AS nc_score FROM g")
 def _(s, d):
     raw, nodes = _raw(s, d)
-    return canonical.nc_score(canonical.canonical(raw, None, False), nodes)
+    return rounded(canonical.nc_score(canonical.canonical(raw, None, False), nodes))
 
 
 @query("nc_score_degree", _SCORE + "SELECT node_id, ref_count, degree, CAST(degree AS DOUBLE) AS nc_score FROM g")
 def _(s, d):
     raw, nodes = _raw(s, d)
-    return canonical.nc_score(canonical.canonical(raw, None, False), nodes, "degree")
+    return rounded(canonical.nc_score(canonical.canonical(raw, None, False), nodes, "degree"))
 
 
 @query("self_loop_add", f"WITH {q.RAW}, {q.NODES} SELECT dst, src FROM raw UNION SELECT node_id, node_id FROM nodes")
@@ -254,7 +260,7 @@ def _(s, d):
 g AS (SELECT p, count(*) AS ends, count(*) FILTER (WHERE p = r) AS inside FROM e GROUP BY 1), z AS (SELECT part_id, count(*) AS size FROM nodes GROUP BY 1)
 SELECT round((sum(ends) - sum(inside)) / sum(ends), 6) AS cut_ratio, round(sum(inside) / sum(ends) - sum(CAST(ends AS DOUBLE) * ends) / (CAST(sum(ends) AS DOUBLE) * sum(ends)), 6) AS modularity, (SELECT round(max(size) / avg(size), 6) FROM z) AS balance FROM g""")
 def _(s, d):
-    return partition.quality(*_cop(s, d))
+    return rounded(partition.quality(*_cop(s, d)))
 
 
 _INTRA = "intra AS (SELECT dst, src FROM cop JOIN nodes a ON a.node_id = dst JOIN nodes b ON b.node_id = src WHERE a.part_id = b.part_id)"
@@ -267,7 +273,7 @@ def _(s, d):
 
 @query("intra_ratio", f"WITH {q.COP}, {q.NODES}, {_INTRA} SELECT (SELECT count(*) FROM cop) AS edges, count(*) AS intra, round(count(*) / (SELECT count(*) FROM cop), 6) AS intra_ratio FROM intra")
 def _(s, d):
-    return partition.intra_ratio(*_cop(s, d))
+    return rounded(partition.intra_ratio(*_cop(s, d)))
 
 
 @query("intra_range_equiv", f"WITH {q.COP}, {q.NODES}, {_INTRA}, {q.IDMAP} SELECT a.new_id AS dst, b.new_id AS src FROM intra JOIN idmap a ON a.old_id = dst JOIN idmap b ON b.old_id = src")
@@ -575,13 +581,13 @@ def _(s, d):
 @query("cache_hit_rate", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE}, f AS (SELECT count(*) AS accesses, count(c.node_id) AS hits FROM batch_nodes b LEFT JOIN cache c ON c.node_id = b.node_id) SELECT accesses, hits, round(100 * hits / accesses, 2) AS hit_percent FROM f")
 def _(s, d):
     batch_nodes, _, counts = _accesses(s, d)
-    return cache.hit_rate(batch_nodes, cache.top_by_count(counts, SLOTS))
+    return rounded(cache.hit_rate(batch_nodes, cache.top_by_count(counts, SLOTS)), 2)
 
 
 @query("cache_budget_curve", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, r AS (SELECT node_id, row_number() OVER (ORDER BY cnt DESC, node_id) - 1 AS place FROM counts), m AS (SELECT place FROM r JOIN nodes USING (node_id) WHERE split = 'train') SELECT CAST(budget AS INT) AS budget, count(*) FILTER (WHERE place < budget) AS inside, round(count(*) FILTER (WHERE place < budget) / count(*), 6) AS share FROM m, (SELECT unnest({BUDGETS}) AS budget) GROUP BY 1")
 def _(s, d):
     _, nodes, counts = _accesses(s, d)
-    return cache.budget_curve(counts, _train(nodes), BUDGETS)
+    return rounded(cache.budget_curve(counts, _train(nodes), BUDGETS))
 
 
 @query("cache_forced_fill", f"""{_sampled_sql([2])}, {_COUNTS}, {_DEGREE}, c AS (SELECT node_id FROM counts ORDER BY cnt DESC, node_id LIMIT 1500), r AS (SELECT node_id, cnt, degree, cnt = 0 AND node_id IN (SELECT node_id FROM c) AS forced FROM counts JOIN degs USING (node_id))
@@ -589,12 +595,12 @@ SELECT count(*) FILTER (WHERE forced) AS forced, round(coalesce(avg(degree) FILT
 def _(s, d):
     edges, nodes = _cop(s, d)
     counts = cache.access_counts(_sampled(s, d, [2])[0], nodes)
-    return cache.forced_fill(counts, canonical.degrees(edges, nodes), cache.top_by_count(counts, 1500))
+    return rounded(cache.forced_fill(counts, canonical.degrees(edges, nodes), cache.top_by_count(counts, 1500)))
 
 
 @query("access_percentiles", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, g AS (SELECT 'all' AS grp, cnt FROM counts UNION ALL SELECT 'accessed', cnt FROM counts WHERE cnt > 0) SELECT grp, round(quantile_cont(cnt, 0.5), 6) AS p50, round(quantile_cont(cnt, 0.75), 6) AS p75, round(quantile_cont(cnt, 0.9), 6) AS p90, round(quantile_cont(cnt, 0.99), 6) AS p99, round(avg(cnt), 6) AS mean FROM g GROUP BY 1")
 def _(s, d):
-    return cache.access_percentiles(_accesses(s, d)[2])
+    return rounded(cache.access_percentiles(_accesses(s, d)[2]))
 
 
 @query("cache_lru_sim")
@@ -615,12 +621,12 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 @query("sage_mean_agg", f"WITH {q.COP}, {q.NODES}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, round(avg(value), 6) AS value FROM cop JOIN f ON node_id = src GROUP BY 1, 2")
 def _(s, d):
-    return gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d))
+    return rounded(gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d)))
 
 
 @query("sage_max_agg", f"WITH {q.COP}, {q.NODES}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, max(value) AS value FROM cop JOIN f ON node_id = src GROUP BY 1, 2")
 def _(s, d):
-    return gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d), "max")
+    return rounded(gnn.neighbour_aggregate(fx.co_purchases(s, d), _features(s, d), "max"))
 
 
 _GCN = "w0 AS (SELECT dst, src FROM cop WHERE dst <> src UNION ALL SELECT node_id, node_id FROM nodes), dg AS (SELECT dst AS node_id, count(*) AS d FROM w0 GROUP BY 1), w AS (SELECT dst, src, 1 / sqrt(CAST(a.d AS DOUBLE) * b.d) AS weight FROM w0 JOIN dg a ON a.node_id = dst JOIN dg b ON b.node_id = src)"
@@ -635,7 +641,7 @@ def _(s, d):
 @query("gcn_propagate", f"WITH {q.COP}, {q.NODES}, {_GCN}, {_LONG} SELECT dst, CAST(dim AS INT) AS dim, round(sum(weight * value), 6) AS value FROM w JOIN f ON node_id = src GROUP BY 1, 2")
 def _(s, d):
     edges, nodes = _cop(s, d)
-    return gnn.gcn_propagate(gnn.gcn_weights(edges, nodes), _features(s, d))
+    return rounded(gnn.gcn_propagate(gnn.gcn_weights(edges, nodes), _features(s, d)))
 
 
 def _arrays(nodes: DataFrame) -> DataFrame:
@@ -698,7 +704,7 @@ def _(s, d):
     x0, x1 = F.col("x0"), F.col("x1")
     logits = F.array(x0 / 50.0, x1 / 13.0, (x0 + x1) / 60.0, (x0 * x1 % 7) / 7.0, (x0 % 5) / 5.0, F.lit(0.25))
     rows = fx.nodes(s, d).select(F.when(x1 == 0, -1).otherwise(F.col("label")).alias("label"), logits.alias("out"))
-    return gnn.evaluate(rows)
+    return rounded(gnn.evaluate(rows))
 
 
 # Sources and sinks: written from the given tables to the shared folder and read back
@@ -833,23 +839,23 @@ def _(s, d):
 
 @query("warm_mean", f"WITH {_EPOCHS} SELECT round(avg(seconds) FILTER (WHERE epoch > 0), 3) AS warm_mean, round(avg(seconds), 3) AS all_mean FROM ep")
 def _(s, d):
-    return metrics.warm_mean(_epochs(s, d), "seconds")
+    return rounded(metrics.warm_mean(_epochs(s, d), "seconds"), 3)
 
 
 @query("final_test", f"WITH {_RUNS} SELECT round(avg(test), 6) AS mean, round(coalesce(stddev_samp(test), 0), 6) AS deviation FROM runs")
 def _(s, d):
-    return metrics.mean_and_deviation(_runs(s, d), "test")
+    return rounded(metrics.mean_and_deviation(_runs(s, d), "test"))
 
 
 @query("epoch_metrics", "SELECT CAST(o_orderkey % 9 AS INT) AS epoch, round(sum(CAST(o_custkey % 100 AS DOUBLE) * (o_orderkey % 13)) / sum(o_orderkey % 13), 6) AS loss, round(sum(o_custkey % 7) / sum(o_orderkey % 13), 6) AS accuracy FROM orders GROUP BY 1")
 def _(s, d):
     o = fx.table(s, d, "orders").select((F.col("o_orderkey") % 9).cast("int").alias("epoch"), (F.col("o_custkey") % 100).cast("double").alias("loss"), (F.col("o_custkey") % 7).alias("right"), (F.col("o_orderkey") % 13).alias("size"))
-    return metrics.accumulate(o)
+    return rounded(metrics.accumulate(o))
 
 
 @query("ckpt_eval", f"WITH {_RUNS}, g AS (SELECT epoch, max(valid) AS valid, max(test) AS test_max, round(avg(test), 6) AS test_mean, string_agg(CAST(round(test) AS BIGINT), ',' ORDER BY repeat) AS tests FROM runs GROUP BY 1) SELECT *, row_number() OVER (ORDER BY test_max DESC, epoch) = 1 AS is_best FROM g")
 def _(s, d):
-    rows = metrics.checkpoint_table(_runs(s, d))
+    rows = rounded(metrics.checkpoint_table(_runs(s, d)))
     return rows.withColumn("tests", F.array_join(F.transform("tests", lambda t: F.round(t).cast("bigint").cast("string")), ","))
 
 

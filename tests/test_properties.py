@@ -1,4 +1,4 @@
-"""Properties on random input: uniform draws, rates of coins, gradients, and that deleted folders leave the rest alive."""
+"""Properties on random input: uniform draws, rates of coins, gradients, files, and what is refused."""
 
 import hashlib
 import random
@@ -11,7 +11,9 @@ from graphweft.functions.hashing import coin, mix64, mix64_int, signed
 from graphweft.functions.ranking import global_rank
 from graphweft.operators import cache, gnn, partition, seeds
 from graphweft.operators import sampler as sp
+from graphweft.plans import epochs
 from graphweft.sources import graph_dir, readers
+from graphweft.streaming import ingest
 
 
 def test_wrapping_products(spark):
@@ -116,4 +118,75 @@ def test_files(spark, tmp_path):
     e, n = graph_dir.read_graph(spark, f"file://{tmp_path}/g")
     assert (e.count(), n.count()) == (2, 2)
     graph_dir.write_descriptor(spark, f"file://{tmp_path}/g", a=1)
-    assert graph_dir.write_descriptor(spark, f"file://{tmp_path}/g", b=2) == {"a": 1, "b": 2} == graph_dir.read_descriptor(spark, f"file://{tmp_path}/g")
+    assert graph_dir.write_descriptor(spark, f"file://{tmp_path}/g", b=2) == {"a": 1, "b": 2, "edges": 2, "nodes": 2} == graph_dir.read_descriptor(spark, f"file://{tmp_path}/g")
+
+
+def test_directories_that_are_refused(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1), (1, 0)], "dst long, src long")
+    nodes = spark.createDataFrame([(0, 0), (1, 1)], "node_id long, part_id int")
+    path = f"file://{tmp_path}/g"
+    graph_dir.write_graph(edges, nodes, path)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        graph_dir.write_graph(edges, nodes, path)
+    edges.union(edges).write.mode("overwrite").parquet(f"{path}/edges")
+    with pytest.raises(ValueError, match="4 rows instead of 2"):
+        graph_dir.read_graph(spark, path)
+    with pytest.raises(ValueError, match="no column dst of type int"):
+        graph_dir.read_table(spark, f"{path}/edges", "dst int")
+    (tmp_path / "g" / "edges" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="incomplete"):
+        graph_dir.read_graph(spark, path)
+    with pytest.raises(ValueError, match="asymmetric: 1"):
+        graph_dir.write_intra(edges.limit(1), nodes, f"file://{tmp_path}/intra")
+    assert graph_dir.dataset_paths("/r", "papers", 8) == ("/r/papers_csc", "/r/papers_part_8") and cache.slots(10, 4, 1e-7) == 6
+    with pytest.raises(ValueError, match="unknown data set"):
+        graph_dir.dataset_paths("/r", "none", 8)
+
+
+def test_arrays_of_edges_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "ROWS_A_PARTITION", 7)
+    big = np.random.default_rng(0).integers(0, 2**40, (2, 50))
+    np.savez_compressed(tmp_path / "d.npz", edge_index=big, floats=np.zeros((2, 3)), three=np.zeros((3, 2), int))
+    assert sorted(map(tuple, readers.npz_edges(spark, str(tmp_path / "d.npz")).collect())) == sorted(zip(*big.tolist()))
+    with pytest.raises(Exception, match="not two rows of integers"):
+        readers.npz_edges(spark, str(tmp_path / "d.npz"), "floats").collect()
+    with pytest.raises(Exception, match="not two rows of integers"):
+        readers.npz_edges(spark, str(tmp_path / "d.npz"), "three").collect()
+
+
+def test_options_that_are_refused(spark):
+    for wrong in ({"graph": "none"}, {"graph": "original", "candidate_filter": True}, {"graph": "intra", "keep_inter": 0.1}, {"graph": "original", "coin": 0.1}, {"graph": "rtintra", "coin": 1.1}, {"order": "none"}):
+        with pytest.raises(ValueError):
+            epochs.Options(**wrong)
+    assert epochs.Options(graph="original").factor is None and epochs.Options().factor == 5.0
+    pairs = spark.createDataFrame([(0, 1)], "dst long, src long")
+    for wrong in ({"coin_fraction": 0.5}, {"keep_inter": pairs}, {"protect_inter": pairs}):
+        with pytest.raises(ValueError, match="need part"):
+            sp.alive(pairs, sp.Filters(**wrong))
+
+
+def test_saved_weights_evaluate_alike(spark, tmp_path):
+    edges, nodes = planted(spark)
+    features = nodes.select("node_id", F.array(*[F.when(F.col("label") == i, 1.0).otherwise(0.0) for i in range(4)]).alias("x"), "label")
+    n, e = sp.sample(seeds.batches(seeds.global_order(nodes, 1, 0), 100), edges, [5, 5], seed=1)
+    model = gnn.build_model("trainable", 4, 8, 4)
+    before = gnn.evaluate_model(model, n, e, features)
+    gnn.train_epoch(model, gnn.Adam(model.p, 0.05), n, e, features, rate=0.2, seed=3)
+    gnn.save_model(spark, model, f"file://{tmp_path}/m", 0)
+    saved = gnn.load_model(spark, f"file://{tmp_path}/m", 0)
+    assert all((saved.p[k] == v).all() for k, v in model.p.items())
+    after = gnn.evaluate_model(saved, n, e, features)
+    assert after == pytest.approx(gnn.evaluate_model(model, n, e, features)) and after[0] < before[0]
+
+
+def test_degrees_of_a_stream(spark, tmp_path):
+    path = f"file://{tmp_path}/edges"
+    spark.createDataFrame([(0, 1), (0, 2)], "src long, dst long").write.parquet(path)
+    running = ingest.degree_stream(ingest.edge_stream(spark, path)).writeStream.format("memory").queryName("degrees_so_far").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    try:
+        running.processAllAvailable()
+        spark.createDataFrame([(2, 0)], "src long, dst long").write.mode("append").parquet(path)
+        running.processAllAvailable()
+        assert sorted(map(tuple, spark.table("degrees_so_far").collect())) == [(0, 1, 2), (1, 1, 0), (2, 1, 1)]
+    finally:
+        running.stop()
