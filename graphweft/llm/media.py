@@ -146,7 +146,7 @@ def store(docs: DataFrame, root: str) -> DataFrame:
 
 
 def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
-    """row(digest, bytes) for the first ``length`` bytes of each member, or for all of it."""
+    """row((digest, shard, offset, length), bytes) for the first ``length`` bytes of each member, or for all of it."""
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
     fields = [x.split() for x in schema.split(", ")]
 
@@ -161,7 +161,7 @@ def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
                         source.close()
                     shard, source = name, files.open_input_file(f"{path}/{name}")
                 source.seek(offset)
-                rows.append(row(digest, source.read(min(size, length or size))))
+                rows.append(row((digest, name, offset, size), source.read(min(size, length or size))))
             if source:
                 source.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
@@ -175,7 +175,7 @@ def _ranges(index: DataFrame, root: str, length, row, schema: str) -> DataFrame:
 
 def headers(index: DataFrame, root: str) -> DataFrame:
     """Metadata columns of each member, by header-only range reads."""
-    return _ranges(index, root, HEADER_BYTES, lambda digest, head: (digest, *png_header(head)), "digest string, width int, height int, bits int")
+    return _ranges(index, root, HEADER_BYTES, lambda place, head: (place[0], *png_header(head)), "digest string, width int, height int, bits int")
 
 
 def feature(samples: bytes) -> str:
@@ -188,13 +188,13 @@ def feature(samples: bytes) -> str:
 
 
 def features(index: DataFrame, root: str) -> DataFrame:
-    """What full reads give: the decoded payload's digest, CRC and features, and the stored form's digest."""
+    """The address and what full reads give: the decoded payload's digest, CRC and features, and the stored form's digest."""
 
-    def row(digest: str, data: bytes) -> tuple:
+    def row(place: tuple, data: bytes) -> tuple:
         samples = from_png(data)
-        return digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)
+        return *place, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)
 
-    return _ranges(index, root, None, row, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _ranges(index, root, None, row, f"{INDEX}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def addresses(docs: DataFrame) -> DataFrame:
@@ -212,5 +212,4 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     root = root or scratch(docs.sparkSession)
     index = store(docs, root)
     found = features(index, root).join(headers(index, root), "digest")
-    placed = index.select("digest", F.concat(F.lit(f"{root}/"), "shard").alias("shard"), "offset", "length").join(found, "digest")
-    return addresses(docs).join(placed, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length")
+    return addresses(docs).join(found, "digest").withColumn("shard", F.concat(F.lit(f"{root}/"), "shard")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "digest", "shard", "offset", "length")
