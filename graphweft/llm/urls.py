@@ -109,19 +109,19 @@ def templates(pages: DataFrame) -> DataFrame:
         steps = children.join(parents, node).withColumn("step", step)
         # what the least and the greatest tail of a branch begin with, all between them begin with, too: no need for a round
         common = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
-        branches = steps.groupBy(*node, "step").agg(*sums, F.first("all_labelled").alias("n"), F.first("all_blocked").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+        branches = steps.groupBy(*node, "step").agg(*sums, F.first("all_labelled").alias("n"), F.first("all_blocked").alias("k"), F.sum("shapes").alias("own_shapes"), F.min("low").alias("low"), F.max("high").alias("high"))
         branches = branches.withColumn("same", F.when(common == 0, F.size("low")).otherwise(common - 1).cast("int")).drop("low", "high")
         share = F.try_divide(F.col("k"), F.col("n"))
         apart = F.abs(F.col("blocked") - F.col("labelled") * share) > DEVIATIONS * F.sqrt(F.col("labelled") * share * (1 - share))
         branches = branches.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumnsRenamed({"labelled": "own_labelled", "blocked": "own_blocked"})
         alike = lambda c: F.sum(F.when(~F.col("apart"), F.col(c)))
         merged = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), alike("own_labelled").alias("merged_labelled"), alike("own_blocked").alias("merged_blocked"))
-        told = steps.select(*node, "segment", "step", "all_shapes").join(branches.select(*node, "step", "apart", "same", "own_labelled", "own_blocked"), [*node, "step"]).join(merged, node)
+        told = steps.select(*node, "segment", "step", "all_shapes").join(branches.select(*node, "step", "apart", "same", "own_shapes", "own_labelled", "own_blocked"), [*node, "step"]).join(merged, node)
         alone, pick = F.col("all_shapes") == 1, lambda c: F.when(F.col("apart"), F.col(f"own_{c}")).otherwise(F.col(f"merged_{c}"))
         purity = F.when(alone | (F.col("branches") == 1), F.col("purity")).otherwise(smoothed(pick("blocked"), pick("labelled"), F.col("purity")))
         joined = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("/"), F.array_join(c, "/"))).otherwise(F.lit(""))
         added = F.when(alone, joined(F.col("rest"))).otherwise(F.concat("step", joined(F.slice(tail, F.lit(1), F.col("same")))))
-        after = live.join(told, [*node, "segment"]).select("host", "shape", "pages", "labelled", "blocked", purity.alias("purity"), F.concat("template", added).alias("template"), F.slice(tail, F.col("same") + 1, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), (alone | (F.col("segment") == "")).alias("ended"))
+        after = live.join(told, [*node, "segment"]).select("host", "shape", "pages", "labelled", "blocked", purity.alias("purity"), F.concat("template", added).alias("template"), F.slice(tail, F.col("same") + 1, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), (alone | (F.col("segment") == "") | (F.col("own_shapes") == 1)).alias("ended"))
         after = materialise(after)
         done = after.filter("ended").select(*columns)
         ended = done if ended is None else ended.union(done)
