@@ -53,11 +53,13 @@ def hit_rate(batch_nodes: DataFrame, cache: DataFrame) -> DataFrame:
     return total.select("accesses", "hits", (100 * F.col("hits") / F.col("accesses")).alias("hit_percent"))
 
 
-def access_percentiles(counts: DataFrame) -> DataFrame:
-    """group (all, accessed), p50, p75, p90, p99, mean of counts, interpolated."""
-    groups = counts.select("cnt", F.explode(F.when(F.col("cnt") > 0, F.array(F.lit("all"), F.lit("accessed"))).otherwise(F.array(F.lit("all")))).alias("grp"))
-    p = [(F.percentile("cnt", F.lit(q / 100))).alias(f"p{q}") for q in (50, 75, 90, 99)]
-    return groups.groupBy("grp").agg(*p, F.avg("cnt").alias("mean"))
+def access_percentiles(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """grp (all, members, accessed), p50, p75, p90, p99, mean of counts, interpolated."""
+    flagged = counts.join(members.select("node_id", F.lit(True).alias("member")), "node_id", "left")
+    groups = F.array_compact(F.array(F.lit("all"), F.when(F.col("member"), "members"), F.when(F.col("cnt") > 0, "accessed")))
+    rows = flagged.select("cnt", F.explode(groups).alias("grp"))
+    p = [F.percentile("cnt", F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 99)]
+    return rows.groupBy("grp").agg(*p, F.avg("cnt").alias("mean"))
 
 
 def budget_curve(counts: DataFrame, members: DataFrame, budgets: list[int]) -> DataFrame:
@@ -109,6 +111,14 @@ def lru(accesses: DataFrame, capacity: int, static: int = 0) -> DataFrame:
     return accesses.groupBy("worker").applyInPandas(run, "worker int, batch_id long, accesses long, hits long")
 
 
+def reranked(batch_nodes: DataFrame, every: int, size: int) -> DataFrame:
+    """interval, node_id, place: the cache built anew after each ``every`` batches, of the nodes that were accessed most in
+    them; it serves the interval after them, which is the one named. Spark drops what is beyond ``size`` before it shuffles."""
+    counted = batch_nodes.groupBy((F.floor(F.col("batch_id") / every) + 1).cast("long").alias("interval"), "node_id").agg(F.count(F.lit(1)).alias("cnt"))
+    place = F.row_number().over(Window.partitionBy("interval").orderBy(F.desc("cnt"), "node_id"))
+    return counted.withColumn("place", place).filter(F.col("place") <= size).select("interval", "node_id", (F.col("place") - 1).alias("place"))
+
+
 def cache_plan(counts: DataFrame, degree: DataFrame, policy: str, fill: str, size: int) -> DataFrame:
     """node_id, place, area of a cache: static; lru (all slots move); hybrid (half of each)."""
     if policy not in ("static", "hybrid", "lru") or fill not in ("count", "degree"):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import key
-from graphweft.functions.ranking import global_rank
+from graphweft.functions.ranking import global_rank, running_total
 from graphweft.functions.storage import materialise
 from graphweft.operators.canonical import degrees
 
@@ -90,8 +90,10 @@ def lower_quantile(values: DataFrame, value: str, fraction: float) -> DataFrame:
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be in [0, 1]")
     counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    up_to = counts.withColumn("last", F.sum("n").over(Window.orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return up_to.filter(F.col("last") > F.floor(F.lit(fraction) * (F.col("all") - 1))).agg(F.coalesce(F.min("v"), F.lit(-1)).cast("long").alias("threshold"))
+    ranked = running_total(counts, [F.col("v")], "n", "before")
+    place = ranked.agg(F.floor(F.lit(fraction) * (F.sum("n") - 1)).alias("place"))  # one row
+    found = ranked.crossJoin(F.broadcast(place)).filter(F.col("before") + F.col("n") > F.col("place"))
+    return found.agg(F.coalesce(F.min("v"), F.lit(-1)).cast("long").alias("threshold"))
 
 
 def keep_inter(with_degree: DataFrame, fraction: float) -> DataFrame:

@@ -578,6 +578,11 @@ def _(s, d):
     return cache.cache_plan(_accesses(s, d)[2], canonical.degrees(edges, nodes), "hybrid", "count", SLOTS)
 
 
+@query("cache_rerank", f"{_sampled_sql(FANOUTS)}, k AS (SELECT batch_id // 2 + 1 AS interval, node_id, count(*) AS cnt FROM batch_nodes GROUP BY 1, 2) SELECT CAST(interval AS BIGINT) AS interval, node_id, CAST(place - 1 AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY interval ORDER BY cnt DESC, node_id) AS place FROM k) WHERE place <= {SLOTS}")
+def _(s, d):
+    return cache.reranked(_sampled(s, d, FANOUTS)[0], 2, SLOTS)
+
+
 @query("cache_hit_rate", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, {_CACHE}, f AS (SELECT count(*) AS accesses, count(c.node_id) AS hits FROM batch_nodes b LEFT JOIN cache c ON c.node_id = b.node_id) SELECT accesses, hits, round(100 * hits / accesses, 2) AS hit_percent FROM f")
 def _(s, d):
     batch_nodes, _, counts = _accesses(s, d)
@@ -598,9 +603,9 @@ def _(s, d):
     return rounded(cache.forced_fill(counts, canonical.degrees(edges, nodes), cache.top_by_count(counts, 1500)))
 
 
-@query("access_percentiles", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, g AS (SELECT 'all' AS grp, cnt FROM counts UNION ALL SELECT 'accessed', cnt FROM counts WHERE cnt > 0) SELECT grp, round(quantile_cont(cnt, 0.5), 6) AS p50, round(quantile_cont(cnt, 0.75), 6) AS p75, round(quantile_cont(cnt, 0.9), 6) AS p90, round(quantile_cont(cnt, 0.99), 6) AS p99, round(avg(cnt), 6) AS mean FROM g GROUP BY 1")
+@query("access_percentiles", f"{_sampled_sql(FANOUTS)}, {_COUNTS}, g AS (SELECT 'all' AS grp, cnt FROM counts UNION ALL SELECT 'members', cnt FROM counts WHERE node_id IN (SELECT node_id FROM nodes WHERE split = 'train') UNION ALL SELECT 'accessed', cnt FROM counts WHERE cnt > 0) SELECT grp, round(quantile_cont(cnt, 0.5), 6) AS p50, round(quantile_cont(cnt, 0.75), 6) AS p75, round(quantile_cont(cnt, 0.9), 6) AS p90, round(quantile_cont(cnt, 0.99), 6) AS p99, round(avg(cnt), 6) AS mean FROM g GROUP BY 1")
 def _(s, d):
-    return rounded(cache.access_percentiles(_accesses(s, d)[2]))
+    return rounded(cache.access_percentiles(_accesses(s, d)[2], _train(fx.nodes(s, d))))
 
 
 @query("cache_lru_sim")
@@ -913,19 +918,37 @@ def _(s, d):
     return s.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], "epoch int, loss double, accuracy double")
 
 
-@query("train_checkpoints")
-def _(s, d):
-    """Weights of each epoch are written, read again and evaluated on two draws: epoch, valid, test_max, test_mean, is_best."""
+def _trained(s: SparkSession, d: str, n: int):
+    """Some epochs' weights, written: edges, nodes, options, path."""
     edges, nodes = (materialise(x) for x in _cop(s, d))
     options, path = _options(graph="original", factor=None, order="global"), scratch(s)
     model = gnn.build_model("trainable", 2, 8, CLASSES)
-    optimiser, runs = gnn.Adam(model.p), []
-    for epoch in range(2):
+    optimiser = gnn.Adam(model.p)
+    for epoch in range(n):
         gnn.train_epoch(model, optimiser, *epochs.prepare(edges, nodes, epoch, options).sample(options, epoch), _arrays(nodes), 0.2, epoch, workers=4)
         gnn.save_model(s, model, path, epoch)
+    return edges, nodes, options, path
+
+
+@query("train_checkpoints")
+def _(s, d):
+    """Weights of each epoch are written, read again and evaluated on two draws: epoch, valid, test_max, test_mean, is_best."""
+    edges, nodes, options, path = _trained(s, d, 2)
+    runs = []
     for repeat in range(2):
         drawn = {split: epochs.evaluation(edges, nodes, split, options, repeat) for split in ("valid", "test")}
         for epoch in range(2):
             saved = gnn.load_model(s, path, epoch)
             runs.append((epoch, repeat, *[float(gnn.evaluate_model(saved, *drawn[split], _arrays(nodes))[1]) for split in ("valid", "test")]))
     return metrics.checkpoint_table(s.createDataFrame(runs, "epoch int, repeat int, valid double, test double")).drop("tests")
+
+
+@query("train_select")
+def _(s, d):
+    """The epoch that is best on the valid nodes, and its accuracy on the test nodes, measured again on two draws."""
+    edges, nodes, options, path = _trained(s, d, 2)
+    drawn = epochs.evaluation(edges, nodes, "valid", options)
+    valid = [(e, float(gnn.evaluate_model(gnn.load_model(s, path, e), *drawn, _arrays(nodes))[1])) for e in range(2)]
+    best = metrics.best_epoch(s.createDataFrame(valid, "epoch int, valid double"), "valid").first()
+    again = metrics.mean_and_deviation(epochs.retest(s, path, best.epoch, edges, nodes, _arrays(nodes), options, 2), "accuracy")
+    return again.select(F.lit(best.epoch).alias("epoch"), F.lit(best.valid).alias("valid"), "mean", "deviation")
