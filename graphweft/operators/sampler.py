@@ -89,11 +89,11 @@ def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int], filters: Filt
     """(batch_id, local_id, node_id, hop) and (batch_id, src_local, dst_local, hop) from seeds (batch_id, node_id, pos).
 
     A seed that a batch has twice counts once. hop of an edge is the hop in which it was drawn, from 1. Edges are written
-    once, sorted by dst; a hop whose frontier is small enough for Spark's own limit is broadcast to them, so that they
+    once; a hop whose frontier is small enough for Spark's own limit is broadcast to them, so that they
     aren't shuffled, and for a larger one both sides are.
     """
     filters = filters or Filters()
-    edges = materialise(edges.select("dst", "src").repartitionByRange("dst").sortWithinPartitions("dst"))
+    edges = materialise(edges.select("dst", "src"))
     first = seeds.groupBy("batch_id", "node_id").agg(F.min("pos").alias("pos"))
     numbered = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos", "node_id")) - 1
     visited = materialise(first.select("batch_id", numbered.cast("long").alias("local_id"), "node_id", F.lit(0).alias("hop")))
