@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import licenses, mixing, substrings, urls
+from graphweft.llm import audit, licenses, mixing, substrings, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,3 +90,22 @@ WITH RECURSIVE parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url,
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.given, CASE WHEN purity > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM shaped s LEFT JOIN walk t ON t.ended AND t.host = s.host AND t.shape = s.shape
 """
+
+_ONE_OF_EACH = " AND ".join(f"{a}.f <> {b}.f" for i, a in enumerate("vwxyz") for b in "vwxyz"[:i])
+#: Counts by the filters that a document fails, and for each order the first of these in it.
+AUDIT = f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy FROM documents),
+     words AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws FROM texts),
+     failing AS (SELECT doc_id, part, concat(CASE WHEN len(ws) < {audit.LEAST_WORDS} THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < {audit.LEAST_DISTINCT} * len(ws) THEN 'B' END,
+                        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.MOST_CAPITALS} * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN copy THEN 'E' END) AS fails FROM words),
+     marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+     groups AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS t FROM failing LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+     letters AS (SELECT unnest(string_split('A B C D E', ' ')) AS f),
+     orders AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM letters v, letters w, letters x, letters y, letters z WHERE {_ONE_OF_EACH}),
+     met AS (SELECT *, list_min(list_filter(range(1, 6), lambda i: contains(fails, filter_order[i]))) AS first FROM orders, groups),
+     steps AS (SELECT part, filter_order, step, filter_order[step] AS f, coalesce(sum(n) FILTER (WHERE first IS NULL OR first > step), 0) AS kept, coalesce(sum(n) FILTER (WHERE first = step), 0) AS removed,
+                      coalesce(sum(n) FILTER (WHERE contains(fails, filter_order[step]) AND first < step), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = filter_order[step]), 0) AS unique_fails,
+                      coalesce(sum(g) FILTER (WHERE first = step), 0) AS good_lost, coalesce(sum(t) FILTER (WHERE first = step), 0) AS toxic_lost FROM met, range(1, 6) s(step) GROUP BY 1, 2, 3)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM steps
+"""

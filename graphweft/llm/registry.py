@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, substrings, toxicity, urls
+from graphweft.llm import audit, bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, substrings, toxicity, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "license_base": license_base,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media_columns": op10_media_columns,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES, "op11_filter_audit": oracles.AUDIT}
