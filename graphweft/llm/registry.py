@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import audit, bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, substrings, toxicity, urls
+from graphweft.llm import audit, bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, packing, substrings, toxicity, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabulary of op9; the path is a parameter of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Vocabulary of op12.
+PACKING_VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary_path() -> str:
@@ -70,6 +72,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -83,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media_columns": op10_media_columns,
     "op11_filter_audit": op11_filter_audit,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES, "op11_filter_audit": oracles.AUDIT}
