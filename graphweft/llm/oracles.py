@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import audit, licenses, mixing, substrings, urls
+from graphweft.llm import audit, licenses, mixing, phrases, substrings, urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -109,3 +109,17 @@ WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') A
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM steps
 """
+
+PHRASES = f"""
+WITH pieces AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS ws FROM (SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+     sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY 1),
+     places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+     f AS (SELECT lang, d, g, count(*) AS f FROM (SELECT lang, d, ws[i : i + d - 1] AS g FROM places, range(1, {phrases.LONGEST + 1}) r(d) WHERE i + d - 1 <= len(ws)) GROUP BY 1, 2, 3 HAVING count(*) >= {phrases.LEAST}),
+     c AS (SELECT lang, d, g, f AS a FROM f WHERE d > 1),
+     cuts AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, (CAST({phrases.SCALE} AS HUGEINT) * c.a) // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, d)) AS k FROM c) c
+              JOIN f x ON x.lang = c.lang AND x.g = c.g[:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+     scored AS (SELECT lang, g, a, min((score, k, l, r)) AS cut FROM (SELECT lang, g, a, {{'score': score, 'k': k, 'l': l, 'r': r}} AS s, score, k, l, r FROM cuts) GROUP BY 1, 2, 3),
+     inner_ AS (SELECT lang, g[s : s + n - 1] AS g, max(a) AS longer FROM c, range(2, {phrases.LONGEST}) t(n), range(1, {phrases.LONGEST}) u(s) WHERE n < d AND s + n - 1 <= d GROUP BY 1, 2),
+     kept AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, s.cut[3] AS l, s.cut[4] AS r, CAST(s.cut[1] AS BIGINT) AS score FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.g = s.g WHERE longer IS NULL OR 100 * longer < {phrases.DROP_SHARE} * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN sizes USING (lang) WHERE rank <= {phrases.TOP}
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import audit, bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, packing, substrings, toxicity, urls
+from graphweft.llm import audit, bpe, licenses, lines, media, mixing, neighbours, ngrams, oracles, packing, phrases, substrings, toxicity, urls
 from graphweft.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_VOCABULARY))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op10_media_columns": op10_media_columns,
     "op11_filter_audit": op11_filter_audit,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
-SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES, "op11_filter_audit": oracles.AUDIT}
+SQL: dict[str, str] = {"op1_line_dedup": lines.SQL, "op4_source_mixing": oracles.MIXING, "op5_substring_dedup": oracles.SUBSTRINGS, "op7_url_filters": oracles.URLS, "license_base": oracles.LICENSES, "op11_filter_audit": oracles.AUDIT, "op13_phrase_mining": oracles.PHRASES}
