@@ -6,9 +6,9 @@ documents of a shard lie in an order drawn from the seed; from a block drawn fro
 taken, going round, so most documents are taken whole or not at all, and any word at most MOST_REPEATS times.
 
 Defined results: null and empty texts have size 0 and nothing is taken of them. Null is a source by itself, the last
-one. Rows without a doc_id are named by their texts. Rows with one name lie next to each other in the order; repeated
-rows are counted one by one, and in the mix itself those with one name and size are treated as the first of them.
-Without words all targets are 0. Other columns are ignored.
+one. Rows without a doc_id are named by their texts. Rows of a source with one name and size are told apart by a number,
+which one has which is left open; all but the first are drawn by name and number, so that they lie apart. In the mix
+itself each row is taken as its own number says. Without words all targets are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.functions.ranking import ROW_BITS
 from graphweft.llm.common import WORD, materialise, n_words, unused
 
 #: Weights of the sources in the order of their names, again and again.
@@ -75,14 +76,43 @@ def name_of(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))
 
 
+#: Columns that tell rows from each other, with their number: the source's name with a letter before it, empty for null.
+GROUP = ["name", "size", "source_key"]
+#: Equal rows that one task writes out.
+RUN = 10_000
+
+
+def sizes_of(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"], docs["source"], n_words(docs["text"]).alias("size"), name_of(docs["doc_id"], docs["text"]).alias("name")]
+
+
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """The same rows with number: 1, 2, ... in each group. Equal rows are counted and written out again, in runs that
+    are dealt to tasks, so no group is ordered in one place."""
+    groups = sized.groupBy("doc_id", "source", "size", "name").agg(F.count(F.lit(1)).alias("n"))
+    runs = groups.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition("name", "size", "run")
+    first = F.col("run") * RUN + 1
+    return runs.select("doc_id", "source", "size", "name", F.explode(F.sequence(first, F.least(first + RUN - 1, F.col("n")))).alias("number"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where the cell's taken stretch lies: offset of the document,
     cell_size, rounds (times that all is taken), first and stretch (words taken once more, going round)."""
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name")))  # texts are counted once
+    return mix_sized(materialise(docs.select(*sizes_of(docs))), weights, block_words, shard_docs)  # texts are counted once
+
+
+def mix_sized(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """The same from rows (doc_id, source, size, name), and which row of its group (GROUP, number) each is."""
     per = targets(sized, weights)
     # sources are few beside documents, but only Spark's own check of their size decides on a broadcast
-    shard = F.pmod(draw(F.lit("shard"), F.col("name")), F.ceil(F.col("source_docs") / shard_docs)).cast("int")
-    rows = sized.join(per, sized.source.eqNullSafe(per.source)).drop(per.source).withColumn("shard", shard)
+    label = F.when(F.col("number") > 1, F.concat_ws("#", "name", "number")).otherwise(F.col("name"))
+    shard = F.pmod(draw(F.lit("shard"), F.col("label")), F.ceil(F.col("source_docs") / shard_docs)).cast("int")
+    rows = numbered(sized).withColumn("label", label)
+    rows = rows.join(per, rows.source.eqNullSafe(per.source)).drop(per.source).withColumn("shard", shard)
     cells = rows.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").cast("long").alias("cell_size"))
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(0.0)
 
@@ -97,23 +127,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
     quota = F.least("quota", blocks * int(MOST_REPEATS))
     # words of `extra` blocks from block `start` on, going round; the last block may be short
     cells = cells.withColumn("rounds", F.when(blocks > 0, F.floor(quota / blocks)).otherwise(0)).withColumn("extra", F.when(blocks > 0, quota - F.col("rounds") * blocks).otherwise(0)).withColumn("first", F.when(blocks > 0, F.pmod(draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), blocks)).otherwise(0) * block_words).withColumn("stretch", F.least(F.col("extra") * block_words, F.col("cell_size")))
-    order = Window.partitionBy("source", "shard").orderBy(draw(F.lit("order"), F.col("name")), "name", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "shard").orderBy(draw(F.lit("order"), F.col("label")), "label", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("long"))
     out = rows.join(cells.withColumnRenamed("source", "cell_source").withColumnRenamed("shard", "cell_shard"), F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
     low, high, size = F.col("offset"), F.col("offset") + F.col("size"), F.col("cell_size")
     inside = lambda a, b: F.greatest(F.least(high, b) - F.greatest(low, a), F.lit(0))
     end = F.col("first") + F.col("stretch")
     once = inside(F.col("first"), F.least(end, size)) + inside(F.lit(0), F.greatest(end - size, F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).cast("long").alias("taken"), "offset", "cell_size", "rounds", "first", "stretch", "name")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + once).cast("long").alias("taken"), "offset", "cell_size", "rounds", "first", "stretch", "name", source_key(F.col("source")).alias("source_key"), "number")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands in it once for each time it is taken whole, and once
     more, cut to the taken words with single spaces, where a stretch ends inside it."""
-    own_name, own_size, own_at, own_copy = unused(docs, "own_name", "own_size", "own_at", "own_copy")
-    place = F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken")
-    mixed = mix(docs, **options).filter("taken > 0").groupBy(F.col("name").alias(own_name), F.col("size").alias(own_size)).agg(F.min(place).alias(own_at))
-    rows = docs.join(mixed, (name_of(docs.doc_id, docs.text) == F.col(own_name)) & (n_words(F.col("text")) == F.col(own_size)))
+    own_row, own_name, own_size, own_at, own_copy = unused(docs, "own_row", "own_name", "own_size", "own_at", "own_copy")
+    _, _, size, name = sizes_of(docs)
+    # rows are numbered where they are written: a task's number is above the bits that count its rows
+    rows = materialise(docs.withColumns({own_row: F.monotonically_increasing_id(), own_size: size, own_name: name}))
+    sized = rows.select("doc_id", "source", F.col(own_size).alias("size"), F.col(own_name).alias("name"))
+    place = F.struct("offset", "cell_size", "rounds", "first", "stretch", "taken").alias(own_at)
+    taken = mix_sized(sized, **options).filter("taken > 0").select(*GROUP, "number", place)
+    ids = rows.select(F.col(own_name).alias("name"), F.col(own_size).alias("size"), source_key(F.col("source")).alias("source_key"), F.col(own_row).alias("row"), F.shiftright(own_row, ROW_BITS).alias("task"))
+    earlier = Window.partitionBy(*GROUP).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    shifts = ids.groupBy(*GROUP, "task").agg(F.count(F.lit(1)).alias("n")).select(*GROUP, "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    ids = ids.withColumn("number", F.row_number().over(Window.partitionBy(*GROUP, "task").orderBy("row")))  # of a task's rows
+    ids = ids.join(shifts, [*GROUP, "task"]).select(*GROUP, (F.col("number") + F.col("shift")).alias("number"), "row")
+    rows = rows.join(ids.join(taken, [*GROUP, "number"]).select(F.col("row").alias(own_row), own_at), own_row)
     at, size = F.col(own_at), F.col(own_size)
     rounds = at["rounds"]
     rest = at["taken"] - rounds * size

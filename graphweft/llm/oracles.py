@@ -37,7 +37,8 @@ def _draw(*parts: str) -> str:
 
 _B = mixing.BLOCK_WORDS
 MIXING = f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
+WITH named AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents),
+     sized AS (SELECT doc_id, source, size, name || CASE WHEN number > 1 THEN '#' || number ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, name) AS number FROM named)),
      per0 AS (SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
      per1 AS (SELECT *, CAST({list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight, CAST(source_size * {mixing.MOST_REPEATS} AS DOUBLE) AS most FROM per0),
      per2 AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS rate FROM per1
