@@ -79,14 +79,19 @@ WITH RECURSIVE parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url,
      walk AS (SELECT host, shape, pages, labelled, blocked, '' AS template, shape AS rest, CAST(p AS DOUBLE) AS purity, false AS ended FROM nodes JOIN hosts USING (host)
               UNION ALL
               SELECT host, shape, pages, labelled, blocked, template || CASE WHEN shapes > 1 THEN step ELSE coalesce('/' || nullif(array_to_string(rest, '/'), ''), '') END, rest[2:],
-                     CAST(CASE WHEN shapes = 1 OR branches = 1 THEN purity WHEN apart THEN (k + {_M} * purity) / (n + {_M})
+                     CAST(CASE WHEN shapes = 1 OR branches = 1 THEN purity
+                               WHEN n = 0 AND known > 0 AND NOT (abs(own_pages - known_pages / known) <= {urls.DEVIATIONS} * sqrt(own_pages + known_pages / known)
+                                    AND abs(own_starred / own_pages - known_starred / known_pages) <= {urls.DEVIATIONS} * sqrt((own_starred + known_starred) / (own_pages + known_pages) * (1 - (own_starred + known_starred) / (own_pages + known_pages)) * (1 / own_pages + 1 / known_pages)))
+                                    THEN purity * (2 * least(own_pages, known_pages / known) / (own_pages + known_pages / known) * (1 - abs(own_starred / own_pages - known_starred / known_pages)))
+                               WHEN apart THEN (k + {_M} * purity) / (n + {_M})
                                ELSE (sum(blocked) FILTER (WHERE NOT apart) OVER node + {_M} * purity) / (sum(labelled) FILTER (WHERE NOT apart) OVER node + {_M}) END AS DOUBLE), shapes = 1 OR segment = ''
               FROM (SELECT *, coalesce(abs(k - n * whole_k / nullif(whole_n, 0)) > {urls.DEVIATIONS} * sqrt(n * (whole_k / nullif(whole_n, 0)) * (1 - whole_k / nullif(whole_n, 0))), false) AS apart
-                    FROM (SELECT *, sum(labelled) OVER branch AS n, sum(blocked) OVER branch AS k, sum(labelled) OVER node AS whole_n, sum(blocked) OVER node AS whole_k, count(DISTINCT step) OVER node AS branches
+                    FROM (SELECT *, count(DISTINCT CASE WHEN n > 0 THEN step END) OVER node AS known, sum(CASE WHEN n > 0 THEN pages END) OVER node AS known_pages, sum(CASE WHEN n > 0 THEN starred END) OVER node AS known_starred FROM (
+                          SELECT *, sum(pages) OVER branch AS own_pages, sum(starred) OVER branch AS own_starred, sum(labelled) OVER branch AS n, sum(blocked) OVER branch AS k, sum(labelled) OVER node AS whole_n, sum(blocked) OVER node AS whole_k, count(DISTINCT step) OVER node AS branches
                           FROM (SELECT *, CASE WHEN segment = '' THEN '' WHEN children > {urls.CHILDREN} AND support < {urls.RARE} THEN '/*' ELSE '/' || segment END AS step
                                 FROM (SELECT *, sum(pages) OVER (PARTITION BY host, template, segment) AS support, count(DISTINCT segment) OVER node AS children, count(*) OVER node AS shapes
-                                      FROM (SELECT *, coalesce(rest[1], '') AS segment FROM walk WHERE NOT ended) WINDOW node AS (PARTITION BY host, template)))
-                          WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, step)))
+                                      FROM (SELECT *, coalesce(rest[1], '') AS segment, CASE WHEN rest[2] = '*' THEN pages ELSE 0 END AS starred FROM walk WHERE NOT ended) WINDOW node AS (PARTITION BY host, template)))
+                          WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, step)) WINDOW node AS (PARTITION BY host, template)))
               WINDOW node AS (PARTITION BY host, template))
 SELECT s.page_id, s.host, s.path, s.rule, coalesce(s.given, CASE WHEN purity > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM shaped s LEFT JOIN walk t ON t.ended AND t.host = s.host AND t.shape = s.shape

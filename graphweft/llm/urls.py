@@ -2,11 +2,13 @@
 
 Paths are cut in segments. Segments that look generated (numbers, hexadecimal digests, long mixed names) become
 wildcards at once, and a segment that repeats itself counts once; level by level, a node's rare segments become one
-wildcard where it has many children. Pages are labelled by the rules (or a table of labels). Branches of one node whose
-blocked share isn't significantly different from the node's are merged; those without labelled pages are among them.
-Shares are smoothed towards the level above, from the top-level domain through subdomains to the host, and from there
-along the path, so a branch without labels has what its parent has; above the top-level domain stands 0. A template is
-rejected when its smoothed blocked share is above one half.
+wildcard where it has many children. Pages are labelled by the rules (or a table of labels). Labelled branches of one
+node whose blocked share isn't significantly different from the node's are merged. A branch without labelled pages joins
+them if it is like the labelled ones by two-sample tests: of its number of pages against theirs, and of the share of
+pages that go on with a generated segment. If it isn't, it has what its parent has, weighed by how much of the two
+it shares with them. Shares are smoothed towards the level above, from the top-level domain through subdomains to the
+host, and from there along the path; above the top-level domain stands 0, and where a node has no labelled branch its
+branches have what it has. A template is rejected when its smoothed blocked share is above one half.
 
 Levels go on until each page's template is told from all others of its host: what is left of a path that no other page
 shares isn't split further, so there are as many rounds as the tree has levels that branch, whatever the paths' length.
@@ -86,6 +88,25 @@ def host_shares(nodes: DataFrame) -> DataFrame:
     return levels.select("host", "level", "domain").join(domains, "domain").groupBy("host").agg(down["p"].alias("purity"))
 
 
+def _compared() -> tuple[Column, Column, Column, Column]:
+    """Pages of a branch and of the mean labelled one beside it, and their shares of pages with a generated segment next."""
+    return F.col("own_pages"), F.try_divide(F.col("known_pages"), F.col("known")), F.col("own_starred") / F.col("own_pages"), F.try_divide(F.col("known_starred"), F.col("known_pages"))
+
+
+def like() -> Column:
+    """Do neither the number of pages nor the share of generated segments differ significantly from the labelled branches'?"""
+    pages, mean, share, other = _compared()
+    both = (F.col("own_starred") + F.col("known_starred")) / (F.col("own_pages") + F.col("known_pages"))
+    counts = F.abs(pages - mean) <= DEVIATIONS * F.sqrt(pages + mean)
+    return counts & (F.abs(share - other) <= DEVIATIONS * F.sqrt(both * (1 - both) * (1 / pages + F.try_divide(F.lit(1), F.col("known_pages")))))
+
+
+def likeness() -> Column:
+    """1 for a branch with as many pages and as large a share as the labelled ones, falling to 0."""
+    pages, mean, share, other = _compared()
+    return 2 * F.least(pages, mean) / (pages + mean) * (1 - F.abs(share - other))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, shape, template, purity from rows (host, shape, blocked: 1, 0 or null).
 
@@ -102,23 +123,25 @@ def templates(pages: DataFrame) -> DataFrame:
     while True:
         live = live.withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
         tail = F.slice("rest", F.lit(2), F.greatest(F.size("rest"), F.lit(1)))
-        children = live.groupBy(*node, "segment").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("shapes"), F.min(tail).alias("low"), F.max(tail).alias("high"), *sums)
+        children = live.groupBy(*node, "segment").agg(F.sum("pages").alias("pages"), F.sum(F.when(F.get("rest", F.lit(1)) == "*", F.col("pages")).otherwise(0)).alias("starred"), F.count(F.lit(1)).alias("shapes"), F.min(tail).alias("low"), F.max(tail).alias("high"), *sums)
         parents = children.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("shapes").alias("all_shapes"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
         wild = (F.col("children") > CHILDREN) & (F.col("pages") < RARE)
         step = F.when(F.col("segment") == "", F.lit("")).when(wild, F.lit("/*")).otherwise(F.concat(F.lit("/"), "segment"))
         steps = children.join(parents, node).withColumn("step", step)
         # what the least and the greatest tail of a branch begin with, all between them begin with, too: no need for a round
         common = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
-        branches = steps.groupBy(*node, "step").agg(*sums, F.first("all_labelled").alias("n"), F.first("all_blocked").alias("k"), F.sum("shapes").alias("own_shapes"), F.min("low").alias("low"), F.max("high").alias("high"))
+        branches = steps.groupBy(*node, "step").agg(*sums, F.sum("pages").alias("own_pages"), F.sum("starred").alias("own_starred"), F.first("all_labelled").alias("n"), F.first("all_blocked").alias("k"), F.sum("shapes").alias("own_shapes"), F.min("low").alias("low"), F.max("high").alias("high"))
         branches = branches.withColumn("same", F.when(common == 0, F.size("low")).otherwise(common - 1).cast("int")).drop("low", "high")
         share = F.try_divide(F.col("k"), F.col("n"))
         apart = F.abs(F.col("blocked") - F.col("labelled") * share) > DEVIATIONS * F.sqrt(F.col("labelled") * share * (1 - share))
         branches = branches.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumnsRenamed({"labelled": "own_labelled", "blocked": "own_blocked"})
         alike = lambda c: F.sum(F.when(~F.col("apart"), F.col(c)))
-        merged = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), alike("own_labelled").alias("merged_labelled"), alike("own_blocked").alias("merged_blocked"))
-        told = steps.select(*node, "segment", "step", "all_shapes").join(branches.select(*node, "step", "apart", "same", "own_shapes", "own_labelled", "own_blocked"), [*node, "step"]).join(merged, node)
+        known = lambda c: F.coalesce(F.sum(F.when(F.col("own_labelled") > 0, c)), F.lit(0))
+        merged = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), alike("own_labelled").alias("merged_labelled"), alike("own_blocked").alias("merged_blocked"), known(F.lit(1)).alias("known"), known(F.col("own_pages")).alias("known_pages"), known(F.col("own_starred")).alias("known_starred"))
+        told = steps.select(*node, "segment", "step", "all_shapes").join(branches.select(*node, "step", "apart", "same", "own_shapes", "own_labelled", "own_blocked", "own_pages", "own_starred"), [*node, "step"]).join(merged, node)
         alone, pick = F.col("all_shapes") == 1, lambda c: F.when(F.col("apart"), F.col(f"own_{c}")).otherwise(F.col(f"merged_{c}"))
-        purity = F.when(alone | (F.col("branches") == 1), F.col("purity")).otherwise(smoothed(pick("blocked"), pick("labelled"), F.col("purity")))
+        strange = (F.col("own_labelled") == 0) & (F.col("known") > 0) & ~like()
+        purity = F.when(alone | (F.col("branches") == 1), F.col("purity")).when(strange, F.col("purity") * likeness()).otherwise(smoothed(pick("blocked"), pick("labelled"), F.col("purity")))
         joined = lambda c: F.when(F.size(c) > 0, F.concat(F.lit("/"), F.array_join(c, "/"))).otherwise(F.lit(""))
         added = F.when(alone, joined(F.col("rest"))).otherwise(F.concat("step", joined(F.slice(tail, F.lit(1), F.col("same")))))
         after = live.join(told, [*node, "segment"]).select("host", "shape", "pages", "labelled", "blocked", purity.alias("purity"), F.concat("template", added).alias("template"), F.slice(tail, F.col("same") + 1, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), (alone | (F.col("segment") == "") | (F.col("own_shapes") == 1)).alias("ended"))

@@ -50,3 +50,24 @@ def test_a_level_with_the_same_pages_counts_once(spark):
     """One labelled page isn't more evidence for lying below three domains and a long path."""
     one = verdicts(spark, ["http://a.b.c.org/x/y/z/1"], [(0, 1)], (("allow", "none", "/"),))[0]
     assert abs(one.purity - 1 / 3) < 1e-12 and one.template == "/x/y/z/*"
+
+
+def test_unlabelled_branches_of_one_host_get_their_own_verdicts(spark):
+    """Rules block es and fr. A branch like them goes with them; one of another size or with other segments doesn't."""
+    sizes = {"es": 9, "fr": 11, "de": 10, "en": 120}
+    addresses = [f"http://shop.net/{lang}/{1000 + i}" for lang, n in sizes.items() for i in range(n)]
+    named = [f"http://shop.net/docs/{a}{b}" for a in "abcd" for b in "xyz"]
+    got = verdicts(spark, addresses + named)
+    by_branch = {}
+    for i, r in got.items():
+        by_branch.setdefault((addresses + named)[i].split("/")[3], set()).add((r.rule, r.verdict))
+    assert by_branch == {"es": {("net/es/", "block")}, "fr": {("net/fr/", "block")}, "de": {(None, "block")}, "en": {(None, "allow")}, "docs": {(None, "allow")}}
+    purity = {(addresses + named)[i].split("/")[3]: r.purity for i, r in got.items()}
+    assert purity["de"] > 0.9 and purity["docs"] == 0.0 and abs(purity["en"] - purity["de"] * 2 * 10 / 130) < 0.05
+
+
+def test_a_branch_is_compared_only_with_labelled_ones(spark):
+    """Without labelled branches in a node its branches have what it has, however they differ."""
+    addresses = [f"http://a.net/es/{i}" for i in range(5)] + [f"http://b.net/big/{i}" for i in range(60)] + ["http://b.net/small/x"]
+    got = verdicts(spark, addresses)
+    assert {r.verdict for i, r in got.items() if i >= 5} == {"block"}
