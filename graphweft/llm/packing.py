@@ -20,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from graphweft.llm import bpe
-from graphweft.llm.common import materialise, slices, text_session
+from graphweft.llm.common import materialise, text_session
 
 CAPACITY = 1024
-#: Fixed value: the id after each document.
+#: The id after each document, and what byte-level vocabularies of this kind cut texts by.
 END_ID = 2
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,7 +57,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(letters.__getitem__, t)): i for t, i in vocabulary.items()}
 
 
-def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, pattern: str = PATTERN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; task and at number the pieces of one length within a task.
 
     A document is encoded once. All pieces but the first have the full length.
@@ -64,33 +66,46 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("at", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, task, met = _cache(vocabulary_path, shared.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder, task, met = _encoder(vocabulary_path, shared.value, pattern), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts, bpe.SLICE):
-                ids, ends = bpe.encode_texts(texts[a:b], cache)
-                ids, rows, begin = ids.astype("<u4"), [], 0
-                for doc_id, stop in zip(doc_ids[a:b], ends.tolist()):
-                    raw, total = ids[begin:stop].tobytes() + end, stop - begin + 1
-                    begin, start, piece, size = stop, 0, 0, total % capacity or capacity
-                    while start < total:
-                        rows.append((doc_id, piece, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), task, met[size]))
-                        met[size] += 1
-                        start, piece, size = start + size, piece + 1, capacity
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = encoder.ids(text or "").astype("<u4", copy=False).tobytes() + end
+                total = len(raw) // 4
+                start, piece, size = 0, 0, total % capacity or capacity
+                while start < total:
+                    rows.append((doc_id, piece, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), task, met[size]))
+                    met[size] += 1
+                    start, piece, size = start + size, piece + 1, capacity
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length int, ids_crc32 long, task int, at long")
 
 
-_CACHES: dict[str, bpe.Pieces] = {}
+class Encoder:
+    """Ids of texts by the library; its regular expressions give up on very long runs of blanks, so long texts are cut into
+    pieces by this package's own scan."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.own = bpe.Pieces(ranks)
 
-def _cache(key: str, ranks: dict[bytes, int]) -> bpe.Pieces:
-    """One bounded cache for each worker process and vocabulary."""
-    if key not in _CACHES:
-        _CACHES[key] = bpe.Pieces(ranks)
-    return _CACHES[key]
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) <= bpe.SLICE:
+            return self.library.encode_to_numpy(text, disallowed_special=())
+        return bpe.encode_texts([text], self.own)[0].astype(np.uint32)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """One for each worker process and vocabulary."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(ranks, pattern)
+    return _ENCODERS[key]
 
 
 class Counts:

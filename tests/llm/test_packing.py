@@ -142,5 +142,13 @@ def test_pack(spark, capacity):
     assert checked(packing.pack(clashing, PATH, capacity), rows, capacity) == n
 
 
+def test_long_texts_are_encoded_like_others():
+    encoder, tokenizer = packing.Encoder(packing.load_ranks(PATH), packing.PATTERN), library()
+    text = "the new  \n\t don't 12 日本 " * 30_000
+    assert len(text) > packing.bpe.SLICE and encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.ids(" " * 2_000_000 + "a")) > 1000
+    assert packing.PATTERN == public_tokenizers.PATTERN
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
