@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from graphweft.llm.common import materialise
 
 K = 5
-#: Vectors a list is planned for, bounds of the sample (rows and numbers) and of the number of lists.
-LIST_ROWS, SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS = 128, 65_536, 1 << 23, 4096
+#: Vectors a list is planned for, bounds of the sample (rows and numbers), and its rows for each list.
+LIST_ROWS, SAMPLE_ROWS, SAMPLE_NUMBERS, ROWS_PER_LIST = 128, 65_536, 1 << 23, 8
 REPLICAS, BORDER = 4, 1.25
-#: How much farther lists may be that a query visits: the first of these with which RECALL of the sample's neighbours are
-#: met, as up to TRIALS vectors of the sample tell.
-RATIOS = (1.1, 1.15, 1.2, 1.25, 1.3, 1.35, 1.4, 1.5, 1.6, 1.7, 1.8, 2.0)
-RECALL, TRIALS = 0.95, 256
+#: Share of the sample's neighbours that are met with the ratio to which lists are visited, as up to TRIALS vectors of the
+#: sample tell.
+RECALL, TRIALS = 0.98, 512
 #: Neighbours of a centroid in the graph, and candidates that a search holds.
 DEGREE, BEAM = 16, 64
 #: Stored rows and queries of a group that is scored at once.
@@ -147,20 +146,26 @@ def probes(cosine: np.ndarray, owned: np.ndarray, need: int, ratio: float) -> np
 
 
 def fitted_ratio(sample: np.ndarray, centroids: np.ndarray, k: int = K) -> float:
-    """The least of RATIOS with which queries drawn from the sample meet RECALL of their k nearest in it."""
+    """The least ratio with which queries drawn from the sample meet RECALL of their k nearest in it, in any of the lists
+    that a neighbour is in: the share's quantile of the ratios that the neighbours need."""
     if len(sample) <= k + 1:
-        return RATIOS[-1]
-    near = np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(1) for i in range(0, len(sample), 4096)])
-    owned = np.bincount(near, minlength=len(centroids))
+        return np.inf
+    owned = np.bincount(np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(1) for i in range(0, len(sample), 4096)]), minlength=len(centroids))
     drawn = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
     score = sample[drawn] @ sample.T
     score[np.arange(len(drawn)), drawn] = -np.inf
-    lists = near[np.argpartition(-score, k - 1, axis=1)[:, :k]]
-    cosine = sample[drawn] @ centroids.T
-    for ratio in RATIOS:
-        if np.take_along_axis(probes(cosine, owned, k + 1, ratio), lists, 1).mean() >= RECALL:
-            return ratio
-    return RATIOS[-1]
+    near, of = np.unique(np.argpartition(-score, k - 1, axis=1)[:, :k], return_inverse=True)
+    graph = Graph(centroids)
+    found, cosine = graph.search(sample[near])
+    held = replicas(found, cosine, centroids @ centroids.T)
+    d = distance(sample[drawn] @ centroids.T)
+    ordered = np.argsort(d, axis=1, kind="stable")
+    last = np.minimum((np.cumsum(owned[ordered], axis=1) < k + 1).sum(1), d.shape[1] - 1)
+    reached = np.take_along_axis(np.take_along_axis(d, ordered, 1), last[:, None], 1)
+    of = of.reshape(len(drawn), k)
+    lists, taken = found[of].reshape(len(drawn), -1), held[of]
+    needed = np.where(taken, np.take_along_axis(d, lists, 1).reshape(taken.shape), np.inf).min(2) / reached
+    return max(1.0, float(np.quantile(needed, RECALL, method="higher")))
 
 
 def bundles(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +206,10 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
     bound = max(64, min(SAMPLE_ROWS, SAMPLE_NUMBERS // size))
     drawn = distinct.select("v").orderBy(F.xxhash64("a", F.lit(3)), "a").limit(bound).toPandas()["v"]  # bounded by the two SAMPLE constants
     sample = unit(np.stack(drawn.to_list()))
-    lists = 1 << max(0, min(MOST_LISTS, max(1, count // LIST_ROWS), max(1, len(sample) // 8)).bit_length() - 1)
+    lists = 1 << max(0, min(max(1, count // LIST_ROWS), max(1, len(sample) // ROWS_PER_LIST)).bit_length() - 1)
     centroids = balanced_centroids(sample, lists)
     ratio = fitted_ratio(sample, centroids, k)
-    shared = spark.sparkContext.broadcast(centroids)  # MOST_LISTS centroids at most
+    shared = spark.sparkContext.broadcast(centroids)  # of a part of the sample's size at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(shared.value)

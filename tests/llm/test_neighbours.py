@@ -46,21 +46,37 @@ def test_vectors_that_share_an_id(spark, monkeypatch):
     assert answers(spark, x[:3], "id = 0") == brute(x[:3], [0])
 
 
+def visits(x, lists):
+    """Share of the rows whose nearest list a query visits, as the operator fits and visits them."""
+    u = neighbours.unit(x)
+    sample = u[: neighbours.SAMPLE_ROWS]
+    centroids = neighbours.balanced_centroids(sample, lists)
+    ratio = neighbours.fitted_ratio(sample, centroids)
+    owned = np.bincount(np.concatenate([(u[i : i + 4096] @ centroids.T).argmax(1) for i in range(0, len(u), 4096)]), minlength=lists)
+    queries = u[:: max(1, len(u) // 300)]
+    visited = neighbours.probes(queries @ centroids.T, owned, 6, ratio)
+    return (visited * owned).sum() / (len(queries) * len(x))
+
+
+def test_visited_share_falls_with_the_table():
+    """Of spread vectors of 64 numbers, the hardest case, a larger table's queries visit a smaller share of it."""
+    r = np.random.default_rng(7)
+    shares = [visits(r.normal(size=(n, 64)), 1 << ((n // neighbours.LIST_ROWS).bit_length() - 1)) for n in (4500, 18_000, 72_000)]
+    print(shares)
+    assert shares[0] > 1.15 * shares[1] > 1.3 * shares[2] and shares[2] < 0.35
+
+
 def test_recall_with_many_lists(spark, monkeypatch):
-    """Of spread vectors many of the 512 lists are near enough to be visited, of grouped ones few."""
-    monkeypatch.setattr(neighbours, "LIST_ROWS", 8)
+    """Of spread vectors many lists are near enough to be visited, of grouped ones few."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 32)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
     r = np.random.default_rng(6)
     spread = r.normal(size=(4500, 32))
     groups = np.repeat(r.normal(size=(100, 32)), 45, axis=0) + 0.1 * spread
-    for x, most in ((spread, 1.0), (groups, 0.3)):
+    for x, most in ((spread, 0.6), (groups, 0.3)):
         queries = range(0, 4500, 50)
         got, true = answers(spark, x, "id % 50 = 0"), brute(x, queries)
         recall = np.mean([len(set(got[q]) & set(true[q])) / 5 for q in queries])
-        u = neighbours.unit(x)
-        centroids = neighbours.balanced_centroids(u, 512)
-        owned = np.bincount((u @ centroids.T).argmax(1), minlength=512)
-        visited = neighbours.probes(u[::50] @ centroids.T, owned, 6, neighbours.fitted_ratio(u, centroids))
-        share = (visited * owned).sum() / (len(visited) * len(x))
+        share = visits(x, 128)
         print(f"recall {recall:.4f}, share of rows in visited lists {share:.4f}")
-        assert recall >= 0.97 and share <= most
+        assert recall >= 0.95 and share <= most
