@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/graphweft-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes what is at the path, if anything is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+#: Paths written in each open scope, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at the end, but for those said to be kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
+def materialise(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write a frame and read it back: cuts the lineage of iterative plans and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if _OPEN and not kept:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

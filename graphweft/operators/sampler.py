@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import any_of, coin, key
-from graphweft.functions.storage import materialise
+from graphweft.functions.storage import materialise, passing
+from graphweft.operators import adjacency
+from graphweft.operators.adjacency import Adjacency
 
 
 @dataclass
@@ -63,53 +65,104 @@ def alive(pairs: DataFrame, filters: Filters) -> DataFrame:
     return pairs.select(*columns)
 
 
-def choose(candidates: DataFrame, fanout: int, seed: int, hop: int, replace: bool = False) -> DataFrame:
-    """Of each (batch_id, dst_local) all candidates if fanout < 0 or there are no more; else fanout of them.
+GROUP = ["batch_id", "dst_local", "dst"]
 
-    Without replacement: the lowest drawn keys. The rank filter lets Spark drop most rows before the shuffle. With
-    replacement: fanout independent draws among the numbers of the sorted candidates, joined with them, so no hub's
-    neighbours are held as one list.
+
+def _draw(seed: int, hop: int, src: Column) -> Column:
+    return key(seed, hop, F.col("batch_id"), F.col("dst"), src)
+
+
+def _lowest(candidates: DataFrame, fanout: int, seed: int, hop: int) -> DataFrame:
+    """Of each group the candidates with the lowest drawn keys. The rank filter lets Spark drop most rows before the
+    shuffle."""
+    place = F.row_number().over(Window.partitionBy(*GROUP).orderBy(_draw(seed, hop, F.col("src")), "src"))
+    return candidates.withColumn("place", place).filter(F.col("place") <= fanout).select(*GROUP, "src")
+
+
+def _positions(sizes: DataFrame, fanout: int, seed: int, hop: int) -> DataFrame:
+    """GROUP, at: fanout independent draws of a position, from 0, for each group (GROUP, size)."""
+    draws = F.explode(F.sequence(F.lit(1), F.lit(fanout)) if fanout else F.array().cast("array<int>"))
+    return sizes.select(*GROUP, "size", draws.alias("i")).select(*GROUP, F.pmod(key(seed, hop, F.col("batch_id"), F.col("dst"), F.col("i")), F.col("size")).alias("at"))
+
+
+def choose(frontier: DataFrame, graph: Adjacency, filters: Filters, fanout: int, seed: int, hop: int, replace: bool = False) -> DataFrame:
+    """batch_id, dst_local, dst, src: of each frontier row's neighbours that may be chosen all if fanout < 0 or there are
+    no more, else fanout of them.
+
+    Without replacement: the lowest drawn keys, of each block first. With replacement: independent draws of positions.
+    Without filters a position tells the block to read, so a node costs fanout reads however many neighbours it has; with
+    filters the blocks' candidates are counted, and sums over a node's blocks tell in which one a position lies.
     """
+    if filters == Filters():
+        if fanout >= 0 and replace:
+            return _read_positions(frontier, graph, fanout, seed, hop)
+        blocks = graph.around(frontier)
+        if fanout < 0:
+            return blocks.select(*GROUP, F.explode("neighbours").alias("src"))
+        drawn = F.slice(F.sort_array(F.transform("neighbours", lambda x: F.struct(_draw(seed, hop, x).alias("k"), x.alias("src")))), 1, fanout) if fanout else F.array().cast("array<struct<k:bigint,src:bigint>>")
+        few = F.when(F.size("neighbours") <= fanout, F.col("neighbours")).otherwise(F.transform(drawn, lambda x: x["src"]))
+        best = blocks.select(*GROUP, "degree", F.explode(few).alias("src"))
+        large = F.col("degree") > graph.block
+        return best.filter(~large).select(*GROUP, "src").union(_lowest(best.filter(large), fanout, seed, hop))
+    candidates = alive(graph.around(frontier).select(*GROUP, "block", F.explode("neighbours").alias("src")), filters)
     if fanout < 0:
-        return candidates
-    draw = [seed, hop, F.col("batch_id"), F.col("dst"), F.col("src")]
-    group = ["batch_id", "dst_local", "dst"]
+        return candidates.select(*GROUP, "src")
     if not replace:
-        place = F.row_number().over(Window.partitionBy(*group).orderBy(key(*draw), "src"))
-        return candidates.withColumn("__place", place).filter(F.col("__place") <= fanout).drop("__place")
-    numbered = candidates.select(*group, "src", F.row_number().over(Window.partitionBy(*group).orderBy("src")).alias("at"))
-    sizes = candidates.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    draws = sizes.filter(F.col("size") > fanout).select(*group, "size", F.explode(F.sequence(F.lit(1), F.lit(fanout)) if fanout else F.array().cast("array<int>")).alias("i"))
-    drawn = draws.select(*group, (F.pmod(key(seed, hop, F.col("batch_id"), F.col("dst"), F.col("i")), F.col("size")) + 1).cast("int").alias("at"))
-    few = numbered.join(sizes.filter(F.col("size") <= fanout), group).select(*group, "src")
-    return few.union(drawn.join(numbered, [*group, "at"]).select(*group, "src"))
-
-
-def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int], filters: Filters | None = None, seed: int = 0, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+        return _lowest(candidates, fanout, seed, hop)
+    blocks = candidates.groupBy(*GROUP, "block").agg(F.sort_array(F.collect_list("src")).alias("own"))  # a block's neighbours at most
+    node = Window.partitionBy(*GROUP)
+    before = node.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialise(blocks.withColumn("before", F.coalesce(F.sum(F.size("own")).over(before), F.lit(0))).withColumn("size", F.sum(F.size("own")).over(node)))
+    few = blocks.filter(F.col("size") <= fanout).select(*GROUP, F.explode("own").alias("src"))
+    draws = _positions(blocks.filter((F.col("size") > fanout) & (F.col("before") == 0)), fanout, seed, hop)
+    inside = (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.size("own"))
+    return few.union(draws.join(blocks.select(*GROUP, "before", "own"), GROUP).filter(inside).select(*GROUP, F.element_at("own", (F.col("at") - F.col("before") + 1).cast("int")).alias("src")))
+
+
+def _read_positions(frontier: DataFrame, graph: Adjacency, fanout: int, seed: int, hop: int) -> DataFrame:
+    first = graph.at(adjacency.first_blocks(frontier))
+    few = first.filter(F.col("degree") <= fanout)
+    if fanout > graph.block:
+        few = graph.around(few.select(*frontier.columns))
+    draws = _positions(first.filter(F.col("degree") > fanout).withColumn("size", F.col("degree")), fanout, seed, hop)
+    draws = draws.withColumn("block", F.floor(F.col("at") / graph.block).cast("int"))
+    place = (F.pmod("at", F.lit(graph.block)) + 1).cast("int")
+    return few.select(*GROUP, F.explode("neighbours").alias("src")).union(graph.at(draws).select(*GROUP, F.element_at("neighbours", place).alias("src")))
+
+
+def sample(seeds: DataFrame, graph: Adjacency | DataFrame, fanouts: list[int], filters: Filters | None = None, seed: int = 0, replace: bool = False) -> tuple[DataFrame, DataFrame]:
     """(batch_id, local_id, node_id, hop) and (batch_id, src_local, dst_local, hop) from seeds (batch_id, node_id, pos).
 
-    A seed that a batch has twice counts once. hop of an edge is the hop in which it was drawn, from 1. Edges are written
-    once; a hop whose frontier is small enough for Spark's own limit is broadcast to them, so that they
-    aren't shuffled, and for a larger one both sides are.
+    A seed that a batch has twice counts once. hop of an edge is the hop in which it was drawn, from 1. graph: a stored
+    adjacency, which any number of calls read; edges (dst, src) are stored for this call alone. Tables that are written
+    on the way are deleted.
     """
-    filters = filters or Filters()
-    edges = materialise(edges.select("dst", "src"))
+    if isinstance(graph, DataFrame):
+        stored = adjacency.store(graph)
+        try:
+            return sample(seeds, stored, fanouts, filters, seed, replace)
+        finally:
+            stored.drop()
+    with passing(seeds.sparkSession):
+        return _sample(seeds, graph, fanouts, filters or Filters(), seed, replace)
+
+
+def _sample(seeds: DataFrame, graph: Adjacency, fanouts: list[int], filters: Filters, seed: int, replace: bool) -> tuple[DataFrame, DataFrame]:
     first = seeds.groupBy("batch_id", "node_id").agg(F.min("pos").alias("pos"))
     numbered = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos", "node_id")) - 1
-    visited = materialise(first.select("batch_id", numbered.cast("long").alias("local_id"), "node_id", F.lit(0).alias("hop")))
+    visited = materialise(first.select("batch_id", numbered.cast("long").alias("local_id"), "node_id", F.lit(0).alias("hop")), kept=not fanouts)
     picked = None
     for hop, fanout in enumerate(fanouts, 1):
         frontier = visited.filter(F.col("hop") == hop - 1).select("batch_id", F.col("local_id").alias("dst_local"), F.col("node_id").alias("dst"))
-        chosen = materialise(choose(alive(frontier.join(edges, "dst"), filters), fanout, seed, hop, replace).select("batch_id", "dst_local", "src"))
+        chosen = materialise(choose(frontier, graph, filters, fanout, seed, hop, replace).select("batch_id", "dst_local", "src"), kept=True)
         new = chosen.join(visited.select("batch_id", F.col("node_id").alias("src")), ["batch_id", "src"], "left_anti").groupBy("batch_id", "src").agg(F.min("dst_local").alias("parent"))
         size = visited.groupBy("batch_id").agg(F.count(F.lit(1)).alias("size"))
         place = F.row_number().over(Window.partitionBy("batch_id").orderBy("parent", "src")) - 1
         new = new.withColumn("place", place).join(size, "batch_id").select("batch_id", (F.col("place") + F.col("size")).alias("local_id"), F.col("src").alias("node_id"), F.lit(hop).alias("hop"))
-        visited = materialise(visited.union(new))
-        ids = visited.select("batch_id", F.col("node_id").alias("src"), F.col("local_id").alias("src_local"))
-        found = chosen.join(ids, ["batch_id", "src"]).select("batch_id", "src_local", "dst_local", F.lit(hop).alias("hop"))
-        picked = found if picked is None else picked.union(found)
-    return visited, picked
+        visited = materialise(visited.union(new), kept=hop == len(fanouts))
+        picked = (chosen.withColumn("hop", F.lit(hop)) if picked is None else picked.union(chosen.withColumn("hop", F.lit(hop))))
+    ids = visited.select("batch_id", F.col("node_id").alias("src"), F.col("local_id").alias("src_local"))
+    return visited, picked.join(ids, ["batch_id", "src"]).select("batch_id", "src_local", "dst_local", "hop") if picked is not None else None
 
 
 def boundaries(batch_nodes: DataFrame, batch_edges: DataFrame, hops: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from graphweft.functions.storage import materialise, scratch
-from graphweft.operators import cache, canonical, checks, gnn, metrics, partition, relabel, seeds, subsample
+from graphweft.operators import adjacency, cache, canonical, checks, gnn, metrics, multilevel, partition, relabel, seeds, subsample
 from graphweft.operators import sampler as sp
 from graphweft.plans import epochs
 from graphweft.plans import sql as q
@@ -299,6 +299,25 @@ def _(s, d):
     return partition.balanced(edges, nodes, 8, rounds=4, seed=SEED)
 
 
+@query("partition_multilevel")
+def _(s, d):
+    edges, nodes = _cop(s, d)
+    return multilevel.multilevel(edges, nodes, 8, seed=SEED)
+
+
+@query("partition_multilevel_checks", f"""WITH {q.COP}, {q.NODES}, h AS (SELECT node_id, CAST({q.key('part', 'node_id')} % 8 AS INT) AS p FROM nodes)
+SELECT count(*) AS nodes, 8 AS parts, 0 AS overfull, 0 AS unknown, (SELECT count(*) FROM cop JOIN h a ON a.node_id = dst JOIN h b ON b.node_id = src WHERE a.p <> b.p) AS hash_cut, true AS below FROM nodes""")
+def _(s, d):
+    """The partition has every node once and no part that is too large, and cuts fewer edges than parts by hash."""
+    edges, nodes = (materialise(x) for x in _cop(s, d))
+    found = multilevel.multilevel(edges, nodes, 8, seed=SEED)
+    cut = lambda p: partition.with_parts(edges, p).agg(F.count_if(F.col("dst_part") != F.col("src_part")).alias("cut"))
+    sizes = partition.sizes(found).agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).cast("int").alias("parts"), F.count_if(F.col("size") > F.ceil(F.lit(nodes.count() / 8 * 1.1))).cast("int").alias("overfull"))
+    unknown = found.join(nodes, "node_id", "left_anti").agg(F.count(F.lit(1)).cast("int").alias("unknown"))
+    both = cut(partition.by_hash(nodes, 8)).select(F.col("cut").alias("hash_cut")).crossJoin(cut(found))
+    return sizes.crossJoin(unknown).crossJoin(both).select("nodes", "parts", "overfull", "unknown", "hash_cut", (F.col("cut") < F.col("hash_cut")).alias("below"))  # one row each
+
+
 # Subsamples
 
 
@@ -501,6 +520,12 @@ def _(s, d):
     return _sampled(s, d, FANOUTS)[0]
 
 
+@query("stored_adjacency", f"WITH {q.COP} SELECT dst, CAST(i // 16 AS INT) AS block, any_value(degree) AS degree, string_agg(src, ',' ORDER BY src) AS neighbours FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i, count(*) OVER (PARTITION BY dst) AS degree FROM cop) GROUP BY 1, 2")
+def _(s, d):
+    """The blocks of a stored graph, small ones so that most nodes have several."""
+    return adjacency.store(fx.co_purchases(s, d), 16).blocks().select("dst", "block", "degree", F.array_join("neighbours", ",").alias("neighbours"))
+
+
 @query("hop_boundaries", f"{_sampled_sql(FANOUTS)} SELECT b.batch_id, CAST(h.hop AS INT) AS hop, (SELECT count(*) FROM batch_nodes n WHERE n.batch_id = b.batch_id AND n.hop <= h.hop) AS cum_nodes, (SELECT count(*) FROM batch_edges e WHERE e.batch_id = b.batch_id AND e.hop <= h.hop) AS cum_edges FROM (SELECT DISTINCT batch_id FROM batch_nodes) b, (SELECT unnest(range(0, {len(FANOUTS) + 1})) AS hop) h")
 def _(s, d):
     n, e = _sampled(s, d, FANOUTS)
@@ -911,6 +936,7 @@ def _(s, d):
     edges, nodes = _cop(s, d)
     model = gnn.build_model("trainable", 2, 8, CLASSES)
     optimiser, rows = gnn.Adam(model.p), []
+    edges = adjacency.store(edges)
     for epoch in range(2):
         order = seeds.batches(seeds.global_order(_train(nodes), SEED, epoch), BATCH)
         n, e = sp.sample(order, edges, FANOUTS, seed=SEED + epoch)
@@ -919,8 +945,8 @@ def _(s, d):
 
 
 def _trained(s: SparkSession, d: str, n: int):
-    """Some epochs' weights, written: edges, nodes, options, path."""
-    edges, nodes = (materialise(x) for x in _cop(s, d))
+    """Some epochs' weights, written: stored edges, nodes, options, path."""
+    edges, nodes = adjacency.store(fx.co_purchases(s, d)), materialise(fx.nodes(s, d))
     options, path = _options(graph="original", factor=None, order="global"), scratch(s)
     model = gnn.build_model("trainable", 2, 8, CLASSES)
     optimiser = gnn.Adam(model.p)
