@@ -1,4 +1,4 @@
-"""Layers of graph neural networks over sampled batches, their losses, and training.
+"""Layers of graph neural networks over sampled batches, their losses, and saved weights.
 
 Features are arrays. Aggregation over neighbours is a join and a grouped mean, maximum or weighted sum; the dense product
 that follows is an expression over arrays, so forward passes stay out of Python.
@@ -6,15 +6,16 @@ that follows is an expression over arrays, so forward passes stay out of Python.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import uniform
 from graphweft.functions.storage import materialise
+from graphweft.operators.training import Adam, Network, evaluate_model, train_epoch
+
+
+__all__ = ["Adam", "Network", "evaluate_model", "train_epoch"]  # of training, beside what is below
 
 
 def long_form(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -142,151 +143,22 @@ def evaluate(predictions: DataFrame, logits: str = "out", label: str = "label")
     return rows.select((F.col("loss") / F.col("known")).alias("loss"), (F.col("right") / F.col("rows")).alias("accuracy"))
 
 
-class Sage:
-    """Parameters of a two-layer GraphSAGE classifier with mean aggregation, and one batch's loss and gradients."""
-
-    def __init__(self, inputs: int, hidden: int, classes: int, seed: int = 0):
-        r = np.random.default_rng(seed)
-        draw = lambda a, b: r.normal(0, (2 / (a + b)) ** 0.5, (a, b))
-        self.p = {"n1": draw(inputs, hidden), "r1": draw(inputs, hidden), "b1": np.zeros(hidden), "n2": draw(hidden, classes), "r2": draw(hidden, classes), "b2": np.zeros(classes)}
-
-    @staticmethod
-    def pool(x: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        out, count = np.zeros((n, x.shape[1])), np.bincount(dst, minlength=n).clip(1)[:, None]
-        np.add.at(out, dst, x[src])
-        return out / count, count
-
-    def step(self, x: np.ndarray, hop: np.ndarray, src: np.ndarray, dst: np.ndarray, edge_hop: np.ndarray, label: np.ndarray, kept: np.ndarray | None = None) -> tuple[float, int, int, dict[str, np.ndarray]]:
-        """Sum of losses, labelled and right seeds, gradients of that sum. Rows of x are local ids, seeds first. kept: factors
-        of the hidden values, 0 where they are dropped."""
-        p, seeds = self.p, int((hop == 0).sum())
-        inner = int((hop <= 1).sum())
-        e1, e2 = dst < inner, edge_hop == 1
-        a1, _ = self.pool(x, src[e1], dst[e1], inner)
-        z1 = a1 @ p["n1"] + x[:inner] @ p["r1"] + p["b1"]
-        kept = np.ones_like(z1) if kept is None else kept
-        h = np.maximum(z1, 0) * kept
-        a2, count = self.pool(h, src[e2], dst[e2], seeds)
-        z2 = a2 @ p["n2"] + h[:seeds] @ p["r2"] + p["b2"]
-        shifted = z2 - z2.max(1, keepdims=True)
-        soft = np.exp(shifted) / np.exp(shifted).sum(1, keepdims=True)
-        known = label[:seeds] >= 0
-        rows = np.flatnonzero(known)
-        loss = -np.log(soft[rows, label[rows]] + 1e-12).sum()
-        g2 = soft * known[:, None]
-        g2[rows, label[rows]] -= 1
-        grads = {"n2": a2.T @ g2, "r2": h[:seeds].T @ g2, "b2": g2.sum(0)}
-        gh = np.zeros_like(h)
-        gh[:seeds] += g2 @ p["r2"].T
-        np.add.at(gh, src[e2], ((g2 @ p["n2"].T) / count)[dst[e2]])
-        g1 = gh * (z1 > 0) * kept
-        grads |= {"n1": a1.T @ g1, "r1": x[:inner].T @ g1, "b1": g1.sum(0)}
-        return float(loss), int(known.sum()), int((z2.argmax(1) == label[:seeds]).sum()), grads
-
-
-class Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float = 1e-2):
-        self.m, self.v, self.t, self.rate = ({k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()}, 0, rate)
-
-    def update(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for k, g in grads.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            params[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
-
-
-@dataclass
-class Sums:
-    """What a pass over some batches adds up to."""
-
-    loss: float
-    known: float
-    right: float
-    seeds: float
-    grads: dict[str, np.ndarray]
-
-    @property
-    def mean_loss(self) -> float:
-        return self.loss / max(self.known, 1)
-
-    @property
-    def accuracy(self) -> float:
-        return self.right / max(self.seeds, 1)
-
-
-def _batched(batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their features and label, and edges, written in the order of batches, so that a step reads its own."""
-    nodes = batch_nodes.join(features, "node_id").select("batch_id", "local_id", "hop", "x", "label")
-    return tuple(materialise(rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id")) for rows in (nodes, batch_edges))
-
-
-def _pass(params: dict[str, np.ndarray], nodes: DataFrame, edges: DataFrame, rate: float = 0.0, seed: int = 0, train: bool = True) -> Sums:
-    """Each batch is one group of bounded size; sums are made by Spark, and the driver gets as many numbers as the model has."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = Sage.__new__(Sage)
-        own.p = params
-        left = left.sort_values("local_id")
-        kept = None
-        if rate > 0:
-            draw = np.random.default_rng([seed, int(left["batch_id"].iloc[0])])
-            kept = (draw.random((int((left["hop"] <= 1).sum()), len(params["b1"]))) >= rate) / (1 - rate)
-        loss, known, good, grads = own.step(np.stack(left["x"].to_list()), left["hop"].to_numpy(), right["src_local"].to_numpy(), right["dst_local"].to_numpy(), right["hop"].to_numpy(), left["label"].to_numpy(), kept)
-        flat = np.concatenate([[loss, known, good, (left["hop"] == 0).sum()], *[grads[k].ravel() for k in sorted(grads) if train]])
-        return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-    sums = nodes.groupBy("batch_id").cogroup(edges.groupBy("batch_id")).applyInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat = np.array([r.v for r in sums]) if sums else np.zeros(4 + sum(v.size for v in params.values()))
-    at, grads = 4, {}
-    for k in sorted(params) if train else ():
-        grads[k] = flat[at : at + params[k].size].reshape(params[k].shape) / max(flat[1], 1)
-        at += params[k].size
-    return Sums(*flat[:4], grads)
-
-
-def train_epoch(model: Sage, optimiser: Adam, batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame, rate: float = 0.0, seed: int = 0, workers: int = 1) -> tuple[float, float]:
-    """Mean loss and accuracy of one epoch, as measured while training. features: (node_id, x, label).
-
-    A step is one job over ``workers`` batches, whose gradients are averaged before the weights move: with 1, a step for
-    each batch; with more, as many batches are worked on side by side. Hidden values are dropped with ``rate``.
-    """
-    nodes, edges = _batched(batch_nodes, batch_edges, features)
-    last = nodes.agg(F.max("batch_id")).first()[0]
-    loss = known = right = total = 0.0
-    for first in range(0, -1 if last is None else last + 1, workers):
-        mine = F.col("batch_id").between(first, first + workers - 1)
-        sums = _pass({k: v.copy() for k, v in model.p.items()}, nodes.filter(mine), edges.filter(mine), rate, seed)
-        optimiser.update(model.p, sums.grads)
-        loss, known, right, total = loss + sums.loss, known + sums.known, right + sums.right, total + sums.seeds
-    return loss / max(known, 1), right / max(total, 1)
-
-
-def evaluate_model(model: Sage, batch_nodes: DataFrame, batch_edges: DataFrame, features: DataFrame) -> tuple[float, float]:
-    """Mean loss and accuracy of seeds that weren't trained on, without dropout: all batches in one job."""
-    found = _pass(model.p, *_batched(batch_nodes, batch_edges, features), train=False)
-    return found.mean_loss, found.accuracy
-
-
-def save_model(spark: SparkSession, model: Sage, path: str, epoch: int) -> None:
+def save_model(spark: SparkSession, model: Network, path: str, epoch: int) -> None:
     """One epoch's weights, as rows (name, row, values) below path; an epoch that is there is replaced."""
     rows = [(k, i, row.tolist()) for k, v in model.p.items() for i, row in enumerate(np.atleast_2d(v))]
     spark.createDataFrame(rows, "name string, row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def load_model(spark: SparkSession, path: str, epoch: int) -> Sage:
+def load_model(spark: SparkSession, path: str, epoch: int) -> Network:
     rows: dict[str, dict[int, list[float]]] = {}
     for r in spark.read.parquet(f"{path}/epoch={epoch}").collect():  # as many rows as the weights have
         rows.setdefault(r.name, {})[r.row] = r.values
-    model = Sage.__new__(Sage)
-    model.p = {k: np.array([v[i] for i in sorted(v)]) for k, v in rows.items()}
-    for k in ("b1", "b2"):
-        model.p[k] = model.p[k][0]
-    return model
+    p = {k: np.array([v[i] for i in sorted(v)]) for k, v in rows.items()}
+    return Network.of({k: v[0] if k.startswith("b") else v for k, v in p.items()})
 
 
 def build_model(name: str, inputs: int, hidden: int, classes: int, layers: int = 2, seed: int = 0):
-    """Weights for the forward pass of that name, or the trainable two-layer model."""
+    """Weights for the forward pass of that name, or with ``trainable`` (GraphSAGE) or ``trainable_gcn`` a network to train."""
     sizes = [inputs] + [hidden] * (layers - 1) + [classes]
     if name == "sage":
         return [(hashed_weights(f"near{seed}{i}", a, b), hashed_weights(f"root{seed}{i}", a, b)) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))]
@@ -294,8 +166,8 @@ def build_model(name: str, inputs: int, hidden: int, classes: int, layers: int =
         return [hashed_weights(f"gcn{seed}{i}", a, b) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))]
     if name == "gat":
         return [(hashed_weights(f"gat{seed}{i}", a, b), hashed_weights(f"left{seed}{i}", 1, b)[0], hashed_weights(f"right{seed}{i}", 1, b)[0]) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))]
-    if name == "trainable":
-        return Sage(inputs, hidden, classes, seed)
+    if name in ("trainable", "trainable_gcn"):
+        return Network("gcn" if name.endswith("gcn") else "sage", sizes, seed)
     raise ValueError(f"unknown model {name}")
 
 

@@ -944,6 +944,19 @@ def _(s, d):
     return s.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], "epoch int, loss double, accuracy double")
 
 
+@query("train_gcn_epoch")
+def _(s, d):
+    """Two epochs of a graph convolution network with three layers; four batches at a step, an epoch a job."""
+    edges, nodes = adjacency.store(fx.co_purchases(s, d)), fx.nodes(s, d)
+    model = gnn.build_model("trainable_gcn", 2, 8, CLASSES, layers=3)
+    optimiser, rows = gnn.Adam(model.p), []
+    for epoch in range(2):
+        order = seeds.batches(seeds.global_order(_train(nodes), SEED, epoch), BATCH)
+        n, e = sp.sample(order, edges, [3, 2, 2], seed=SEED + epoch)
+        rows.append((epoch, *gnn.train_epoch(model, optimiser, n, e, _arrays(nodes), 0.1, SEED + epoch, workers=min(4, s.sparkContext.defaultParallelism))))
+    return s.createDataFrame([(e, float(a), float(b)) for e, a, b in rows], "epoch int, loss double, accuracy double")
+
+
 def _trained(s: SparkSession, d: str, n: int):
     """Some epochs' weights, written: stored edges, nodes, options, path."""
     edges, nodes = adjacency.store(fx.co_purchases(s, d)), materialise(fx.nodes(s, d))
@@ -951,7 +964,7 @@ def _trained(s: SparkSession, d: str, n: int):
     model = gnn.build_model("trainable", 2, 8, CLASSES)
     optimiser = gnn.Adam(model.p)
     for epoch in range(n):
-        gnn.train_epoch(model, optimiser, *epochs.prepare(edges, nodes, epoch, options).sample(options, epoch), _arrays(nodes), 0.2, epoch, workers=4)
+        gnn.train_epoch(model, optimiser, *epochs.prepare(edges, nodes, epoch, options).sample(options, epoch), _arrays(nodes), 0.2, epoch, workers=min(4, s.sparkContext.defaultParallelism))
         gnn.save_model(s, model, path, epoch)
     return edges, nodes, options, path
 
