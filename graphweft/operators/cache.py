@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.functions.ranking import global_rank
+from graphweft.functions.ranking import global_rank, running_total
+from graphweft.functions.storage import materialise
 
 
 def access_counts(batch_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -17,21 +18,47 @@ def access_counts(batch_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(counted, "node_id", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
 
 
+def top(rows: DataFrame, value: Column, slots: int) -> DataFrame:
+    """The slots rows (node_id, ...) with the largest value, smaller ids first among equals.
+
+    Rows are counted by value, and sums over the values tell at which value the slots end: rows above it are taken by a
+    filter. Only the rows with just this value are ranked, by id over ranges, so no task sees all slots.
+    """
+    (own,) = _unused(rows, "own_value")
+    rows = materialise(rows.withColumn(own, value.cast("long")))
+    counts = running_total(rows.groupBy(own).agg(F.count(F.lit(1)).alias("n")), [F.desc(own)], "n", "before")
+    edge = counts.filter((F.col("before") < slots) & (F.col("before") + F.col("n") >= slots)).select(own, (F.lit(slots) - F.col("before")).alias("left")).first()
+    if edge is None:  # there are no more rows than slots, or no slots
+        return rows.drop(own) if slots > 0 else rows.limit(0).drop(own)
+    ties = global_rank(rows.filter(F.col(own) == edge[0]), [F.col("node_id")], "place").filter(F.col("place") < edge.left).drop("place")
+    return rows.filter(F.col(own) > edge[0]).union(ties.select(rows.columns)).drop(own)
+
+
+def _unused(rows: DataFrame, name: str) -> list[str]:
+    while name in rows.columns:
+        name += "_"
+    return [name]
+
+
 def top_by_count(counts: DataFrame, slots: int) -> DataFrame:
-    """The slots nodes with most accesses, smaller ids first among equals: a bounded top-k, not a full sort."""
-    return counts.orderBy(F.desc("cnt"), "node_id").limit(slots)
+    """The slots nodes with most accesses, smaller ids first among equals."""
+    return top(counts, F.col("cnt"), slots)
 
 
 def degree_fill(counts: DataFrame, degree: DataFrame, slots: int) -> DataFrame:
     """All accessed nodes by count first, then the others by degree."""
-    rows = counts.join(degree, "node_id")
+    rows = counts.join(degree, "node_id").select("node_id", "cnt", "degree")
     hot = F.col("cnt") > 0
-    return rows.orderBy(F.desc(hot), F.desc(F.when(hot, F.col("cnt")).otherwise(F.col("degree"))), "node_id").limit(slots).select("node_id", "cnt", "degree")
+    # counted nodes come before all others: no degree reaches 2 ** 40
+    return top(rows, F.when(hot, F.col("cnt") + (1 << 40)).otherwise(F.col("degree")), slots)
 
 
-def slots(nodes: int, dimensions: int, gigabytes: float, wanted: int | None = None) -> int:
-    """How many feature rows a cache holds."""
-    return min(nodes, int(gigabytes * 1e9 // (dimensions * 4)), wanted if wanted is not None else nodes)
+def slots(nodes: int, dimensions: int, gigabytes: float | None, wanted: int | None = None, free: float | None = None, headroom: float = 0.0, peak: float = 0.0) -> int:
+    """How many feature rows a cache holds: at most its size, the rows wanted, and what is free (GB) less the headroom, which is
+    at least 1.25 times the peak of what else is in use. Taken once, the number stays."""
+    row = dimensions * 4
+    room = nodes if free is None else int(max(0.0, free - max(headroom, 1.25 * peak)) * 1e9 // row)
+    return min(nodes, room, nodes if gigabytes is None else int(gigabytes * 1e9 // row), nodes if wanted is None else wanted)
 
 
 def feature_gather(batch_nodes: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,5 +152,5 @@ def cache_plan(counts: DataFrame, degree: DataFrame, policy: str, fill: str, siz
         raise ValueError(f"unknown policy {policy} or fill {fill}")
     chosen = top_by_count(counts, size).select("node_id", "cnt") if fill == "count" else degree_fill(counts, degree, size).select("node_id", "cnt")
     kept = {"static": size, "hybrid": size // 2, "lru": 0}[policy]
-    place = F.row_number().over(Window.orderBy(F.desc("cnt"), "node_id")) - 1  # at most size rows
-    return chosen.withColumn("place", place).select("node_id", "place", F.when(F.col("place") < kept, "static").otherwise("lru").alias("area"))
+    placed = global_rank(chosen, [F.desc("cnt"), F.col("node_id")], "place")
+    return placed.select("node_id", F.col("place").cast("int").alias("place"), F.when(F.col("place") < kept, "static").otherwise("lru").alias("area"))

@@ -97,7 +97,9 @@ def lower_quantile(values: DataFrame, value: str, fraction: float) -> DataFrame:
 
 
 def keep_inter(with_degree: DataFrame, fraction: float) -> DataFrame:
-    """node_id, degree of the centres with the lowest degrees; all that tie with the threshold are in."""
+    """node_id, degree of the centres with the lowest degrees; all that tie with the threshold are in. Degrees are computed
+    once and written."""
+    with_degree = materialise(with_degree.select("node_id", "degree"))
     return with_degree.crossJoin(F.broadcast(lower_quantile(with_degree, "degree", fraction))).filter("degree <= threshold").select("node_id", "degree")  # one threshold
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.functions.storage import delete
 from graphweft.operators import checks, partition
 from graphweft.operators.checks import require
 from graphweft.sources import readers
@@ -25,22 +27,67 @@ def dataset_paths(root: str, dataset: str, parts: int) -> tuple[str, str]:
     return f"{root}/{graph}", f"{root}/{part}_{parts}"
 
 
+#: Commits of a descriptor that are left apart before they are folded into one.
+MOST_COMMITS = 16
+
+
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    """Names of a descriptor's commits in the order in which they hold: by version, then by name."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n for n in names if n.startswith(f"{DESCRIPTOR}."))
+
+
+def _commit(spark: SparkSession, path: str, version: int, entries: dict) -> None:
+    """Writes one commit under a name of its own, whole or not at all."""
+    name = f"{DESCRIPTOR}.{version:08d}.{uuid.uuid4().hex}"
+    made, done = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_{name}", name))
+    fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(made, False)
+    out.write(bytearray(json.dumps(entries, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(made, done):
+        raise OSError(f"{path}/{name} could not be written")
+
+
 def write_descriptor(spark: SparkSession, path: str, **entries) -> dict:
-    """Merges entries into a directory's descriptor."""
-    merged = read_descriptor(spark, path) | entries
-    spark.createDataFrame([(json.dumps(merged, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{DESCRIPTOR}.{len(merged)}")
+    """Adds entries to a directory's descriptor and returns all.
+
+    A commit holds its own entries only and has a name of its own, so writers at the same time lose nothing: entries are
+    folded in the order of versions, and of one version by name. When there are many commits they are folded into one
+    of the same version before they are removed; a reader in between finds the same entries twice.
+    """
+    found = _commits(spark, path)
+    _commit(spark, path, int(found[-1].split(".")[2]) + 1 if found else 1, entries)
+    if len(found) >= MOST_COMMITS:
+        compact_descriptor(spark, path)
+    return read_descriptor(spark, path)
+
+
+def compact_descriptor(spark: SparkSession, path: str) -> None:
+    """Folds a descriptor's commits but for the last version's, which other writers may be adding to, into one."""
+    found = _commits(spark, path)
+    last = found[-1].split(".")[2] if found else ""
+    old = [n for n in found if n.split(".")[2] < last]
+    if len(old) > 1:
+        _commit(spark, path, int(old[-1].split(".")[2]), _folded(spark, path, old))
+        for name in old:
+            delete(spark, f"{path}/{name}")
+
+
+def _folded(spark: SparkSession, path: str, names: list[str]) -> dict:
+    merged: dict = {}
+    if names:
+        lines = {r.name.rpartition("/")[2]: r.value for r in spark.read.text([f"{path}/{n}" for n in names]).select(F.input_file_name().alias("name"), "value").collect()}  # a line a commit
+        for name in sorted(lines):
+            merged |= json.loads(lines[name])
     return merged
 
 
 def read_descriptor(spark: SparkSession, path: str) -> dict:
     """The descriptor's entries; nothing if there is none."""
-    try:
-        rows = spark.read.text(f"{path}/{DESCRIPTOR}.*").collect()  # a line a version
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return {}
-        raise
-    return max((json.loads(r.value) for r in rows), key=len, default={})
+    return _folded(spark, path, _commits(spark, path))
 
 
 def write_graph(edges: DataFrame, nodes: DataFrame, path: str, by_part: bool = False) -> None:
