@@ -152,12 +152,19 @@ def fitted_ratio(sample: np.ndarray, centroids: np.ndarray, k: int = K) -> float
         return np.inf
     owned = np.bincount(np.concatenate([(sample[i : i + 4096] @ centroids.T).argmax(1) for i in range(0, len(sample), 4096)]), minlength=len(centroids))
     drawn = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
-    score = sample[drawn] @ sample.T
-    score[np.arange(len(drawn)), drawn] = -np.inf
-    near, of = np.unique(np.argpartition(-score, k - 1, axis=1)[:, :k], return_inverse=True)
-    graph = Graph(centroids)
-    found, cosine = graph.search(sample[near])
-    held = replicas(found, cosine, centroids @ centroids.T)
+    nearest_ = []
+    for i in range(0, len(drawn), 32):
+        score = sample[drawn[i : i + 32]] @ sample.T
+        score[np.arange(len(score)), drawn[i : i + 32]] = -np.inf
+        nearest_.append(np.argpartition(score, -k, axis=1)[:, -k:])
+    near, of = np.unique(np.concatenate(nearest_), return_inverse=True)
+    graph, between = Graph(centroids), centroids @ centroids.T
+    found, held = [], []
+    for i in range(0, len(near), 256):
+        lists, cosine = graph.search(sample[near[i : i + 256]])
+        found.append(lists)
+        held.append(replicas(lists, cosine, between))
+    found, held = np.concatenate(found), np.concatenate(held)
     d = distance(sample[drawn] @ centroids.T)
     ordered = np.argsort(d, axis=1, kind="stable")
     last = np.minimum((np.cumsum(owned[ordered], axis=1) < k + 1).sum(1), d.shape[1] - 1)
