@@ -211,8 +211,9 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = distinct.select(F.size("v").alias("n")).first().n
     bound = max(64, min(SAMPLE_ROWS, SAMPLE_NUMBERS // size))
-    drawn = distinct.select("v").orderBy(F.xxhash64("a", F.lit(3)), "a").limit(bound).toPandas()["v"]  # bounded by the two SAMPLE constants
-    sample = unit(np.stack(drawn.to_list()))
+    drawn = distinct.select("v").orderBy(F.xxhash64("a", F.lit(3)), "a").limit(bound).toArrow().column("v").combine_chunks()  # bounded by the two SAMPLE constants
+    sample = unit(drawn.flatten().to_numpy().reshape(-1, size))
+    del drawn
     lists = 1 << max(0, min(max(1, count // LIST_ROWS), max(1, len(sample) // ROWS_PER_LIST)).bit_length() - 1)
     centroids = balanced_centroids(sample, lists)
     ratio = fitted_ratio(sample, centroids, k)
