@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.hashing import coin, mix64, mix64_int, signed
 from graphweft.functions.ranking import global_rank
-from graphweft.operators import cache, gnn, partition, seeds
+from graphweft.operators import adjacency, cache, gnn, partition, seeds, training
 from graphweft.operators import sampler as sp
 from graphweft.plans import epochs
 from graphweft.sources import graph_dir, readers
@@ -30,10 +30,13 @@ def test_coin_rate(spark, fraction):
     assert abs(kept - fraction * n) <= 5 * (n * fraction * (1 - fraction)) ** 0.5
 
 
-def test_draws_are_uniform(spark):
+@pytest.mark.parametrize("block,filtered", [(1024, False), (16, False), (16, True)])
+def test_draws_are_uniform(spark, block, filtered):
     batches, m, k = 2000, 40, 10
-    rows = spark.range(batches).select(F.col("id").alias("batch_id"), F.lit(0).alias("dst_local"), F.lit(7).alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")).alias("src"))
-    counts = [r["count"] for r in sp.choose(rows, k, 1, 1).groupBy("src").count().collect()]
+    ids = spark.range(m).select(F.col("id").alias("node_id"))
+    graph = adjacency.store(ids.select(F.lit(7).cast("long").alias("dst"), F.col("node_id").alias("src")), block)
+    rows = spark.range(batches).select(F.col("id").alias("batch_id"), F.lit(0).cast("long").alias("dst_local"), F.lit(7).cast("long").alias("dst"))
+    counts = [r["count"] for r in sp.choose(rows, graph, sp.Filters(mask=ids if filtered else None), k, 1, 1).groupBy("src").count().collect()]
     assert len(counts) == m and max(abs(c - batches * k / m) for c in counts) <= 5 * (batches * k / m * (1 - k / m)) ** 0.5
 
 
@@ -80,19 +83,20 @@ def test_training_loss_falls(spark):
 
 def test_gradients():
     r = np.random.default_rng(0)
-    model = gnn.Sage(3, 4, 3)
+    model = gnn.Network("sage", [3, 4, 3])
     hop = np.array([0, 0, 1, 1, 2, 2])
     x = r.normal(size=(6, 3))
     src, dst, eh = np.array([2, 3, 1, 4, 5, 0]), np.array([0, 1, 0, 2, 3, 2]), np.array([1, 1, 1, 2, 2, 2])
     label = np.array([1, -1, 0, 0, 0, 0])
-    _, _, _, grads = model.step(x, hop, src, dst, eh, label)
+    batch = training.Batch(x, hop, label, src, dst, eh)
+    *_, grads = model.step(batch)
     for k, g in grads.items():
         at = tuple(0 for _ in g.shape)
         for sign in (1,):
             model.p[k][at] += 1e-6
-            up = model.step(x, hop, src, dst, eh, label)[0]
+            up = model.step(batch)[0]
             model.p[k][at] -= 2e-6
-            down = model.step(x, hop, src, dst, eh, label)[0]
+            down = model.step(batch)[0]
             model.p[k][at] += 1e-6
         assert abs((up - down) / 2e-6 - g[at]) < 1e-4
 
