@@ -17,7 +17,7 @@ from graphweft.operators import sampler as sp
 from graphweft.plans import epochs
 from graphweft.plans import sql as q
 from graphweft.sources import fixtures as fx
-from graphweft.sources import graph_dir, readers, synthetic
+from graphweft.sources import binary, graph_dir, readers, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -822,6 +822,30 @@ def _(s, d):
     return s.createDataFrame([(k, str(v)) for k, v in merged.items()], "entry string, value string")
 
 
+@query("source_csc", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon")
+def _(s, d):
+    raw, nodes = _raw(s, d)
+    path = scratch(s)
+    binary.write_csc(canonical.canonical(raw, nodes), nodes, path, "int32")
+    return binary.read_csc(s, path)[0]
+
+
+@query("sink_csc", f"WITH {q.COP}, {q.NODES}, g AS (SELECT n.node_id, count(c.src) AS degree FROM nodes n LEFT JOIN cop c ON c.dst = n.node_id GROUP BY 1) SELECT node_id AS at, CAST(coalesce(sum(degree) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS value FROM g UNION ALL SELECT count(*), CAST(sum(degree) AS BIGINT) FROM g")
+def _(s, d):
+    """The offsets as they lie in the file, one more than nodes."""
+    path = scratch(s)
+    binary.write_csc(*_cop(s, d), path)
+    return binary.read_offsets(s, path)
+
+
+@query("sink_csc_self_loops", f"WITH {q.COP}, {q.NODES} SELECT dst, src FROM cop UNION ALL SELECT node_id, node_id FROM nodes")
+def _(s, d):
+    path = scratch(s)
+    binary.write_csc(*_cop(s, d), path)
+    binary.with_self_loops(s, path, f"{path}-loops")
+    return binary.read_csc(s, f"{path}-loops")[0]
+
+
 @query("count_checks", f"WITH {q.NODES} SELECT 'labels' AS check, count(*) FILTER (WHERE x1 = 0) AS violations FROM nodes UNION ALL SELECT 'features', 0")
 def _(s, d):
     nodes = fx.nodes(s, d)
