@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +31,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/graphweft-{uuid.uuid4().hex}"
 
 
+def reach(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path or URI, and the path in it, for tasks that read files themselves."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes what is at the path, if anything is."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

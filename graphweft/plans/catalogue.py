@@ -822,6 +822,24 @@ def _(s, d):
     return s.createDataFrame([(k, str(v)) for k, v in merged.items()], "entry string, value string")
 
 
+@query("source_npz_edges", f"WITH {q.SPARSE} SELECT u, v FROM sparse")
+def _(s, d):
+    """Deflated archives, one for so many edges of a task, each inflated once."""
+    paths = readers.write_archives(fx.sparse_edges(s, d), scratch(s), {"edge_index": ["u", "v"]}, lanes=True)
+    return readers.compact_range(readers.inflate(s, paths, {"edge_index": 2}).pairs("edge_index"))
+
+
+@query("source_npz_nodes", f"WITH {q.NODES} SELECT node_id, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CASE WHEN x1 = 0 THEN -1 ELSE label END AS label FROM nodes")
+def _(s, d):
+    """Features and labels that stand at the same rows of two arrays of an archive."""
+    label = F.when(F.col("x1") == 0, float("nan")).otherwise(F.col("label").cast("double"))
+    paths = readers.write_archives(fx.nodes(s, d).withColumn("label", label), scratch(s), {"node_feat": ["node_id", "x0", "x1"], "node_label": ["label"]})
+    found = readers.inflate(s, paths, {"node_feat": 1, "node_label": 1})
+    both = found.rows("node_feat").join(found.rows("node_label").withColumnRenamed("values", "label"), ["archive", "row"])
+    numbers = [F.element_at("values", i + 1).cast(t).alias(c) for i, (c, t) in enumerate((("node_id", "long"), ("x0", "double"), ("x1", "double")))]
+    return readers.labels_with_sentinel(both.select(*numbers, F.element_at("label", 1).alias("label")))
+
+
 @query("source_csc", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon")
 def _(s, d):
     raw, nodes = _raw(s, d)

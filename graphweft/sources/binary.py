@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from graphweft.functions.ranking import global_rank
-from graphweft.functions.storage import passing
+from graphweft.functions.storage import passing, reach
 from graphweft.operators import canonical
 
 #: Names that a directory has.
@@ -30,11 +30,6 @@ OFFSETS, ENTRIES, CONF = "indptr.dat", "indices.dat", "conf.json"
 VALUES_A_PARTITION, VALUES_A_BATCH = 1 << 22, 1 << 16
 
 
-def reach(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 def _mounted(path: str) -> str:
     """The path of a file that can be written at positions."""
     system, there = reach(path)
