@@ -18,6 +18,7 @@ from graphweft.plans import epochs
 from graphweft.plans import sql as q
 from graphweft.sources import fixtures as fx
 from graphweft.sources import binary, graph_dir, readers, synthetic
+from graphweft.streaming import growing, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1033,3 +1034,28 @@ def _(s, d):
     best = metrics.best_epoch(s.createDataFrame(valid, "epoch int, valid double"), "valid").first()
     again = metrics.mean_and_deviation(epochs.retest(s, path, best.epoch, edges, nodes, _arrays(nodes), options, 2), "accuracy")
     return again.select(F.lit(best.epoch).alias("epoch"), F.lit(best.valid).alias("valid"), "mean", "deviation")
+
+
+# Graphs that grow
+
+
+def _grown(s: SparkSession, d: str) -> growing.Growing:
+    """A graph whose raw edges come in two runs of a stream; the second run brings those of the first once more."""
+    raw, nodes = _raw(s, d)
+    path = scratch(s)
+    nodes.select("node_id").write.parquet(f"{path}/nodes")
+    for arrived in (raw.filter("src % 2 = 0"), raw):
+        arrived.write.mode("append").parquet(f"{path}/raw")
+        stream = growing.raw_stream(ingest.edge_stream(s, f"{path}/raw"), s.readStream.schema("node_id BIGINT").parquet(f"{path}/nodes"))
+        growing.grow(stream, f"{path}/graph", f"{path}/state", once=True).awaitTermination()
+    return growing.Growing(s, f"{path}/graph")
+
+
+@query("growing_edges", f"WITH {q.RAW}, {q.NODES}, {q.CANON} SELECT dst, src FROM canon")
+def _(s, d):
+    return _grown(s, d).edges()
+
+
+@query("growing_degrees", f"WITH {q.RAW}, {q.NODES}, {q.CANON}, e AS (SELECT dst AS id FROM canon WHERE dst <> src) SELECT dst AS node_id, count(*) AS degree, CAST(2 * (SELECT count(*) FROM e WHERE id = dst) AS BIGINT) AS others FROM canon GROUP BY dst")
+def _(s, d):
+    return _grown(s, d).degrees()
