@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from graphweft.functions.storage import materialise, scratch
 from graphweft.operators import adjacency, cache, canonical, checks, gnn, metrics, multilevel, partition, relabel, seeds, subsample
 from graphweft.operators import sampler as sp
-from graphweft.plans import epochs
+from graphweft.plans import epochs, surface
 from graphweft.plans import sql as q
 from graphweft.sources import fixtures as fx
 from graphweft.sources import binary, graph_dir, readers, synthetic
@@ -1059,3 +1059,26 @@ def _(s, d):
 @query("growing_degrees", f"WITH {q.RAW}, {q.NODES}, {q.CANON}, e AS (SELECT dst AS id FROM canon WHERE dst <> src) SELECT dst AS node_id, count(*) AS degree, CAST(2 * (SELECT count(*) FROM e WHERE id = dst) AS BIGINT) AS others FROM canon GROUP BY dst")
 def _(s, d):
     return _grown(s, d).degrees()
+
+
+# Graphs in SQL text
+
+
+@query("sql_same_part_neighbours", f"WITH {q.COP}, {q.NODES} SELECT a.node_id, src AS neighbour, b.split FROM nodes a JOIN cop ON dst = a.node_id JOIN nodes b ON b.node_id = src WHERE a.split = 'train' AND a.part_id = b.part_id")
+def _(s, d):
+    surface.register(s, "cop", *_cop(s, d))
+    return s.sql("""SELECT a.node_id, n.neighbour, b.split FROM cop_nodes a, LATERAL cop_neighbours(a.node_id) n
+        JOIN cop_nodes b ON b.node_id = n.neighbour WHERE a.split = 'train' AND a.part_id = b.part_id""")
+
+
+@query("sql_degrees_by_split", f"WITH {q.COP}, {q.NODES}, g AS (SELECT node_id, any_value(split) AS split, count(src) AS degree FROM nodes LEFT JOIN cop ON dst = node_id GROUP BY 1) SELECT split, degree, count(*) AS nodes FROM g GROUP BY 1, 2")
+def _(s, d):
+    surface.register(s, "cop", *_cop(s, d))
+    return s.sql("SELECT split, cop_degree(node_id) AS degree, count(*) AS nodes FROM cop_nodes GROUP BY ALL")
+
+
+@query("sql_draws", f"WITH {q.COP}, {q.NODES} SELECT batch_id, dst, src FROM (SELECT node_id % 8 AS batch_id, dst, src, row_number() OVER (PARTITION BY dst ORDER BY {q.key(SEED, 1, 'node_id % 8', 'dst', 'src')}, src) AS place FROM nodes JOIN cop ON dst = node_id WHERE split = 'train') WHERE place <= {FANOUTS[0]}")
+def _(s, d):
+    surface.register(s, "cop", *_cop(s, d))
+    return s.sql(f"""SELECT batch_id, dst, src FROM draw_neighbours(TABLE(SELECT n.node_id % 8 AS batch_id, b.dst, b.neighbours
+        FROM cop_nodes n JOIN cop_blocks b ON b.dst = n.node_id WHERE n.split = 'train') PARTITION BY (batch_id, dst), {FANOUTS[0]}, {SEED}, 1)""")
