@@ -137,3 +137,34 @@ def test_epochs_read_one_stored_graph(spark):
             kept = [sorted(map(tuple, part.collect())) for part in epochs.prepare(edges, nodes, epoch, options, own).sample(options, epoch)]
             fresh = [sorted(map(tuple, part.collect())) for part in epochs.prepare(edges, nodes, epoch, options).sample(options, epoch)]
             assert kept == fresh
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_edges_of_one_call_are_not_stored(spark, monkeypatch, filtered):
+    """The same sample as from a stored graph, repeats and hubs included, without writing the graph."""
+    pairs = [*graph(), *[(5, 9)] * 4]
+    edges = spark.createDataFrame(sorted(pairs), "dst long, src long").repartition(7)
+    mask = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "node_id long")
+    filters = sampler.Filters(mask=mask) if filtered else None
+    seeds = spark.createDataFrame(SEEDS, "batch_id long, node_id long, pos long")
+    kept = lambda g: [sorted(map(tuple, part.collect())) for part in sampler.sample(seeds, g, [3, -1, 4], filters, 4)]
+    stored = adjacency.store(edges, 3)
+    expected = kept(stored)
+    stored.drop()
+    monkeypatch.setattr(adjacency, "store", None)
+    assert kept(edges) == expected and len(expected[1]) > 30
+
+
+def test_edges_that_no_hop_needs_are_not_made(spark):
+    """The frontier's nodes go below the aggregate and the join that edges are made by, however large the frontier is."""
+    lines = spark.createDataFrame([(i // 4, i % 11) for i in range(80)], "o long, p long")
+    pairs = lines.withColumnRenamed("p", "dst").join(lines.withColumnRenamed("p", "src"), "o").filter("dst <> src").select("dst", "src")
+    edges = adjacency.EdgeList(pairs, repeats=False)
+    frontier = spark.createDataFrame([(0, 0, 3), (0, 1, 5)], "batch_id long, dst_local long, dst long")
+    around = edges.around(frontier)
+    lines_of = around._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda word: next(line.index(word) for line in lines_of if word in line)
+    made = max(line.index("Join Inner") for line in lines_of if "Join Inner" in line)
+    assert depth("Join LeftSemi") > made > 0 and depth("Join LeftSemi") > depth("Aggregate [dst")
+    assert sorted(map(tuple, around.select("dst", "src").collect())) == sorted(tuple(r) for r in edges.edges().filter("dst IN (3, 5)").collect())
+    assert edges.edges().count() == pairs.distinct().count() < pairs.count()
