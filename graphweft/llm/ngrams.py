@@ -5,9 +5,11 @@ they occur in the corpus (by a count sketch of fixed size, so the order is a fix
 sets that are similar enough share one of their first few. Postings of these prefix shingles are joined, candidates
 pass the length, positional and suffix filters, and each pair of classes is verified once on the whole sets.
 
-Groups of near copies would give a pair for each two members, so links come in two rounds: first every class of a
-shingle's postings is held against one leader of them, the smallest class; then, with the components these links make,
-classes outside their leader's component are held against all classes of other components. No link between components
+Groups of near copies would give a pair for each two members, so links come in rounds: first every class of a
+shingle's postings is held against one leader of them, the smallest class. Then, while more pairs than a quarter of the postings are left
+between components and each turn halves them, against drawn stars of other components, so a group that hangs together by its members'
+links becomes one component with a few pairs a member. At last, with the components that all these links make,
+classes outside their first leader's component are held against all classes of other components. No link between components
 is missed: of two classes in different components that share a shingle, one isn't in the component of that shingle's
 leader. A pair meets at the first prefix shingle that both have; where it is known to have met before, it is dropped.
 
@@ -52,6 +54,8 @@ FAN_IN = 64
 SMALL = 32
 #: How many shared shingles before its place a posting tells, so that a pair isn't met again.
 BEFORE = 16
+#: Stars of a turn for a group of classes that share all their tokens, and the most turns.
+LEADERS, TURNS = 8, 8
 #: Up to so many ids are broadcast to select texts (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 LEAST_ID = -(2**63)
@@ -233,6 +237,16 @@ def _pairs(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
     return x.join(y, reduce(lambda p, q: p & q, conditions)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
+def _to_stars(labelled: DataFrame, first: DataFrame, turn: int) -> DataFrame:
+    """a, b: the classes of each token that aren't in its star's component, with the star: the class of the smallest drawn
+    key. Keys are drawn for LEADERS parts of the tokens, so a group whose members share all their tokens has so many stars."""
+    drawn = labelled.withColumn("drawn", F.xxhash64("class", F.pmod("token", F.lit(LEADERS)), F.lit(turn)))
+    stars = drawn.groupBy("token").agg(F.min("drawn").alias("least"))
+    near = materialise(drawn.join(stars, "token").withColumn("is_star", F.col("drawn") == F.col("least")).drop("drawn", "least").join(first.select("class", "small"), "class"))
+    # written first, so that what has met isn't looked up before pairs are distinct
+    return materialise(_pairs(near.filter("NOT is_star"), near.filter("is_star"), F.col("x.component") != F.col("y.component"), may_overlap("x", "y", "small")))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """a, b, linked for pairs (a, b) of classes: both whole sets are compared. first: (class, doc_id, n, bits), doc_id of one
     document."""
@@ -267,18 +281,28 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", F.col("class") == F.col("lead")).drop("lead").distinct())
     first = materialise(classes)
     star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead")), docs, first)
-    groups = settled(lambda: components(star.filter("linked")))
-    labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    # leaders have been held against all others of their tokens, so only tokens with two more classes can give more
-    mixed = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead_component")).filter("size > 2 AND low <> high")
+    met, before, few = star, float("inf"), rows.count() / 4
+    for turn in range(TURNS + 1):
+        linked = met.filter("linked").select("a", "b")
+        groups = settled(lambda: components(linked))  # noqa: B023
+        labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        # first leaders have been held against all others of their tokens, so only tokens with two more classes can give more
+        parts = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead"))
+        mixed = materialise(parts.groupBy("token").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count(F.lit(1)).alias("parts"), F.max("lead").alias("lead_component")).filter("size > 2 AND parts > 1"))
+        left = mixed.agg(F.sum((F.col("size") * F.col("size").cast("double") - F.col("squares")) / 2).alias("pairs")).first().pairs or 0
+        if turn == TURNS or left <= few or left > before / 2:
+            break
+        before = left
+        more = verified(_to_stars(labelled.join(mixed.select("token"), "token"), first, turn).join(met.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
+        met = met.union(more)
     # what a class shares before a token: a pair that has one of these in common has met there, or in the first round
     earlier = Window.partitionBy("class").orderBy("pos", "token").rowsBetween(-BEFORE, -1)
     others = materialise(labelled.join(mixed.select("token", "lead_component"), "token").withColumn("before", F.collect_list("token").over(earlier)).filter("NOT is_lead").drop("is_lead").join(first.select("class", "small"), "class"))
     new = (F.col("x.component") != F.col("y.component")) & ~F.arrays_overlap("x.before", "y.before")
     # written first, so that the anti-join isn't moved below distinct, where a pair still has a row for each place it met
     rest = materialise(_pairs(others.filter("component <> lead_component"), others, new, may_overlap("x", "y", "small")))
-    rest = verified(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
-    final = settled(lambda: components(star.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))))
+    rest = verified(rest.join(met.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
+    final = settled(lambda: components(met.union(rest).filter("linked").select("a", "b")))
     own = F.when(F.col("n") > 0, F.coalesce("component", "class"))
     return members.join(final.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", "class", own.alias("component"))
 

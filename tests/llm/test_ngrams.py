@@ -59,3 +59,22 @@ def test_a_pair_meets_at_the_first_common_shingle(spark):
     least = {g: min(i for i in range(200) if group[i] == g) for g in set(group)}
     got = {x.doc_id: x.component_id for x in ngrams.similarity_components(df).collect()}
     assert got == {i: least[g] for i, g in enumerate(group)}
+
+
+def test_a_group_of_near_copies_compares_few_pairs(spark, monkeypatch):
+    """Copies with two changed words are linked with those with one only: components need some of these links."""
+    r = np.random.default_rng(14)  # the smallest classes have two changes
+    rows = []
+    for i in range(240):
+        words = [f"w{k}" for k in range(130)]
+        for at in r.choice(130, 2 - (i % 3 == 0), replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    df, compared, verified = spark.createDataFrame(rows, "doc_id long, text string"), [], ngrams.verified
+    monkeypatch.setattr(ngrams, "verified", lambda pairs, *more: (compared.append(pairs.count()), verified(pairs, *more))[1])
+    got = {x.doc_id: x.component_id for x in ngrams.similarity_components(df).collect()}
+    found = sum(compared)
+    compared.clear()
+    monkeypatch.setattr(ngrams, "TURNS", 0)  # the first leaders only
+    assert got == {x.doc_id: x.component_id for x in ngrams.similarity_components(df).collect()}
+    assert found < sum(compared) / 2, (found, sum(compared))
