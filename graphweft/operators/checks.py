@@ -14,6 +14,12 @@ def _count(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("violations"))
 
 
+def only_one_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one bag holds more often than the other, and how many times more: each bag is read once."""
+    both = a.withColumn("times", F.lit(1)).union(b.withColumn("times", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.abs(F.sum("times")).alias("times")).filter("times <> 0")
+
+
 def require(found: DataFrame) -> None:
     """Raises an error that names the checks with violations."""
     bad = [f"{r.check}: {r.violations}" for r in found.filter("violations > 0").collect()]  # a row a check

@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from graphweft.operators import cache, canonical, gnn
+from graphweft.operators import cache, canonical, checks, gnn
 from graphweft.sources import graph_dir
 
 
@@ -80,6 +80,16 @@ def test_isolated_nodes_hold_a_row_a_node(spark):
     assert "Aggregate [node_id" in tree[tree.index("LeftAnti"):]
 
 
+def test_differences_of_bags_read_each_once(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "i int, t string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (2, None), (4, "z")], "i int, t string")
+    found = checks.only_one_side(a, b)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "x", 1), (2, None, 2), (3, "y", 1), (4, "z", 1)]
+    assert checks.only_one_side(a, a).count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
+
+
 def test_attention_reads_edges_once(spark):
     """Scores far apart, so that sums of several steps meet, and beyond what a power of a double holds."""
     scores = {1: 0.0, 2: 300.0, 3: 300.5, 4: -900.0, 5: 2000.0, 6: -2500.0}
