@@ -73,3 +73,20 @@ def test_a_fold_that_ended_in_between(spark, tmp_path, monkeypatch):
     graph.fold()
     check(graph, pairs, [], False)
     assert [f[:2] for f in graph._folders("degrees")] == [(1, True), (2, False)]
+
+
+def test_one_key_for_both_directions(spark, tmp_path):
+    """The state has a key for an edge and its reverse, and settings of the session come back."""
+    root, raw, nodes = f"file://{tmp_path}", [], [0, 1, 2, 3]
+    spark.createDataFrame([(n,) for n in nodes], "node_id long").write.parquet(f"{root}/nodes")
+    before = {name: spark.conf.get(name, None) for name in (growing.PROVIDER, *growing.LEAN_STATE)}
+    graph = growing.Growing(spark, f"{root}/graph")
+    for more, keys in (([(0, 1), (1, 0), (2, 2), (0, 1)], 5), ([(1, 0), (5, 0), (0, 5)], 1)):
+        raw += more
+        spark.createDataFrame([*more, (None, 3)], "src long, dst long").coalesce(1).write.mode("append").parquet(f"{root}/raw")
+        stream = growing.raw_stream(spark.readStream.schema("src long, dst long").parquet(f"{root}/raw"), spark.readStream.schema("node_id long").parquet(f"{root}/nodes"), symmetrise=False)
+        run = growing.grow(stream, f"{root}/graph", f"{root}/state", once=True, both=True)
+        run.awaitTermination()
+        assert sum(p.stateOperators[0].numRowsUpdated for p in run.recentProgress) == keys
+        check(graph, raw, nodes)
+    assert {name: spark.conf.get(name, None) for name in before} == before
