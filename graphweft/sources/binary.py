@@ -147,6 +147,7 @@ class _CscReader(DataSourceReader):
 
     def __init__(self, options: dict):
         path, kept, self.step = options["path"], json.loads(options["conf"]), int(options["step"])
+        self.placed = options.get("placed") == "true"
         self.nodes, self.entries = kept["num_nodes"], kept["indices_shape"][0]
         self.offsets_file = f"{path}/{OFFSETS}", kept["indptr_dtype"], kept["indptr_shape"][0]
         self.entries_file = f"{path}/{ENTRIES}", kept["indices_dtype"], self.entries
@@ -181,20 +182,22 @@ class _CscReader(DataSourceReader):
                 if src.min() < 0 or src.max() >= self.nodes:
                     raise ValueError(f"{entries.path} names a node beyond {self.nodes}")
                 dst = column + np.searchsorted(own, places, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(dst), pa.array(src)], names=["dst", "src"])
+                own_place = [pa.array(places)] if self.placed else []
+                yield pa.RecordBatch.from_arrays([pa.array(dst), pa.array(src), *own_place], names=["dst", "src", "at"][: 2 + self.placed])
                 at += len(places)
             column += len(own) - 1
 
 
 class CscDataSource(DataSource):
-    """format("flat_csc"), options conf (the descriptor's text) and step (entries of a task): (dst, src) of a directory, by ranges of entries."""
+    """format("flat_csc"), options conf (the descriptor's text) and step (entries of a task): (dst, src) of a directory, by ranges of entries,
+    and with the option placed each entry's place ``at``."""
 
     @classmethod
     def name(cls) -> str:
         return "flat_csc"
 
     def schema(self) -> str:
-        return "dst BIGINT, src BIGINT"
+        return "dst BIGINT, src BIGINT" + (", at BIGINT" if self.options.get("placed") == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _CscReader(self.options)
@@ -256,11 +259,58 @@ def write_csc(edges: DataFrame, nodes: DataFrame, path: str, dtype: str = "int64
         last = edges.sparkSession.range(1).select(F.lit(ids.n).alias("at"), F.lit(bad.n).alias("value"))
         write_array(starts.union(last), f"{path}/{OFFSETS}", "int64", ids.n + 1)
     conf = entries | {"num_nodes": ids.n, "indptr_dtype": "int64", "indptr_shape": [ids.n + 1], "indices_dtype": dtype, "indices_shape": [bad.n]}
+    _finish(there, conf)
+    return conf
+
+
+def _finish(there: str, conf: dict) -> None:
     made = f"{there}/{CONF}.{uuid.uuid4().hex}"
     with open(made, "w") as file:
         json.dump(conf, file, sort_keys=True)
     os.rename(made, f"{there}/{CONF}")
-    return conf
+
+
+def _placed(spark: SparkSession, path: str, conf: dict) -> DataFrame:
+    """dst, src, at: entries and their places."""
+    spark.dataSource.register(CscDataSource)
+    return spark.read.format("flat_csc").option("conf", json.dumps(conf)).option("step", VALUES_A_PARTITION).option("placed", "true").load(path)
+
+
+def _order(placed: DataFrame) -> tuple[bool, int]:
+    """Do entries ascend strictly by (dst, src), so that none repeats, and how many are self-loops? A row a task is collected."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, ascends, loops = None, None, True, 0
+        for batch in batches:
+            dst, src, at = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            if not len(dst):
+                continue
+            first = first or (int(at[0]), int(dst[0]), int(src[0]))
+            ascends &= (last is None or last < (dst[0], src[0])) and bool(((dst[1:] > dst[:-1]) | ((dst[1:] == dst[:-1]) & (src[1:] > src[:-1]))).all())
+            last, loops = (int(dst[-1]), int(src[-1])), loops + int((dst == src).sum())
+        if first:
+            yield pa.RecordBatch.from_pylist([{"at": first[0], "d0": first[1], "s0": first[2], "d1": last[0], "s1": last[1], "ascends": bool(ascends), "loops": loops}])
+
+    tasks = sorted(placed.mapInArrow(judge, "at long, d0 long, s0 long, d1 long, s1 long, ascends boolean, loops long").collect())
+    meet = all((a.d1, a.s1) < (b.d0, b.s0) for a, b in zip(tasks, tasks[1:]))
+    return meet and all(t.ascends for t in tasks), sum(t.loops for t in tasks)
+
+
+def _write_with_loops(spark: SparkSession, path: str, target: str, conf: dict, placed: DataFrame, more: dict) -> dict:
+    """A graph in order and without self-loops: each entry's new place is its own, one further for each column before it, and
+    one more where it comes after its column's loop. Nothing is sorted or dealt but a count for each column."""
+    there, n, dtype = _mounted(target), conf["num_nodes"], conf["indices_dtype"]
+    entries = conf["indices_shape"][0] + n
+    os.makedirs(there)
+    moved = placed.select((F.col("at") + F.col("dst") + (F.col("src") > F.col("dst")).cast("long")).alias("at"), F.col("src").alias("value"))
+    starts = read_offsets(spark, path)
+    smaller = placed.filter("src < dst").groupBy("dst").agg(F.count(F.lit(1)).alias("smaller"))
+    loops = starts.filter(F.col("at") < n).join(smaller, F.col("at") == F.col("dst"), "left").select((F.col("value") + F.col("at") + F.coalesce("smaller", F.lit(0))).alias("at"), F.col("at").alias("value"))
+    write_array(moved.union(loops), f"{target}/{ENTRIES}", dtype, entries, n - 1)
+    write_array(starts.select("at", (F.col("value") + F.col("at")).alias("value")), f"{target}/{OFFSETS}", "int64", n + 1)
+    made = more | {"num_nodes": n, "indptr_dtype": "int64", "indptr_shape": [n + 1], "indices_dtype": dtype, "indices_shape": [entries]}
+    _finish(there, made)
+    return made
 
 
 def with_self_loops(spark: SparkSession, path: str, target: str) -> dict:
@@ -269,9 +319,12 @@ def with_self_loops(spark: SparkSession, path: str, target: str) -> dict:
     conf = read_conf(path)
     if conf.get("self_loop"):
         raise ValueError(f"{path} has self-loops already")
+    more = {k: v for k, v in conf.items() if k not in ("num_nodes", "indptr_dtype", "indptr_shape", "indices_dtype", "indices_shape")} | {"self_loop": True}
+    placed = _placed(spark, path, conf)
+    ascends, loops = _order(placed)
+    if ascends and not loops:
+        return _write_with_loops(spark, path, target, conf, placed, more)
     edges, nodes = read_csc(spark, path)
-    repeats = edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeats.isEmpty():
+    if not ascends and not edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         raise ValueError(f"{path} repeats entries")
-    more = {k: v for k, v in conf.items() if k not in ("num_nodes", "indptr_dtype", "indptr_shape", "indices_dtype", "indices_shape")}
-    return write_csc(canonical.add_self_loops(edges, nodes), nodes, target, conf["indices_dtype"], **more | {"self_loop": True})
+    return write_csc(canonical.add_self_loops(edges, nodes), nodes, target, conf["indices_dtype"], **more)

@@ -103,3 +103,26 @@ def test_self_loops_are_added_once(spark, tmp_path):
         binary.with_self_loops(spark, str(tmp_path / "b"), str(tmp_path / "c"))
     with pytest.raises(ValueError, match="repeats"):
         binary.with_self_loops(spark, lay(tmp_path / "d", [0, 2], [0, 0]), str(tmp_path / "e"))
+
+
+@pytest.mark.parametrize("kind", ["in order", "out of order", "with a loop"])
+def test_self_loops_are_put_in_place(spark, tmp_path, monkeypatch, kind):
+    """A graph in order gets its loops where it lies, columns that several tasks read and empty ones included; others are sorted."""
+    monkeypatch.setattr(binary, "VALUES_A_PARTITION", 5)
+    lists = [sorted(set(own) - {i}) for i, own in enumerate(drawn(7, 30, 25)[0])]
+    if kind == "with a loop":
+        lists[4] = sorted({*lists[4], 4})
+    if kind == "out of order":
+        lists = [own[::-1] for own in lists]
+    expected = [sorted({*own, i}) for i, own in enumerate(lists)]
+    assert any(len(own) > 5 for own in lists) and not all(lists)
+    source = lay(tmp_path / "a", np.cumsum([0, *map(len, lists)]), [s for own in lists for s in own], entries_type="int32")
+    if kind == "in order":
+        monkeypatch.setattr(binary, "write_csc", None)
+    conf = binary.with_self_loops(spark, source, str(tmp_path / "b"))
+    assert np.fromfile(tmp_path / "b" / "indices.dat", "int32").tolist() == [s for own in expected for s in own]
+    assert np.fromfile(tmp_path / "b" / "indptr.dat", "int64").tolist() == np.cumsum([0, *map(len, expected)]).tolist()
+    assert conf["self_loop"] and binary.read_conf(str(tmp_path / "b")) == conf
+    # a repeat that two tasks share is found
+    with pytest.raises(ValueError, match="repeats"):
+        binary.with_self_loops(spark, lay(tmp_path / "c", [0, 6, 6, 6, 6, 6, 6], [1, 2, 3, 4, 5, 5]), str(tmp_path / "d"))
