@@ -33,7 +33,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +52,10 @@ MOST_IN_TASK = 255
 FAN_IN = 64
 #: 64-bit words of the sketches that postings of the second round carry; longer ones are folded to so many.
 SMALL = 32
+#: A block of repeated shingles is found among about 2 ** SHARE_BITS shingles; there are 2 ** MOST_BLOCKS blocks at most.
+SHARE_BITS, MOST_BLOCKS = 18, 16
+#: Bits of the bitmap of repeated shingles for each of them, and the most it has, as a power of two (32 MB).
+MEMBER_BITS, MOST_MARKS = 16, 28
 #: How many shared shingles before its place a posting tells, so that a pair isn't met again.
 BEFORE = 16
 #: Stars of a turn for a group of classes that share all their tokens, and the most turns.
@@ -135,71 +139,146 @@ def profile(docs: DataFrame) -> DataFrame:
         if held:
             count()
         blocks = [i for i in range(size // block) if counts[i * block : (i + 1) * block].any()]
-        data = [zlib.compress(counts[i * block : (i + 1) * block].astype(np.uint32).tobytes(), 1) for i in blocks]
+        data = [zlib.compress(counts[i * block : (i + 1) * block].tobytes(), 1) for i in blocks]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64())] * 3 + [pa.nulls(len(blocks), pa.list_(pa.int64()))] * 2 + [pa.array(blocks, pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(data, pa.binary())], names=names)
 
     return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, bits array<bigint>, small array<bigint>, block int, part int, counts binary")
 
 
-def frequency_levels(profiled: DataFrame) -> np.ndarray:
+#: Compressed pieces of an array of bytes by their numbers; what is absent is zero. Tasks put the array together, so the
+#: driver and the broadcast hold the pieces alone.
+Pieces = dict[int, bytes]
+
+
+def whole(pieces: Pieces, each: int, size: int) -> np.ndarray:
+    out = np.zeros(size, np.uint8)
+    for i, data in pieces.items():
+        out[i * each : (i + 1) * each] = np.frombuffer(zlib.decompress(data), np.uint8)
+    return out
+
+
+def frequency_levels(profiled: DataFrame) -> Pieces:
     """How frequent a sketch cell is, as eighths of a power of two: 2 ** SKETCH_BITS bytes, whatever the corpus.
 
     The tasks' counts are added FAN_IN at a time, so no group grows with the number of tasks.
     """
-    block = 1 << BLOCK_BITS
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.uint64)
-        for data in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(data), np.uint32)
-        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [rows["part"].iloc[0] // FAN_IN], "counts": [zlib.compress(total.tobytes(), 1)]})
+    def adding(counted: type, last: bool):
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(1 << BLOCK_BITS, np.uint64)
+            for data in rows["counts"]:
+                total += np.frombuffer(zlib.decompress(data), counted)
+            total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+            if last:
+                total = np.minimum(255, np.round(8 * np.log2(1.0 + total))).astype(np.uint8)
+            return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [rows["part"].iloc[0] // FAN_IN], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    rows = profiled.filter("block IS NOT NULL").select("block", "part", "counts")
+        return add
+
+    rows, counted = profiled.filter("block IS NOT NULL").select("block", "part", "counts"), np.uint8
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        rows = rows.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("into")).applyInPandas(add, "block int, part int, counts binary")
-        parts = -(-parts // FAN_IN)
+        rows = rows.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("into")).applyInPandas(adding(counted, parts <= FAN_IN), "block int, part int, counts binary")
+        parts, counted = -(-parts // FAN_IN), np.uint32
         if parts == 1:
             break
         rows = materialise(rows)
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in rows.collect():  # 2 ** (SKETCH_BITS - BLOCK_BITS) rows
-        levels[row.block * block : (row.block + 1) * block] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(row.counts), np.uint32))))
-    return levels
+    return {r.block: bytes(r.counts) for r in rows.collect()}  # 2 ** (SKETCH_BITS - BLOCK_BITS) rows
 
 
-def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """token, class, pos, n: the first shingles of each set, the rarest first. A task emits a class once.
+def _prefixes(batches: Iterator[pa.RecordBatch], levels: Pieces) -> Iterator[tuple[int, int, np.ndarray]]:
+    """class, n and the first shingles of each set, the rarest first. A task meets a class once."""
+    table, seen = whole(levels, 1 << BLOCK_BITS, 1 << SKETCH_BITS), set()
+    for _, sets in _shingles(batches):
+        for s in sets:
+            if not len(s) or (own := class_id(s)) in seen:
+                continue
+            seen.add(own)
+            rank = table[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+            yield own, len(s), s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]]
 
-    token is the shingle's upper 56 bits: two that agree in them are one candidate more, never a link.
+
+def repeated(docs: DataFrame, levels: Broadcast, shingles: int) -> tuple[Pieces, int, int]:
+    """A bitmap of the first shingles that more than one class of a task, or more than one task, has; the bits of its
+    place that choose a piece, and all of them. ``shingles`` is about how many first shingles there are.
+
+    A shingle moves as 32 bits, with others whose upper bits are the same. The bitmap may hold more than that (two shingles
+    can share a place), never less, and goes by a shingle's upper bits, so each group makes a piece of it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    high = min(MOST_BLOCKS, max(4, (shingles >> SHARE_BITS).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
-        for _, sets in _shingles(batches):
-            tokens, classes, places, sizes = [], [], [], []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
 
-            def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, classes, places, sizes)], names=["token", "class", "pos", "n"])
+        def dealt() -> pa.RecordBatch:
+            places = np.sort(np.concatenate(held) >> np.uint64(32 - high))
+            ends = np.searchsorted(places, np.arange(1, (1 << high) + 1, dtype=np.uint64) << np.uint64(32))
+            own = [b for b in range(1 << high) if ends[b] > (ends[b - 1] if b else 0)]
+            low = places.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([low[ends[b - 1] if b else 0 : ends[b]].tobytes() for b in own], pa.binary())], names=["block", "places"])
+
+        for _, _, first in _prefixes(batches, levels.value):
+            held.append(first)
+            waiting += len(first)
+            if waiting >= 1 << 20:
+                yield dealt()
+                held.clear()
+                waiting = 0
+        if held:
+            yield dealt()
 
-            for s in sets:
-                if not len(s) or (own := class_id(s)) in seen:
-                    continue
-                seen.add(own)
-                rank = table[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                first = s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]]
-                tokens.append((first >> np.uint64(8)).view(np.int64))
-                classes.append(np.full(len(first), own, np.int64))
-                places.append(np.arange(len(first), dtype=np.int32))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                if len(tokens) >= 500:
-                    yield flush()
-                    tokens, classes, places, sizes = [], [], [], []
-            if tokens:
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        places = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in rows["places"]]))
+        more = np.unique(places[1:][places[1:] == places[:-1]])
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "places": [more.tobytes()]})
+
+    kind = "block int, places binary"
+    found = materialise(docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(deal, kind).groupBy("block").applyInPandas(again, kind))
+    members = (found.agg(F.sum(F.length("places"))).first()[0] or 0) // 4
+    bits = max(high + 3, min(MOST_MARKS, (max(1, members) * MEMBER_BITS - 1).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for places in batch.column(1).to_pylist():
+                marks = np.zeros(1 << (bits - high), np.uint8)
+                marks[np.frombuffer(places, np.uint32) >> np.uint32(32 - (bits - high))] = 1
+                data.append(zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["block", "places"])
+
+    return {r.block: bytes(r.places) for r in found.filter(F.length("places") > 0).mapInArrow(mark, kind).collect()}, high, bits  # 32 MB at most
+
+
+def postings(docs: DataFrame, levels: Broadcast, marks: Broadcast) -> DataFrame:
+    """token, class, pos, n: those of the first shingles of each set that are marked as repeated. A task emits a class once.
+
+    token is the shingle's upper 56 bits: two that agree in them are one candidate more, never a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, high, bits = marks.value
+        marked = whole(pieces, 1 << (bits - high - 3), 1 << (bits - 3))
+        tokens, classes, places, sizes = [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, classes, places, sizes)], names=["token", "class", "pos", "n"])
+
+        for own, n, first in _prefixes(batches, levels.value):
+            place = first >> np.uint64(64 - bits)
+            at = np.flatnonzero(marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            if not len(at):
+                continue
+            tokens.append((first[at] >> np.uint64(8)).view(np.int64))
+            classes.append(np.full(len(at), own, np.int64))
+            places.append(at.astype(np.int32))
+            sizes.append(np.full(len(at), n, np.int32))
+            if len(tokens) >= 500:
                 yield flush()
+                tokens, classes, places, sizes = [], [], [], []
+        if tokens:
+            yield flush()
 
     return docs.select(_id(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(run, "token long, class long, pos int, n int")
 
@@ -271,17 +350,26 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id (LEAST_ID for null), n, class and component (the smallest class reachable, null for empty sets) for each row of docs."""
     profiled = materialise(profile(docs))
-    levels = frequency_levels(profiled)
+    context = docs.sparkSession.sparkContext
+    levels = context.broadcast(frequency_levels(profiled))
     members = profiled.filter("class IS NOT NULL").select("doc_id", "n", "class")
     classes = profiled.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("small").alias("small"))
-    found = postings(docs, levels)
+    marks = context.broadcast(repeated(docs, levels, (profiled.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100))
+    found = materialise(postings(docs, levels, marks))
+    for sent in (levels, marks):
+        sent.destroy()
     # minima and maxima are taken before the shuffle; tokens of one class alone end here
-    shared = found.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("high")).filter("lead <> high").select("token", "lead")
+    ends = found.groupBy("token").agg(F.min(F.struct("class", "pos", "n")).alias("lead"), F.max("class").alias("high"), F.count(F.lit(1)).alias("times"))
+    shared = ends.filter("lead.class <> high").select("token", "lead", (F.col("times") > 2).alias("several"))
     shared = materialise(shared)  # so that the join shuffles both sides for itself alone and a skewed token can be split
-    rows = materialise(found.join(shared.hint("shuffle_hash"), "token").withColumn("is_lead", F.col("class") == F.col("lead")).drop("lead").distinct())
+    held = materialise(found.join(shared.hint("shuffle_hash"), "token").distinct())
     first = materialise(classes)
-    star = verified(_pairs(rows.filter("NOT is_lead"), rows.filter("is_lead")), docs, first)
-    met, before, few = star, float("inf"), rows.count() / 4
+    beside = held.filter("class <> lead.class").select(F.struct("class", "pos", "n").alias("x"), F.col("lead").alias("y")).filter(may_link("x", "y"))
+    # written first, so that the sketches of a pair are looked up once
+    star = verified(materialise(beside.select(F.col("y.class").alias("a"), F.col("x.class").alias("b")).distinct()), docs, first)
+    # a token of two classes has given its pair
+    rows = held.filter("several").withColumn("is_lead", F.col("class") == F.col("lead.class")).drop("lead", "several")
+    met, before, few = star, float("inf"), held.count() / 4
     for turn in range(TURNS + 1):
         linked = met.filter("linked").select("a", "b")
         groups = settled(lambda: components(linked))  # noqa: B023
@@ -290,10 +378,12 @@ def grouped(docs: DataFrame) -> DataFrame:
         parts = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("is_lead"), F.col("component"))).alias("lead"))
         mixed = materialise(parts.groupBy("token").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.count(F.lit(1)).alias("parts"), F.max("lead").alias("lead_component")).filter("size > 2 AND parts > 1"))
         left = mixed.agg(F.sum((F.col("size") * F.col("size").cast("double") - F.col("squares")) / 2).alias("pairs")).first().pairs or 0
+        rows = materialise(rows.join(mixed.select("token"), "token"))  # components only grow, so other tokens have no part in what follows
+        labelled = rows.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         if turn == TURNS or left <= few or left > before / 2:
             break
         before = left
-        more = verified(_to_stars(labelled.join(mixed.select("token"), "token"), first, turn).join(met.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
+        more = verified(_to_stars(labelled, first, turn).join(met.select("a", "b"), ["a", "b"], "left_anti"), docs, first)
         met = met.union(more)
     # what a class shares before a token: a pair that has one of these in common has met there, or in the first round
     earlier = Window.partitionBy("class").orderBy("pos", "token").rowsBetween(-BEFORE, -1)

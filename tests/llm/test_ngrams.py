@@ -3,6 +3,7 @@
 import numpy as np
 
 from graphweft.llm import ngrams
+from graphweft.llm.common import materialise, settled
 
 
 def rows_of(spark, pairs):
@@ -78,3 +79,32 @@ def test_a_group_of_near_copies_compares_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "TURNS", 0)  # the first leaders only
     assert got == {x.doc_id: x.component_id for x in ngrams.similarity_components(df).collect()}
     assert found < sum(compared) / 2, (found, sum(compared))
+
+
+def test_shingles_of_one_text_alone_are_not_shuffled(spark):
+    """Unlike texts with one pair of near copies: postings that no other text has stay where they are."""
+    words = lambda k: [f"w{k}_{i}" for i in range(400)]
+    rows = [(k, " ".join(words(k))) for k in range(200)] + [(200, " ".join([*words(7)[:390], "tail"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    context = spark.sparkContext
+    context.setJobGroup("shuffled", "")
+    got = {x.doc_id: x.component_id for x in ngrams.similarity_components(df).collect()}
+    tracker, store, moved = context.statusTracker(), context._jsc.sc().statusStore(), 0
+    context.setJobGroup("others", "")
+    for stage in {k for job in tracker.getJobIdsForGroup("shuffled") for k in tracker.getJobInfo(job).stageIds}:
+        moved += store.lastStageAttempt(stage).shuffleWriteRecords()
+    assert got == {k: k for k in range(200)} | {200: 7}
+    assert 0 < moved < 12_000  # each set has 100 first shingles; before, all of them moved twice
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {name for i in range(found.size()) if "shuffle_" in (name := found.apply(i).getName())}
+
+    before = shuffled()
+    df = materialise(spark.range(1000).repartition(3, "id"))
+    assert len(settled(lambda: materialise(df.groupBy((df.id % 7).alias("k")).count()).repartition(2, "k")).collect()) == 7
+    assert not shuffled() - before
