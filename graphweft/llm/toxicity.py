@@ -121,26 +121,65 @@ def suggested(sample: DataFrame) -> list[str]:
     return [r.key for r in good.orderBy(F.desc(F.col("bad") / F.sqrt("n")), "key").limit(MOST_VOTERS).collect()]
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray | None, rounds: int = 25) -> np.ndarray:
-    """Posteriors of the class toxic from a matrix of votes (documents by voters, 0 or 1).
+@dataclass
+class Features:
+    """A matrix of features of which a document has few. It is used a part of the documents at a time, so that the driver
+    never holds numbers for all documents and voters."""
+
+    found: list[bytes]
+    width: int
+
+    def __post_init__(self) -> None:
+        lengths = [len(data) // 6 for data in self.found]
+        self.ends = np.cumsum([0, *lengths])
+        self.columns = np.frombuffer(b"".join(data[: 2 * n] for data, n in zip(self.found, lengths)), np.uint16)
+        self.values = np.frombuffer(b"".join(data[2 * n :] for data, n in zip(self.found, lengths)), np.float32)
+
+    def __len__(self) -> int:
+        return len(self.found)
+
+    @staticmethod
+    def packed(features: np.ndarray) -> bytes:
+        """The numbers that aren't zero, and where they stand."""
+        at = np.flatnonzero(features)
+        return at.astype(np.uint16).tobytes() + features[at].astype(np.float32).tobytes()
+
+    def parts(self, rows: int = 1000) -> Iterator[tuple[slice, np.ndarray]]:
+        for i in range(0, len(self), rows):
+            ends = self.ends[i : i + rows + 1]
+            own = slice(ends[0], ends[-1])
+            out = np.zeros((len(ends) - 1, self.width))
+            out[np.repeat(np.arange(len(out)), np.diff(ends)), self.columns[own]] = self.values[own]
+            yield slice(i, i + len(out)), out
+
+    def votes(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for at, part in self.parts():
+            yield at, (part > 0).astype(float)
+
+
+def label_model(x: Features, toxic: np.ndarray | None, rounds: int = 25) -> np.ndarray:
+    """Posteriors of the class toxic from votes: features above 0.
 
     Rates of each voter in either class start from labels where there are any. A vote counts log(rate in toxic / rate in
     clean); abstaining counts nothing. Voters that are correlated among toxic documents (above CORRELATED) are one source
     of evidence told several times: each one's evidence is divided by the sum of its correlations.
     """
-    n = len(votes)
-    start = votes[:, :-1].any(1) * 0.9 + 0.02 if toxic is None else np.clip(toxic.astype(float), 0.02, 0.98)
-    weight = (start - start.min())[:, None] + 1e-6
-    centred = (votes - (weight * votes).sum(0) / weight.sum()) * np.sqrt(weight)
-    scale = np.sqrt((centred**2).sum(0)) + 1e-9
-    related = (centred / scale).T @ (centred / scale)
+    n = len(x)
+    counted = np.concatenate([v[:, :-1].any(1) for _, v in x.votes()]) * 0.9 + 0.02 if toxic is None else toxic.astype(float)
+    start = np.clip(counted, 0.02, 0.98)
+    weight = start - start.min() + 1e-6
+    mean = sum(weight[at] @ v for at, v in x.votes()) / weight.sum()
+    related = sum(((v - mean) * weight[at, None]).T @ (v - mean) for at, v in x.votes())
+    scale = np.sqrt(np.diag(related)) + 1e-9
+    related = related / scale / scale[:, None]
     shared = np.maximum(1.0, np.where(related > CORRELATED, related, 0.0).sum(1))
     posterior = start
     for _ in range(rounds):
         prior = np.clip(posterior.mean(), 1e-3, 0.999)
-        in_toxic = (posterior @ votes + 0.5) / (posterior.sum() + 1)
-        in_clean = ((1 - posterior) @ votes + 0.5) / (n - posterior.sum() + 1)
-        evidence = votes @ ((np.log(in_toxic) - np.log(in_clean)) / shared)
+        voted = sum(np.stack((posterior[at] @ v, v.sum(0))) for at, v in x.votes())
+        in_toxic = (voted[0] + 0.5) / (posterior.sum() + 1)
+        in_clean = (voted[1] - voted[0] + 0.5) / (n - posterior.sum() + 1)
+        evidence = np.concatenate([v @ ((np.log(in_toxic) - np.log(in_clean)) / shared) for _, v in x.votes()])
         after = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
         if np.abs(after - posterior).max() < 1e-4:
             break
@@ -148,15 +187,19 @@ def label_model(votes: np.ndarray, toxic: np.ndarray | None, rounds: int = 25) -
     return posterior
 
 
-def linear_classifier(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:
+def linear_classifier(x: Features, target: np.ndarray, penalty: float = 1.0, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton's method."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.width + 1)
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(ridge), x1.T @ (p - target) + ridge * w)
+        slope, curve = ridge * w, np.diag(ridge)
+        for at, part in x.parts():
+            x1 = np.hstack([part, np.ones((len(part), 1))])
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            slope = slope + x1.T @ (p - target[at])
+            curve = curve + (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -184,15 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.features(t or "").astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
+            found = [Features.packed(lexicon.features(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["doc_id", "x", "toxic"])
 
     rows = sorted(sample.mapInArrow(describe, "doc_id long, x binary, toxic int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE_DOCS).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not rows or len({r.toxic for r in rows}) < 2:
         weights = np.array([3.0 if v[:-1] in INSULTS else 0.0 for v in voters] + [0.0] * (len(STYLES) + 1))
         return Model(lexicon, weights, float(np.log(PRIOR / (1 - PRIOR))))
-    x = np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]).astype(float)
-    posterior = label_model((x > 0).astype(float), np.array([r.toxic for r in rows]))
+    x = Features([bytes(r.x) for r in rows], len(voters) + len(STYLES) + 1)
+    posterior = label_model(x, np.array([r.toxic for r in rows]))
     return Model(lexicon, *linear_classifier(x, posterior))
 
 
